@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, content_sort, token_counts
+from . import bpe_transducer, content_sort, langid_ppm, packing, token_counts
 from .common import table
 
 
@@ -28,8 +28,10 @@ def op8_token_counts(spark, sf_dir):
 def queries():
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op6_best_fit_packing": packing.query,
         "op7_content_sort": content_sort.query,
         "op8_token_counts": op8_token_counts,
+        "op10_language_ppm": langid_ppm.query,
     }
 
 
