@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, content_sort, langid_ppm, packing, token_counts
+from . import bpe_transducer, content_sort, langid_ppm, minhash_fss, packing, token_counts
 from .common import table
 
 
@@ -31,6 +31,7 @@ def queries():
         "op6_best_fit_packing": packing.query,
         "op7_content_sort": content_sort.query,
         "op8_token_counts": op8_token_counts,
+        "op9_minhash_near_dedup": minhash_fss.query,
         "op10_language_ppm": langid_ppm.query,
     }
 
