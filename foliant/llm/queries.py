@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, content_sort, langid_ppm, minhash_fss, packing, token_counts
+from . import bpe_transducer, chat_format, content_sort, langid_ppm, minhash_fss, packing, spotsigs, token_counts
 from .common import table
 
 
@@ -28,6 +28,8 @@ def op8_token_counts(spark, sf_dir):
 def queries():
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op4_spotsigs": spotsigs.query,
+        "op5_chat_format": chat_format.query,
         "op6_best_fit_packing": packing.query,
         "op7_content_sort": content_sort.query,
         "op8_token_counts": op8_token_counts,
@@ -37,4 +39,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_content_sort": content_sort.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op7_content_sort": content_sort.ORACLE}
