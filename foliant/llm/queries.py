@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_format, content_sort, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
+from . import bpe_transducer, chat_format, content_sort, hpylm, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
 from .common import table
 
 
@@ -29,6 +29,7 @@ def queries():
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
         "op2_warc_fixity": merkle_warc.query,
+        "op3_hpylm": hpylm.query,
         "op4_spotsigs": spotsigs.query,
         "op5_chat_format": chat_format.query,
         "op6_best_fit_packing": packing.query,
