@@ -52,8 +52,12 @@ def turn(role, text) -> Column:
 def _messages(name: str, role: str, text: str):
     # fixed values: names that layouts give to the canonical roles
     names = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    return lambda at: F.transform(at(name), lambda m: turn(F.coalesce(known[m[role]], m[role]), m[text]))
+
+    def made(at):
+        known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        return F.transform(at(name), lambda m: turn(F.coalesce(known[m[role]], m[role]), m[text]))
+
+    return made
 
 
 def _turns(*pairs):
