@@ -2,7 +2,8 @@
 
 Items of equal length are interchangeable, so the packing is worked out on the histogram of lengths: at most as many
 entries as the largest permitted length, whatever the corpus.  Lengths go in descending order; each count of items goes
-into the open bins with the least room that still holds it, and bins that share their whole history stay one entry.
+into the open bins with the least room that still holds it, as many into each as it takes; bins that share their whole
+history stay one entry.
 Where none holds it, bins open.  Every permitted length is tried as the size that bins open with (a longer item opens
 the least length that holds it); at the end each bin shrinks to the least permitted length that holds its contents, and
 the trial of least total cost is taken.  Items then find their bin by their rank among items of their length; ranks come
@@ -63,14 +64,23 @@ class Packing:
                     if not open_bins[room]:
                         del open_bins[room], rooms[k]
                 else:
-                    room, first, n, used = max(opening, next(c for c in self.capacities if c >= length)), bins, left, 0
-                    bins += left
-                m = min(n, left)
-                self.plan.append((length, rank, rank + m, first, used))
-                if m < n:
-                    put(room, (first + m, n - m, used))
-                put(room - length, (first, m, used + length))
-                rank, left = rank + m, left - m
+                    room, first, n, used = max(opening, next(c for c in self.capacities if c >= length)), bins, 0, 0
+                # a bin with the least room keeps it until it can take no more
+                each = room // length
+                if not n:
+                    n = -(-left // each)
+                    bins += n
+                for items in (each, left % each):
+                    m = min(n, left // each) if items == each else min(n, int(0 < left < each))
+                    if not m or not items:
+                        continue
+                    for j in range(items):
+                        self.plan.append((length, rank, rank + m, first, used + j * length))
+                        rank += m
+                    put(room - items * length, (first, m, used + items * length))
+                    first, n, left = first + m, n - m, left - m * items
+                if n:
+                    put(room, (first, n, used))
         #: (first bin, bins, used, capacity after shrinking)
         self.bins = [(first, n, used, next(c for c in self.capacities if c >= used)) for entries in open_bins.values() for first, n, used in entries]
         self.cost = sum(n * cost(c) for _, n, _, c in self.bins)
