@@ -81,6 +81,11 @@ class Trees:
             # the windows hold the padding before a text as well, so dropping the oldest byte gives all shorter ones
             count[n] = self._sum({k: by_lang[k] for k in self.langs}, 4 - n)
         size = len(self.langs)
+        # the context at the start of every text ends no window of its own, but is one
+        start = np.uint32(int.from_bytes(START, "big"))
+        if start not in count[3][0]:
+            at = np.searchsorted(count[3][0], start)
+            count[3] = np.insert(count[3][0], at, start), np.insert(count[3][1], at, 0, axis=0)
         total = np.array([c.sum() for _, c in (by_lang[k] for k in self.langs)], float)
         n1 = np.zeros((256, size))
         n1[count[1][0]] = count[1][1]
@@ -96,8 +101,7 @@ class Trees:
             contexts = ids[n - 1]
             at = np.searchsorted(contexts, context)
             known = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == context)
-            # a context that only ends texts has no node of its own; one that starts a window always has one
-            codes, counts, at = codes[known], counts[known], at[known]
+            assert known.all(), "every context ends a window"
             sums, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
             np.add.at(sums, at, counts)
             np.add.at(kinds, at, counts > 0)
