@@ -5,13 +5,14 @@
 2. BANDS bands of ROWS coordinates each give a bucket key.  A pair with a similarity of 0.75 shares no bucket with a
    probability of (1 - 0.75^4)^40 = 2.5e-7, and less the more similar it is.
 3. In every bucket each member is held against one member, the pivot (chosen by the key, so that pivots differ between
-   bands): rows in proportion to members, whatever the size of a bucket.  Links are confirmed on full sets and joined
-   to components.
+   bands): rows in proportion to members, whatever the size of a bucket.  Pairs whose sketches agree on at least AGREE
+   of the coordinates (at a similarity of 0.75 all but one in a million) are confirmed on full sets, and links are
+   joined to components.
 4. Buckets that still hold several components, and more than the pair just tested, are searched whole: members are
-   dealt out in blocks of at most BLOCK, every pair of blocks meets in one task, and pairs of different components
-   whose sketches agree on at least AGREE of the coordinates go on to the confirmation.  (A pair with a similarity of
-   0.75 agrees on less than 0.63 of 512 coordinates with a probability below 1e-8.)  Pairs within a component need no
-   test, as they cannot change it.
+   dealt out in blocks of at most BLOCK, every pair of blocks meets in one task, and members of different components
+   are compared there by 24-bit codes of all their shingles.  Codes can only overstate a similarity, so nothing is
+   lost; one pair for two components goes on to the confirmation on full sets.  Should one fail there, all pairs are
+   taken.  Pairs within a component need no test, as they cannot change it.
 No bucket and no number of partners is capped.
 
 Edge cases: null texts and texts without words are empty, with no shingle and no link, and stay; texts of fewer words
@@ -30,9 +31,9 @@ from .common import cut, partitions, small_batches, table
 from .components import components
 from .fast_sketch import band_keys, set_digest, shingle_set, sketches
 
-SIZE, ROWS, BANDS = 512, 4, 40
+SIZE, ROWS, BANDS = 256, 4, 40
 BLOCK = 1024
-AGREE = 0.63
+AGREE = 0.60
 #: Shingles, and texts, that are sketched at once.
 FLAT, TEXTS = 1_000_000, 2048
 #: Members of one pivot that meet in a task when links are confirmed.
@@ -76,23 +77,55 @@ def sketched(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
+#: Bits of the filter of wanted documents, whatever their number (two megabytes).
+FILTER_BITS = 1 << 24
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str, code: bool = False) -> DataFrame:
+    """_id, _set for the documents of `wanted` (_id): 64-bit hashes, or with `code` their 24-bit codes.
+
+    A Bloom filter of fixed size keeps almost all other texts from being shingled, and all texts from being shuffled.
+    """
+    bit = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
+    words_of = wanted.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("m"))
+    marks = np.zeros(FILTER_BITS // 32, np.uint32)
+    for w, m in words_of.collect():  # at most one row for each word of the filter
+        marks[w] = m
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_v")).filter("_id is not null")
+
+    def run(batches):
+        marks = shared.value
+        for b in batches:
+            bits = b.column(1).to_numpy()
+            b = b.filter(pa.array((marks[bits >> 5] >> (bits & 31).astype(np.uint32) & 1).astype(bool)))
+            sets = [shingle_set(t, words) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codes(x) if code else x.tobytes() for x in sets], pa.binary())], names=["_id", "_set"])
+
+    found = rows.select("_id", bit.alias("_bit"), "_v").mapInArrow(run, "_id long, _set binary")
+    return cut(found.join(wanted, "_id", "left_semi"))
+
+
+def codes(shingles: np.ndarray) -> bytes:
+    """The upper 24 bits of each hash, three bytes each."""
+    return (shingles >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def decoded(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, least: int, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= least * union.
 
-    Only texts of candidates are read again.  Pairs are dealt out by (b, block of its members): the set of b comes
+    Only texts of candidates are shingled again.  Pairs are dealt out by (b, block of its members): the set of b comes
     first in each block and stays in memory while the members stream past.
     """
     n = max(2, partitions(docs.sparkSession))
-    pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_v")).join(wanted, "_id")
-
-    def shingle(batches):
-        for b in batches:
-            sets = [shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["_id", "_set"])
-
-    sets = cut(rows.select("_id", "_v").mapInArrow(shingle, "_id long, _set binary"))
+    sets = shingles_of(docs, wanted, words, key, text)
     blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_blocks"))
     members = pairs.join(blocks, "b").withColumn("_block", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int"))
     members = members.join(sets.withColumnRenamed("_id", "a"), "a").select("b", "_block", "a", "_set")
@@ -138,47 +171,67 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def across(members: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """Pairs of different components within the same bucket that the sketches find likely.  members: key, doc_id, component."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    # a bucket of two has been tested by its pivot
-    mixed = sizes.filter("_n > 2 and _low <> _high").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = members.join(mixed, "key").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    rows = rows.join(classes.select("doc_id", "sketch"), "doc_id")
+def meeting(held: list[tuple], least: int, spanning: bool) -> set[tuple[int, int]]:
+    """Likely pairs of different components among rows of (block, doc_id, component, codes); between the blocks where
+    there are two, else within the block.  spanning: one pair for two components."""
+    own, ids, comps = (np.array([r[k] for r in held]) for k in range(3))
+    sets = [decoded(r[3]) for r in held]
+    sizes = np.array([len(x) for x in sets])
+    flat, starts = np.concatenate(sets), np.cumsum(np.r_[0, sizes[:-1]])
+    two = len(np.unique(own)) > 1
+    kinds, counts = np.unique(comps, return_counts=True)
+    joined = {int(c): int(c) for c in kinds}
+    table, out = np.zeros(1 << 24, bool), set()
+
+    def root(c):
+        while joined[c] != c:
+            c = joined[c]
+        return c
+
+    for k in np.flatnonzero(comps != kinds[counts.argmax()]):  # every pair that counts has one outside the largest
+        fits = (comps != comps[k]) & (100 * np.minimum(sizes, sizes[k]) >= least * np.maximum(sizes, sizes[k]))
+        if two:
+            fits &= own != own[k]
+        if not fits.any():
+            continue
+        table[sets[k]] = True
+        common = np.add.reduceat(table[flat], starts, dtype=np.int64)
+        table[sets[k]] = False
+        for j in np.flatnonzero(fits & (100 * common >= least * (sizes + sizes[k] - common))):
+            x, y = root(int(comps[k])), root(int(comps[j]))
+            if x != y or not spanning:
+                out.add((int(max(ids[k], ids[j])), int(min(ids[k], ids[j]))))
+                joined[max(x, y)] = min(x, y)
+    return out
+
+
+def across(members: DataFrame, docs: DataFrame, words: int, least: int, key: str, text: str, spanning: bool) -> DataFrame:
+    """Likely pairs (a, b) of different components within the same bucket.  members: key, doc_id, component."""
+    n = max(2, partitions(docs.sparkSession))
+    sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("_who"))
+    # a bucket of two has been tested by its pivot; of buckets with the same members one is enough
+    mixed = sizes.filter("_n > 2 and _low <> _high").groupBy("_n", "_who").agg(F.min("key").alias("key"))
+    mixed = mixed.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    rows = cut(members.join(mixed, "key"))
+    sets = shingles_of(docs, rows.select(F.col("doc_id").alias("_id")).distinct(), words, key, text, code=True)
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).join(sets.withColumnRenamed("_id", "doc_id"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    rows = rows.select("key", "doc_id", "component", "sketch", "_own", other)
-    rows = rows.select("key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "doc_id", "component", "sketch")
-
-    def meet(group):
-        p, q, own, ids, comps, marks = group
-        first = np.flatnonzero(own == p)
-        second = first if p == q else np.flatnonzero(own == q)
-        for k in first:  # a row of the first block against the second
-            at = second[second > k] if p == q else second
-            at = at[comps[at] != comps[k]]
-            if len(at):
-                at = at[(marks[at] == marks[k]).sum(1) >= AGREE * SIZE]
-                yield from zip(np.maximum(ids[at], ids[k]).tolist(), np.minimum(ids[at], ids[k]).tolist(), strict=True)
+    rows = rows.select("key", "doc_id", "component", "_set", "_own", other)
+    rows = rows.select("key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "doc_id", "component", "_set")
 
     def run(batches):
         at, held = None, []
-
-        def close():
-            own, ids, comps = (np.array([r[k] for r in held]) for k in (1, 2, 3))
-            marks = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, SIZE)
-            return meet((at[1], at[2], own, ids, comps, marks))
-
         for batch in batches:
             found, part = set(), batch.to_pydict()
-            for r in zip(part["key"], part["_p"], part["_q"], part["_own"], part["doc_id"], part["component"], part["sketch"], strict=True):
+            for r in zip(part["key"], part["_p"], part["_q"], part["_own"], part["doc_id"], part["component"], part["_set"], strict=True):
                 if r[:3] != at:
                     if held:
-                        found.update(close())
+                        found |= meeting(held, least, spanning)
                     at, held = r[:3], []
-                held.append((0, *r[3:]))
+                held.append(r[3:])
             yield pairs_batch(found)
         if held:
-            yield pairs_batch(set(close()))
+            yield pairs_batch(meeting(held, least, spanning))
 
     dealt = rows.repartition(n, "key", "_p", "_q").sortWithinPartitions("key", "_p", "_q")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -196,21 +249,27 @@ def near_duplicates(df: DataFrame, words: int = 5, least: int = 75, key: str = "
     docs = cut(sketched(df, words, key, text))
     linkable = docs.filter("digest is not null and doc_id is not null")
     owners = linkable.groupBy("digest").agg(F.min("doc_id").alias("owner"))
-    classes = docs.join(owners, "digest").filter("doc_id = owner").dropDuplicates(["doc_id", "digest"])
-    classes = cut(classes.select("doc_id", "keys", "sketch"))
+    classes = cut(docs.join(owners, "digest").filter("doc_id = owner").select("doc_id", "keys", "sketch"))
     bands = classes.select("doc_id", F.explode("keys").alias("key"))
     # the member whose identifier, xor the key, is least
     pivots = bands.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.col("doc_id").bitwiseXOR(F.col("key"))).alias("_p"))
     pivots = pivots.filter("_n > 1").select("key", F.col("_p").bitwiseXOR(F.col("key")).alias("pivot"))
     shared = cut(bands.join(pivots, "key"))
     stars = shared.filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
-    links = cut(confirmed(likely(stars, classes), df, words, least, key, text))
-    label = cut(components(links))
-    members = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more = across(members, classes, n)
-    more = confirmed(more, df, words, least, key, text)
-    label = components(links.unionByName(more))
+    links = cut(confirmed(cut(likely(stars, classes)), df, words, least, key, text))
+    label = components(links)
+    for spanning in (True, False):
+        now = cut(label)
+        members = shared.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        members = members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        tried = cut(across(members, df, words, least, key, text, spanning))
+        if tried.isEmpty():
+            break
+        more = cut(confirmed(tried, df, words, least, key, text))
+        links = links.unionByName(more)
+        label = components(links)
+        if tried.count() == more.count():  # nothing stood in for a pair that failed
+            break
     owned = owners.join(label.withColumnRenamed("node", "owner"), "owner", "left")
     owned = owned.select("digest", F.coalesce("component", "owner").alias("_least"))
     out = docs.select("doc_id", "n_shingles", "digest").join(owned, "digest", "left")
