@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import layout_queries, learning_queries, metering_queries, streaming_queries, structure_queries, text_queries
+from . import layout_queries, learning_queries, lesson_queries, metering_queries, streaming_queries, structure_queries, text_queries
 
-MODULES = (text_queries, structure_queries, metering_queries, learning_queries, layout_queries, streaming_queries)
+MODULES = (text_queries, structure_queries, metering_queries, learning_queries, layout_queries, streaming_queries, lesson_queries)
 
 
 def queries():
