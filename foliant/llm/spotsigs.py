@@ -117,12 +117,12 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "_id") -> DataF
     docs = docs.withColumn("_range", place)
     firsts = {r[0]: r[1] for r in docs.groupBy("_range").agg(F.min(id_col)).collect()}  # a row a range
     used = sorted(firsts)
-    before = {firsts[k]: used[i - 1] for i, k in enumerate(used)}
-    ghosts = docs.filter(F.col(id_col).isin(*before)).withColumn("_ghost", F.lit(1))
-    to = F.lit(None).cast("int")
-    for first, place in before.items():
-        to = F.when(F.col(id_col) == first, F.lit(place)).otherwise(to)
-    ghosts = ghosts.withColumn("_range", to)
+    before = [None] * size  # by range, the last one before it that has rows; the first range follows the last
+    for i, k in enumerate(used):
+        before[k] = used[i - 1]
+    ghosts = docs.filter(F.col(id_col).isin(*firsts.values())).withColumn("_ghost", F.lit(1))
+    table_of = F.array(*(F.lit(k).cast("int") for k in before))
+    ghosts = ghosts.withColumn("_range", F.element_at(table_of, F.col("_range") + 1))
     rows = docs.withColumn("_ghost", F.lit(0)).unionByName(ghosts)
     own = Window.partitionBy("_range").orderBy("_ghost", id_col, "text")
     ahead = rows.withColumns({f"_next_{c}": F.lead(c).over(own) for c in columns})
