@@ -286,3 +286,18 @@ def drop_near_copies(df: DataFrame, words: int = 5, least: int = 75, key: str =
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: words of A-Z lowered text, five to a shingle, 0.75."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+), n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+two AS (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS i, doc_id AS j FROM n UNION SELECT r.i, two.j FROM r JOIN two ON r.j = two.i)
+SELECT n.doc_id, n.n AS n_shingles, m AS component_id, n.doc_id = m AS kept FROM n JOIN (SELECT i, min(j) AS m FROM r GROUP BY 1) c ON c.i = n.doc_id
+"""

@@ -41,4 +41,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat_format.ORACLE, "op7_content_sort": content_sort.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op7_content_sort": content_sort.ORACLE, "op9_minhash_near_dedup": minhash_fss.ORACLE}
