@@ -66,6 +66,14 @@ def cache_marks(blocks: DataFrame, group: str, order: str, chars: str, model: Co
     return blocks.withColumn("prefix", total).withColumn("mark", (F.col("prefix") >= least) & ~last & (F.col(chars) > 0))
 
 
+def lesson_blocks(blocks: DataFrame, model: Column, excerpt: Column) -> DataFrame:
+    """The four blocks of a lesson call (call_id, n from 0, text), each cut at its own ceiling, with cache marks by the
+    characters so far: what all lessons share, what a domain shares, the excerpt, the prompt."""
+    ceiling = F.when(F.col("n") == 0, GLOBAL_CHARS).when(F.col("n") == 1, DOMAIN_CHARS).when(F.col("n") == 2, excerpt).otherwise(TEMPLATE_CHARS)
+    cut = blocks.withColumn("chars", F.least(F.char_length("text"), ceiling).cast("long")).withColumn("model", model)
+    return cache_marks(cut, "call_id", "n", "chars", F.col("model"))
+
+
 def fix_course_size(text: Column, n: int) -> Column:
     """The first order for a number of concepts rewritten, or an order added."""
     return F.when(text.rlike(COURSE_SIZE), F.regexp_replace(text, COURSE_SIZE + r"(.*)$", rf"$1Identify exactly {n} core concepts$2")).otherwise(F.concat(text, F.lit(f"\n\nIMPORTANT: return exactly {n} concepts, no more and no fewer.")))

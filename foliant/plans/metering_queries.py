@@ -64,6 +64,11 @@ def cache_marks(spark, sf_dir):
     return M.cache_marks(rows, "conv_id", "turn", "chars", F.col("model")).select("conv_id", "turn", "prefix", "mark")
 
 
+def lesson_blocks(spark, sf_dir):
+    rows = turns(spark, sf_dir).filter("turn < 4").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("n"), F.repeat("text", 12).alias("text"))
+    return M.lesson_blocks(rows, F.lit("medium"), F.lit(2400)).select("call_id", "n", "chars", "prefix", "mark")
+
+
 def course_size(spark, sf_dir):
     return PROMPTS.df(spark).select("id", M.fix_course_size(F.col("text"), 8).alias("text"))
 
@@ -121,7 +126,7 @@ def report_queue_top5(spark, sf_dir):
 QUERIES = {
     k.__name__: k
     for k in (
-        tier_dim_join, classify_calls, entitlement_gate, request_validation, content_check, clamp_running_budget, cache_marks, course_size, usage_totals, stream_meter, usage_rollup, usage_upsert,
+        tier_dim_join, classify_calls, entitlement_gate, request_validation, content_check, clamp_running_budget, cache_marks, lesson_blocks, course_size, usage_totals, stream_meter, usage_rollup, usage_upsert,
         quota_daily, quota_monthly, rls_secure_view, account_delete, sse_frames, report_queue_top5,
     )
 }
@@ -134,6 +139,7 @@ ORACLE = {
     "content_check": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'hello'), (1, 2, 'a|b'), (2, 1, 'x'), (7, 2, 't|u')) v(id, n, texts)",
     "clamp_running_budget": "SELECT conv_id, turn, CAST(kept AS BIGINT) AS kept, CAST(greatest(0, 1500 - b - kept) AS BIGINT) AS \"left\" FROM (SELECT conv_id, turn, b, least(n, greatest(0, 1500 - b)) AS kept FROM (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations))",
     "cache_marks": "SELECT conv_id, turn, CAST(prefix AS BIGINT) AS prefix, prefix >= CASE conv_id % 3 WHEN 0 THEN 16384 WHEN 1 THEN 4096 ELSE 2048 END AND nxt IS NOT NULL AND n > 0 AS mark FROM (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER w AS prefix, lead(turn) OVER w AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))",
+    "lesson_blocks": "SELECT call_id, n, chars, CAST(prefix AS BIGINT) AS prefix, prefix >= 4096 AND nxt IS NOT NULL AND chars > 0 AS mark FROM (SELECT *, sum(chars) OVER w AS prefix, lead(n) OVER w AS nxt FROM (SELECT conv_id AS call_id, turn AS n, least(length(text) * 12, CASE turn WHEN 0 THEN 8000 WHEN 1 THEN 3000 WHEN 2 THEN 2400 ELSE 13000 END) AS chars FROM conversations WHERE turn < 4) WINDOW w AS (PARTITION BY call_id ORDER BY n))",
     "course_size": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'Plan. Identify exactly 8 core concepts. Identify 3 core concepts.'), (1, 'Identify exactly 8 core concepts now'), (2, 'Nothing to see' || chr(10) || chr(10) || 'IMPORTANT: return exactly 8 concepts, no more and no fewer.')) v(id, text)",
     "usage_totals": f"SELECT stream_id, seq, coalesce(input, 0) + coalesce(cache_write, 0) + coalesce(cache_read, 0) AS total_read, coalesce(cache_read, 0) > 0 AS hit FROM {USAGE.sql}",
     "stream_meter": f"SELECT stream_id, coalesce(max(input), 0) AS input, coalesce(max(cache_write), 0) AS cache_write, coalesce(max(cache_read), 0) AS cache_read, coalesce(arg_max(output, seq) FILTER (output IS NOT NULL), 0) AS output FROM {USAGE.sql} GROUP BY 1",

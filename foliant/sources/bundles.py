@@ -100,3 +100,11 @@ def page_range(value: Column) -> Column:
     first = F.try_to_number(F.nullif(F.regexp_extract(value, r"^\s*([0-9]+)", 1), F.lit("")), F.lit("999999999")).cast("long")
     last = F.nullif(F.regexp_extract(value, r"-\s*([0-9]+)\s*$", 1), F.lit("")).cast("long")
     return F.struct(F.coalesce(first, F.lit(1)).alias("first"), F.when(value.contains("-"), last).otherwise(first).alias("last"))
+
+
+def write_outputs(rows: DataFrame, folder: str) -> None:
+    """Writes doc, markdown, manifest as Markdown, JSON and bundles below `folder`, by document."""
+    by_doc = rows.withColumn("part", F.col("doc"))
+    by_doc.select("part", F.col("markdown").alias("value")).write.partitionBy("part").text(f"{folder}/markdown", lineSep="\n")
+    by_doc.select("part", F.col("manifest").alias("value")).write.partitionBy("part").text(f"{folder}/manifest")
+    by_doc.select("part", bundle(F.col("markdown"), F.col("manifest")).alias("value")).write.partitionBy("part").text(f"{folder}/bundle")
