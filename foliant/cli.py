@@ -23,7 +23,7 @@ def lines_of(spark: SparkSession, path: str, first: int = 1, last: int | None =
     pages = spark.read.format("page_text").option("path", path).load().filter(F.col("page") >= first)
     if last is not None:
         pages = pages.filter(F.col("page") <= last)
-    rows = T.lines(pages.withColumn("book", F.lit(os.path.basename(path))), "page").select("book", "page", "pos", "line")
+    rows = T.lines(pages.withColumn("book", F.lit(os.path.basename(path))), "page").select("book", "page", "pos", "line").cache()  # one book, read once
     rows = cleaning.drop_furniture(rows).filter(~T.is_page_number(F.col("line")) & ~T.is_decoration(F.col("line")))
     return rows.join(cleaning.contents_pages(rows).select("book", "page"), ["book", "page"], "left_anti")
 

@@ -59,7 +59,7 @@ class PageTextReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if f.attribute == ("page",) if hasattr(f, "attribute") else False:
+            if getattr(f, "attribute", None) == ("page",):
                 if isinstance(f, EqualTo):
                     self.first, self.last = max(self.first, f.value), f.value if self.last is None else min(self.last, f.value)
                     continue
@@ -92,6 +92,7 @@ class PageTextReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PageTextSource)
 
 
