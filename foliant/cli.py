@@ -25,11 +25,12 @@ def lines_of(spark: SparkSession, path: str, first: int = 1, last: int | None =
         pages = pages.filter(F.col("page") <= last)
     rows = T.lines(pages.withColumn("book", F.lit(os.path.basename(path))), "page").select("book", "page", "pos", "line").cache()  # one book, read once
     rows = cleaning.drop_furniture(rows).filter(~T.is_page_number(F.col("line")) & ~T.is_decoration(F.col("line")))
-    return rows.join(cleaning.contents_pages(rows).select("book", "page"), ["book", "page"], "left_anti")
+    return rows.join(cleaning.contents_pages(rows).select("book", "page"), ["book", "page"], "left_anti").cache()
 
 
 def chapters_of(lines: DataFrame) -> DataFrame:
-    found = structure.deduped(structure.with_fallback(structure.without_contents(structure.headings(lines), lines), lines))
+    found = structure.without_contents(structure.headings(lines), lines).cache()
+    found = structure.deduped(structure.with_fallback(found, lines)).cache()
     spans = structure.spans(found, lines.groupBy("book").agg(F.max("page").alias("last")))
     return spans.join(found.select("book", "page", "pos", "number"), ["book", "page", "pos"])
 

@@ -1,8 +1,5 @@
-"""Whole ways through: digests, outputs, the command line."""
+"""Whole ways through: digests and outputs."""
 
-from pyspark.sql import functions as F
-
-from foliant import cli
 from foliant.operators import blocks, digest
 from foliant.plans import layout_queries as L
 from foliant.sources import bundles
@@ -43,24 +40,3 @@ def test_outputs_are_written_and_read_again(spark, tmp_path):
     assert back.filter("code is null").count() == 4
     want = {r.doc: r.markdown for r in both.collect()}
     assert {r.part: r.markdown for r in back.collect()} == want
-
-
-BOOK = "\f".join(
-    ["A Running Head\nChapter 1: Light\nLight is a wave and a particle of energy.\nIt travels fast through empty space.\n1", "A Running Head\nMore about light and colour here.\nPrisms part colours of light.\n2", "A Running Head\nChapter 2: Sound\nSound needs air or water to travel.\nEchoes come back from walls.\n3", "A Running Head\nChapter 3: Heat\nHeat moves from warm to cold.\nMetals lead heat well.\n4"]
-)
-
-
-def test_command_line(spark, tmp_path, capsys):
-    book = tmp_path / "book.txt"
-    book.write_text(BOOK)
-    assert cli.main(["index", str(book)]) == 0
-    out = capsys.readouterr().out
-    assert "Chapter 1: Light" in out and "pages 1-2" in out and "Running" not in out
-    assert cli.main(["context", str(book), "--query", "echoes of sound"]) == 0
-    out = capsys.readouterr().out
-    assert "Echoes" in out and "Metals" not in out
-    assert cli.main(["text", str(book), "--chapter", "2"]) == 0
-    assert "Sound needs air" in capsys.readouterr().out
-    assert cli.main(["text", str(book), "--chapter", "nowhere"]) == 2
-    assert cli.main(["index", str(tmp_path / "none.txt")]) == 1
-    assert spark.range(1).select(F.lit(1)).count() == 1
