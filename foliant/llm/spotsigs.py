@@ -2,8 +2,9 @@
 
 A spot is a common word (in the languages of ANCHORS) or the start of the text; its signature is the chain of the next
 CHAIN content words (a shorter chain at the end of the text is none, unless the text has no full chain at all: then all
-its content words, or all its words, are the one signature).  A fingerprint is the sorted set of the signatures' 48-bit
-hashes, 12 hexadecimal digits each.  The likeness of two fingerprints is their Jaccard similarity; where a threshold is
+its content words, or all its words, are the one signature).  Where fewer than one chain in SPARSE content words follows a
+common word (other languages, tables, code), every content word is a spot, so that the signatures cover the whole text.
+A fingerprint is the sorted set of the signatures' 48-bit hashes, 12 hexadecimal digits each.  The likeness of two fingerprints is their Jaccard similarity; where a threshold is
 given, pairs whose set lengths alone rule it out are pruned.
 
 `near_pairs` joins a whole table: equal fingerprints are one class; classes are partitioned by set length so that only
@@ -32,6 +33,8 @@ ANCHORS = (
     "al con como del el ella ellos esta este fue ha las lo los más no para pero por su sus una y"
 ).split()
 CHAIN = 2
+#: Content words for each chain after a common word, above which all chains of the text are taken.
+SPARSE = 20
 DIGITS = 12
 
 
@@ -43,16 +46,29 @@ def _one_of(words: list[str]) -> str:
     return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted set of the signatures' hashes, as an array of longs below 2^48."""
     # one blank around each word; markers stand for common words and for the start
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     marked = F.regexp_replace(F.concat(F.lit(" # "), words, F.lit(" ")), rf"(?<= )(?:{_one_of(ANCHORS)})(?= )", "#")
     word = "[^# ]++"
-    spots = F.regexp_extract_all(marked, F.lit(f"#(?=[# ]++({word}{f'[# ]++{word}' * (chain - 1)}) )"), F.lit(1))
-    content = F.trim(F.regexp_replace(marked, "[# ]+", " "))
-    rest = F.when(content != "", content).otherwise(F.trim(words))
-    spots = F.when(F.size(spots) > 0, spots).when(rest != "", F.array(rest)).otherwise(F.array().cast("array<string>"))
+
+    def chosen(m, spots):
+        # one of the spots is the start
+        n_words = F.length(F.trim(m)) - F.length(F.translate(m, " ", "")) + 1 - (F.length(m) - F.length(F.translate(m, "#", "")))
+        content = F.trim(F.regexp_replace(m, "[# ]+", " "))
+        every = F.regexp_extract_all(F.concat(F.lit(" "), content, F.lit(" ")), F.lit(f" (?=({word}{f' {word}' * (chain - 1)}) )"), F.lit(1))
+        rest = F.when(content != "", content).otherwise(words)
+        full = F.when((F.size(spots) - 1) * SPARSE < n_words, every).otherwise(spots)
+        return F.when(F.size(spots) > 0, full).when(rest != "", F.array(rest)).otherwise(F.array().cast("array<string>"))
+
+    spotted = lambda m: F.regexp_extract_all(m, F.lit(f"#(?=[# ]++({word}{f'[# ]++{word}' * (chain - 1)}) )"), F.lit(1))
+    spots = _bound(marked, lambda m: _bound(spotted(m), lambda x: chosen(m, x)))
     code = lambda x: F.xxhash64(F.regexp_replace(x, "[# ]+", " ")).bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))
     return F.array_sort(F.array_distinct(F.transform(spots, code)))
 
