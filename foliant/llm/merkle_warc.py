@@ -1,26 +1,33 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-The records of an archive are numbered in order (by range partitions and their counts, so no task sees all of them) and
-cut into files of RECORDS records.  A leaf is the SHA-256 of a record's bytes; a node that of its up to FANOUT
-children's digests in order, and covers their range of offsets.  Files have trees, and the file roots have one, up to
-the root of the archive.  An audit places the other replica's records at the positions of the first replica's index,
-compares the roots, and goes down, level by level, only below nodes that differ: at each level the nodes that are
-compared are the children of those that differed.
-
-Edge cases: null identifiers, addresses and bodies are kept apart as nulls in the order and count as empty in the
-record; rows that repeat in full are one record with a copy count, which its digest covers; records that share an
-identifier and address are told apart by their digest order; an archive without records has no root and its audit no
-rows; further columns are ignored.
+A replica keeps its records in the order of their SHA-256, as content-addressed stores do; so both replicas cut their
+archives into the same ranges without asking each other.  The digest's leading bits say where a record stands: the first
+few are its file (of at most about RECORDS records), the next ones the branches inside the file.  Each replica's tree is
+built on its own and written level by level: the lowest nodes cover a few records, every other one up to 2^BITS nodes.
+A node's digest covers, for each child in order, its range of offsets from the node's start and its digest.  An audit
+compares the roots and goes down: at each level only the children of nodes that differed are read and compared, and only
+the records of the lowest nodes that differ are held against each other.  Changed, missing and extra records all come out
+of the descent.  No key gathers rows: equal rows are counted before they move, and other records spread by their digest.
+
+Edge cases: null identifiers, addresses and bodies count as empty in the record, and are kept apart as nulls; rows that
+repeat in full are one record with a copy count, which its digest covers; several records of one identifier and address
+that differ are paired by their digests' order; replicas without records have no root and no differences, and against an
+empty replica every record is missing or extra; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, table
 
-RECORDS, FANOUT = 1024, 16
+#: Records of a file at most, about; bits of the digest for each level (2^BITS children).
+RECORDS, BITS = 1024, 4
+#: Bits of a digest that place a record.
+PLACE = 60
 CRLF = "\r\n"
 
 
@@ -35,88 +42,88 @@ def record(page_id, url, body):
 
 
 def leaves(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """key, url, nth, length, digest: a row for each distinct record; only digests are shuffled."""
+    """page_id, url, length, digest (binary), place: a row for each distinct record; only digests are shuffled."""
     text = record(F.col(key), F.col(url), F.col(body))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("bytes_sha"))
-    rows = rows.groupBy("page_id", "url", "length", "bytes_sha").agg(F.count("*").alias("copies"))
-    digest = F.when(F.col("copies") == 1, F.col("bytes_sha")).otherwise(F.sha2(F.concat("bytes_sha", F.lit("x"), F.col("copies").cast("string")), 256))
-    nth = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("bytes_sha"))
-    return rows.select("page_id", "url", nth.cast("long").alias("nth"), "length", digest.alias("digest"))
-
-
-def index(rows: DataFrame) -> DataFrame:
-    """`rows` with file, pos (in the file) and offset."""
-    n = max(2, partitions(rows.sparkSession))
-    ordered = rows.repartitionByRange(n, "page_id", "url", "nth").sortWithinPartitions("page_id", "url", "nth")
-    numbered = cut(ordered.withColumn("_id", F.monotonically_increasing_id()))
-    task, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = numbered.withColumn("_task", task).withColumn("_local", local)
-    counts = numbered.groupBy("_task").agg(F.count("*").alias("_n"))  # a row a partition
-    before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
-    out = numbered.join(F.broadcast(before), "_task").withColumn("seq", F.col("_before") + F.col("_local"))
-    out = out.withColumn("file", F.floor(F.col("seq") / RECORDS)).withColumn("pos", F.col("seq") % RECORDS)
-    own = Window.partitionBy("file").orderBy("pos")  # RECORDS rows
-    return out.withColumn("offset", F.sum("length").over(own) - F.col("length")).drop("_id", "_task", "_local", "_before", "seq")
-
-
-def above(nodes: DataFrame, group: list[str], at: str) -> DataFrame:
-    """The level above: `group`, `at` (divided by FANOUT), digest, first, end."""
-    children = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.coalesce("digest", F.lit("missing")).alias("digest"))))  # FANOUT rows
-    nodes = nodes.withColumn("_parent", F.floor(F.col(at) / FANOUT))
-    digest = F.sha2(F.concat(F.lit("node:"), F.array_join(F.transform(children, lambda c: c["digest"]), "")), 256)
-    return nodes.groupBy(*group, "_parent").agg(digest.alias("digest"), F.min("first").alias("first"), F.max("end").alias("end")).withColumnRenamed("_parent", at)
-
-
-def tree(placed: DataFrame, files: int) -> list[DataFrame]:
-    """The levels of the tree from the leaves to the root.  Levels of a file have (file, pos), those above (file)."""
-    levels = [placed.select("file", "pos", "digest", F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"))]
-    size = RECORDS
-    while size > 1:
-        levels.append(above(levels[-1], ["file"], "pos"))
-        size = -(-size // FANOUT)
-    roots = levels[-1].select("file", "digest", "first", "end")
-    while files > 1:
-        roots = above(roots, [], "file")
-        levels.append(roots)
-        files = -(-files // FANOUT)
-    return levels
-
-
-def below(nodes: DataFrame, differ: DataFrame) -> DataFrame:
-    """The nodes whose parents differ."""
-    if "pos" in differ.columns:
-        parent = {"file": F.col("file"), "pos": F.floor(F.col("pos") / FANOUT)}
-    else:  # within the archive's tree, and from there to the roots of files
-        parent = {"file": F.floor(F.col("file") / FANOUT)}
-    wanted = differ.select(*(F.col(k).alias(f"_{k}") for k in parent))
-    return nodes.select("*", *(v.alias(f"_{k}") for k, v in parent.items())).join(wanted, [f"_{k}" for k in parent], "left_semi").select(*nodes.columns)
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.octet_length(text).cast("long").alias("length"), F.unhex(F.sha2(text, 256)).alias("_sha"))
+    rows = rows.groupBy("page_id", "url", "length", "_sha").agg(F.count("*").alias("_copies"))
+    several = F.unhex(F.sha2(F.concat(F.hex("_sha"), F.lit("x"), F.col("_copies").cast("string")), 256))
+    digest = F.when(F.col("_copies") == 1, F.col("_sha")).otherwise(several)
+    place = F.conv(F.left(F.hex(digest), F.lit(PLACE // 4)), 16, 10).cast("long")
+    return rows.select("page_id", "url", "length", digest.alias("digest"), place.alias("place"))
 
 
-def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """kind (changed, missing or extra), file, pos, offset, length, page_id, url, expected, found: a row for each record
-    on which the replicas differ.  Both frames are those of `leaves`."""
-    own = ["page_id", "url", "nth"]
-    placed = cut(index(first))
-    other = second.select(*own, F.col("length").alias("_length"), F.col("digest").alias("_digest"))
-    same = [placed[c].eqNullSafe(other[c]) for c in own]
-    there = placed.join(other, same[0] & same[1] & same[2], "left").select(placed["file"], placed["pos"], placed["offset"], placed["length"], other["_digest"].alias("digest"))
-    there = cut(there)
-    files = (placed.agg(F.max("file")).first()[0] or 0) + 1
-    ours, theirs = tree(placed, files), tree(there, files)
+def prefix(bits: int, of: int = PLACE, col: str = "place"):
+    """The first `bits` of the `of` bits of `col`."""
+    return F.shiftright(col, of - bits)
+
+
+def covered(nodes: DataFrame, above, col: str) -> DataFrame:
+    """The nodes above: node, length, digest.  A few rows fall to one; each has length, digest and its place `col`."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(col).alias("at"), "digest", "length")))
+    before = lambda p, k: F.aggregate(F.slice(p, 1, k), F.lit(0).cast("long"), lambda n, c: n + c["length"])
+    grouped = nodes.groupBy(above.alias("node")).agg(parts.alias("_p"), F.sum("length").alias("length"))
+    said = F.transform("_p", lambda c, k: F.concat_ws(" ", c["at"].cast("string"), before(F.col("_p"), k).cast("string"), c["length"].cast("string"), F.hex(c["digest"])))
+    return grouped.select("node", "length", F.unhex(F.sha2(F.concat_ws("\n", said), 256)).alias("digest"))
+
+
+def tree(records: DataFrame, depth: int) -> list[DataFrame]:
+    """The levels of a replica's tree, the root's first, each written before the next is built on it."""
+    levels = [cut(covered(records, prefix(BITS * depth), "place"))]
+    for _ in range(depth):
+        levels.append(cut(covered(levels[-1], F.shiftright("node", BITS), "node")))
+    return levels[::-1]
+
+
+def depths(records: int) -> tuple[int, int]:
+    """Levels from the root down to the files, and down to the lowest nodes."""
+    files = max(0, math.ceil(math.log2(max(1, records / RECORDS)) / BITS))
+    return files, files + max(1, math.ceil(math.log2(max(2, RECORDS // 4)) / BITS))
+
+
+def descend(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame | None:
+    """The lowest nodes on which the trees differ, None if the roots are equal."""
     differ = None
-    for mine, yours in zip(reversed(ours), reversed(theirs), strict=True):
-        on = [c for c in ("file", "pos") if c in mine.columns]
+    for a, b in zip(ours, theirs, strict=True):
         if differ is not None:
-            mine, yours = below(mine, differ), below(yours, differ)
-        pair = mine.join(yours.select(*on, F.col("digest").alias("found")), on)
-        differ = pair.filter(~F.col("digest").eqNullSafe(F.col("found"))).select(*on, "found")
-    bad = placed.join(differ, ["file", "pos"]).select(
-        F.when(F.col("found").isNull(), "missing").otherwise("changed").alias("kind"), "file", "pos", "offset", "length", "page_id", "url", F.col("digest").alias("expected"), "found"
-    )
-    extra = other.join(placed, same[0] & same[1] & same[2], "left_anti").select(
-        F.lit("extra").alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("file", "pos", "offset")), F.col("_length").alias("length"), "page_id", "url", F.lit(None).cast("string").alias("expected"), F.col("_digest").alias("found")
-    )
-    return bad.unionByName(extra)
+            a, b = (x.join(differ, F.shiftright(x["node"], BITS) == differ["_above"], "left_semi") for x in (a, b))
+        pair = a.select("node", F.col("digest").alias("_a")).join(b.select("node", F.col("digest").alias("_b")), "node", "full")
+        differ = cut(pair.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(F.col("node").alias("_above")))
+        if differ.isEmpty():
+            return None
+    return differ
+
+
+def located(records: DataFrame, lowest: DataFrame, depth: int, files: int) -> DataFrame:
+    """The records of the `lowest` nodes, with file, pos (in the file) and offset."""
+    whole = lowest.select(F.shiftright("_above", BITS * (depth - files)).alias("_f")).distinct()
+    rows = records.withColumn("file", prefix(BITS * files))
+    rows = rows.join(whole, rows["file"] == whole["_f"], "left_semi")
+    own = Window.partitionBy("file").orderBy("place", "digest", "page_id", "url")  # about RECORDS rows
+    rows = rows.withColumn("pos", F.row_number().over(own).cast("long") - 1).withColumn("offset", F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    return rows.join(lowest, prefix(BITS * depth) == lowest["_above"], "left_semi")
+
+
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+    """kind (changed, missing or extra), file, pos, offset, length, page_id, url, expected, found: a row for each record
+    on which the replicas differ; places are those of the first replica, of extra records those of the second.  Both
+    frames are those of `leaves`."""
+    first, second = cut(first), cut(second)
+    files, depth = depths(max(first.count(), second.count()))
+    lowest = descend(tree(first, depth), tree(second, depth))
+    if lowest is None:
+        lowest = first.select(F.col("place").alias("_above")).limit(0)
+    same = ["page_id", "url", "length", "digest", "file"]
+    ours, theirs = located(first, lowest, depth, files), located(second, lowest, depth, files)
+    both = ours.withColumn("_side", F.lit(1)).unionByName(theirs.withColumn("_side", F.lit(2)))
+    alone = both.groupBy(*same).agg(F.sum("_side").alias("_side"), F.max("pos").alias("pos"), F.max("offset").alias("offset")).filter("_side < 3")
+    nth = F.row_number().over(Window.partitionBy("page_id", "url", "_side").orderBy("digest", "file"))
+    one = alone.withColumn("_nth", nth)
+    of = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    pairs = one.groupBy("page_id", "url", "_nth").agg(*(of(s, c).alias(f"{c}_{s}") for s in (1, 2) for c in ("file", "pos", "offset", "length", "digest")))
+    there = F.col("digest_1").isNotNull()
+    kind = F.when(there & F.col("digest_2").isNotNull(), "changed").when(there, "missing").otherwise("extra")
+    place = (F.when(there, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(c) for c in ("file", "pos", "offset", "length"))
+    return pairs.select(kind.alias("kind"), *place, "page_id", "url", F.lower(F.hex("digest_1")).alias("expected"), F.lower(F.hex("digest_2")).alias("found"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -135,4 +142,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     out = audit(leaves(pages), leaves(damaged(pages)))
     return out.select("kind", "file", "pos", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), "page_id", "url", "expected", "found")
-

@@ -356,11 +356,42 @@ def test_audit_finds_the_damage(spark, sf):
 
 def test_audit_over_several_levels(spark, monkeypatch):
     monkeypatch.setattr(merkle_warc, "RECORDS", 8)
-    monkeypatch.setattr(merkle_warc, "FANOUT", 2)
+    monkeypatch.setattr(merkle_warc, "BITS", 1)
+    page = lambda k: (k, f"u{k}", f"body {k}", "x", 1, 2)
+    schema = "page_id long, url string, html string, digest string, place int, node int"  # names of the operator's own
+    odd = [(None, None, None, None, None, None), page(7)]
+    first = spark.createDataFrame([page(k) for k in range(100)] + odd, schema)
+    rot = lambda k: (*page(k)[:2], "rot", *page(k)[3:])
+    second = spark.createDataFrame([rot(k) if k in (13, 77) else page(k) for k in (*range(50), *range(51, 100), *range(200, 230))] + odd, schema)
+    a, b = merkle_warc.leaves(first), merkle_warc.leaves(second)
+    assert merkle_warc.depths(131) == (5, 6)
+    rows = merkle_warc.audit(a, b).collect()
+    assert {(r.kind, r.page_id) for r in rows} == {("changed", 13), ("changed", 77), ("missing", 50), *(("extra", k) for k in range(200, 230))} and len(rows) == 33
+    # places are those of the replica's own order
+    own = sorted((bytes(r.digest), r.page_id, r.length) for r in a.collect())
+    for r in rows:
+        if r.kind != "extra":
+            file = [x for x in own if x[0][0] >> 3 == r.file]
+            assert file[r.pos][1] == r.page_id and r.offset == sum(x[2] for x in file[: r.pos]) and r.expected == file[r.pos][0].hex()
+    assert {(r.kind, r.page_id) for r in merkle_warc.audit(b, a).collect()} == {("changed", 13), ("changed", 77), ("extra", 50), *(("missing", k) for k in range(200, 230))}
+    assert merkle_warc.audit(a, a).count() == 0
+    assert merkle_warc.audit(a.limit(0), a.limit(0)).count() == 0
+    assert {r.kind for r in merkle_warc.audit(a, a.limit(0)).collect()} == {"missing"} and merkle_warc.audit(a.limit(0), a).count() == 101
+
+
+def test_the_audit_reads_only_below_nodes_that_differ(spark):
     page = lambda k: (k, f"u{k}", f"body {k}")
-    first = spark.createDataFrame([page(k) for k in range(100)] + [(None, None, None), (7, "u7", "body 7")], "page_id long, url string, html string")
-    second = spark.createDataFrame([page(k) if k not in (13, 77) else (k, f"u{k}", "rot") for k in range(100) if k != 50] + [(None, None, None), (7, "u7", "body 7")], "page_id long, url string, html string")
-    got = {(r.kind, r.page_id) for r in merkle_warc.audit(merkle_warc.leaves(first), merkle_warc.leaves(second)).collect()}
-    assert got == {("changed", 13), ("changed", 77), ("missing", 50)}
-    assert merkle_warc.audit(merkle_warc.leaves(first), merkle_warc.leaves(first)).count() == 0
-    assert merkle_warc.audit(merkle_warc.leaves(first.limit(0)), merkle_warc.leaves(first.limit(0))).count() == 0
+    first = merkle_warc.leaves(spark.createDataFrame([page(k) for k in range(600)], "page_id long, url string, html string"))
+    second = merkle_warc.leaves(spark.createDataFrame([page(k) if k != 9 else (9, "u9", "rot") for k in range(600)], "page_id long, url string, html string"))
+    ours, theirs = merkle_warc.tree(first, 2), merkle_warc.tree(second, 2)
+    assert [x.count() for x in ours][:2] == [1, 16]
+    assert merkle_warc.descend(ours, theirs).count() == 2  # where the old record was, and where the new one is
+    assert merkle_warc.descend(ours, ours) is None
+
+
+def test_records_with_one_identifier(spark):
+    rows = [(1, "u", f"body {k}") for k in range(40)] + [(1, "u", "body 0")] * 3
+    first = merkle_warc.leaves(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    second = merkle_warc.leaves(spark.createDataFrame(rows[1:], "page_id long, url string, html string"))
+    got = merkle_warc.audit(first, second).collect()
+    assert [(r.kind, r.page_id) for r in got] == [("changed", 1)]  # a copy less of the record that repeats
