@@ -31,6 +31,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 ASCII_PIECES = r"""'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 #: Code points that are split into pieces at once.
 SEGMENT = 1 << 18
+#: Code points of the longest contraction, which decide what a piece is.
+LONGEST = 3
 #: Bytes added to the lookahead before the window is merged.
 BLOCK = 1024
 #: Ids decoded at once.
@@ -68,26 +70,27 @@ class Encoder:
         yield from self.table.merge(self.table.symbols(held))
 
     def pieces(self, text: str) -> Iterator[list[str]]:
-        """The pieces in lists; a long text goes segment by segment, its last piece waits for what follows."""
+        """The pieces in lists; a long text goes segment by segment.
+
+        A piece is certain if it ends before the segment does, and if the LONGEST code points from its start, as many as
+        an alternative of the pattern looks at beyond a run, are in the segment.  What follows the last certain piece
+        waits for the next segment.
+        """
         if len(text) <= SEGMENT:
             yield self.ascii.findall(text) if text.isascii() else self.split.findall(text)
             return
         at, step = 0, SEGMENT
         while at < len(text):
             end = min(len(text), at + step)
-            found = self.split.findall(text, at, end)
+            found, ahead = self.split.findall(text, at, end), end
             if end < len(text):
-                at_next = end - len(found[-1]) if found else end
-                if at_next <= at:  # one piece fills the segment
+                while found and (ahead == end or ahead - len(found[-1]) > end - LONGEST):
+                    ahead -= len(found.pop())
+                if not found:  # one piece fills the segment
                     step *= 2
                     continue
-                found.pop()
-                if not found[-1].strip() and at_next > at + len(found[-1]):  # a space may join what follows
-                    at_next -= len(found.pop())
-            else:
-                at_next = end
             yield found
-            at, step = at_next, SEGMENT
+            at, step = ahead, SEGMENT
 
     def encode(self, text: str) -> bytes:
         out = []

@@ -42,6 +42,18 @@ def test_long_pieces_and_special_strings(text):
     assert COUNTER.count(text) == len(WORD_LIB.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("middle", ["'re go on", "'ll x", "'ve", " 're", "  're", "\n\n y", "   y", "e\u0301 'd", "!'s", "''ll", "a'b", "1's", "\u3000\u3000x"])
+def test_what_stands_on_the_seam_of_segments(middle, monkeypatch):
+    monkeypatch.setattr(bpe_transducer, "SEGMENT", 64)
+    for before in ("x y ", "word", "'", " ", "\u00e9t\u00e9 "):
+        for at in range(-8, 9 + len(middle)):
+            text = (before * 64)[: 64 - len(middle) + at] + middle + " tail of the text's own" * 9
+            assert [p for part in ENCODER.pieces(text) for p in part] == (ENCODER.ascii if text.isascii() else ENCODER.split).findall(text)
+    monkeypatch.undo()
+    long = "x y " * 65_535 + "z " + "'re go on"  # 262,142 code points before the contraction
+    assert ids(ENCODER.encode(long)) == BYTE_LIB.encode(long, add_special_tokens=False).ids
+
+
 def test_the_stream_holds_no_more_than_its_window():
     assert ENCODER.table.lookahead < 1000
     text = ("thequick" * 4000).encode()
