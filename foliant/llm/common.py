@@ -20,12 +20,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names.  Where none is set, a local master (tests) gets a folder of its own; a
+    cluster gets an error, as its executors would not see each other's files."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import atexit
+        import shutil
         import tempfile
 
         found = tempfile.mkdtemp(prefix="foliant-ckpt-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found

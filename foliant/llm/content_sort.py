@@ -14,6 +14,7 @@ null identifiers sort first and stay only where a group has no other; further co
 from __future__ import annotations
 
 import hashlib
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +142,13 @@ def exact_groups(df: DataFrame, keep: str = "smallest", key: str = "doc_id", tex
 
 
 def drop_copies(df: DataFrame, keep: str = "smallest", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` that stay, all their columns."""
-    kept = exact_groups(df, keep, key, text).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of `df` that stay, all their columns.
+
+    A row is told by its identifier and its text, so that an identifier that other texts have too brings no copy back.
+    """
+    kept = exact_groups(df, keep, key, text).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    digest = F.sha2(F.translate(text_or_empty(text), ascii_uppercase, ascii_lowercase), 256)
+    return df.join(kept, df[key].cast("long").eqNullSafe(kept["_kept_id"]) & (digest == kept["_kept_sha"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -178,6 +178,18 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Trees(found) if found else None
 
 
+def judged(trees: Trees, texts: list) -> tuple[np.ndarray, ...]:
+    """lang_pred, score, bits and n_bytes of each text."""
+    raw = [(t or "").encode().lower() for t in texts]
+    bits = trees.lengths(raw)
+    best = bits.argmin(1)
+    least = bits[np.arange(len(best)), best]
+    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+    none = np.array([t is None or LETTER.search(t) is None for t in texts], bool)
+    best[none], score[none] = len(trees.langs), 0.0
+    return np.array([*trees.langs, "und"], object)[best], score, least, np.array([len(r) for r in raw], np.int64)
+
+
 def predict(df: DataFrame, trees: Trees | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score, bits (code length of the whole text under lang_pred), n_bytes."""
     spark = df.sparkSession
@@ -188,21 +200,9 @@ def predict(df: DataFrame, trees: Trees | None, key: str = "doc_id", text: str =
     shared = spark.sparkContext.broadcast(trees)  # bounded by the sample, not by the corpus
 
     def run(batches):
-        trees = shared.value
-        names = np.array([*trees.langs, "und"], object)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            raw = [(t or "").encode().lower() for t in texts]
-            bits = trees.lengths(raw)
-            best = bits.argmin(1)
-            least = bits[np.arange(len(best)), best]
-            score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-            none = np.array([t is None or LETTER.search(t) is None for t in texts])
-            best[none], score[none] = len(trees.langs), 0.0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(least), pa.array([len(r) for r in raw], pa.int64())],
-                names=[key, "lang_pred", "score", "bits", "n_bytes"],
-            )
+            names, score, bits, sizes = judged(shared.value, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array(sizes, pa.int64())], names=[key, "lang_pred", "score", "bits", "n_bytes"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, bits double, n_bytes long")
 
@@ -214,14 +214,20 @@ PLAIN_BITS = 8.0
 def accepted(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of `df` whose text is in some language: it has a letter, and some tree codes it in fewer bits than it has.
 
-    Without labelled rows nothing can be judged and all rows with a letter stay.
+    Each row is judged by its own text and goes through whole, without a join.  Without labelled rows nothing can be
+    judged and all rows with a letter stay.
     """
     trees = train(df, key, text, lang)
     if trees is None:
         return df.filter(F.col(text).rlike(r"\p{L}"))
-    verdict = predict(df, trees, key, text)
-    good = verdict.filter((F.col("lang_pred") != "und") & (F.col("bits") <= PLAIN_BITS * F.col("n_bytes"))).select(F.col(key).alias("_good_id")).distinct()
-    return df.join(good, df[key].eqNullSafe(good["_good_id"]), "left_semi")
+    shared, at = df.sparkSession.sparkContext.broadcast(trees), df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            names, _, bits, sizes = judged(shared.value, b.column(at).to_pylist())
+            yield b.filter(pa.array((names != "und") & (bits <= PLAIN_BITS * sizes)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
