@@ -243,40 +243,6 @@ def test_language_model_counts_and_gain(spark, sf):
     assert 1 < hpylm.perplexity(scores, held_out=False) < hpylm.perplexity(scores)
 
 
-def test_reseating_keeps_customers_and_order():
-    r = np.random.default_rng(0)
-    dishes, count = np.array([2, 5, 9]), np.array([4, 2, 7])
-    dish, size = dishes.copy(), count.copy()
-    for _ in range(50):
-        held = {}
-        size = hpylm.reseat(r, dishes, dish, size, count, 0.75, np.array([0.5, 2.0, 1.0]), lambda d, s, held=held: (held.update(dish=d), s)[1])
-        dish = held["dish"]
-        assert (np.sort(dish) == dish).all() and (size > 0).all()
-        assert [int(size[dish == d].sum()) for d in dishes] == count.tolist()
-
-
-@pytest.mark.parametrize("n, weight", [(6, 2.5), (40, 0.3), (300, 2.5), (300, 60.0), (5000, 2.5), (5000, 200.0)])
-def test_the_number_of_tables_is_that_of_the_exact_posterior(n, weight):
-    """p(t tables | n customers) is S(n, t) weight^t with generalised Stirling numbers, where the weight of a new table stays."""
-    d = hpylm.D
-    logs = np.array([-np.inf, 0.0])  # log S(1, t) weight^t, by t
-    for k in range(1, n):
-        t = np.arange(k + 2)
-        stay = np.r_[logs, -np.inf] + np.log(np.maximum(k - d * t, 1e-300))
-        logs = np.logaddexp(stay, np.r_[-np.inf, logs] + math.log(weight))
-    p = np.exp(logs - np.logaddexp.reduce(logs))
-    want = (p * np.arange(len(p))).sum()
-    shard = hpylm.Shard([], 5)
-    shard.context, shard.count, shard.tables = np.arange(500), np.full(500, n), np.ones(500, np.int64)
-    shard.words, shard.word, shard.word_count, shard.root_tables = np.arange(500, dtype=np.uint64), np.arange(500), np.full(500, n), np.ones(500, np.int64)
-    shard.many, shard.full, shard.dish, shard.size = np.arange(500), shard.count, np.arange(500), shard.count.copy()
-    shard.new_weight = lambda k: np.full(k, weight)
-    totals = {"tables": np.bincount(shard.context, minlength=hpylm.CONTEXTS), "customers": np.bincount(shard.context, shard.count, hpylm.CONTEXTS), "types": 500, "tokens": 500 * n}
-    means = [tables.mean() for tables, _ in shard.chain(totals)]
-    assert np.allclose(means, want, rtol=0.06), (means, want)
-    assert shard.size.sum() == 500 * n
-
-
 def test_signatures_cover_texts_without_common_words(spark):
     texts = ["reouti anatha.", "reouti anatha. 19.37.233.111", " ".join(f"w{k}" for k in range(50)), "a " + " ".join(f"w{k}" for k in range(50))]
     signs = [set(r.s) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).collect()]
