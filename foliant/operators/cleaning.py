@@ -28,12 +28,12 @@ def repeated_edges(lines: DataFrame, share: float = 0.35, edge: int = 3, least_p
 
 
 def drop_furniture(lines: DataFrame, share: float = 0.35, edge: int = 3) -> DataFrame:
-    """The lines that are no running head or foot."""
-    marked = lines.withColumn("fp", T.line_fingerprint(F.col("line")))
-    bad = edges(lines, edge).select("book", "page", "pos", T.line_fingerprint(F.col("line")).alias("fp")).join(repeated_edges(lines, share, edge), ["book", "fp"], "left_semi")
-    size = F.char_length("line")
-    bad = bad.join(marked.filter((size >= 4) & (size <= 90)).select("book", "page", "pos"), ["book", "page", "pos"], "left_semi")
-    return lines.join(bad.select("book", "page", "pos"), ["book", "page", "pos"], "left_anti")
+    """The lines that are no running head or foot.  Only edge lines are held against the repeated ones."""
+    page, size = Window.partitionBy("book", "page"), F.char_length("line")
+    placed = lines.withColumn("_nth", F.row_number().over(page.orderBy("pos"))).withColumn("_left", F.count("*").over(page) - F.col("_nth") + 1)
+    tried = ((F.col("_nth") <= edge) | (F.col("_left") <= edge)) & (size >= 4) & (size <= 90)
+    outer = placed.filter(tried).withColumn("fp", T.line_fingerprint(F.col("line"))).join(repeated_edges(lines, share, edge), ["book", "fp"], "left_anti")
+    return placed.filter(~tried).select(*lines.columns).unionByName(outer.select(*lines.columns))
 
 
 def contents_pages(lines: DataFrame, least: int = 4, rows: int = 3, share: float = 0.4) -> DataFrame:

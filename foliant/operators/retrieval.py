@@ -1,65 +1,87 @@
-"""Budgeted TF-IDF retrieval over passages."""
+"""Budgeted TF-IDF retrieval over passages.
+
+A passage is a chunk of whole sentences of one text (`passages`: doc_id, pos, text and whatever else the texts have).
+Retrieval can be confined to a scope, such as a chapter or a source: then words are counted within it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 FLOOR = 0.55
+#: The share of the room left that a passage cut back to a sentence's end must fill.
+LEAST_SHARE = 0.4
+ENDERS = ".!?׃。"
+
+
+def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts' chunks, white space as single spaces: doc_id, pos, text, and the other columns."""
+    rest = [c for c in docs.columns if c not in (doc, text)]
+    rows = docs.select(F.col(doc).alias("doc_id"), *rest, T.clean(F.col(text)).alias("_t")).filter("_t <> ''")
+    rows = rows.select("doc_id", *rest, F.posexplode(T.pack_sentences(F.col("_t"))).alias("pos", "text"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
 
+def each_word(rows: DataFrame, text: str, *keep: str | Column) -> DataFrame:
+    """`keep` and word: a row for each word that counts."""
+    every = rows.select(*keep, F.explode(F.split(F.lower(F.col(text)), T.WORD_SPLIT)).alias("word"))
+    return every.filter((F.char_length("word") > 2) & ~F.col("word").isin(T.STOPWORDS))
 
-def query_words(queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """query_id, word, times: repeats count."""
-    rows = queries.select(F.col(key).alias("query_id"), F.explode(T.words(F.col(text))).alias("word"))
-    return rows.groupBy("query_id", "word").agg(F.count("*").alias("times"))
 
+def query_words(queries: DataFrame, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, scope, word, times: repeats count."""
+    return each_word(queries, text, F.col(key).alias("query_id"), *scope).groupBy("query_id", *scope, "word").agg(F.count("*").alias("times"))
 
-def postings(passages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, pos, word, tf for the wanted words alone; each passage counts its own words before anything moves."""
-    rows = passages.select("doc_id", "pos", F.explode(T.words(F.col("line"))).alias("word"))
-    rows = rows.join(wanted.select("word").distinct(), "word", "left_semi")
-    return rows.groupBy("doc_id", "pos", "word").agg(F.count("*").alias("tf"))
 
+def postings(rows: DataFrame, wanted: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope, doc_id, pos, word, tf for the wanted words alone; each passage counts its own words before anything moves."""
+    found = each_word(rows, "text", "doc_id", "pos", *scope).join(wanted.select(*scope, "word").distinct(), [*scope, "word"], "left_semi")
+    return found.groupBy(*scope, "doc_id", "pos", "word").agg(F.count("*").alias("tf"))
 
-def score(passages: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+
+def score(rows: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
     """query_id, doc_id, pos, score (rounded to 6): the sum over a query's words, repeats included, of
-    (1 + ln tf) * ln(1 + N / df); passages with a score above 0."""
-    asked = query_words(queries, key, text)
-    tf = postings(passages, asked)
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    n = passages.agg(F.count("*").alias("n"))
-    weight = df.join(F.broadcast(n)).select("word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # n: one row
-    hits = tf.join(asked.join(weight, "word"), "word")
+    (1 + ln tf) * ln(1 + N / df); passages with a score above 0.  N and df count passages, of the query's scope."""
+    asked = query_words(queries, key, text, scope)
+    tf = postings(rows, asked, scope)
+    df = tf.groupBy(*scope, "word").agg(F.count("*").alias("df"))
+    n = rows.groupBy(*scope).agg(F.count("*").alias("n"))
+    weight = (df.join(n, list(scope)) if scope else df.join(F.broadcast(n))).select(*scope, "word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # without a scope n is one row
+    hits = tf.join(asked.join(weight, [*scope, "word"]), [*scope, "word"])
     total = F.sum(F.col("times") * (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     return hits.groupBy("query_id", "doc_id", "pos").agg(F.round(total, 6).alias("score")).filter("score > 0")
 
 
-def above_floor(scored: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """Passages with at least `floor` of their query's best score."""
-    best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
-    return scored.join(best, "query_id").filter(F.col("score") >= floor * F.col("best"))
+def ranked(scored: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """query_id, doc_id, pos, score, best, rank of passages with at least `floor` of their query's best score; ties in
+    document order."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "pos")
+    rows = scored.withColumn("best", F.first("score").over(order)).withColumn("rank", F.row_number().over(order).cast("long"))
+    return rows.filter(F.col("score") >= floor * F.col("best"))
 
 
 def top(scored: DataFrame, k: int = 5, floor: float = FLOOR) -> DataFrame:
-    """query_id, doc_id, pos, score, rank of the k best above the floor; ties in document order."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "pos"))
-    return above_floor(scored, floor).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "doc_id", "pos", "score", "rank")
+    """query_id, doc_id, pos, score, rank of the k best above the floor."""
+    return ranked(scored, floor).filter(F.col("rank") <= k).select("query_id", "doc_id", "pos", "score", "rank")
 
 
-def fill_in_order(chosen: DataFrame, passages: DataFrame, budget: int) -> DataFrame:
-    """The ranked passages of each query up to the first that passes the budget of characters."""
-    rows = chosen.join(passages.select("doc_id", "pos", F.char_length("line").cast("long").alias("chars")), ["doc_id", "pos"])
-    used = F.sum("chars").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", used).filter(F.col("used") <= budget)
+def pick(chosen: DataFrame, rows: DataFrame, budget: int) -> DataFrame:
+    """query_id, rank, doc_id, pos, chars: ranked passages picked greedily within the budget of characters.
 
+    The first passage is always taken; one that does not fit is skipped once something is picked.  Of passages of one
+    length only as many as fit can ever be picked, so that a query's candidates are bounded before they meet in a row.
+    """
+    sized = chosen.join(rows.select("doc_id", "pos", F.char_length("text").cast("long").alias("chars")), ["doc_id", "pos"])
+    alike = F.row_number().over(Window.partitionBy("query_id", "chars").orderBy("rank"))
+    sized = sized.withColumn("_nth", alike).filter((F.col("_nth") * F.col("chars") <= budget) | (F.col("rank") == 1))
+    return knapsack(sized.select("query_id", "rank", "doc_id", "pos", "chars"), budget).select("query_id", F.inline("picked"))
 
-def knapsack(rows: DataFrame, budget: int) -> DataFrame:
-    """query_id, picked: ranked passages picked greedily; one that does not fit is skipped once something is picked.
 
-    The first passage is always taken.  rows: query_id, rank, doc_id, pos, chars.
-    """
+def knapsack(rows: DataFrame, budget: int) -> DataFrame:
+    """query_id, picked: the fold behind `pick`.  rows: query_id, rank, doc_id, pos, chars."""
     item = F.struct("rank", "doc_id", "pos", "chars")
     kind = "struct<used:bigint,picked:array<struct<rank:bigint,doc_id:bigint,pos:bigint,chars:bigint>>>"
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().alias("picked")).cast(kind)
@@ -70,6 +92,24 @@ def knapsack(rows: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("query_id").agg(F.aggregate(ordered, start, step)["picked"].alias("picked"))
 
 
+def fill_in_order(rows: DataFrame, group: str, order: tuple[str, ...], budget: int) -> DataFrame:
+    """`rows` (with text) in order with `used`, the characters before each, as long as the budget is not used up."""
+    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.char_length("text").cast("long")).over(before), F.lit(0).cast("long"))
+    return rows.withColumn("used", used).filter(F.col("used") < budget)
+
+
+def trim(rows: DataFrame, group: str, order: tuple[str, ...], budget: int) -> DataFrame:
+    """`rows` in order up to the budget; the passage that passes it is cut back to its last sentence's end, if that leaves
+    more than LEAST_SHARE of the room, and is the last."""
+    filled = fill_in_order(rows, group, order, budget)
+    head = F.left("text", (F.lit(budget) - F.col("used")).cast("int"))
+    whole = F.regexp_extract(head, f"(?s)^(.*[{ENDERS}])", 1)
+    cut = F.when(F.char_length(whole) - 1 > LEAST_SHARE * (F.lit(budget) - F.col("used")), whole).otherwise(head)
+    text = F.when(F.char_length("text") <= F.lit(budget) - F.col("used"), F.col("text")).otherwise(F.trim(cut))
+    return filled.withColumn("text", text).filter("text <> ''")
+
+
 def gap_marks(chosen: DataFrame) -> DataFrame:
     """In document order: whether a passage opens a document, and whether something was left out before it."""
     w = Window.partitionBy("query_id").orderBy("doc_id", "pos")
@@ -80,15 +120,27 @@ def gap_marks(chosen: DataFrame) -> DataFrame:
     )
 
 
+def relevant(rows: DataFrame, queries: DataFrame, budget: int = 12_000, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, doc_id, pos, text, opens, gap: what is worth the budget, in document order, the last passage trimmed."""
+    picked = pick(ranked(score(rows, queries, key, text, scope)), rows, budget).join(rows.select("doc_id", "pos", "text"), ["doc_id", "pos"])
+    kept = trim(picked, "query_id", ("doc_id", "pos"), budget).select("query_id", "doc_id", "pos", "text")
+    return kept.join(gap_marks(kept), ["query_id", "doc_id", "pos"])
+
+
 def terms(docs: DataFrame, scope: str, doc: str = "doc_id", text: str = "text", k: int = 8) -> DataFrame:
     """scope, doc, rank, word, score: the words that set a text apart within its scope.
 
     Raw tf * ln(1 + N / df), for words that are in at most max(2, 0.6 N) of the scope's texts; ties: later words first.
+    Words beyond that are found first (in a scope they are fewer than 1.7 times the mean of a text's different words)
+    and dropped where they stand, so that no frequent word is a key.
     """
-    tf = docs.select(scope, doc, F.explode(T.words(F.col(text))).alias("word")).groupBy(scope, doc, "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(scope, "word").agg(F.count("*").alias("df"))
     n = docs.groupBy(scope).agg(F.count("*").alias("n"))
-    rows = tf.join(df, [scope, "word"]).join(n, scope).filter(F.col("df") <= F.greatest(F.lit(2.0), 0.6 * F.col("n")))
+    once = docs.select(scope, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), T.WORD_SPLIT))).alias("word"))
+    df = once.groupBy(scope, "word").agg(F.count("*").alias("df")).join(n, scope)
+    common = F.col("df") > F.greatest(F.lit(2.0), 0.6 * F.col("n"))
+    tf = each_word(docs, text, scope, doc).join(df.filter(common).select(scope, "word"), [scope, "word"], "left_anti")
+    tf = tf.groupBy(scope, doc, "word").agg(F.count("*").alias("tf"))
+    rows = tf.join(df.filter(~common), [scope, "word"])
     rows = rows.withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("n") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy(scope, doc).orderBy(F.desc("score"), F.desc("word")))
     return rows.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select(scope, doc, "rank", "word", "score")

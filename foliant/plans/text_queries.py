@@ -9,7 +9,7 @@ from ..functions.fixtures import Frame
 from ..operators import cleaning, retrieval
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-BUDGET = 600
+BUDGET = 3000
 
 
 def read(spark, sf_dir, name):
@@ -33,23 +33,58 @@ lines AS (
   WHERE trim(part, ' ') <> ''
 ), book AS (SELECT source AS book, doc_id AS page, pos, line FROM lines)"""
 SQL_WORDS = f"list_filter(string_split_regex(lower(%s), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP}))"
-SQL_SCORED = f"""
-WITH {SQL_LINES},
-tok AS (SELECT doc_id, pos, unnest({SQL_WORDS % 'line'}) AS word FROM lines),
-tf AS (SELECT doc_id, pos, word, count(*) AS tf FROM tok GROUP BY ALL),
-df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
-q AS (SELECT query_id, word, count(*) AS times FROM (SELECT item_id AS query_id, unnest({SQL_WORDS % 'text'}) AS word FROM benchmark) GROUP BY ALL),
-scored AS (
-  SELECT query_id, doc_id, pos, round(sum(times * (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM lines) / df)), 6) AS score
-  FROM q JOIN tf USING (word) JOIN df USING (word) GROUP BY ALL HAVING score > 0
-),
-good AS (SELECT s.* FROM scored s JOIN (SELECT query_id, max(score) AS best FROM scored GROUP BY 1) USING (query_id) WHERE score >= 0.55 * best),
+SQL_CLEAN = r"trim(regexp_replace(%s, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')"
+
+
+def sql_chunks(table: str, text: str, keep: str) -> str:
+    """CTE bodies: `chunked` (keep, chunks) of a table's text."""
+    return rf"""
+sentences AS (SELECT {keep}, {text} AS t, regexp_extract_all({text}, '{T.SENTENCE_KEEP_TAIL}') AS s FROM {table}),
+folded AS (SELECT {keep}, t, list_reduce(list_prepend({{'done': []::VARCHAR[], 'now': ''}}, list_transform(s, lambda x: {{'done': []::VARCHAR[], 'now': x}})),
+  lambda a, x: CASE WHEN length(a.now) + length(x.now) > 1200 AND length(a.now) > 200
+    THEN {{'done': list_append(a.done, trim(a.now, ' ')), 'now': (CASE WHEN regexp_matches(right(a.now, 150), '[.!?。！？׃]\s') THEN regexp_replace(right(a.now, 150), '^(?s:.*?)[.!?。！？׃]\s', '') ELSE '' END) || x.now}}
+    ELSE {{'done': a.done, 'now': a.now || x.now}} END) AS r FROM sentences),
+chunked AS (SELECT {keep}, CASE WHEN length(t) <= 1200 THEN [trim(t, ' ')] ELSE list_filter(list_append(r.done, trim(r.now, ' ')), lambda x: x <> '') END AS chunks FROM folded)"""
+
+
+SQL_PASSAGES = f"""
+texts AS (SELECT doc_id, source, {SQL_CLEAN % 'text'} AS t0 FROM documents), {sql_chunks("(SELECT * FROM texts WHERE t0 <> '')", 't0', 'doc_id, source')},
+passages AS (SELECT doc_id, source, unnest(range(0, len(chunks))) AS pos, unnest(chunks) AS text FROM chunked)"""
+#: Which source each item asks in, where it asks in one.
+SQL_ASKED = "asked AS (SELECT item_id, text, name AS source FROM benchmark JOIN (SELECT source AS name, row_number() OVER (ORDER BY source) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) ON item_id % m = k)"
+
+
+def sql_scored(scope: bool = False) -> str:
+    s, using = ("source, ", "source, word") if scope else ("", "word")
+    n = "(SELECT count(*) FROM passages p WHERE p.source = q.source)" if scope else "(SELECT count(*) FROM passages)"
+    return f"""
+WITH {SQL_PASSAGES}, {SQL_ASKED},
+tok AS (SELECT {s}doc_id, pos, unnest({SQL_WORDS % 'text'}) AS word FROM passages),
+tf AS (SELECT {s}doc_id, pos, word, count(*) AS tf FROM tok GROUP BY ALL),
+df AS (SELECT {s}word, count(*) AS df FROM tf GROUP BY ALL),
+q0 AS (SELECT query_id, {s}word, count(*) AS times FROM (SELECT item_id AS query_id, {s}unnest({SQL_WORDS % 'text'}) AS word FROM {'asked' if scope else 'benchmark'}) GROUP BY ALL),
+q AS (SELECT q.*, {n} AS n FROM q0 q),
+scored AS (SELECT query_id, doc_id, pos, round(sum(times * (1 + ln(tf)) * ln(1 + n / df)), 6) AS score FROM q JOIN tf USING ({using}) JOIN df USING ({using}) GROUP BY ALL HAVING score > 0),
+good AS (SELECT s.*, best FROM scored s JOIN (SELECT query_id, max(score) AS best FROM scored GROUP BY 1) USING (query_id) WHERE score >= 0.55 * best),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, pos) AS rank FROM good),
-chosen AS (SELECT * FROM ranked WHERE rank <= 5)"""
+chosen AS (SELECT * FROM ranked WHERE rank <= 5),
+fitted AS (SELECT query_id, list_reduce(list(struct_pack(used := chars, picked := [struct_pack(rank := rank, doc_id := doc_id, pos := pos, chars := chars)]) ORDER BY rank),
+  lambda a, x: CASE WHEN a.used + x.used <= {BUDGET} THEN struct_pack(used := a.used + x.used, picked := list_concat(a.picked, x.picked)) ELSE a END).picked AS picked
+  FROM (SELECT r.*, length(text) AS chars FROM ranked r JOIN passages USING (doc_id, pos)) GROUP BY query_id),
+picked AS (SELECT query_id, p.rank, p.doc_id, p.pos, p.chars FROM (SELECT query_id, unnest(picked) AS p FROM fitted)),
+placed AS (SELECT k.*, text, CAST(coalesce(sum(k.chars) OVER (PARTITION BY query_id ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM picked k JOIN passages USING (doc_id, pos)),
+trimmed AS (SELECT query_id, doc_id, pos, used, {SQL_TRIMMED} AS text FROM placed WHERE used < {BUDGET})"""
+
+
+SQL_TRIMMED = rf"CASE WHEN length(text) <= {BUDGET} - used THEN text WHEN length(regexp_extract(left(text, {BUDGET} - used), '^((?s:.*)[.!?׃。])', 1)) - 1 > 0.4 * ({BUDGET} - used) THEN trim(regexp_extract(left(text, {BUDGET} - used), '^((?s:.*)[.!?׃。])', 1), ' ') ELSE trim(left(text, {BUDGET} - used), ' ') END"
+
+
+def doc_passages(spark, sf_dir):
+    return retrieval.passages(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def scored(spark, sf_dir):
-    return retrieval.score(doc_lines(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return retrieval.score(doc_passages(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def retrieve_tfidf_topk(spark, sf_dir):
@@ -57,18 +92,40 @@ def retrieve_tfidf_topk(spark, sf_dir):
 
 
 def retrieve_floor(spark, sf_dir):
-    return retrieval.above_floor(scored(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("kept"), F.max("best").alias("best"))
+    return retrieval.ranked(scored(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("kept"), F.max("best").alias("best"))
+
+
+def asked_in_source(spark, sf_dir):
+    """Each item with the source that it asks in: the sources in turn."""
+    names = read(spark, sf_dir, "documents").select("source").filter("source is not null").distinct()
+    numbered = names.agg(F.array_sort(F.collect_set("source")).alias("all"))  # sources are few
+    items = read(spark, sf_dir, "benchmark").join(F.broadcast(numbered))
+    return items.select("item_id", "text", F.try_element_at("all", (F.col("item_id") % F.size("all") + 1).cast("int")).alias("source"))
+
+
+def retrieve_in_chapter(spark, sf_dir):
+    """Each item asks in one source; words are counted there."""
+    return retrieval.top(retrieval.score(doc_passages(spark, sf_dir), asked_in_source(spark, sf_dir), scope=("source",)))
 
 
 def retrieve_budget_prefix(spark, sf_dir):
-    rows = retrieval.fill_in_order(retrieval.top(scored(spark, sf_dir)), doc_lines(spark, sf_dir), BUDGET)
-    return rows.select("query_id", "rank", "doc_id", "pos", "chars", "used")
+    """Without a question: each document from its start, up to the budget, the last passage trimmed."""
+    rows = retrieval.trim(doc_passages(spark, sf_dir), "doc_id", ("pos",), BUDGET)
+    return rows.select("doc_id", "pos", "used", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("md5"))
+
+
+def picked(spark, sf_dir):
+    return retrieval.pick(retrieval.ranked(scored(spark, sf_dir)), doc_passages(spark, sf_dir), BUDGET)
 
 
 def retrieve_knapsack(spark, sf_dir):
-    chosen = retrieval.top(scored(spark, sf_dir))
-    rows = chosen.join(doc_lines(spark, sf_dir).select("doc_id", "pos", F.char_length("line").cast("long").alias("chars")), ["doc_id", "pos"])
-    return retrieval.knapsack(rows, BUDGET).select("query_id", F.inline("picked"))
+    return picked(spark, sf_dir).select("query_id", "rank", "doc_id", "pos", "chars")
+
+
+def retrieve_relevant(spark, sf_dir):
+    """All steps: floor, skip rule, document order, trimming, gap marks."""
+    rows = retrieval.relevant(doc_passages(spark, sf_dir), read(spark, sf_dir, "benchmark"), BUDGET)
+    return rows.select("query_id", "doc_id", "pos", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("md5"), "opens", "gap")
 
 
 def retrieve_gap_markers(spark, sf_dir):
@@ -76,8 +133,8 @@ def retrieve_gap_markers(spark, sf_dir):
 
 
 def retrieve_coverage(spark, sf_dir):
-    rows = retrieval.top(scored(spark, sf_dir)).join(doc_lines(spark, sf_dir), ["doc_id", "pos"])
-    return rows.groupBy("query_id").agg(F.sum(F.char_length("line").cast("long")).alias("chars"), F.count_distinct("doc_id").alias("documents"))
+    rows = picked(spark, sf_dir)
+    return rows.groupBy("query_id").agg(F.sum("chars").alias("chars"), F.count_distinct("doc_id").alias("documents"))
 
 
 def tokenize_counts(spark, sf_dir):
@@ -149,14 +206,20 @@ def pages_html_headings(spark, sf_dir):
 
 
 def digest_round_robin(spark, sf_dir):
-    """One line of each document of a source before any second one, up to a budget of characters."""
+    """One line of each document of a source before any second one, up to a budget of characters.
+
+    A line has 40 characters at least, so a source's digest has a bounded number: all others go before anything moves.
+    """
     from pyspark.sql import Window
 
-    rows = doc_lines(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    rows = rows.filter(F.char_length("line") >= 40).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
-    order = Window.partitionBy("source").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("used", F.sum(F.char_length("line").cast("long")).over(order))
-    return rows.filter("used <= 5000").select("source", "doc_id", "pos", F.col("turn").cast("long").alias("turn"), "used")
+    budget, least = 5000, 40
+    every = F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.cast("long").alias("pos"), F.trim(x).alias("line")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.filter(every, lambda x: F.char_length(x["line"]) >= least)).alias("turn", "x"))
+    rows = rows.select("source", "doc_id", "x.pos", (F.col("turn") + 1).cast("long").alias("turn"), F.char_length("x.line").cast("long").alias("size"))
+    order = Window.partitionBy("source").orderBy("turn", "doc_id")
+    rows = rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= budget // least)
+    rows = rows.withColumn("used", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter(F.col("used") <= budget).select("source", "doc_id", "pos", "turn", "used")
 
 
 def chunk_text(spark, sf_dir):
@@ -252,18 +315,22 @@ s AS (SELECT doc_id, chars, words, sentences, round(coalesce(letters / nullif(ch
 QUERIES = {
     k.__name__: k
     for k in (
-        retrieve_tfidf_topk, retrieve_floor, retrieve_budget_prefix, retrieve_knapsack, retrieve_gap_markers, retrieve_coverage, tokenize_counts, doc_frequency, doc_terms_top8,
+        retrieve_tfidf_topk, retrieve_floor, retrieve_in_chapter, retrieve_budget_prefix, retrieve_knapsack, retrieve_relevant, retrieve_gap_markers, retrieve_coverage, tokenize_counts, doc_frequency, doc_terms_top8,
         fingerprint_repeat, furniture_anti_join, furniture_stats, material_fingerprint, script_ratio, direction_vote, material_stats, material_gate, worksheet_gate, pages_html_headings,
         digest_round_robin, chunk_text, line_tests, page_number_filter, decoration_filter, list_items, caption_lines, toc_pages, flip_line, hyphen_join,
     )
 }
 
 ORACLE = {
-    "retrieve_tfidf_topk": f"{SQL_SCORED} SELECT query_id, doc_id, pos, score, rank FROM chosen",
-    "retrieve_floor": f"{SQL_SCORED} SELECT query_id, count(*) AS kept, max(score) AS best FROM good GROUP BY 1",
-    "retrieve_budget_prefix": f"{SQL_SCORED}, u AS (SELECT query_id, rank, doc_id, pos, length(line) AS chars, CAST(sum(length(line)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM chosen JOIN lines USING (doc_id, pos)) SELECT * FROM u WHERE used <= {BUDGET}",
-    "retrieve_gap_markers": f"{SQL_SCORED}, g AS (SELECT query_id, doc_id, pos, lag(doc_id) OVER w AS d, lag(pos) OVER w AS p FROM chosen WINDOW w AS (PARTITION BY query_id ORDER BY doc_id, pos)) SELECT query_id, doc_id, pos, d IS DISTINCT FROM doc_id AS opens, coalesce(d = doc_id AND pos <> p + 1, false) AS gap FROM g",
-    "retrieve_coverage": f"{SQL_SCORED} SELECT query_id, CAST(sum(length(line)) AS BIGINT) AS chars, count(DISTINCT doc_id) AS documents FROM chosen JOIN lines USING (doc_id, pos) GROUP BY 1",
+    "retrieve_tfidf_topk": f"{sql_scored()} SELECT query_id, doc_id, pos, score, rank FROM chosen",
+    "retrieve_floor": f"{sql_scored()} SELECT query_id, count(*) AS kept, max(score) AS best FROM good GROUP BY 1",
+    "retrieve_in_chapter": f"{sql_scored(True)} SELECT query_id, doc_id, pos, score, rank FROM chosen",
+    "retrieve_budget_prefix": f"WITH {SQL_PASSAGES}, placed AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM passages) SELECT doc_id, pos, used, length(text) AS chars, md5(text) AS md5 FROM (SELECT doc_id, pos, used, {SQL_TRIMMED} AS text FROM placed WHERE used < {BUDGET}) WHERE text <> ''",
+    "retrieve_knapsack": f"{sql_scored()} SELECT query_id, rank, doc_id, pos, chars FROM picked",
+    "retrieve_relevant": f"{sql_scored()}, g AS (SELECT *, lag(doc_id) OVER w AS d, lag(pos) OVER w AS p FROM trimmed WHERE text <> '' WINDOW w AS (PARTITION BY query_id ORDER BY doc_id, pos)) SELECT query_id, doc_id, pos, length(text) AS chars, md5(text) AS md5, d IS DISTINCT FROM doc_id AS opens, coalesce(d = doc_id AND pos <> p + 1, false) AS gap FROM g",
+    "retrieve_gap_markers": f"{sql_scored()}, g AS (SELECT query_id, doc_id, pos, lag(doc_id) OVER w AS d, lag(pos) OVER w AS p FROM chosen WINDOW w AS (PARTITION BY query_id ORDER BY doc_id, pos)) SELECT query_id, doc_id, pos, d IS DISTINCT FROM doc_id AS opens, coalesce(d = doc_id AND pos <> p + 1, false) AS gap FROM g",
+    "retrieve_coverage": f"{sql_scored()} SELECT query_id, CAST(sum(chars) AS BIGINT) AS chars, count(DISTINCT doc_id) AS documents FROM picked GROUP BY 1",
+    "chunk_text": f"WITH {sql_chunks('documents', 'text', 'doc_id')} SELECT doc_id, n, length(chunk) AS chars, md5(chunk) AS md5 FROM (SELECT doc_id, unnest(range(0, len(chunks))) AS n, unnest(chunks) AS chunk FROM chunked)",
     "tokenize_counts": f"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS kinds FROM (SELECT doc_id, {SQL_WORDS % 'text'} AS w FROM documents)",
     "doc_frequency": f"SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({SQL_WORDS % 'text'})) AS word FROM documents) GROUP BY 1",
     "doc_terms_top8": f"""WITH tf AS (SELECT source, doc_id, word, count(*) AS tf FROM (SELECT source, doc_id, unnest({SQL_WORDS % 'text'}) AS word FROM documents) GROUP BY ALL),
