@@ -4,9 +4,10 @@ Items of equal length are interchangeable, so the packing is worked out on the h
 entries as the largest permitted length, whatever the corpus.  Lengths go in descending order; each count of items goes
 into the open bins with the least room that still holds it, as many into each as it takes; bins that share their whole
 history stay one entry.
-Where none holds it, bins open.  Every permitted length is tried as the size that bins open with (a longer item opens
-the least length that holds it); at the end each bin shrinks to the least permitted length that holds its contents, and
-the trial of least total cost is taken.  Items then find their bin by their rank among items of their length; ranks come
+Where none holds it, bins open, of the permitted length that costs least for a token of what will fill it: each length
+is filled with this item and the largest ones still to come, shrunk to that, and priced.  At the end each bin shrinks to
+the least permitted length that holds its contents.  The same is tried with one opening length for all bins, for each
+permitted one (a longer item opens the least length that holds it), and the trial of least total cost is taken.  Items then find their bin by their rank among items of their length; ranks come
 from a range partition on (length, identifier) and per-partition counts, so a length that a third of the corpus has is
 spread over tasks.
 
@@ -18,7 +19,7 @@ and part; rows that repeat an identifier are items of their own; an empty table
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,28 @@ def sequence_cost(capacity: int) -> float:
 class Packing:
     """Bins for a histogram.  plan: (length, first rank, rank after the last, first bin, offset within the bin)."""
 
-    def __init__(self, histogram: dict[int, int], capacities: tuple[int, ...], opening: int, cost=sequence_cost):
+    def __init__(self, histogram: dict[int, int], capacities: tuple[int, ...], opening: int | None = None, cost=sequence_cost):
         self.capacities = sorted(capacities)
         self.plan: list[tuple[int, int, int, int, int]] = []
         rooms: list[int] = []  # sorted; those with open bins
         open_bins: dict[int, list[tuple[int, int, int]]] = {}  # room → (first bin, bins, used)
         bins = 0
+        sizes = sorted(histogram)
+
+        def filled(capacity, length, left):
+            """What a bin of this capacity would hold in the end, opened now."""
+            taken = min(left, capacity // length)
+            room, k = capacity - taken * length, bisect_left(sizes, length)
+            while room and (k := bisect_right(sizes, room, 0, k) - 1) >= 0:
+                room -= min(histogram[sizes[k]], room // sizes[k]) * sizes[k]
+            return capacity - room
+
+        def opened(length, left):
+            fits = [c for c in self.capacities if c >= length]
+            if opening is not None:
+                return max(opening, fits[0])
+            held = [(filled(c, length, left), c) for c in fits]
+            return min(held, key=lambda h: (cost(next(c for c in fits if c >= h[0])) / h[0], h[1]))[1]
 
         def put(room, entry):
             if room not in open_bins:
@@ -64,7 +81,7 @@ class Packing:
                     if not open_bins[room]:
                         del open_bins[room], rooms[k]
                 else:
-                    room, first, n, used = max(opening, next(c for c in self.capacities if c >= length)), bins, 0, 0
+                    room, first, n, used = opened(length, left), bins, 0, 0
                 # a bin with the least room keeps it until it can take no more
                 each = room // length
                 if not n:
@@ -85,7 +102,6 @@ class Packing:
         self.bins = [(first, n, used, next(c for c in self.capacities if c >= used)) for entries in open_bins.values() for first, n, used in entries]
         self.cost = sum(n * cost(c) for _, n, _, c in self.bins)
 
-
     def fine(self) -> list[tuple]:
         """The plan with the final contents and size of its bins: runs of bins cut where these differ."""
         ends = sorted(self.bins)
@@ -105,7 +121,7 @@ PLAN = "plan_length long, first_rank long, end_rank long, first_bin long, bin_st
 
 
 def best_packing(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, cost=sequence_cost) -> Packing:
-    return min((Packing(histogram, capacities, c, cost) for c in sorted(capacities)), key=lambda p: p.cost)
+    return min((Packing(histogram, capacities, c, cost) for c in (None, *sorted(capacities))), key=lambda p: p.cost)
 
 
 def ranked(items: DataFrame, n: int) -> DataFrame:
