@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, words: int = 5, least: int = 75, key: str = "
     pivots = bands.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.col("doc_id").bitwiseXOR(F.col("key"))).alias("_p"))
     pivots = pivots.filter("_n > 1").select("key", F.col("_p").bitwiseXOR(F.col("key")).alias("pivot"))
     shared = cut(bands.join(pivots, "key"))
-    stars = shared.filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
+    stars = shared.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()  # a pivot is always the head
     links = cut(confirmed(cut(likely(stars, classes)), df, words, least, key, text))
     label = components(links)
     for spanning in (True, False):
