@@ -1,4 +1,4 @@
-"""python -m foliant.cli index|context|text FILE [--query Q] [--budget N] [--pages A-B] [--chapter C] [--json]
+"""python -m foliant.cli index|context|text|inspect|prepare FILE [--query Q] [--budget N] [--pages A-B] [--chapter C] [--json]
 
 Thin driver functions over a text file of pages (parted by form feeds).  Exit codes: 1 no file, 2 no such chapter.
 """
@@ -9,48 +9,87 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import cleaning, retrieval, structure
+from .operators import blocks, cleaning, layout, retrieval, structure
 from .sources import bundles
 
 
-def lines_of(spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
-    """book, page, pos, line of the pages asked for, without furniture and page numbers."""
+def read_lines(spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """book, page, pos, line of the pages asked for."""
     bundles.register(spark)
     pages = spark.read.format("page_text").option("path", path).load().filter(F.col("page") >= first)
     if last is not None:
         pages = pages.filter(F.col("page") <= last)
-    rows = T.lines(pages.withColumn("book", F.lit(os.path.basename(path))), "page").select("book", "page", "pos", "line").cache()  # one book, read once
-    rows = cleaning.drop_furniture(rows).filter(~T.is_page_number(F.col("line")) & ~T.is_decoration(F.col("line")))
-    return rows.join(cleaning.contents_pages(rows).select("book", "page"), ["book", "page"], "left_anti").cache()
+    return T.lines(pages.withColumn("book", F.lit(os.path.basename(path))), "page").select("book", "page", "pos", "line")
+
+
+def cleaned(lines: DataFrame) -> DataFrame:
+    """`lines` without furniture, page numbers, rules and contents pages."""
+    rows = cleaning.drop_furniture(lines).filter(~T.is_page_number(F.col("line")) & ~T.is_decoration(F.col("line")))
+    return rows.join(cleaning.contents_pages(lines).select("book", "page"), ["book", "page"], "left_anti")
+
+
+def headings_of(lines: DataFrame) -> DataFrame:
+    found = structure.without_contents(structure.headings(lines), lines)
+    return structure.deduped(structure.with_fallback(found, lines)).cache()  # a book's headings, used twice
 
 
 def chapters_of(lines: DataFrame) -> DataFrame:
-    found = structure.without_contents(structure.headings(lines), lines).cache()
-    found = structure.deduped(structure.with_fallback(found, lines)).cache()
+    found = headings_of(lines)
     spans = structure.spans(found, lines.groupBy("book").agg(F.max("page").alias("last")))
     return spans.join(found.select("book", "page", "pos", "number"), ["book", "page", "pos"])
 
 
+def chapter_texts(lines: DataFrame, chapters: DataFrame) -> DataFrame:
+    """doc_id (the chapter's number in the book, 0 before the first), book, page (its first), label, text."""
+    rows = lines.join(chapters.select("book", "page", "pos", "label"), ["book", "page", "pos"], "left")
+    order = Window.partitionBy("book").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("doc_id", F.count("label").over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("book", "doc_id").agg(F.min("page").alias("page"), F.coalesce(F.max("label"), F.lit("")).alias("label"), text.alias("text"))
+
+
 def context_of(spark: SparkSession, lines: DataFrame, query: str, budget: int) -> DataFrame:
-    """The passages that answer a query, ranked, within the budget, in document order with gap marks."""
-    asked = spark.createDataFrame([(1, query)], "item_id long, text string")
-    passages = lines.select(F.col("page").alias("doc_id"), "pos", "line")
-    chosen = retrieval.fill_in_order(retrieval.top(retrieval.score(passages, asked), 1000), passages, budget)
-    return retrieval.gap_marks(chosen).join(passages, ["doc_id", "pos"]).orderBy("doc_id", "pos").select(F.col("doc_id").alias("page"), "gap", "line")
+    """The passages that answer a query, within the budget, in document order with gap marks; without a query the pages
+    from their start."""
+    rows = retrieval.passages(chapter_texts(lines, chapters_of(lines)))
+    if query.strip():
+        chosen = retrieval.relevant(rows, spark.createDataFrame([(1, query)], "item_id long, text string"), budget)
+    else:
+        chosen = retrieval.trim(rows, "book", ("doc_id", "pos"), budget).withColumn("gap", F.lit(False))
+    return chosen.select("doc_id", "pos", "gap", "text").join(rows.select("doc_id", "pos", "page", "label"), ["doc_id", "pos"]).orderBy("doc_id", "pos").select("page", "label", "gap", "text")
+
+
+def inspected(raw: DataFrame, lines: DataFrame) -> DataFrame:
+    """What the cleaner takes away, and what the detector finds: page, what, text."""
+    gone = raw.join(lines, ["book", "page", "pos"], "left_anti").select("page", "pos", F.lit("dropped").alias("what"), F.col("line").alias("text"))
+    found = headings_of(lines).select("page", "pos", F.concat_ws(" ", F.lit("heading"), F.col("level"), F.col("kind")).alias("what"), F.col("label").alias("text"))
+    return gone.unionByName(found).orderBy("page", "pos").select("page", "what", "text")
+
+
+def prepared(lines: DataFrame) -> DataFrame:
+    """doc, markdown, manifest of a book without geometry: boxes made up, then blocks, Markdown and manifest."""
+    boxes = layout.plain_boxes(lines.select(F.col("book").alias("doc"), "page", F.col("pos").alias("seq"), F.col("line").alias("text")))
+    body = layout.body_size(boxes)
+    kinds = blocks.classified(boxes, body.join(layout.size_ranks(boxes, body), "doc", "left"), layout.PLAIN_HEIGHT)
+    order = F.row_number().over(Window.partitionBy("doc").orderBy("page", "seq")).cast("long")
+    rows = blocks.built(blocks.assembled(kinds.withColumn("place", order), layout.line_gap(boxes), layout.PLAIN_WIDTH))
+    rows = rows.select("doc", F.col("block").alias("seq"), "kind", "level", "text", "items", "ordered", F.col("first_page").alias("page"))
+    return blocks.rendered(blocks.markdown(rows)).join(blocks.manifests(rows), "doc")
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="foliant")
-    parser.add_argument("what", choices=("index", "context", "text"))
+    parser.add_argument("what", choices=("index", "context", "text", "inspect", "prepare"))
     parser.add_argument("file")
     parser.add_argument("--query", default="")
     parser.add_argument("--budget", type=int, default=12_000)
     parser.add_argument("--pages", default="")
     parser.add_argument("--chapter")
+    parser.add_argument("--out", help="prepare: write Markdown, manifest and bundle below this folder")
     parser.add_argument("--json", action="store_true")
     asked = parser.parse_args(args)
     if not os.path.exists(asked.file):
@@ -58,7 +97,8 @@ def main(args: list[str] | None = None) -> int:
         return 1
     spark = SparkSession.builder.getOrCreate()
     first, _, last = asked.pages.partition("-")
-    lines = lines_of(spark, asked.file, int(first or 1), int(last) if last else (int(first) if first and "-" not in asked.pages else None))
+    raw = read_lines(spark, asked.file, int(first or 1), int(last) if last else (int(first) if first and "-" not in asked.pages else None)).cache()  # one book, read once
+    lines = cleaned(raw).cache()
     if asked.chapter:
         chapters = chapters_of(lines)
         label = structure.find_chapter(chapters, asked.chapter).first()
@@ -71,10 +111,17 @@ def main(args: list[str] | None = None) -> int:
         out = structure.rendered_index(chapters_of(lines)).orderBy("page", "pos").select("text")
     elif asked.what == "context":
         out = context_of(spark, lines, asked.query, asked.budget)
+    elif asked.what == "inspect":
+        out = inspected(raw, lines)
+    elif asked.what == "prepare":
+        out = prepared(lines)
+        if asked.out:
+            bundles.write_outputs(out, asked.out)
+        out = out.select("manifest" if asked.json else "markdown")
     else:
         out = lines.orderBy("page", "pos").select("page", "line")
-    for row in out.toJSON().toLocalIterator() if asked.json else out.toLocalIterator():
-        print(row if asked.json else row[-1])
+    for row in out.toJSON().toLocalIterator() if asked.json and asked.what != "prepare" else out.toLocalIterator():
+        print(row if isinstance(row, str) else row[-1])
     return 0
 
 

@@ -12,7 +12,7 @@ class Frame:
         self.schema, self.rows = schema, rows
         self.columns = [c.strip().split(" ", 1) for c in schema.split(",")]
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         return spark.createDataFrame(self.rows, self.schema)
 
     @property

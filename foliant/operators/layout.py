@@ -63,6 +63,18 @@ def captions(figures: DataFrame, lines: DataFrame, band: float = 0.25, least: fl
     return near.withColumn("k", of_line).filter("k = 1").withColumn("k", of_box).filter("k = 1").select(*PAGE, F.col("b_seq").alias("box"), F.col("l_seq").alias("line"))
 
 
+#: The page of a reader without geometry, in points.
+PLAIN_WIDTH, PLAIN_HEIGHT = 595.0, 842.0
+
+
+def plain_boxes(lines: DataFrame) -> DataFrame:
+    """`lines` (doc, page, seq, text) with made-up boxes, where a reader gives text alone: each 12 points below the one
+    before, 6 points for a character, all of size 10 and one column.  They keep the lines in order and nothing else."""
+    nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq")) - 1
+    top = (nth * 12).cast("double")
+    return lines.withColumns({"x0": F.lit(0.0), "top": top, "x1": (F.char_length("text") * 6).cast("double"), "bottom": top + 10, "size": F.lit(10.0), "col": F.lit(0).cast("long")})
+
+
 def body_size(lines: DataFrame) -> DataFrame:
     """doc, body: the size (to a tenth) that most characters have; of several, the one seen first."""
     sizes = lines.groupBy("doc", F.bround("size", 1).alias("s")).agg(F.sum(F.char_length("text")).alias("chars"), F.min(F.struct("page", "seq")).alias("first"))

@@ -43,10 +43,26 @@ def output_cap(kind: Column) -> Column:
     return F.when(kind == "lesson", 6000).when(kind == "course", 4000).otherwise(1000).cast("long")
 
 
-def entitlement(status: Column, period_end: Column, now: Column) -> Column:
-    """200, or 402 for those without a live subscription."""
-    live = (status == "active") | ((status == "trialing") & (period_end > now))
-    return F.when(F.coalesce(live, F.lit(False)), 200).otherwise(402).cast("long")
+def entitlement(status: Column, period_end: Column, now: Column, confirmed: Column) -> Column:
+    """status and code of the gate: 402 for those without a live subscription, 429 for a trial whose address is not
+    confirmed (else one person repeats the trial at will), 200 with no code for all others."""
+    active = F.coalesce(status == "active", F.lit(False))
+    trial = F.coalesce((status == "trialing") & (period_end > now), F.lit(False))
+    said = lambda number, code: F.struct(F.lit(number).cast("long").alias("status"), F.lit(code).cast("string").alias("code"))
+    return F.when(~active & ~trial, said(402, "trial_over")).when(~active & ~F.coalesce(confirmed, F.lit(False)), said(429, "email_unconfirmed")).otherwise(said(200, None))
+
+
+def request_verdict(contents: Column, task: Column) -> Column:
+    """ok, or why a request is refused: no messages, a task that is none of TASKS (none at all is fine), or a message
+    without a content that `content_blocks` takes."""
+    bad = F.exists(contents, lambda c: content_blocks(c).isNull())
+    return F.when(F.coalesce(F.size(contents), F.lit(0)) < 1, "messages").when(~task.isin(*TASKS), "unknown_task").when(bad, "invalid_content").otherwise("ok")
+
+
+def wants_stream(body: Column) -> Column:
+    """Whether a request's JSON body asks for a stream: the literal true alone."""
+    asked = F.try_variant_get(F.try_parse_json(body), "$.stream", "variant")
+    return F.coalesce((F.schema_of_variant(asked) == "BOOLEAN") & F.try_variant_get(asked, "$", "boolean"), F.lit(False))
 
 
 def running_clamp(blocks: DataFrame, group: str, order: str, text: str, budget: Column) -> DataFrame:
@@ -84,8 +100,9 @@ def content_blocks(content: Column) -> Column:
     v = F.try_parse_json(content)
     kind = F.schema_of_variant(v)
     one = F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string")))
-    items = F.from_json(content, "array<string>")
-    texts = F.transform(items, lambda x: F.coalesce(F.when(F.get_json_object(x, "$.type") == "text", F.get_json_object(x, "$.text")), F.when(~x.startswith("{"), x)))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    string = lambda x, path: F.try_variant_get(x, path, "string")
+    texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", string(x, "$")).when(string(x, "$.type") == "text", string(x, "$.text")))
     many = F.when(kind.startswith("ARRAY") & (F.size(items) >= 1) & (F.size(items) <= MAX_BLOCKS) & ~F.exists(texts, lambda t: t.isNull() | (t == "")), texts)
     return F.coalesce(one, many)
 

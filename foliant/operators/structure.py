@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # fixed values: heading words with their level, number words, letter values
 KEYWORDS = {"חלק": 1, "שער": 1, "book": 1, "part": 1, "פרק": 2, "chapter": 2, "יחידה": 2, "unit": 2, "נספח": 2, "appendix": 2, "סעיף": 3, "section": 3, "תת-פרק": 3}
 ORDINALS = {
@@ -24,6 +26,8 @@ ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 NO_NUMBER = "of in the and is was this that which זה זו הזה של את אשר הוא היא כי על עם".split()
 OUTLINE = r"^(?<num>[0-9]{1,2}(?:\.[0-9]{1,2}){0,3})[.)]?\s+(?<title>\S.{0,90})$"
 SENTENCE_END = r"[.!?:;,]$"
+#: What a title does not begin or end with.
+EDGE = r"^[ \t:.\-–—]+|[ \t:.\-–—]+$"
 MAX_LEVEL = 6
 
 
@@ -53,40 +57,43 @@ def numeral(token: Column) -> Column:
     return F.coalesce(F.try_cast(F.when(bare.rlike("^[0-9]{1,4}$"), bare), "int") if hasattr(F, "try_cast") else F.when(bare.rlike("^[0-9]{1,4}$"), bare.cast("int")), lookup(ORDINALS)[F.lower(bare)], roman(bare), gematria(bare)).cast("long")
 
 
-def keyword_parts(line: Column) -> Column:
-    """word, token and title of a line that starts with a heading word."""
-    words = "|".join(sorted(KEYWORDS, key=len, reverse=True))
-    pattern = rf"(?iu)^({words})(?:\s+|(?=[0-9]))(\S+?)(?:[\s:\-–—.,)\]]+(.*))?$"
-    get = lambda k: F.regexp_extract(line, pattern, k)
-    return F.when(line.rlike(pattern), F.struct(F.lower(get(1)).alias("word"), get(2).alias("token"), F.trim(get(3)).alias("title")))
+#: A heading word, white space or directly a digit, a token, and the rest behind a separator.
+KEYWORD_LINE = rf"(?iu)^({'|'.join(sorted(KEYWORDS, key=len, reverse=True))})(?:\s+|(?=[0-9]))(\S+?)(?:[\s:\-–—.,)\]]+(.*))?$"
 
 
 def keyword_heading(line: Column) -> Column:
-    """level, number, title of a keyword heading.
+    """level, number, title, kind and label of a keyword heading; the label is rebuilt as word, number and title.
 
     Without a numeral the line has at most 60 characters, the next word is no function word, and a Latin one starts
     with a capital; a line of over 60 characters that ends like a sentence is none.
     """
-    p = keyword_parts(line)
-    n = numeral(p["token"])
-    plain = (F.char_length(line) <= 60) & ~F.lower(p["token"]).isin(NO_NUMBER) & ~p["token"].rlike("^[a-z]")
-    sentence = (F.char_length(line) > 60) & line.rlike(SENTENCE_END)
-    rest = F.when(n.isNotNull(), p["title"]).otherwise(F.trim(F.concat_ws(" ", p["token"], p["title"])))
-    return F.when(p.isNotNull() & (n.isNotNull() | plain) & ~sentence, F.struct(lookup(KEYWORDS)[p["word"]].cast("long").alias("level"), n.alias("number"), rest.alias("title"), F.lit("keyword").alias("kind")))
+    get = lambda k: F.regexp_extract(line, KEYWORD_LINE, k)
+
+    def of(p, n):
+        plain = (F.char_length(line) <= 60) & ~F.lower(p["token"]).isin(NO_NUMBER) & ~p["token"].rlike("^[a-z]")
+        sentence = (F.char_length(line) > 60) & line.rlike(SENTENCE_END)
+        rest = F.when(n.isNotNull(), p["title"]).otherwise(F.trim(F.concat_ws(" ", p["token"], p["title"])))
+        head = F.concat_ws(" ", p["printed"], n.cast("string"))
+        label = F.when(rest != "", F.concat(head, F.lit(" — "), rest)).otherwise(head)
+        found = F.struct(lookup(KEYWORDS)[F.lower(p["printed"])].cast("long").alias("level"), n.alias("number"), rest.alias("title"), F.lit("keyword").alias("kind"), label.alias("label"))
+        return F.when((n.isNotNull() | plain) & ~sentence, found)
+
+    parts = F.struct(get(1).alias("printed"), get(2).alias("token"), F.regexp_replace(F.trim(get(3)), EDGE, "").alias("title"))
+    return F.when(line.rlike(KEYWORD_LINE), T.let(parts, lambda p: T.let(numeral(p["token"]), lambda n: of(p, n))))
 
 
 def outline_heading(line: Column) -> Column:
-    """level, number, title of a line like 1.2 Title: at most 80 characters, no sentence, no small first letter."""
+    """level, number (the first), title, kind and label of a line like 1.2 Title: at most 80 characters, no sentence, no small first letter."""
     num, title = F.regexp_extract(line, OUTLINE, 1), F.regexp_extract(line, OUTLINE, 2)
     depth = F.size(F.split(num, r"\."))
     fits = (num != "") & (F.char_length(title) <= 80) & ~title.rlike(SENTENCE_END) & ~title.rlike("^[a-z]")
-    return F.when(fits, F.struct(F.least(1 + depth, F.lit(4)).cast("long").alias("level"), F.element_at(F.split(num, r"\."), -1).cast("long").alias("number"), title.alias("title"), F.lit("outline").alias("kind")))
+    return F.when(fits, F.struct(F.least(1 + depth, F.lit(4)).cast("long").alias("level"), F.element_at(F.split(num, r"\."), 1).cast("long").alias("number"), title.alias("title"), F.lit("outline").alias("kind"), F.concat(num, F.lit(" — "), title).alias("label")))
 
 
 def headings(lines: DataFrame) -> DataFrame:
     """The lines that are headings, keyword before outline."""
     rows = lines.withColumn("h", F.coalesce(keyword_heading(F.col("line")), outline_heading(F.col("line")))).filter("h is not null")
-    return rows.select("book", "page", "pos", F.col("line").alias("label"), "h.level", "h.number", "h.title", "h.kind")
+    return rows.select("book", "page", "pos", "h.label", "h.level", "h.number", "h.title", "h.kind")
 
 
 def without_contents(found: DataFrame, lines: DataFrame) -> DataFrame:

@@ -7,16 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.fixtures import Frame
 from ..operators import learning as L
 from ..operators import mathx as X
+from . import derived as D
 
-NUMBERS = Frame("id bigint, s string", list(enumerate(["42", " 3.5 ", "3,5", "1,200", "1,234,567.5", "3/4", "5/0", "−7", "–2.5", '"9"', "abc", "", "1.2.3", "-1/2", ".5"])))
-WORDS_ = Frame("id bigint, word string", list(enumerate(["אמת", "שלום", "ם", "אב גד", "ץ", "abc"])))
 YEARS = Frame("id bigint, year bigint, value double", [(1, 1955, 12.0), (2, 1962, 340.0), (3, 1948, 88.0)])
-SAMPLE = Frame("g string, v double", [("a", float(v)) for v in (2, 4, 4, 4, 5, 5, 7, 9)] + [("b", 1.0)])
-EXPRESSIONS = Frame("id bigint, text string", list(enumerate(["1 + 2 * 3", "2 ^ 3 ^ 2", "-2 ^ 2", "(1 + 2) * 3", "sqrt(16) + pi * 0", "7 % 4", "1 / 0", "__import__('os')", "2 +", "x + 1", "abs(-3)", "1 2"])))
-VALUES = Frame("id bigint, value double", [(0, 7.0), (1, 512.0), (2, -4.0), (3, 9.0), (4, 4.0), (5, 3.0), (10, 3.0)])
-CROSSES = Frame("id bigint, mother string, father string", [(1, "Aa", "Aa"), (2, "AA", "aa"), (3, "Aa", "aa")])
-SEARCHES = Frame("id bigint, size bigint, target bigint", [(1, 8, 5), (2, 1, 0), (3, 16, 0), (4, 7, 6)])
-QUADRATICS = Frame("id bigint, a double, b double, c double", [(1, 1.0, -3.0, 2.0), (2, 1.0, 2.0, 1.0), (4, -2.0, 0.0, 8.0)])
+NUMBERS, WORDS_, SAMPLE, EXPRESSIONS, CROSSES, SEARCHES, QUADRATICS = D.NUMBERS, D.LETTERS, D.SAMPLE, D.EXPRESSIONS, D.CROSSES, D.SEARCHES, D.QUADRATICS
 NOW = "2024-01-15 00:00:00"
 
 
@@ -83,15 +77,15 @@ def streak_merge(spark, sf_dir):
 
 
 def number_parse(spark, sf_dir):
-    return NUMBERS.df(spark).select("id", F.round(X.learner_number(F.col("s")), 6).alias("value")).filter("value is not null")
+    return NUMBERS.df(spark, sf_dir).select("id", F.round(X.learner_number(F.col("s")), 6).alias("value")).filter("value is not null")
 
 
 def gematria_sum(spark, sf_dir):
-    return WORDS_.df(spark).select("id", *(X.letter_sum(F.col("word"), r).alias(r) for r in ("standard", "large", "ordinal", "small")))
+    return WORDS_.df(spark, sf_dir).select("id", *(X.letter_sum(F.col("word"), r).alias(r) for r in ("standard", "large", "ordinal", "small")))
 
 
 def summary_stats(spark, sf_dir):
-    return X.summary(SAMPLE.df(spark), "g", "v")
+    return X.summary(SAMPLE.df(spark, sf_dir), "g", "v")
 
 
 def summary_by_type(spark, sf_dir):
@@ -106,14 +100,14 @@ def histogram(spark, sf_dir):
 def chronology_gaps(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = YEARS.df(spark).withColumn("gap", F.col("year") - F.lag("year").over(Window.orderBy("year")))
+    rows = YEARS.df(spark, sf_dir).withColumn("gap", F.col("year") - F.lag("year").over(Window.orderBy("year")))
     return rows.agg((F.max("year") - F.min("year")).alias("span"), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"))
 
 
 def ranked_comparison(spark, sf_dir):
     from pyspark.sql import Window
 
-    return YEARS.df(spark).select("id", "value", F.row_number().over(Window.orderBy(F.desc("value"))).cast("long").alias("rank"))
+    return YEARS.df(spark, sf_dir).select("id", "value", F.row_number().over(Window.orderBy(F.desc("value"))).cast("long").alias("rank"))
 
 
 def compound_interest(spark, sf_dir):
@@ -122,7 +116,7 @@ def compound_interest(spark, sf_dir):
 
 def quadratic_roots(spark, sf_dir):
     low, high = X.quadratic(F.col("a"), F.col("b"), F.col("c"))
-    return QUADRATICS.df(spark).select("id", low.alias("low"), high.alias("high"))
+    return QUADRATICS.df(spark, sf_dir).select("id", low.alias("low"), high.alias("high"))
 
 
 def polygon_angles(spark, sf_dir):
@@ -134,11 +128,11 @@ def binary_digits(spark, sf_dir):
 
 
 def punnett(spark, sf_dir):
-    return X.punnett(CROSSES.df(spark))
+    return X.punnett(CROSSES.df(spark, sf_dir))
 
 
 def binary_search_trace(spark, sf_dir):
-    return X.search_trace(SEARCHES.df(spark))
+    return X.search_trace(SEARCHES.df(spark, sf_dir))
 
 
 def truth_table(spark, sf_dir):
@@ -146,7 +140,7 @@ def truth_table(spark, sf_dir):
 
 
 def expressions(spark, sf_dir):
-    return X.expression_values(EXPRESSIONS.df(spark), "id", "text").filter("value is not null")
+    return X.expression_values(EXPRESSIONS.df(spark, sf_dir), "id", "text").filter("value is not null").withColumn("value", F.round("value", 6))
 
 
 QUERIES = {
@@ -159,6 +153,18 @@ QUERIES = {
 
 P = "(SELECT user_id, event_id AS idx, event_id % 3 <> 0 AS completed, event_id % 5 <> 0 AS has_lesson, CAST(event_id % 101 AS DOUBLE) AS accuracy, CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS TIMESTAMP) END AS due_at FROM events)"
 T0 = f"TIMESTAMP '{NOW}'"
+_PLAIN, _FINAL = "אבגדהוזחטיכלמנסעפצקרשת", dict(zip("ךםןףץ", "כמנפצ", strict=True))
+_VALUE = {c: (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400)[k] for k, c in enumerate(_PLAIN)}
+
+
+def _letter_sum(value) -> str:
+    """SQL that adds up a value for each letter."""
+    cases = " ".join(f"WHEN '{c}' THEN {value(c)}" for c in (*_PLAIN, *_FINAL))
+    return f"CAST(coalesce(list_sum(list_transform(string_split(word, ''), lambda c: CASE c {cases} ELSE 0 END)), 0) AS BIGINT)"
+
+
+_plain = lambda c: _FINAL.get(c, c)
+SQL_LETTERS = f"SELECT id, {_letter_sum(lambda c: _VALUE[_plain(c)])} AS standard, {_letter_sum(lambda c: 500 + 100 * 'ךםןףץ'.index(c) if c in _FINAL else _VALUE[c])} AS large, {_letter_sum(lambda c: _PLAIN.index(_plain(c)) + 1)} AS ordinal, {_letter_sum(lambda c: int(str(_VALUE[_plain(c)])[0]))} AS small FROM {WORDS_.sql}"
 SQL_SUMMARY = "SELECT {g}, count({v}) AS n, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(max({v}) - min({v}), 6) AS span, round(stddev_pop({v}), 6) AS deviation FROM {t} GROUP BY 1"
 ORACLE = {
     "sm2_schedule": """WITH RECURSIVE r AS (SELECT user_id, event_type, CASE WHEN a >= 90 THEN 5 WHEN a >= 75 THEN 4 WHEN a >= 60 THEN 3 WHEN a >= 40 THEN 2 ELSE 1 END AS q, k, n FROM
@@ -181,18 +187,22 @@ m AS (SELECT lesson, CASE WHEN lesson > 1 AND lesson * 3 % 5 + 1 > 1 THEN least(
 u AS (SELECT lesson, 'card' AS kind, n, 2.0 * n AS key FROM c UNION ALL SELECT lesson, 'quiz', n, CASE WHEN n < moved THEN 2.0 * n + 1 ELSE 1000000000.0 + n END FROM q JOIN m USING (lesson))
 SELECT lesson, row_number() OVER (PARTITION BY lesson ORDER BY key) AS place, kind, n FROM u""",
     "streak_merge": "SELECT user_id, arg_max(event_id % 13, (CAST(ts AS DATE), event_id % 13)) AS streak FROM events GROUP BY 1",
-    "number_parse": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(42 AS DOUBLE)), (1, 3.5), (2, 3.5), (3, 1200), (4, 1234567.5), (5, 0.75), (7, -7), (8, -2.5), (9, 9), (13, -0.5), (14, 0.5)) v(id, value)",
-    "gematria_sum": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(441 AS BIGINT), CAST(441 AS BIGINT), CAST(36 AS BIGINT), CAST(9 AS BIGINT)), (1, 376, 936, 52, 16), (2, 40, 600, 13, 4), (3, 10, 10, 10, 10), (4, 90, 900, 18, 9), (5, 0, 0, 0, 0)) v(id, standard, large, ordinal, small)",
+    "number_parse": rf"""WITH n AS (SELECT id, replace(replace(replace(trim(s, ' '), '"', ''), '−', '-'), '–', '-') AS s FROM {NUMBERS.sql}), v AS (SELECT id, CASE WHEN regexp_matches(s, '^-?[0-9]{{1,3}}(,[0-9]{{3}})+(\.[0-9]+)?$') THEN try_cast(replace(s, ',', '') AS DOUBLE) WHEN regexp_matches(s, '^-?[0-9]+,[0-9]+$') THEN try_cast(replace(s, ',', '.') AS DOUBLE)
+  WHEN regexp_matches(s, '^-?[0-9]+/[0-9]+$') THEN try_cast(string_split(s, '/')[1] AS DOUBLE) / nullif(try_cast(string_split(s, '/')[2] AS DOUBLE), 0) ELSE try_cast(s AS DOUBLE) END AS value FROM n) SELECT id, round(value, 6) AS value FROM v WHERE value IS NOT NULL""",
+    "gematria_sum": SQL_LETTERS,
     "summary_stats": SQL_SUMMARY.format(g="g", v="v", t=SAMPLE.sql),
     "summary_by_type": SQL_SUMMARY.format(g="event_type", v="value", t="events"),
     "histogram": "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE floor(value / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1",
     "chronology_gaps": f"SELECT max(year) - min(year) AS span, min(gap) AS least_gap, max(gap) AS most_gap FROM (SELECT year, year - lag(year) OVER (ORDER BY year) AS gap FROM {YEARS.sql})",
     "ranked_comparison": f"SELECT id, value, row_number() OVER (ORDER BY value DESC) AS rank FROM {YEARS.sql}",
     "compound_interest": "SELECT years, round(1000 * pow(1.1, years), 6) AS amount FROM (SELECT unnest(range(1, 11)) AS years)",
-    "quadratic_roots": f"SELECT id, round(least((-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b + sqrt(b * b - 4 * a * c)) / (2 * a)), 6) AS low, round(greatest((-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b + sqrt(b * b - 4 * a * c)) / (2 * a)), 6) AS high FROM {QUADRATICS.sql}",
+    "quadratic_roots": f"SELECT id, round(least((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) AS low, round(greatest((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) AS high FROM (SELECT *, b * b - 4 * a * c AS d FROM {QUADRATICS.sql})",
     "polygon_angles": "SELECT sides, round((n - 2) * 180.0 / n, 6) AS angle FROM (SELECT sides, greatest(3, least(12, sides)) AS n FROM (SELECT unnest(range(1, 15)) AS sides))",
     "binary_digits": "SELECT n, bin(n) AS digits FROM (SELECT unnest(range(0, 64)) AS n)",
     "punnett": f"SELECT id, CASE WHEN ascii(x) <= ascii(y) THEN x || y ELSE y || x END AS genotype, count(*) AS n FROM (SELECT id, substr(mother, i, 1) AS x, substr(father, j, 1) AS y FROM {CROSSES.sql}, (SELECT unnest([1, 2]) AS i), (SELECT unnest([1, 2]) AS j)) GROUP BY ALL",
     "truth_table": "SELECT \"row\", v1, v2, v1 OR v2 AS either, NOT v1 OR v2 AS implies FROM (SELECT n AS \"row\", n // 2 = 1 AS v1, n % 2 = 1 AS v2 FROM (SELECT unnest(range(0, 4)) AS n))",
-    "expressions": f"SELECT id, value FROM {VALUES.sql}",
+    "expressions": f"SELECT id, round(CASE id % 6 WHEN 0 THEN a + b * c WHEN 1 THEN (a - b) * (a - b) WHEN 2 THEN a / nullif(CAST(c AS DOUBLE), 0) WHEN 3 THEN 4 - b * b WHEN 4 THEN abs(b - a) % 4 END, 6) AS value FROM {EXPRESSIONS.sql} WHERE id % 6 < 5 AND NOT (id % 6 = 2 AND c = 0)",
+    "binary_search_trace": f"""WITH RECURSIVE r AS (SELECT id, target, CAST(0 AS BIGINT) AS lo, size - 1 AS hi, [(size - 1) // 2] AS probes FROM {SEARCHES.sql}
+  UNION ALL SELECT id, target, lo2, hi2, list_append(probes, (lo2 + hi2) // 2) FROM (SELECT *, CASE WHEN probes[-1] < target THEN probes[-1] + 1 ELSE lo END AS lo2, CASE WHEN probes[-1] < target THEN hi ELSE probes[-1] - 1 END AS hi2 FROM r WHERE probes[-1] <> target))
+SELECT id, array_to_string(arg_max(probes, len(probes)), ',') AS probes FROM r GROUP BY id""",
 }

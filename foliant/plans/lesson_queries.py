@@ -4,25 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.fixtures import Frame
 from ..operators import lessons as L
+from . import derived as D
 
-MARKUP = Frame("id bigint, t string", [(1, "a < b & \"c\" > 'd'"), (2, ""), (3, "&amp;")])
-TITLES = Frame("id bigint, line string", list(enumerate(["Part One", "Chapter 2", "3 Things", "3.1 More Things", "The Art of War", "GREAT NAMES", "a plain line", "A sentence ends here.", "It is not", "x", "פרק 2"])))
-PARTIAL = Frame("id bigint, t string", [(1, '{"hook": "x"'), (2, '{"hook": "x", "cards": ['), (3, ""), (4, '{"summary": 1')])
 CUT = Frame("id bigint, t string", [(1, '```json\n{"a": [1, 2]}\n```'), (2, "[1,2,3"), (3, '{"a": "cut in a str'), (4, "no json"), (5, '[{"a":1},{"b":2'), (6, 'x {"k": [1, {"z": 2}], "m"')])
-RUNS = Frame("page bigint, str string, width double, x double, y double", [(1, "Hel", 20.0, 10.0, 700.0), (1, "lo", 10.0, 30.0, 700.5), (1, "world", 40.0, 45.0, 700.0), (1, "next", 30.0, 10.0, 680.0), (2, "b", 5.0, 50.0, 10.0), (2, "a", 5.0, 10.0, 10.0)])
-SPANS = Frame("page bigint, line bigint, seq bigint, text string, size double, bold boolean", [(1, 1, 0, "Big", 14.0, True), (1, 1, 1, " and small", 11.0, False), (1, 2, 0, "abc", 11.0, True), (1, 2, 1, "def", 12.0, True), (1, 2, 2, " ", 30.0, False)])
-OCR = Frame("page bigint, block bigint, par bigint, line bigint, text string, x0 double, x1 double, conf double", [(1, 1, 1, 1, "two", 30.0, 50.0, 90.0), (1, 1, 1, 1, "one", 0.0, 20.0, 80.0), (1, 1, 1, 1, "bad", 60.0, 70.0, -1.0), (1, 1, 2, 1, "other", 0.0, 40.0, 50.0)])
-PACKS = Frame("id bigint, wanted string, installed string", [(1, "heb+eng", "eng,osd"), (2, "fra", "eng,heb"), (3, "fra", "heb,osd"), (4, "heb", "heb")])
-ANSWERS = Frame("id bigint, answer string, target double, tolerance double", [(1, "3,5", 3.5, 0.0), (2, "1/3", 0.33, -0.01), (3, "abc", 1.0, 9.0), (4, "10", 9.0, 0.5)])
-SIDES = Frame("id bigint, a double, b double, c double", [(1, 3.0, 4.0, 5.0), (3, 2.0, 2.0, 3.0)])
-GUARDS = Frame("id bigint, e boolean, h boolean, o boolean, s boolean, n bigint", [(1, True, False, True, True, 2), (2, True, True, True, True, 5), (3, True, False, True, True, None), (4, True, False, True, True, 1), (5, False, False, True, True, 9)])
+MARKUP, PARTIAL, RUNS, SPANS, OCR, PACKS, ANSWERS, SIDES, GUARDS = D.MARKUP, D.PARTIAL, D.RUNS, D.SIZED, D.OCR, D.PACKS, D.ANSWERS, D.SIDES, D.GUARDS
 
 
 def html_escape(spark, sf_dir):
-    return MARKUP.df(spark).select("id", L.escaped(F.col("t")).alias("body"), L.escaped(F.col("t"), True).alias("attribute"))
+    return MARKUP.df(spark, sf_dir).select("id", L.escaped(F.col("t")).alias("body"), L.escaped(F.col("t"), True).alias("attribute"))
 
 
 def interest_summary(spark, sf_dir):
@@ -37,50 +28,50 @@ def starter_picks(spark, sf_dir):
 
 
 def heading_level(spark, sf_dir):
-    return TITLES.df(spark).select("id", L.heading_level(F.col("line")).alias("level"))
+    return D.TITLED.df(spark, sf_dir).select("doc_id", "pos", L.heading_level(F.col("line")).alias("level"))
 
 
 def document_sections(spark, sf_dir):
-    return L.sections(T.lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).select("doc_id", "section", "own")
+    return L.sections(D.TITLED.df(spark, sf_dir)).select("doc_id", "section", "own")
 
 
 def locate_sections(spark, sf_dir):
-    lines = T.lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    outline = lines.filter("pos % 5 = 2").select("doc_id", F.col("pos").alias("n"), F.concat(F.lit("## "), F.col("line")).alias("title"), (F.col("pos") + 1).alias("page"))
+    lines = D.TITLED.df(spark, sf_dir)
+    outline = lines.filter(L.heading_level(F.col("line")) > 0).select("doc_id", F.col("pos").alias("n"), F.concat(F.lit("## "), F.col("line")).alias("title"), (F.col("pos") + 1).alias("page"))
     return L.located(outline, lines)
 
 
 def lesson_progress(spark, sf_dir):
-    return PARTIAL.df(spark).select("id", L.lesson_progress(F.col("t")).alias("share"))
+    return PARTIAL.df(spark, sf_dir).select("id", L.lesson_progress(F.col("t")).alias("share"))
 
 
 def json_repair(spark, sf_dir):
-    return L.repaired_json(CUT.df(spark), "id", "t").filter("json is not null")
+    return L.repaired_json(CUT.df(spark, sf_dir), "id", "t").filter("json is not null")
 
 
 def runs_to_lines(spark, sf_dir):
-    return L.runs_to_lines(RUNS.df(spark))
+    return L.runs_to_lines(RUNS.df(spark, sf_dir))
 
 
 def dominant_lines(spark, sf_dir):
-    return L.dominant_lines(SPANS.df(spark))
+    return L.dominant_lines(SPANS.df(spark, sf_dir))
 
 
 def ocr_regroup(spark, sf_dir):
-    return L.ocr_lines(OCR.df(spark))
+    return L.ocr_lines(OCR.df(spark, sf_dir))
 
 
 def ocr_languages(spark, sf_dir):
     use, missing = L.ocr_language(F.col("wanted"), F.split("installed", ","))
-    return PACKS.df(spark).select("id", use.alias("use"), missing.alias("missing"))
+    return PACKS.df(spark, sf_dir).select("id", use.alias("use"), missing.alias("missing"))
 
 
 def numeric_grading(spark, sf_dir):
-    return ANSWERS.df(spark).select("id", L.numeric_grade(F.col("answer"), F.col("target"), F.col("tolerance")).alias("good"))
+    return ANSWERS.df(spark, sf_dir).select("id", L.numeric_grade(F.col("answer"), F.col("target"), F.col("tolerance")).alias("good"))
 
 
 def prefetch_guards(spark, sf_dir):
-    return GUARDS.df(spark).select("id", L.prefetch_ok(F.col("e"), F.col("h"), F.col("o"), F.col("s"), F.col("n")).alias("ok"))
+    return GUARDS.df(spark, sf_dir).select("id", L.prefetch_ok(F.col("e"), F.col("h"), F.col("o"), F.col("s"), F.col("n")).alias("ok"))
 
 
 def option_shuffle(spark, sf_dir):
@@ -91,7 +82,7 @@ def option_shuffle(spark, sf_dir):
 
 
 def triangle_area(spark, sf_dir):
-    return SIDES.df(spark).select("id", L.triangle_area(F.col("a"), F.col("b"), F.col("c")).alias("area"))
+    return SIDES.df(spark, sf_dir).select("id", L.triangle_area(F.col("a"), F.col("b"), F.col("c")).alias("area"))
 
 
 def plan_override(spark, sf_dir):
@@ -112,25 +103,30 @@ QUERIES = {
         prefetch_guards, option_shuffle, triangle_area, plan_override, file_facts,
     )
 }
+SQL_LEVEL = r"""CAST(CASE WHEN length(line) > 80 OR regexp_matches(line, '[.!?;,]$') THEN 0 WHEN regexp_matches(lower(line), '^(part|book|חלק|שער)[\s:.-]+\S') THEN 1
+  WHEN regexp_matches(line, '^(part|book|chapter|unit|appendix|section|פרק|חלק|שער|יחידה|נספח|סעיף)[\s:.-]+\S', 'i') THEN 2 WHEN regexp_matches(line, '^[0-9]{1,2}\.[0-9]{1,2}\.?\s+\S') THEN 3 WHEN regexp_matches(line, '^[0-9]{1,2}[.)]?\s+\S') THEN 2
+  WHEN regexp_matches(line, '^\p{Lu}[\p{L}''’-]*(\s+(\p{Lu}[\p{L}''’-]*|of|the|and|in|a|to|for))*$') OR (regexp_matches(line, '^[\p{Lu}\s]+$') AND regexp_matches(line, '\p{Lu}{2}')) THEN 2 ELSE 0 END AS BIGINT)"""
 BODY = "replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 ORACLE = {
     "html_escape": f"SELECT id, {BODY} AS body, replace(replace({BODY}, '\"', '&quot;'), '''', '&#39;') AS attribute FROM {MARKUP.sql}",
     "interest_summary": "SELECT conv_id, CASE WHEN len(r) <= 2 THEN array_to_string(r, ' and ') ELSE array_to_string(r[1:2], ', ') || ' and ' || (len(r) - 2) || ' more' END AS summary FROM (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY 1)",
     "starter_picks": "SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END, event_id) AS n, event_id AS id FROM events) WHERE n <= 3",
-    "heading_level": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT)), (1, 2), (2, 2), (3, 3), (4, 2), (5, 2), (6, 0), (7, 0), (8, 0), (9, 0), (10, 2)) v(id, level)",
-    "lesson_progress": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0.1429 AS DOUBLE)), (2, 0.4286), (3, 0.0), (4, 0.8571)) v(id, share)",
-    "json_repair": """SELECT * FROM (VALUES (CAST(1 AS BIGINT), '{"a":[1,2]}'), (2, '[1,2]'), (5, '[{"a":1}]'), (6, '{"k":[1,{"z":2}]}')) v(id, json)""",
-    "runs_to_lines": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT), 'Hello world'), (1, 1, 'next'), (2, 0, 'a b')) v(page, \"row\", text)",
-    "dominant_lines": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(1 AS BIGINT), 'Big and small', false, CAST(11 AS DOUBLE)), (1, 2, 'abcdef', true, 11.0)) v(page, line, text, bold, size)",
+    "heading_level": f"SELECT doc_id, pos, {SQL_LEVEL} AS level FROM {D.TITLED.sql}",
+    "lesson_progress": "SELECT id, round(greatest(" + ", ".join(f"CASE WHEN contains(t, '\"{x}\"') THEN {k + 1} ELSE 0 END" for k, x in enumerate(L.STEPS)) + f") / 7.0, 4) AS share FROM {PARTIAL.sql}",
+    "runs_to_lines": f"""WITH o AS (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY page ORDER BY y DESC, x) - y > 2 THEN 1 ELSE 0 END AS new FROM {RUNS.sql}), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY page ORDER BY y DESC, x) AS BIGINT) AS "row" FROM o),
+p AS (SELECT *, CASE WHEN x - lag(x + width) OVER (PARTITION BY page, "row" ORDER BY x) > 1 THEN ' ' ELSE '' END || str AS piece FROM r) SELECT page, "row", string_agg(piece, '' ORDER BY x, piece) AS text FROM p GROUP BY ALL""",
+    "dominant_lines": f"""WITH s AS (SELECT * FROM {SPANS.sql} WHERE trim(text, ' ') <> ''), z AS (SELECT page, line, size, sum(length(text)) AS chars, min(seq) AS first FROM s GROUP BY ALL), b AS (SELECT page, line, arg_max(size, (chars, -first)) AS size FROM z GROUP BY ALL)
+SELECT page, line, string_agg(text, '' ORDER BY seq) AS text, 2 * coalesce(sum(length(text)) FILTER (bold), 0) > sum(length(text)) AS bold, b.size FROM s JOIN b USING (page, line) GROUP BY page, line, b.size""",
     "ocr_regroup": f"SELECT page, block, par, line, string_agg(text, ' ' ORDER BY x0, text) AS text, min(x0) AS x0, max(x1) AS x1 FROM {OCR.sql} WHERE conf >= 0 GROUP BY ALL",
-    "ocr_languages": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'eng', 'heb'), (2, 'eng', 'fra'), (3, 'heb', 'fra'), (4, 'heb', '')) v(id, use, missing)",
-    "numeric_grading": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), true), (2, true), (3, false), (4, false)) v(id, good)",
+    "ocr_languages": f"""SELECT id, array_to_string(CASE WHEN len(have) > 0 THEN have WHEN list_contains(i, 'eng') THEN ['eng'] ELSE i[1:1] END, '+') AS use, array_to_string(list_filter(w, lambda x: NOT list_contains(i, x)), '+') AS missing
+FROM (SELECT id, w, i, list_filter(w, lambda x: list_contains(i, x)) AS have FROM (SELECT id, string_split(wanted, '+') AS w, string_split(installed, ',') AS i FROM {PACKS.sql}))""",
+    "numeric_grading": f"""SELECT id, coalesce(abs(CASE WHEN regexp_matches(answer, '^[0-9]+,[0-9]$') THEN CAST(replace(answer, ',', '.') AS DOUBLE) WHEN contains(answer, '/') THEN CAST(string_split(answer, '/')[1] AS DOUBLE) / CAST(string_split(answer, '/')[2] AS DOUBLE) ELSE try_cast(answer AS DOUBLE) END - target) <= abs(tolerance), false) AS good FROM {ANSWERS.sql}""",
     "prefetch_guards": f"SELECT id, e AND NOT h AND o AND s AND coalesce(n, 1000000) >= 2 AS ok FROM {GUARDS.sql}",
     "option_shuffle": "SELECT id, substr('abcd', CAST(id % 4 + 1 AS INT), 1) AS option, 'w' || substr('abcd', CAST(id % 4 + 1 AS INT), 1) AS why FROM (SELECT unnest(range(0, 40)) AS id)",
-    "triangle_area": f"SELECT id, round(sqrt((a+b+c)/2 * ((a+b+c)/2 - a) * ((a+b+c)/2 - b) * ((a+b+c)/2 - c)), 6) AS area FROM {SIDES.sql}",
+    "triangle_area": f"SELECT id, round(CASE WHEN q > 0 THEN sqrt(q) END, 6) AS area FROM (SELECT id, (a+b+c)/2 * ((a+b+c)/2 - a) * ((a+b+c)/2 - b) * ((a+b+c)/2 - c) AS q FROM {SIDES.sql})",
     "plan_override": "SELECT DISTINCT user_id, CASE WHEN user_id = 7 THEN 'pro' ELSE 'basic' END AS plan FROM events",
     "file_facts": "SELECT doc_id, strlen(coalesce(text, '')) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
 }
-from .text_queries import SQL_LINES  # noqa: E402
-
-ORACLE["locate_sections"] = f"WITH {SQL_LINES}, o AS (SELECT doc_id, pos AS n, lower(line) AS k, pos + 1 AS page FROM lines WHERE pos % 5 = 2) SELECT o.doc_id, o.n, min(l.pos) AS pos, min(o.page) AS page FROM o JOIN lines l ON l.doc_id = o.doc_id AND lower(l.line) = o.k GROUP BY ALL"
+ORACLE["locate_sections"] = f"WITH o AS (SELECT doc_id, pos AS n, lower(line) AS k, pos + 1 AS page FROM {D.TITLED.sql} WHERE {SQL_LEVEL} > 0) SELECT o.doc_id, o.n, min(l.pos) AS pos, min(o.page) AS page FROM o JOIN {D.TITLED.sql} l ON l.doc_id = o.doc_id AND lower(trim(regexp_replace(l.line, '^#+\\s*', ''))) = o.k GROUP BY ALL"
+ORACLE["document_sections"] = f"""WITH v AS (SELECT *, {SQL_LEVEL} AS level FROM {D.TITLED.sql}), s AS (SELECT *, CAST(sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS section FROM v),
+c AS (SELECT doc_id FROM v GROUP BY 1 HAVING count(*) FILTER (level > 0) < 0.8 * count(*)) SELECT doc_id, section, CAST(sum(length(line)) AS BIGINT) AS own FROM s SEMI JOIN c USING (doc_id) GROUP BY ALL"""

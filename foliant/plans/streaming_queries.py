@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import metering as S
+from . import derived as D
+from . import metering_queries
+
+
+def stream(spark, sf_dir, name):
+    return S.event_stream(spark, f"{sf_dir}/{name}.parquet")
 
 
 def stream_daily_calls(spark, sf_dir):
-    return S.finished(S.daily_calls(S.event_stream(spark, f"{sf_dir}/events.parquet")), "complete")
+    return S.finished(S.daily_calls(stream(spark, sf_dir, "events")), "complete")
 
 
 def stream_quota(spark, sf_dir):
-    rows = S.finished(S.allowed_calls(S.event_stream(spark, f"{sf_dir}/events.parquet"), 3), "append")
+    rows = S.finished(S.allowed_calls(stream(spark, sf_dir, "events"), 3), "append")
     return rows.groupBy("user_id", "day").agg(F.count_if("ok").alias("allowed"), F.count_if(~F.col("ok")).alias("refused"))
 
 
-QUERIES = {k.__name__: k for k in (stream_daily_calls, stream_quota)}
+def stream_usage_meter(spark, sf_dir):
+    """Usage of streams while it comes in."""
+    return S.finished(S.usage_meter(D.USAGE.over(events=stream(spark, sf_dir, "events"))), "complete")
+
+
+def stream_frames(spark, sf_dir):
+    """Event frames put together from the chunks of a stream."""
+    rows = S.finished(S.frame_stream(D.SSE.over(conversations=stream(spark, sf_dir, "conversations"))), "append")
+    return rows.select("stream_id", F.regexp_replace("data", r"\s", "").alias("data"))
+
+
+def prefetch_discard(spark, sf_dir):
+    """Results that were fetched ahead, without those whose source has changed since."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    results = e.select("event_id", F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("version"))
+    versions = e.select(F.col("user_id").alias("key"), (F.col("user_id") % 3).alias("version")).distinct()
+    return S.current_only(results, versions).select("event_id", "key", "version")
+
+
+QUERIES = {k.__name__: k for k in (stream_daily_calls, stream_quota, stream_usage_meter, stream_frames, prefetch_discard)}
 ORACLE = {
     "stream_daily_calls": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT event_id) AS calls FROM events GROUP BY ALL",
     "stream_quota": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, least(count(*), 3) AS allowed, greatest(count(*) - 3, 0) AS refused FROM events GROUP BY ALL",
+    "stream_usage_meter": metering_queries.ORACLE["stream_meter"],
+    "stream_frames": metering_queries.ORACLE["sse_frames"],
+    "prefetch_discard": "SELECT event_id, user_id AS key, event_id % 3 AS version FROM events WHERE event_id % 3 = user_id % 3",
 }

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import functions as F
 
 from ..functions.fixtures import Frame
 from ..operators import structure as S
+from . import derived as D
 
 TOKENS = Frame("id bigint, token string", list(enumerate(["7", "12.", "one", "Third", "IV", "MCMXCIV", "iv", "ב", "ג'", 'כ"ה', "שלישי", "words", "", "X", "2024", "ראשונה", "cat", "IX:"])))
 HEADING_LINES = Frame(
@@ -16,76 +15,59 @@ HEADING_LINES = Frame(
 )
 
 
-def _book(seed: int, n: int) -> list[tuple]:
-    r = random.Random(seed)
-    rows = []
-    for b in range(n):
-        page = 1
-        for pos in range(12):
-            page += r.choice((0, 1, 1, 2))
-            rows.append((f"b{b}", page, pos, r.choice((1, 2, 2, 3, 3, 4)), f"H{b}-{r.randrange(5) if r.random() < 0.3 else pos + 10}"))
-    return rows
-
-
-HEADS = Frame("book string, page bigint, pos bigint, level bigint, label string", _book(7, 8))
+HEADS, PAGES = D.HEADS, D.PAGES
 SQL_LAST = f"(SELECT book, max(page) + 2 AS last FROM {HEADS.sql} GROUP BY book)"
-PAGES = Frame(
-    "book string, page bigint, pos bigint, line string",
-    [("c", 1, k, f"Chapter {k}") for k in range(1, 6)] + [("c", 1, 9, "Contents")] + [("c", p, q, t) for p in (2, 3, 4) for q, t in enumerate([f"Chapter {p - 1}", "Some prose that goes on for a while here.", "More prose that goes on for a while here too."])]
-    + [("d", p, q, t) for p in range(1, 9) for q, t in enumerate((["A bare title", "Long prose goes on and on over the whole line."] if p in (2, 5) else ["Long prose goes on and on over the whole line.", "And more of the prose that fills up the line."]))]
-    + [("e", p, q, t) for p in range(1, 9) for q, t in enumerate(["Short head", "Long prose goes on and on over the whole line."])],
-)
 
 
 def parse_numeral(spark, sf_dir):
-    return TOKENS.df(spark).select("id", S.numeral(F.col("token")).alias("value")).filter("value is not null")
+    return TOKENS.df(spark, sf_dir).select("id", S.numeral(F.col("token")).alias("value")).filter("value is not null")
 
 
 def heading_keyword(spark, sf_dir):
-    rows = HEADING_LINES.df(spark).withColumn("h", S.keyword_heading(F.col("line")))
-    return rows.filter("h is not null").select("id", "h.level", F.coalesce("h.number", F.lit(0)).alias("number"), "h.title")
+    rows = HEADING_LINES.df(spark, sf_dir).withColumn("h", S.keyword_heading(F.col("line")))
+    return rows.filter("h is not null").select("id", "h.level", F.coalesce("h.number", F.lit(0)).alias("number"), "h.title", "h.label")
 
 
 def heading_outline(spark, sf_dir):
-    rows = HEADING_LINES.df(spark).withColumn("h", S.outline_heading(F.col("line")))
-    return rows.filter("h is not null").select("id", "h.level", F.coalesce("h.number", F.lit(0)).alias("number"), "h.title")
+    rows = HEADING_LINES.df(spark, sf_dir).withColumn("h", S.outline_heading(F.col("line")))
+    return rows.filter("h is not null").select("id", "h.level", F.coalesce("h.number", F.lit(0)).alias("number"), "h.title", "h.label")
 
 
 def heading_contents_drop(spark, sf_dir):
-    lines = PAGES.df(spark)
+    lines = PAGES.df(spark, sf_dir)
     return S.without_contents(S.headings(lines), lines).select("book", "page", "pos", "label", "level")
 
 
 def heading_loose_fallback(spark, sf_dir):
-    lines = PAGES.df(spark)
+    lines = PAGES.df(spark, sf_dir)
     return S.with_fallback(S.without_contents(S.headings(lines), lines), lines).select("book", "page", "pos", "label", "kind")
 
 
 def heading_dedupe(spark, sf_dir):
-    found = HEADS.df(spark).withColumns({"number": F.lit(None).cast("long"), "title": F.col("label"), "kind": F.lit("x")})
+    found = HEADS.df(spark, sf_dir).withColumns({"number": F.lit(None).cast("long"), "title": F.col("label"), "kind": F.lit("x")})
     return S.deduped(found).select("book", "label", "page", "pos")
 
 
-def chapters(spark):
-    heads = HEADS.df(spark)
+def chapters(spark, sf_dir):
+    heads = HEADS.df(spark, sf_dir)
     return S.spans(heads, heads.groupBy("book").agg((F.max("page") + 2).alias("last")))
 
 
 def chapter_spans(spark, sf_dir):
-    return chapters(spark).select("book", "page", "pos", "end_page")
+    return chapters(spark, sf_dir).select("book", "page", "pos", "end_page")
 
 
 def chapter_paths(spark, sf_dir):
-    return chapters(spark).select("book", "page", "pos", "parent", "path")
+    return chapters(spark, sf_dir).select("book", "page", "pos", "parent", "path")
 
 
 def chapter_lookup(spark, sf_dir):
-    rows = chapters(spark).withColumn("number", F.col("pos"))
+    rows = chapters(spark, sf_dir).withColumn("number", F.col("pos"))
     return S.find_chapter(rows, "p6").withColumn("by", F.lit("page")).unionByName(S.find_chapter(rows, "3").withColumn("by", F.lit("number"))).unionByName(S.find_chapter(rows, "h1-").withColumn("by", F.lit("label")))
 
 
 def chapter_index(spark, sf_dir):
-    return S.rendered_index(chapters(spark))
+    return S.rendered_index(chapters(spark, sf_dir))
 
 
 def front_matter(spark, sf_dir):
@@ -112,7 +94,7 @@ def _value(token):
 
 EXPECTED_NUMERALS = Frame("id bigint, value bigint", [(i, _value(t)) for i, t in TOKENS.rows if _value(t)])
 OUTLINE_SQL = r"^([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})[.)]?\s+(\S.{0,90})$"
-SQL_OUTLINE = f"""SELECT id, CAST(least(1 + len(string_split(num, '.')), 4) AS BIGINT) AS level, CAST(string_split(num, '.')[-1] AS BIGINT) AS number, title
+SQL_OUTLINE = f"""SELECT id, CAST(least(1 + len(string_split(num, '.')), 4) AS BIGINT) AS level, CAST(string_split(num, '.')[1] AS BIGINT) AS number, title, num || ' — ' || title AS label
 FROM (SELECT id, regexp_extract(line, '{OUTLINE_SQL}', 1) AS num, regexp_extract(line, '{OUTLINE_SQL}', 2) AS title FROM {HEADING_LINES.sql})
 WHERE num <> '' AND length(title) <= 80 AND NOT regexp_matches(title, '[.!?:;,]$') AND NOT regexp_matches(title, '^[a-z]')"""
 SQL_FOUND = f"""l AS (SELECT * FROM {PAGES.sql}), f AS (SELECT *, 2 AS level FROM l WHERE regexp_matches(line, '^Chapter [0-9]+$')),

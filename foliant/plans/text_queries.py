@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fixtures import Frame
 from ..operators import cleaning, retrieval
+from . import derived as D
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 BUDGET = 3000
@@ -26,12 +27,7 @@ def book_lines(spark, sf_dir):
     return T.lines(docs).withColumnRenamed("doc_id", "page").select("book", "page", "pos", "line")
 
 
-SQL_LINES = """
-lines AS (
-  SELECT doc_id, source, i - 1 AS pos, trim(part, ' ') AS line
-  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i)
-  WHERE trim(part, ' ') <> ''
-), book AS (SELECT source AS book, doc_id AS page, pos, line FROM lines)"""
+SQL_LINES = D.SQL_LINES + ", book AS (SELECT source AS book, doc_id AS page, pos, line FROM lines)"
 SQL_WORDS = f"list_filter(string_split_regex(lower(%s), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP}))"
 SQL_CLEAN = r"trim(regexp_replace(%s, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')"
 
@@ -175,7 +171,7 @@ def script_ratio(spark, sf_dir):
 
 
 def direction_vote(spark, sf_dir):
-    return cleaning.direction_votes(DIRECTIONS.df(spark), "book")
+    return cleaning.direction_votes(DIRECTIONS.df(spark, sf_dir), "book")
 
 
 def material_stats(spark, sf_dir):
@@ -232,56 +228,43 @@ LINES = Frame(
     "id bigint, line string",
     list(enumerate(["42", "- 42 -", "xiv", "page 12", "p. 3", "3 / 12", "3 of 12", "3 מתוך 12", "עמ' 42", "Chapter 3", "in 1984", "mix", "", "12345", "a 12", "* * * *", "-----", "--", "• item", "1. first", "iv) four", "a) one", "item•", "2.1 sub", "plain text", "Figure 3: a map", "fig. 2 x", "Table of things", "תרשים 2: מפה", "Tables turn", "1.4 Intro ..... 27", "Chapter One   12", "Chapter without", "part of it 7", "chart. - q"])),
 )
-DIRECTIONS = Frame(
-    "book string, page bigint, text string",
-    [("right", 1, "הוא אשר על כל זה"), ("right", 2, "לא את של גם כי"), ("wrong", 1, "אוה רשא לע לכ הז"), ("wrong", 2, "אל תא לש םג"), ("latin", 1, "plain words of a page"), ("mixed", 1, "של and לש")],
-)
-FLIPS = Frame("id bigint, line string", list(enumerate(["שלום 2024 abc", "abc", "12:30 אב", "", "a", "אבג", "x-1/2 ו 3.5", "ab cd"])))
-HYPHENS = Frame(
-    "id bigint, n bigint, line string",
-    [(1, 1, "the consid-"), (1, 2, "eration of it"), (2, 1, "ab-"), (2, 2, "cd-"), (2, 3, "ef"), (3, 1, "Well-"), (3, 2, "Known names"), (4, 1, "x-"), (4, 2, "ray"), (5, 1, "one line"), (6, 1, "multi-"), (6, 2, "ple"), (6, 3, "next line")],
-)
+CONTENTS, DIRECTIONS, MARKED, HYPHENS = D.CONTENTS, D.DIRECTIONS, D.MARKED, D.BROKEN
 
 
 def line_tests(spark, sf_dir):
     line = F.col("line")
-    return LINES.df(spark).select("id", T.is_page_number(line).alias("page_number"), T.is_contents_row(line).alias("contents_row"), T.is_decoration(line).alias("decoration"), T.is_list_item(line).alias("list_item"), T.is_caption(line).alias("caption"))
+    return LINES.df(spark, sf_dir).select("id", T.is_page_number(line).alias("page_number"), T.is_contents_row(line).alias("contents_row"), T.is_decoration(line).alias("decoration"), T.is_list_item(line).alias("list_item"), T.is_caption(line).alias("caption"))
 
 
 def page_number_filter(spark, sf_dir):
-    return doc_lines(spark, sf_dir).filter(T.is_page_number(F.col("line"))).select("doc_id", "pos", "line")
+    return MARKED.df(spark, sf_dir).filter(T.is_page_number(F.col("line"))).select("doc_id", "pos", "line")
 
 
 def decoration_filter(spark, sf_dir):
-    return doc_lines(spark, sf_dir).filter(T.is_decoration(F.col("line"))).select("doc_id", "pos")
+    return MARKED.df(spark, sf_dir).filter(T.is_decoration(F.col("line"))).select("doc_id", "pos")
 
 
 def list_items(spark, sf_dir):
-    return doc_lines(spark, sf_dir).filter(T.is_list_item(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("items"))
+    return MARKED.df(spark, sf_dir).filter(T.is_list_item(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("items"))
 
 
 def caption_lines(spark, sf_dir):
-    return doc_lines(spark, sf_dir).filter(T.is_caption(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("captions"))
+    return MARKED.df(spark, sf_dir).filter(T.is_caption(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("captions"))
 
 
 def toc_pages(spark, sf_dir):
-    return cleaning.contents_pages(CONTENTS.df(spark))
-
-
-CONTENTS = Frame(
-    "book string, page bigint, pos bigint, line string",
-    [("b", 1, k, f"{k}. Topic {k} .... {k * 7}") for k in range(1, 6)] + [("b", 2, k, t) for k, t in enumerate(["Chapter one and more 3", "Chapter two 9", "A line of prose.", "Another line.", "Chapter three 12"])] + [("b", 3, k, f"Prose {k}.") for k in range(5)] + [("b", 4, 1, "Topic .... 3")],
-)
+    return cleaning.contents_pages(CONTENTS.df(spark, sf_dir))
 
 
 def flip_line(spark, sf_dir):
-    rows = FLIPS.df(spark).withColumn("flipped", T.flip(F.col("line")))
-    return rows.select("id", "flipped", (T.flip(F.col("flipped")) == F.col("line")).alias("back"))
+    rows = doc_lines(spark, sf_dir).withColumn("flipped", T.flip(F.col("line")))
+    return rows.select("doc_id", "pos", F.md5("flipped").alias("flipped"), (T.flip(F.col("flipped")) == F.col("line")).alias("back"))
 
 
 def hyphen_join(spark, sf_dir):
+    """Lines of each document with words healed that a hyphen cut."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
-    return HYPHENS.df(spark).groupBy("id").agg(T.join_hyphens(ordered).alias("lines")).select("id", F.array_join("lines", "|").alias("lines"))
+    return HYPHENS.df(spark, sf_dir).groupBy("id").agg(T.join_hyphens(ordered).alias("lines")).select("id", F.array_join("lines", "|").alias("lines"))
 
 
 def _re(p):
@@ -342,16 +325,21 @@ r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, doc_id ORDE
     "furniture_stats": f"WITH {SQL_LINES}, {_sql_edges(0.35)}, toc AS (SELECT book, count(*) AS k FROM (SELECT book, page FROM book GROUP BY ALL HAVING count(*) >= 4 AND count(*) FILTER ({SQL_TOC}) >= 3 AND count(*) FILTER ({SQL_TOC}) >= 0.4 * count(*)) GROUP BY 1) SELECT b.book, b.n - coalesce(l.n, 0) AS headers, b.page_numbers, b.decoration, coalesce(toc.k, 0) AS contents_pages FROM (SELECT book, count(*) AS n, count(*) FILTER ({SQL_NUMBER}) AS page_numbers, count(*) FILTER ({SQL_RULE}) AS decoration FROM book GROUP BY 1) b LEFT JOIN (SELECT book, count(*) AS n FROM left_over GROUP BY 1) l USING (book) LEFT JOIN toc USING (book)",
     "material_fingerprint": "SELECT doc_id, sha256(coalesce(text, '')) AS fingerprint FROM documents",
     "script_ratio": r"SELECT doc_id, rtl, latin, CASE WHEN rtl > latin THEN 'rtl' ELSE 'ltr' END AS direction FROM (SELECT doc_id, len(regexp_extract_all(text, '[\x{0590}-\x{05ff}\x{0600}-\x{06ff}]')) AS rtl, len(regexp_extract_all(text, '[A-Za-z]')) AS latin FROM documents)",
-    "direction_vote": f"WITH v AS (SELECT book, CAST(sum(len(list_intersect(list_distinct(regexp_extract_all(text, '[\\x{{0590}}-\\x{{05ff}}]+')), {T.MARKERS}))) AS BIGINT) AS forward, CAST(sum(len(list_intersect(list_distinct(regexp_extract_all(reverse(text), '[\\x{{0590}}-\\x{{05ff}}]+')), {T.MARKERS}))) AS BIGINT) AS backward FROM {DIRECTIONS.sql} GROUP BY book) SELECT book, forward, backward, backward > forward AS flipped FROM v",
+    "direction_vote": f"WITH v AS (SELECT book, CAST(sum(len(list_intersect(list_distinct(regexp_extract_all(text, '[\\x{{0590}}-\\x{{05ff}}]+')), {T.MARKERS}))) AS BIGINT) AS forward, CAST(sum(len(list_intersect(list_distinct(regexp_extract_all(reverse(text), '[\\x{{0590}}-\\x{{05ff}}]+')), {T.MARKERS}))) AS BIGINT) AS backward FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page) AS nth FROM {DIRECTIONS.sql}) WHERE nth <= 30 GROUP BY book) SELECT book, forward, backward, backward > forward AS flipped FROM v",
     "material_stats": f"WITH {SQL_STATS} SELECT * FROM s",
     "material_gate": f"WITH {SQL_STATS} SELECT doc_id, CASE WHEN chars < 600 THEN 'too-short' WHEN digit_share > 0.3 THEN 'mostly-numbers' WHEN letter_share < 0.55 OR sentences < 3 THEN 'not-prose' WHEN vocabulary < 0.1 THEN 'repetitive' ELSE 'ok' END AS verdict FROM s",
     "worksheet_gate": f"WITH {SQL_STATS} SELECT doc_id, CASE WHEN chars < 80 THEN 'too-short' WHEN vocabulary < 0.1 THEN 'repetitive' ELSE 'ok' END AS verdict FROM s",
     "pages_html_headings": "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages",
     "digest_round_robin": f"WITH {SQL_LINES}, t AS (SELECT source, doc_id, pos, length(line) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS turn FROM lines WHERE length(line) >= 40), u AS (SELECT source, doc_id, pos, turn, CAST(sum(k) OVER (PARTITION BY source ORDER BY turn, doc_id) AS BIGINT) AS used FROM t) SELECT * FROM u WHERE used <= 5000",
     "line_tests": f"SELECT id, {SQL_NUMBER} AS page_number, {SQL_TOC} AS contents_row, {SQL_RULE} AS decoration, {SQL_ITEM} AS list_item, {SQL_CAPTION} AS caption FROM {LINES.sql}",
-    "page_number_filter": f"WITH {SQL_LINES} SELECT doc_id, pos, line FROM lines WHERE {SQL_NUMBER}",
-    "decoration_filter": f"WITH {SQL_LINES} SELECT doc_id, pos FROM lines WHERE {SQL_RULE}",
-    "list_items": f"WITH {SQL_LINES} SELECT doc_id, count(*) AS items FROM lines WHERE {SQL_ITEM} GROUP BY 1",
-    "caption_lines": f"WITH {SQL_LINES} SELECT doc_id, count(*) AS captions FROM lines WHERE {SQL_CAPTION} GROUP BY 1",
+    "page_number_filter": f"SELECT doc_id, pos, line FROM {MARKED.sql} WHERE {SQL_NUMBER}",
+    "decoration_filter": f"SELECT doc_id, pos FROM {MARKED.sql} WHERE {SQL_RULE}",
+    "list_items": f"SELECT doc_id, count(*) AS items FROM {MARKED.sql} WHERE {SQL_ITEM} GROUP BY 1",
+    "caption_lines": f"SELECT doc_id, count(*) AS captions FROM {MARKED.sql} WHERE {SQL_CAPTION} GROUP BY 1",
     "toc_pages": f"SELECT book, page, count(*) AS n, count(*) FILTER ({SQL_TOC}) AS rows FROM {CONTENTS.sql} GROUP BY ALL HAVING count(*) >= 4 AND count(*) FILTER ({SQL_TOC}) >= 3 AND count(*) FILTER ({SQL_TOC}) >= 0.4 * count(*)",
+    "flip_line": rf"WITH {SQL_LINES}, r AS (SELECT doc_id, pos, regexp_extract_all(reverse(line), '(?s)(?:[0-9A-Za-z.,:/\\-]*[0-9A-Za-z]|.)') AS p FROM lines) SELECT doc_id, pos, md5(array_to_string(list_transform(p, lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '^[0-9A-Za-z.,:/\\-]+$') THEN reverse(x) ELSE x END), '')) AS flipped, true AS back FROM r",
+    "hyphen_join": rf"""WITH l AS (SELECT id, list([line] ORDER BY n) AS l FROM {HYPHENS.sql} GROUP BY id),
+r AS (SELECT id, list_reduce(l, lambda k, x: CASE WHEN regexp_matches(k[-1], '[A-Za-zÀ-ɏ]{{2,}}-$') AND regexp_matches(x[1], '^[a-zß-ÿ]')
+  THEN list_concat(list_append(k[:-2], left(k[-1], length(k[-1]) - 1) || regexp_extract(x[1], '^(\S+)\s*', 1)), list_filter([regexp_replace(x[1], '^\S+\s*', '')], lambda y: y <> '')) ELSE list_concat(k, x) END) AS l FROM l)
+SELECT id, array_to_string(l, '|') AS lines FROM r""",
 }

@@ -15,22 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 LATENESS = "1 day"
+#: Milliseconds of a day.
+DAY = 86_400_000
 
 
-def state_dir(spark: SparkSession) -> str | None:
-    """A place for a query's state below the shared checkpoint folder, where the cluster names one."""
+def shared_dir(spark: SparkSession) -> str:
+    """A place for a query's state and results below the shared checkpoint folder; a local master gets one of its own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{top}/stream-{uuid.uuid4().hex}" if top else None
+    if top is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        top = tempfile.mkdtemp(prefix="foliant-stream-")
+    return f"{top}/stream-{uuid.uuid4().hex}"
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and returns what it has written."""
-    spark = stream.sparkSession
-    name = f"live_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    place = state_dir(spark)
-    (writer.option("checkpointLocation", place) if place else writer).start().awaitTermination()
-    return spark.table(name)
+    """Runs a stream over all that is there and returns what it has written: tasks write Parquet, a folder for each batch.
+    In complete mode the last batch counts, else all."""
+    spark, place = stream.sparkSession, shared_dir(stream.sparkSession)
+    last = [-1]
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/out/batch={number}")  # a batch that runs again writes the same
+        last[0] = number
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{place}/out/batch=-1")
+    stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{place}/state").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out/batch={last[0]}" if mode == "complete" else f"{place}/out")
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -70,30 +83,50 @@ def complete_frames(buffer: str) -> tuple[list[str], str]:
 def frame_stream(chunks: DataFrame) -> DataFrame:
     """stream_id, data: events put together from chunks (stream_id, seq, chunk) that arrive in any batches.
 
-    State: the tail without an end, the next number, and chunks that came before their turn.
+    State: the tail without an end, the next number, and chunks that came before their turn.  It goes with the stream's
+    closing [DONE]; where chunks have a time `ts`, also a day after the last one.
     """
+    timed = "ts" in chunks.columns
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tail, due, early = state.get if state.exists else ("", 0, "{}")
         held = {int(k): v for k, v in json.loads(early).items()}
+        newest, closed = 0, False
         for part in frames:
             held |= dict(zip(part["seq"].astype(int).tolist(), part["chunk"], strict=True))
+            if timed:
+                newest = max(newest, int(part["ts"].max().timestamp() * 1000))
         out = []
         while due in held:
             # a line end may be cut in two: a lone return waits for what follows
-            found, tail = complete_frames(tail + held.pop(due))
+            whole = tail + held.pop(due)
+            found, tail = complete_frames(whole)
+            closed = closed or "data: [DONE]\n" in whole.replace("\r\n", "\n")
             out += found
             due += 1
-        state.update((tail, due, json.dumps(held)))
+        if closed and not held:
+            state.remove()
+        else:
+            state.update((tail, due, json.dumps(held)))
+            if timed:
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + DAY)
         yield pd.DataFrame({"stream_id": [key[0]] * len(out), "data": out})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, data string", "tail string, due int, early string", "append", GroupStateTimeout.NoTimeout)
+    rows = chunks.withWatermark("ts", LATENESS) if timed else chunks
+    return rows.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, data string", "tail string, due int, early string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
 def allowed_calls(events: DataFrame, limit: int) -> DataFrame:
-    """event_id, user_id, day, nth, ok: a user's calls of a day numbered as they come; check and count are one step."""
+    """event_id, user_id, day, nth, ok: a user's calls of a day numbered as they come; check and count are one step.  A
+    day's count goes when the day is over and late calls can come no more."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n = state.get[0] if state.exists else 0
         for part in frames:
             part = part.sort_values(["ts", "event_id"])
@@ -101,9 +134,11 @@ def allowed_calls(events: DataFrame, limit: int) -> DataFrame:
             n += len(part)
             yield pd.DataFrame({"event_id": part["event_id"], "user_id": key[0], "day": key[1], "nth": nth, "ok": [k <= limit for k in nth]})
         state.update((n,))
+        over = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 2 * DAY
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(step, "event_id bigint, user_id bigint, day string, nth bigint, ok boolean", "n bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return rows.groupBy("user_id", "day").applyInPandasWithState(step, "event_id bigint, user_id bigint, day string, nth bigint, ok boolean", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def current_only(results: DataFrame, versions: DataFrame) -> DataFrame:

@@ -32,11 +32,11 @@ def test_short_text_is_its_own_digest(spark):
     assert digest.digests(rows, 5000).first().digest == "\n\n".join(r.text for r in rows.orderBy("pos").collect())
 
 
-def test_outputs_are_written_and_read_again(spark, tmp_path):
-    rows = blocks.markdown(L.BLOCKS.df(spark))
-    both = blocks.rendered(rows).join(blocks.manifests(L.BLOCKS.df(spark)), "doc")
+def test_outputs_are_written_and_read_again(spark, sf, tmp_path):
+    rows = blocks.markdown(L.BLOCKS.df(spark, sf))
+    both = blocks.rendered(rows).join(blocks.manifests(L.BLOCKS.df(spark, sf)), "doc")
     bundles.write_outputs(both, str(tmp_path / "out"))
     back = bundles.read_bundles(spark.read.text(str(tmp_path / "out/bundle")), "value")
-    assert back.filter("code is null").count() == 4
+    assert 100 < back.filter("code is null").count() <= back.count() == both.count()
     want = {r.doc: r.markdown for r in both.collect()}
     assert {r.part: r.markdown for r in back.collect()} == want
