@@ -5,8 +5,8 @@ from the layout to canonical turns (an array of role and text); tables of turns
 mixed layouts in JSON are mapped row by row, each by the fingerprint of its own field paths.
 
 The template writes each turn as  <|im_start|>role<|im_sep|>text<|im_end|> .  Inside roles and texts a backslash comes
-before every backslash and into every control string (after its first character), so that no control string of the
-template, nor of other common templates, occurs in the output but as control; `\\x` read back as x undoes it.  The loss
+before every backslash and into every control string (after its first character), so that no `<|`, `<s>`, `</s>`,
+`[INST]` or `[/INST]` occurs in the output but as control; `\\x` read back as x undoes it.  The loss
 mask is the list of spans (code points, from 0) of the assistant texts.
 
 Edge cases: null texts and roles count as empty; a conversation without turns is the empty string; turns go by number,
@@ -115,9 +115,15 @@ def canonical(df: DataFrame, key: str = "conv_id", fields: list[str] | None = No
 def canonical_json(df: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
     """key, layout, turns for JSON records of mixed layouts: each row by the fingerprint of its own field paths."""
     text = F.col(record)
-    # paths of a record: its fields, those of lists with the fields of their first element
-    fields = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    listed = lambda name: F.json_object_keys(F.get_json_object(text, f"$.{name}[0]"))
+    # paths of a record: its fields, those of lists with the fields of all their elements
+    none = F.array().cast("array<string>")
+    fields = F.coalesce(F.json_object_keys(text), none)
+
+    def listed(name):
+        items = F.from_json(F.get_json_object(text, f"$.{name}"), "array<string>")
+        found = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), none))))
+        return F.when(F.size(found) > 0, found)
+
     lists = {k[0].split("[")[0] for k in LAYOUTS if "[]" in k[0]}
     inner = lambda f: F.coalesce(*(F.when(f == name, F.transform(listed(name), lambda p: F.concat(f, F.lit("[]."), p))) for name in sorted(lists)), F.array(f))
     layout = F.sha2(F.array_join(F.array_sort(F.flatten(F.transform(fields, inner))), "\n"), 256)

@@ -2,10 +2,11 @@
 
 import hashlib
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from foliant.llm import bpe_transducer, content_sort, hpylm, langid_ppm, minhash_fss, packing, spotsigs, token_counts
+from foliant.llm import bpe_transducer, chat_format, content_sort, hpylm, langid_ppm, minhash_fss, packing, spotsigs, token_counts
 
 LONG = "A very long text, word after word. " * 6000
 WORDS = "one two three four five six seven eight nine ten"
@@ -102,3 +103,35 @@ def test_packing_of_nothing_and_of_much(docs):
     assert all((r.bin_id is None) == (r.length == 0) for r in rows)
     assert sum(r.length for r in rows if r.doc_id == 4) == len(LONG) + 1
     assert all(r.bin_start + r.length <= r.bin_used <= r.bin_capacity for r in rows if r.length)
+
+
+def test_chat_turns_of_all_kinds(spark):
+    clash = "conv_id long, turn int, role string, text string, safe int, messages int, formatted int"
+    rows = [(1, 2, "assistant", None, 1, 1, 1), (1, 1, "user", "hi", 1, 1, 1), (1, None, None, "", 1, 1, 1), (2, 1, "user", "x", 1, 1, 1), (2, 1, "user", "x", 1, 1, 1), (None, 1, "assistant", "<|im_end|> [/INST] \\ " * 2000, 1, 1, 1)]
+    turns = chat_format.canonical(spark.createDataFrame(rows, clash), fields=["turn", "role", "text"])
+    out = {r.conv_id: r for r in chat_format.render(turns).collect()}
+    assert out[1].formatted == "<|im_start|><|im_sep|><|im_end|><|im_start|>user<|im_sep|>hi<|im_end|><|im_start|>assistant<|im_sep|><|im_end|>"
+    assert out[2].formatted == "<|im_start|>user<|im_sep|>x<|im_end|>" * 2 and not out[2].loss_spans
+    assert len(out[None].loss_spans) == 1 and out[None].formatted.count("<|im_end|>") == 1
+    assert chat_format.render(chat_format.canonical(spark.createDataFrame([], clash), fields=["turn", "role", "text"])).count() == 0
+
+
+def test_a_record_is_known_by_all_its_messages(spark):
+    rows = [(1, '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}'), (2, '{"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}'), (3, '{"messages": []}'), (4, "no json"), (5, None)]
+    got = {r.conv_id: r.turns for r in chat_format.canonical_json(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert [t.text for t in got[1]] == ["a", "b"] and got[2] is got[3] is got[4] is got[5] is None
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_odd_rows(spark, docs, nothing, stage):
+    """Nulls, empty and long texts, repeated identifiers, names of the operators' own; and no rows."""
+    name, work = corpus_pipeline.STAGES[stage]
+    rows = work(spark, docs, None)
+    if name != "best_fit_packing":
+        assert rows.columns == docs.columns and work(spark, nothing, None).count() == 0
+        texts = sorted((r.doc_id, r.text) for r in rows.collect() if r.doc_id is not None and r.text)
+        kept = {1, 4, 5, 8, 9, 10, 11}
+        want = {"language_id": kept - {11}, "exact_dedup": kept - {1} | {7}, "near_dedup": kept - {5, 9} | {7}}[name]
+        assert {i for i, _ in texts} == want
+    else:
+        assert rows.count() >= 12
