@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 SCHEMA = "foliant/1"
-DEPTH = 6
 
 
 def bundle(markdown: Column, manifest: Column) -> Column:
@@ -21,22 +22,24 @@ def read_bundles(raw: DataFrame, text: str = "raw", least: int = 20) -> DataFram
     return raw.withColumns({"code": bad, "markdown": get("$.markdown"), "manifest": get("$.manifest")})
 
 
-def outline(rows: DataFrame, key: str, manifest: str = "manifest") -> DataFrame:
-    """key, n, depth, title, level, page_start, page_end: the nested outline in document order; at most DEPTH levels."""
-    fields = "title:string,level:bigint,page_start:bigint,page_end:bigint"
-    kind = f"struct<{fields}>"
-    for _ in range(DEPTH - 1):
-        kind = f"struct<{fields},children:array<{kind}>>"
-    level = rows.select(key, F.posexplode(F.from_json(F.get_json_object(manifest, "$.outline"), f"array<{kind}>")).alias("at", "node")).withColumn("path", F.array("at"))
-    out = None
-    for depth in range(1, DEPTH + 1):
-        own = level.select(key, "path", F.lit(depth).cast("long").alias("depth"), "node.title", "node.level", "node.page_start", "node.page_end")
-        out = own if out is None else out.unionByName(own)
-        if depth < DEPTH:
-            level = level.select(key, F.col("path").alias("up"), F.posexplode("node.children").alias("at", "node")).select(key, "node", F.concat("up", F.array("at")).alias("path"))
-    from pyspark.sql import Window
-
-    return out.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("path")).cast("long")).drop("path")
+def outline(rows: DataFrame, key: str, manifest: str = "manifest", least: int = 1) -> DataFrame:
+    """key, n, depth, title, level, page_start, page_end: the nested outline in document order, however deep; documents
+    with fewer than `least` headings have none."""
+    get = lambda path: F.get_json_object("node", path)
+    nodes = lambda text: F.posexplode(F.from_json(text, "array<string>")).alias("at", "node")
+    level = rows.select(key, nodes(F.get_json_object(manifest, "$.outline"))).withColumn("path", F.array("at"))
+    found, depth = [], 1
+    while True:
+        own = level.select(key, "path", F.lit(depth).cast("long").alias("depth"), get("$.title").alias("title"), *(get(f"$.{c}").cast("long").alias(c) for c in ("level", "page_start", "page_end")))
+        found.append(own)
+        level = level.select(key, F.col("path").alias("up"), nodes(get("$.children"))).select(key, "node", F.concat("up", F.array("at")).alias("path"))
+        if level.isEmpty():
+            break
+        depth += 1
+    out = reduce(DataFrame.unionByName, found)
+    own = Window.partitionBy(key)
+    out = out.withColumn("n", F.row_number().over(own.orderBy("path")).cast("long")).withColumn("_all", F.count("*").over(own))
+    return out.filter(F.col("_all") >= least).drop("path", "_all")
 
 
 class PageTextSource(DataSource):
