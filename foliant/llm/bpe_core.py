@@ -1,4 +1,8 @@
-"""Byte-pair merge tables: exact merging, sufficient lookahead, token pairs that may stand side by side."""
+"""Byte-pair merge tables: exact merging, sufficient lookahead, token pairs that may stand side by side.
+
+Edge cases: an empty piece has no tokens; of equal pairs in a piece the leftmost merges first; symbols without a rule
+stay as they are.
+"""
 
 from __future__ import annotations
 

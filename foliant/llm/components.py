@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large and small stars; nothing is collected."""
+"""Connected components of an edge table, by alternating large and small stars; nothing is collected.
+
+Edge cases: an edge from a node to itself or with a null end links nothing and is left out; repeated edges, and an edge
+both ways round, are one; no edges give no rows; further columns are ignored.
+"""
 
 from __future__ import annotations
 

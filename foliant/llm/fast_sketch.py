@@ -1,4 +1,8 @@
-"""Word shingles as sorted 64-bit sets, and fast similarity sketches of them."""
+"""Word shingles as sorted 64-bit sets, and fast similarity sketches of them.
+
+Edge cases: a null text and one without words have the empty set, which is not sketched; a text of fewer words than a
+shingle is one shingle; repeated shingles count once; texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
