@@ -127,7 +127,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, least: int, key: st
     wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
     sets = shingles_of(docs, wanted, words, key, text)
     blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_blocks"))
-    members = pairs.join(blocks, "b").withColumn("_block", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int"))
+    # few pivots have more than a block, so that pairs need not meet by pivot to learn it
+    members = pairs.join(blocks.filter("_blocks > 1"), "b", "left")
+    members = members.withColumn("_block", F.coalesce(F.pmod(F.xxhash64("a"), F.col("_blocks")), F.lit(0)).cast("int"))
     members = members.join(sets.withColumnRenamed("_id", "a"), "a").select("b", "_block", "a", "_set")
     heads = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(sets.withColumnRenamed("_id", "b"), "b")
     heads = heads.select("b", "_block", F.lit(None).cast("long").alias("a"), "_set")
