@@ -168,10 +168,11 @@ def compound(principal: Column, percent: Column, years: Column) -> Column:
 
 
 def quadratic(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
-    """The real roots, smaller first; null without one."""
+    """The real roots, smaller first; null without one.  A root of zero has no sign."""
     d = b * b - 4 * a * c
     root = F.when((d >= 0) & (a != 0), F.sqrt(d))
-    return F.round(F.least((-b - root) / (2 * a), (-b + root) / (2 * a)), 6), F.round(F.greatest((-b - root) / (2 * a), (-b + root) / (2 * a)), 6)
+    one, other = (-b - root) / (2 * a), (-b + root) / (2 * a)
+    return F.round(F.least(one, other), 6) + F.lit(0.0), F.round(F.greatest(one, other), 6) + F.lit(0.0)
 
 
 def polygon_angle(sides: Column) -> Column:

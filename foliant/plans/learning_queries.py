@@ -196,7 +196,7 @@ SELECT lesson, row_number() OVER (PARTITION BY lesson ORDER BY key) AS place, ki
     "chronology_gaps": f"SELECT max(year) - min(year) AS span, min(gap) AS least_gap, max(gap) AS most_gap FROM (SELECT year, year - lag(year) OVER (ORDER BY year) AS gap FROM {YEARS.sql})",
     "ranked_comparison": f"SELECT id, value, row_number() OVER (ORDER BY value DESC) AS rank FROM {YEARS.sql}",
     "compound_interest": "SELECT years, round(1000 * pow(1.1, years), 6) AS amount FROM (SELECT unnest(range(1, 11)) AS years)",
-    "quadratic_roots": f"SELECT id, round(least((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) AS low, round(greatest((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) AS high FROM (SELECT *, b * b - 4 * a * c AS d FROM {QUADRATICS.sql})",
+    "quadratic_roots": f"SELECT id, round(least((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) + 0.0 AS low, round(greatest((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) + 0.0 AS high FROM (SELECT *, b * b - 4 * a * c AS d FROM {QUADRATICS.sql})",
     "polygon_angles": "SELECT sides, round((n - 2) * 180.0 / n, 6) AS angle FROM (SELECT sides, greatest(3, least(12, sides)) AS n FROM (SELECT unnest(range(1, 15)) AS sides))",
     "binary_digits": "SELECT n, bin(n) AS digits FROM (SELECT unnest(range(0, 64)) AS n)",
     "punnett": f"SELECT id, CASE WHEN ascii(x) <= ascii(y) THEN x || y ELSE y || x END AS genotype, count(*) AS n FROM (SELECT id, substr(mother, i, 1) AS x, substr(father, j, 1) AS y FROM {CROSSES.sql}, (SELECT unnest([1, 2]) AS i), (SELECT unnest([1, 2]) AS j)) GROUP BY ALL",
