@@ -50,3 +50,11 @@ def text_or_empty(col: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrow_schema(kind: str):
+    """The Arrow schema of a DDL string; made on the driver, where a session is."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(kind))

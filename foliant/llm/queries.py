@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_format, content_sort, hpylm, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
+from . import bpe_transducer, chat_format, content_sort, fst_repair, hpylm, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
 from .common import table
 
 
@@ -37,6 +37,7 @@ def queries():
         "op8_token_counts": op8_token_counts,
         "op9_minhash_near_dedup": minhash_fss.query,
         "op10_language_ppm": langid_ppm.query,
+        "op12_fst_repair": fst_repair.query,
     }
 
 
