@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_format, content_sort, fst_repair, hpylm, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
+from . import bpe_transducer, chat_format, content_sort, dual_tree, fst_repair, hpylm, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
 from .common import table
 
 
@@ -37,9 +37,10 @@ def queries():
         "op8_token_counts": op8_token_counts,
         "op9_minhash_near_dedup": minhash_fss.query,
         "op10_language_ppm": langid_ppm.query,
+        "op11_dual_tree_negatives": dual_tree.query,
         "op12_fst_repair": fst_repair.query,
     }
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat_format.ORACLE, "op7_content_sort": content_sort.ORACLE, "op9_minhash_near_dedup": minhash_fss.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op7_content_sort": content_sort.ORACLE, "op9_minhash_near_dedup": minhash_fss.ORACLE, "op11_dual_tree_negatives": dual_tree.ORACLE}
