@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_format, content_sort, dual_tree, fst_repair, hpylm, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
+from . import bpe_transducer, chat_format, content_sort, dual_tree, fst_repair, hpylm, html_tree, langid_ppm, merkle_warc, minhash_fss, packing, spotsigs, token_counts
 from .common import table
 
 
@@ -39,6 +39,7 @@ def queries():
         "op10_language_ppm": langid_ppm.query,
         "op11_dual_tree_negatives": dual_tree.query,
         "op12_fst_repair": fst_repair.query,
+        "op13_html_tree": html_tree.query,
     }
 
 
