@@ -11,7 +11,7 @@ still beat what that gave.  The first search asks for the best rows of the ancho
 these positives, for the best rows of other labels inside a band below its score.  A pair of blocks is one row of a join on
 the block's unique key, so no key is hot: a node with many rows, copies of one vector say, is just more blocks.
 
-The sample (SAMPLE rows, least hashes) places the cuts only; every row is indexed and the result is exact.
+The sample (SAMPLE rows, by hash) places the cuts only; every row is indexed and the result is exact.
 
 Edge cases: rows with a null label or vector, or with a null or non-finite component, take no part; shorter vectors count
 as filled up with zeros; rows with the anchor's own vec_id are not its positives; a null vec_id is never an anchor and comes
@@ -359,10 +359,11 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     spark = vectors.sparkSession
     small_batches(spark, 16)
     rows = eligible(vectors)
-    sample = [r.q for r in rows.orderBy(F.xxhash64("vec_id", "q"), "vec_id", "label").limit(SAMPLE).select("q").collect()]
     total = rows.agg(F.count("*").alias("n"), F.count(F.when(is_anchor, 1)).alias("anchors"), F.max(F.size("q")).alias("width")).first()
     if not total.anchors:
         return spark.createDataFrame([], OUT)
+    one_in = math.ceil(total.n / SAMPLE)  # by hash; the limit holds where equal rows share one
+    sample = [r.q for r in rows.filter(F.pmod(F.xxhash64("vec_id", "q"), F.lit(one_in)) == 0).select("q").limit(SAMPLE).collect()]
     nodes = lambda n, each: min(NODES, 2 ** math.ceil(math.log2(max(1, n / each))))
     cands = blocks(rows, placing(sample, nodes(total.n, ROWS)), ROWS, LEAF, total.width)
     anchors = blocks(rows.filter(is_anchor), placing(sample, nodes(total.anchors, ANCHORS)), ANCHORS, GROUP, total.width)

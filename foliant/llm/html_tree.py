@@ -326,10 +326,13 @@ def fit(sources: list[str]) -> Model:
 
 
 def train(pages: DataFrame, body: str = "html") -> Model:
-    """The model of `html_pages` and of a bounded sample of the table's labelled rows."""
+    """The model of `html_pages` and of a bounded sample of the table's labelled rows.  The sample is chosen by hashes, which
+    are all that is ordered; then only the rows of these hashes are fetched, each text once."""
     c = F.col(body).cast("string")
-    own = pages.select(c.alias("_html")).filter((F.length("_html") <= SAMPLE_CHARS) & F.col("_html").rlike("(?i)<(article|main)[\\s>]"))
-    return fit([r._html for r in own.orderBy(F.xxhash64("_html"), "_html").limit(SAMPLE).collect()])
+    own = pages.select(c.alias("_html")).filter((F.length("_html") <= SAMPLE_CHARS) & F.col("_html").rlike("(?i)<(article|main)[\\s>]")).withColumn("_h", F.xxhash64("_html"))
+    picked = [r._h for r in own.select("_h").distinct().orderBy("_h").limit(SAMPLE).collect()]
+    rows = own.filter(F.col("_h").isin(picked)).groupBy("_h").agg(F.min("_html").alias("_html")).collect() if picked else []
+    return fit([r._html for r in sorted(rows, key=lambda r: r._h)])
 
 
 def blocks(pages: DataFrame, model: Model, key: str = "page_id", body: str = "html") -> DataFrame:
