@@ -51,18 +51,6 @@ def anchors(lines: DataFrame, boxes: DataFrame, share: float = 0.6) -> DataFrame
     return pairs.groupBy(*PAGE, F.col("b_seq").alias("box")).agg(F.coalesce(held, below, F.coalesce(F.max("l_seq"), F.lit(-1)) + 1).alias("anchor"))
 
 
-def captions(figures: DataFrame, lines: DataFrame, band: float = 0.25, least: float = 60.0) -> DataFrame:
-    """doc, page, box, line: each figure's nearest caption line within max(band of its height, least) above or below it and at
-    least half inside its width; a line goes to its nearest figure."""
-    pairs = prefixed(figures, "b_").join(prefixed(lines.filter("caption"), "l_"), PAGE)
-    gap = F.greatest(F.col("l_top") - F.col("b_bottom"), F.col("b_top") - F.col("l_bottom"), F.lit(0.0))
-    inside = F.least("l_x1", "b_x1") - F.greatest("l_x0", "b_x0") >= 0.5 * (F.col("l_x1") - F.col("l_x0"))
-    near = pairs.withColumn("gap", gap).filter(inside & (F.col("gap") <= F.greatest(band * (F.col("b_bottom") - F.col("b_top")), F.lit(least))))
-    of_line = F.row_number().over(Window.partitionBy(*PAGE, "l_seq").orderBy("gap", "b_seq"))
-    of_box = F.row_number().over(Window.partitionBy(*PAGE, "b_seq").orderBy("gap", "l_seq"))
-    return near.withColumn("k", of_line).filter("k = 1").withColumn("k", of_box).filter("k = 1").select(*PAGE, F.col("b_seq").alias("box"), F.col("l_seq").alias("line"))
-
-
 #: The page of a reader without geometry, in points.
 PLAIN_WIDTH, PLAIN_HEIGHT = 595.0, 842.0
 
@@ -82,53 +70,78 @@ def body_size(lines: DataFrame) -> DataFrame:
 
 
 def size_ranks(lines: DataFrame, body: DataFrame, factor: float = 1.12, least: int = 8, near: float = 0.92, most: int = 4) -> DataFrame:
-    """doc, ranks: up to four heading sizes, largest first; a size within 0.92 of the last rank belongs to it."""
+    """doc, ranks: up to four heading sizes, largest first; a size above 0.92 of the last rank belongs to it."""
     sizes = lines.join(body, "doc").filter(F.col("size") >= factor * F.col("body")).groupBy("doc", F.bround("size", 1).alias("s")).agg(F.sum(F.char_length("text")).alias("chars")).filter(F.col("chars") >= least)
-    fold = lambda kept, s: F.when((F.size(kept) > 0) & (s >= near * F.try_element_at(kept, F.lit(-1))), kept).otherwise(F.concat(kept, F.array(s)))
+    fold = lambda kept, s: F.when((F.size(kept) > 0) & (s > near * F.try_element_at(kept, F.lit(-1))), kept).otherwise(F.concat(kept, F.array(s)))
     return sizes.groupBy("doc").agg(F.slice(F.aggregate(F.sort_array(F.collect_list("s"), False), F.array().cast("array<double>"), fold), 1, most).alias("ranks"))
 
 
 def line_gap(lines: DataFrame) -> DataFrame:
-    """doc, page, gap: the median distance between lines of a column, from 0 to below four heights."""
-    w = Window.partitionBy(*PAGE, "col").orderBy("seq")
-    rows = lines.withColumn("d", F.col("top") - F.lag("bottom").over(w)).filter((F.col("d") >= 0) & (F.col("d") < 4 * F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0))))
+    """doc, page, gap: the median distance between lines that follow each other in one column, from 0 to below four heights
+    of the line before."""
+    w = Window.partitionBy(*PAGE).orderBy("seq")
+    before = {c: F.lag(c).over(w) for c in ("top", "bottom", "col")}
+    rows = lines.select(*PAGE, "col", before["col"].alias("_col"), (F.col("top") - before["bottom"]).alias("d"), F.greatest(before["bottom"] - before["top"], F.lit(1.0)).alias("_tall"))
+    rows = rows.filter((F.col("col") == F.col("_col")) & (F.col("d") >= 0) & (F.col("d") < 4 * F.col("_tall")))
     return rows.groupBy(*PAGE).agg(F.round(F.median("d"), 6).alias("gap"))
 
 
 def gutters(lines: DataFrame, width: float, share: float = 0.12, margin: float = 0.08, least_lines: int = 6) -> DataFrame:
-    """doc, page, left, right (bins): maximal runs of bins that hardly a line covers, wide enough, within the margins,
-    on pages of six lines or more, with text on both sides."""
+    """doc, page, left, right (bins): maximal runs of bins that hardly a line covers, wide enough, within the margins, on
+    pages of six lines or more, with a line wholly on either side."""
+    step = width / BINS
     at = lambda c: F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col(c) / width * BINS))).cast("long")
     covered = lines.select(*PAGE, F.explode(F.sequence(at("x0"), at("x1"))).alias("bin")).groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
-    pages = lines.groupBy(*PAGE).agg(F.count("*").alias("lines"), F.min(at("x0")).alias("first"), F.max(at("x1")).alias("last")).filter(F.col("lines") >= least_lines)
-    grid = pages.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))).alias("bin")).join(covered, [*PAGE, "bin"], "left")
-    free = grid.filter((F.coalesce("n", F.lit(0)) <= F.greatest(F.lit(1.0), share * F.col("lines"))) & F.col("bin").between(int(margin * BINS), int((1 - margin) * BINS)) & (F.col("bin") > F.col("first")) & (F.col("bin") < F.col("last")))
+    pages = lines.groupBy(*PAGE).agg(F.count("*").alias("lines"), F.min("x1").alias("_ends"), F.max("x0").alias("_starts")).filter(F.col("lines") >= least_lines)
+    inner = F.sequence(F.lit(int(margin * BINS)).cast("long"), F.lit(BINS - int(margin * BINS) - 1).cast("long"))
+    grid = pages.select("*", F.explode(inner).alias("bin")).join(covered, [*PAGE, "bin"], "left")
+    free = grid.filter(F.coalesce("n", F.lit(0)) <= F.greatest(F.lit(1.0), F.floor(share * F.col("lines"))))
     island = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    runs = free.withColumn("island", island).groupBy(*PAGE, "island").agg(F.min("bin").alias("left"), F.max("bin").alias("right"))
-    wide = (F.col("right") - F.col("left") + 1) * (width / BINS)
-    return runs.filter(wide >= max(0.035 * width, 14.0)).select(*PAGE, "left", "right")
+    runs = free.withColumn("island", island).groupBy(*PAGE, "island").agg(F.min("bin").alias("left"), F.max("bin").alias("right"), F.first("_ends").alias("_ends"), F.first("_starts").alias("_starts"))
+    wide = (F.col("right") - F.col("left") + 1) * step >= max(0.035 * width, 14.0)
+    return runs.filter(wide & (F.col("_starts") >= (F.col("right") + 1) * step) & (F.col("_ends") <= F.col("left") * step)).select(*PAGE, "left", "right")
 
 
 def columned(lines: DataFrame, found: DataFrame, width: float) -> DataFrame:
-    """`lines` with col (gutters wholly left of the middle) and crosses (whether a gutter lies inside)."""
+    """`lines` with col (gutters wholly left of the middle) and crosses (from one edge of a gutter to the other, or a point
+    less)."""
     edges = F.sort_array(F.collect_list(F.struct(((F.col("right") + 1) * (width / BINS)).alias("right"), (F.col("left") * (width / BINS)).alias("left"))))
     rows = lines.join(found.groupBy(*PAGE).agg(edges.alias("g")), PAGE, "left")
     middle = (F.col("x0") + F.col("x1")) / 2
     col = F.coalesce(F.size(F.filter("g", lambda e: e["right"] <= middle)), F.lit(0))
-    crosses = F.coalesce(F.exists("g", lambda e: (F.col("x0") < e["left"] - 1) & (F.col("x1") > e["right"] + 1)), F.lit(False))
+    crosses = F.coalesce(F.exists("g", lambda e: (F.col("x0") <= e["left"] + 1) & (F.col("x1") >= e["right"] - 1)), F.lit(False))
     return rows.withColumn("col", F.greatest(col, F.lit(0)).cast("long")).withColumn("crosses", crosses).drop("g")
 
 
+def judged(lines: DataFrame, found: DataFrame, width: float, share: float = 0.12) -> DataFrame:
+    """The gutters of `found` with at least `share` of the page's characters in the column on either side; lines that cross
+    count for none.  The columns beside a gutter that is not kept become one."""
+    rows = columned(lines.select(*PAGE, "x0", "x1", "text"), found, width).filter(~F.col("crosses"))
+    cols = rows.groupBy(*PAGE, "col").agg(F.sum(F.char_length("text")).alias("chars"))
+    pages = cols.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("col", "chars"))).alias("_chars"), F.sum("chars").alias("_all"))
+    nth = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("left")) - 1).cast("long")
+    enough = lambda k: F.coalesce(F.try_divide(F.try_element_at("_chars", k), F.col("_all")), F.lit(0.0)) >= share
+    return found.withColumn("_k", nth).join(pages, PAGE).filter(enough(F.col("_k")) & enough(F.col("_k") + 1)).select(*PAGE, "left", "right")
+
+
+def columns(lines: DataFrame, width: float) -> DataFrame:
+    """`lines` with col and crosses, by the gutters that are believed."""
+    return columned(lines, judged(lines, gutters(lines, width), width), width)
+
+
+def banded(lines: DataFrame) -> DataFrame:
+    """`lines` (col, crosses) with band: 2k - 1 for the k-th crossing line from the top, 2k for what starts at or below it."""
+    crossing = F.col("crosses").cast("long")
+    above = F.sum(crossing).over(Window.partitionBy(*PAGE).orderBy("top").rangeBetween(Window.unboundedPreceding, 0))
+    nth = F.sum(crossing).over(Window.partitionBy(*PAGE).orderBy("top", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("band", F.when(F.col("crosses"), 2 * nth - 1).otherwise(2 * above))
+
+
 def reading_order(lines: DataFrame, rtl: bool = False) -> DataFrame:
     """`lines` (col, crosses) with place: a line that crosses a gutter closes a band; in a band, column by column."""
-    down = Window.partitionBy(*PAGE).orderBy("top", "x0", "seq")
-    above = F.coalesce(F.sum(F.col("crosses").cast("long")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a crossing line stands alone between the bands
-    band = 2 * above + F.col("crosses").cast("long")
     col = F.when(F.col("crosses"), 0).otherwise(-F.col("col") if rtl else F.col("col"))
-    rows = lines.withColumn("_band", band).withColumn("_col", col)
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("_band", "_col", "top", -F.col("x0") if rtl else F.col("x0"), "seq"))
-    return rows.withColumn("place", order.cast("long")).drop("_band", "_col")
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "_col", "top", -F.col("x0") if rtl else F.col("x0"), "seq"))
+    return banded(lines).withColumn("_col", col).withColumn("place", order.cast("long")).drop("band", "_col")
 
 
 def row_runs(lines: DataFrame, width: float) -> DataFrame:

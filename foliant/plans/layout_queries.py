@@ -31,10 +31,6 @@ def object_anchor(spark, sf_dir):
     return L.anchors(SPANS.df(spark, sf_dir), FIGURES.df(spark, sf_dir))
 
 
-def caption_band_join(spark, sf_dir):
-    return L.captions(FIGURES.df(spark, sf_dir), CAPTIONS.df(spark, sf_dir))
-
-
 def body_size_mode(spark, sf_dir):
     return L.body_size(LINES.df(spark, sf_dir))
 
@@ -45,7 +41,7 @@ def heading_size_ranks(spark, sf_dir):
 
 
 def line_gap_median(spark, sf_dir):
-    return L.line_gap(L.columned(LINES.df(spark, sf_dir).drop("col"), L.gutters(LINES.df(spark, sf_dir), WIDTH), WIDTH))
+    return L.line_gap(L.columns(LINES.df(spark, sf_dir).drop("col"), WIDTH))
 
 
 def gutter_islands(spark, sf_dir):
@@ -53,11 +49,11 @@ def gutter_islands(spark, sf_dir):
 
 
 def column_assign(spark, sf_dir):
-    return L.columned(LINES.df(spark, sf_dir).drop("col"), L.gutters(LINES.df(spark, sf_dir), WIDTH), WIDTH).select("doc", "page", "seq", "col", "crosses")
+    return L.columns(LINES.df(spark, sf_dir).drop("col"), WIDTH).select("doc", "page", "seq", "col", "crosses")
 
 
 def band_order(spark, sf_dir):
-    lines = L.columned(LINES.df(spark, sf_dir).drop("col"), L.gutters(LINES.df(spark, sf_dir), WIDTH), WIDTH)
+    lines = L.columns(LINES.df(spark, sf_dir).drop("col"), WIDTH)
     return L.reading_order(lines).select("doc", "page", "seq", "place")
 
 
@@ -171,7 +167,7 @@ def page_range_parse(spark, sf_dir):
 QUERIES = {
     k.__name__: k
     for k in (
-        overlap_join, cell_fallback, swallow_anti_join, object_anchor, caption_band_join, body_size_mode, heading_size_ranks, line_gap_median, gutter_islands, column_assign, band_order, row_runs, anchored_rows,
+        overlap_join, cell_fallback, swallow_anti_join, object_anchor, body_size_mode, heading_size_ranks, line_gap_median, gutter_islands, column_assign, band_order, row_runs, anchored_rows,
         row_merge, block_classify, paragraph_islands, paragraph_texts, document_titles, chunk_pack, chunk_parts, markdown_offsets, markdown_slices, page_ranges, manifest_counts, manifest_json, block_lookup, table_render,
         bundle_check, bundle_outline_flatten, page_range_parse,
     )
@@ -183,16 +179,19 @@ SQL_CELLS = f"SELECT doc, page, c.seq AS cell, string_agg(s.text, ' ' ORDER BY s
 SQL_BODY = f"SELECT doc, arg_max(s, (chars, -fp, -fs)) AS body FROM (SELECT doc, s, sum(length(text)) AS chars, min(page) AS fp, min(seq) FILTER (page = mp) AS fs FROM (SELECT *, round_even(size, 1) AS s, min(page) OVER (PARTITION BY doc, round_even(size, 1)) AS mp FROM {LINES.sql}) GROUP BY ALL) GROUP BY doc"
 SQL_GUTTERS = f"""
 cov AS (SELECT doc, page, bin, count(*) AS n FROM (SELECT doc, page, unnest(range(CAST(least(159, greatest(0, floor(x0 / 600 * 160))) AS BIGINT), CAST(least(159, greatest(0, floor(x1 / 600 * 160))) AS BIGINT) + 1)) AS bin FROM {LINES.sql}) GROUP BY ALL),
-pg AS (SELECT doc, page, count(*) AS k, min(floor(x0 / 600 * 160)) AS first, max(floor(x1 / 600 * 160)) AS last FROM {LINES.sql} GROUP BY ALL HAVING count(*) >= 6),
-free AS (SELECT doc, page, b.bin, b.bin - row_number() OVER (PARTITION BY doc, page ORDER BY b.bin) AS island FROM pg CROSS JOIN (SELECT unnest(range(0, 160)) AS bin) b LEFT JOIN cov USING (doc, page, bin) WHERE coalesce(n, 0) <= greatest(1, 0.12 * k) AND b.bin BETWEEN 12 AND 147 AND b.bin > first AND b.bin < last),
-gut AS (SELECT doc, page, min(bin) AS g_left, max(bin) AS g_right FROM free GROUP BY doc, page, island HAVING (max(bin) - min(bin) + 1) * 3.75 >= 21),
-cols AS (SELECT l.*, (SELECT count(*) FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 < g_left * 3.75 - 1 AND l.x1 > (g_right + 1) * 3.75 + 1) AS crosses FROM {LINES.sql} l)"""
+pg AS (SELECT doc, page, count(*) AS k, min(x1) AS ends, max(x0) AS starts FROM {LINES.sql} GROUP BY ALL HAVING count(*) >= 6),
+free AS (SELECT doc, page, ends, starts, b.bin, b.bin - row_number() OVER (PARTITION BY doc, page ORDER BY b.bin) AS island FROM pg CROSS JOIN (SELECT unnest(range(12, 148)) AS bin) b LEFT JOIN cov USING (doc, page, bin) WHERE coalesce(n, 0) <= greatest(1, floor(0.12 * k))),
+gut AS (SELECT doc, page, min(bin) AS g_left, max(bin) AS g_right FROM free GROUP BY doc, page, island HAVING (max(bin) - min(bin) + 1) * 3.75 >= 21 AND max(starts) >= (max(bin) + 1) * 3.75 AND min(ends) <= min(bin) * 3.75),
+raw AS (SELECT l.*, (SELECT count(*) FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 <= g_left * 3.75 + 1 AND l.x1 >= (g_right + 1) * 3.75 - 1) AS crosses FROM {LINES.sql} l),
+side AS (SELECT doc, page, c, sum(length(text)) / sum(sum(length(text))) OVER (PARTITION BY doc, page) AS part FROM raw WHERE NOT crosses GROUP BY doc, page, c),
+held AS (SELECT g.* FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY g_left) - 1 AS i FROM gut) g JOIN side a ON a.doc = g.doc AND a.page = g.page AND a.c = i JOIN side b ON b.doc = g.doc AND b.page = g.page AND b.c = i + 1 WHERE a.part >= 0.12 AND b.part >= 0.12),
+cols AS (SELECT l.*, (SELECT count(*) FROM held g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM held g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 <= g_left * 3.75 + 1 AND l.x1 >= (g_right + 1) * 3.75 - 1) AS crosses FROM {LINES.sql} l)"""
 SQL_MD = f"""m AS (SELECT *, CASE WHEN kind = 'footnote' THEN 1 ELSE 0 END AS foot, length(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'quote' THEN '> ' || text WHEN 'footnote' THEN '[^' || seq || ']: ' || text ELSE text END) AS n FROM {BLOCKS.sql}),
 k AS (SELECT *, CASE WHEN page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc ORDER BY foot, seq) AND kind <> 'footnote' THEN length('<!-- page ' || page || ' -->') + 2 ELSE 0 END AS mark FROM m),
 o AS (SELECT doc, seq, kind, page, CAST(coalesce(sum(mark + n + 2) OVER (PARTITION BY doc ORDER BY foot, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + mark AS BIGINT) AS md_start, n FROM k)"""
 SQL_RANKS = f"""
 sz AS (SELECT doc, s, row_number() OVER (PARTITION BY doc ORDER BY s DESC) AS k FROM (SELECT l.doc, round_even(size, 1) AS s, sum(length(text)) AS n FROM {LINES.sql} l JOIN ({SQL_BODY}) b ON b.doc = l.doc WHERE size >= 1.12 * body GROUP BY ALL) WHERE n >= 8),
-rk AS (SELECT doc, k, [s] AS ranks FROM sz WHERE k = 1 UNION ALL SELECT z.doc, z.k, CASE WHEN z.s >= 0.92 * rk.ranks[-1] THEN rk.ranks ELSE list_append(rk.ranks, z.s) END FROM rk JOIN sz z ON z.doc = rk.doc AND z.k = rk.k + 1),
+rk AS (SELECT doc, k, [s] AS ranks FROM sz WHERE k = 1 UNION ALL SELECT z.doc, z.k, CASE WHEN z.s > 0.92 * rk.ranks[-1] THEN rk.ranks ELSE list_append(rk.ranks, z.s) END FROM rk JOIN sz z ON z.doc = rk.doc AND z.k = rk.k + 1),
 ranks AS (SELECT doc, arg_max(ranks, k)[1:4] AS ranks FROM rk GROUP BY doc)"""
 SIGNS = B.MATH_SIGNS.replace("^", r"\^")
 RE = {"item": "|".join((T.BULLET, T.NUMBERED, T.BULLET_RTL)), "end": B.SENTENCE_END.replace("'", "''"), "foot": B.FOOTNOTE, "caption": T.CAPTION, "outline": r"^([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})[.)]?\s+(\S.{0,90})$"}
@@ -204,7 +203,7 @@ kinds AS (SELECT *, CASE WHEN level > 0 THEN 'heading' WHEN top >= 0.72 * {HEIGH
   WHEN length(t) BETWEEN 2 AND 200 AND len(regexp_extract_all(t, '[{SIGNS}]')) >= 2 AND len(regexp_extract_all(t, '[{SIGNS}]')) >= 0.08 * length(t) AND len(regexp_extract_all(t, '\p{{L}}')) <= 0.6 * length(t) AND len(list_filter(string_split_regex(t, '\s+'), lambda w: length(w) > 2 AND regexp_matches(w, '^\p{{L}}+$'))) <= 4 THEN 'formula'
   WHEN regexp_matches(t, '{RE["item"]}') THEN 'list' ELSE 'paragraph' END AS kind FROM le)"""
 SQL_ASSEMBLED = f"""{SQL_KINDS},
-gaps AS (SELECT doc, page, round(median(d), 6) AS gap FROM (SELECT *, top - lag(bottom) OVER (PARTITION BY doc, page, col ORDER BY seq) AS d FROM {LINES.sql}) WHERE d >= 0 AND d < 4 * greatest(bottom - top, 1) GROUP BY ALL),
+gaps AS (SELECT doc, page, round(median(d), 6) AS gap FROM (SELECT *, top - lag(bottom) OVER w AS d, greatest(lag(bottom) OVER w - lag(top) OVER w, 1) AS tall, lag(col) OVER w AS before FROM {LINES.sql} WINDOW w AS (PARTITION BY doc, page ORDER BY seq)) WHERE col = before AND d >= 0 AND d < 4 * tall GROUP BY ALL),
 every AS (SELECT doc, page, seq AS spot, 0 AS obj, kind, text, level, x0, x1, top, bottom, col FROM kinds UNION ALL SELECT doc, page, seq, 1, 'figure', '', NULL, NULL, NULL, NULL, NULL, NULL FROM {FIGURES.sql}),
 placed AS (SELECT e.*, gap, row_number() OVER (PARTITION BY e.doc ORDER BY e.page, spot, obj, kind, text) AS place FROM every e LEFT JOIN gaps USING (doc, page)),
 prev AS (SELECT *, lag(kind) OVER w AS p_kind, lag(page) OVER w AS p_page, lag(col) OVER w AS p_col, lag(x0) OVER w AS p_x0, lag(x1) OVER w AS p_x1, lag(bottom) OVER w AS p_bottom, coalesce(regexp_matches(lag(text) OVER w, '{RE["end"]}'), false) AS ended, sum(CASE WHEN kind <> 'paragraph' THEN 1 ELSE 0 END) OVER w AS part FROM placed WINDOW w AS (PARTITION BY doc ORDER BY place)),
@@ -228,17 +227,14 @@ ORACLE = {
     "cell_fallback": f"SELECT doc, page, k.seq AS cell, coalesce(o.text, 'cell ' || k.seq) AS text FROM {CELLS.sql} k LEFT JOIN ({SQL_CELLS}) o USING (doc, page) WHERE o.cell = k.seq UNION ALL SELECT doc, page, seq, 'cell ' || seq FROM {CELLS.sql} k WHERE NOT EXISTS (SELECT 1 FROM ({SQL_CELLS}) o WHERE o.doc = k.doc AND o.page = k.page AND o.cell = k.seq)",
     "swallow_anti_join": f"SELECT doc, page, seq FROM {SPANS.sql} s WHERE NOT EXISTS (SELECT 1 FROM {CELLS.sql} c WHERE c.seq < 3 AND c.doc = s.doc AND c.page = s.page AND {SC} >= 0.6)",
     "object_anchor": f"SELECT b.doc, b.page, b.seq AS box, coalesce(min(s.seq) FILTER ({OV.format(a='s', b='b')} >= 0.6), min(s.seq) FILTER (s.top >= b.bottom), coalesce(max(s.seq), -1) + 1) AS anchor FROM {FIGURES.sql} b LEFT JOIN {SPANS.sql} s ON s.doc = b.doc AND s.page = b.page GROUP BY ALL",
-    "caption_band_join": f"""WITH near AS (SELECT doc, page, b.seq AS box, l.seq AS line, greatest(l.top - b.bottom, b.top - l.bottom, 0) AS gap, b.bottom - b.top AS h FROM {FIGURES.sql} b JOIN {CAPTIONS.sql} l USING (doc, page) WHERE caption AND least(l.x1, b.x1) - greatest(l.x0, b.x0) >= 0.5 * (l.x1 - l.x0)),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc, page, line ORDER BY gap, box) AS of_line FROM near WHERE gap <= greatest(0.25 * h, 60)), m AS (SELECT *, row_number() OVER (PARTITION BY doc, page, box ORDER BY gap, line) AS of_box FROM k WHERE of_line = 1)
-SELECT doc, page, box, line FROM m WHERE of_box = 1""",
     "body_size_mode": SQL_BODY,
     "heading_size_ranks": f"""WITH RECURSIVE s AS (SELECT doc, s, row_number() OVER (PARTITION BY doc ORDER BY s DESC) AS k FROM (SELECT l.doc, round_even(size, 1) AS s, sum(length(text)) AS n FROM {LINES.sql} l JOIN ({SQL_BODY}) b ON b.doc = l.doc WHERE size >= 1.12 * body GROUP BY ALL) WHERE n >= 8),
-r AS (SELECT doc, k, [s] AS ranks FROM s WHERE k = 1 UNION ALL SELECT s.doc, s.k, CASE WHEN s.s >= 0.92 * r.ranks[-1] THEN r.ranks ELSE list_append(r.ranks, s.s) END FROM r JOIN s ON s.doc = r.doc AND s.k = r.k + 1)
+r AS (SELECT doc, k, [s] AS ranks FROM s WHERE k = 1 UNION ALL SELECT s.doc, s.k, CASE WHEN s.s > 0.92 * r.ranks[-1] THEN r.ranks ELSE list_append(r.ranks, s.s) END FROM r JOIN s ON s.doc = r.doc AND s.k = r.k + 1)
 SELECT doc, array_to_string(list_transform(arg_max(ranks, k)[1:4], lambda x: printf('%.1f', x)), ' ') AS ranks FROM r GROUP BY doc""",
-    "line_gap_median": f"WITH {SQL_GUTTERS} SELECT doc, page, round(median(d), 6) AS gap FROM (SELECT *, top - lag(bottom) OVER (PARTITION BY doc, page, c ORDER BY seq) AS d FROM cols) WHERE d >= 0 AND d < 4 * greatest(bottom - top, 1) GROUP BY ALL",
+    "line_gap_median": f"WITH {SQL_GUTTERS} SELECT doc, page, round(median(d), 6) AS gap FROM (SELECT *, top - lag(bottom) OVER w AS d, greatest(lag(bottom) OVER w - lag(top) OVER w, 1) AS tall, lag(c) OVER w AS before FROM cols WINDOW w AS (PARTITION BY doc, page ORDER BY seq)) WHERE c = before AND d >= 0 AND d < 4 * tall GROUP BY ALL",
     "gutter_islands": f"WITH {SQL_GUTTERS} SELECT doc, page, g_left AS \"left\", g_right AS \"right\" FROM gut",
     "column_assign": f"WITH {SQL_GUTTERS} SELECT doc, page, seq, c AS col, crosses FROM cols",
-    "band_order": f"WITH {SQL_GUTTERS}, b AS (SELECT *, 2 * coalesce(sum(CAST(crosses AS INT)) OVER (PARTITION BY doc, page ORDER BY top, x0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CAST(crosses AS INT) AS band FROM cols) SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY band, CASE WHEN crosses THEN 0 ELSE c END, top, x0, seq) AS place FROM b",
+    "band_order": f"WITH {SQL_GUTTERS}, b AS (SELECT *, CASE WHEN crosses THEN 2 * sum(CAST(crosses AS INT)) OVER (PARTITION BY doc, page ORDER BY top, seq) - 1 ELSE 2 * sum(CAST(crosses AS INT)) OVER (PARTITION BY doc, page ORDER BY top RANGE UNBOUNDED PRECEDING) END AS band FROM cols) SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY band, CASE WHEN crosses THEN 0 ELSE c END, top, x0, seq) AS place FROM b",
     "row_runs": f"WITH r AS (SELECT *, CAST(floor(top / 30) AS BIGINT) AS \"row\" FROM {SPANS.sql}), g AS (SELECT *, coalesce(x0 - lag(x1) OVER w > 30, false) AS new FROM r WINDOW w AS (PARTITION BY doc, page, \"row\" ORDER BY x0, seq)) SELECT doc, page, seq, \"row\", CAST(sum(CAST(new AS INT)) OVER (PARTITION BY doc, page, \"row\" ORDER BY x0, seq) AS BIGINT) AS run FROM g",
     "anchored_rows": f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY top, x0, seq) AS k FROM {SPANS.sql}),
 a AS (SELECT doc, page, seq, k, top AS anchor, CAST(0 AS BIGINT) AS "row" FROM s WHERE k = 1 UNION ALL SELECT s.doc, s.page, s.seq, s.k, CASE WHEN s.top - a.anchor <= 6 THEN a.anchor ELSE s.top END, CASE WHEN s.top - a.anchor <= 6 THEN a."row" ELSE a."row" + 1 END FROM a JOIN s ON s.doc = a.doc AND s.page = a.page AND s.k = a.k + 1)
