@@ -86,47 +86,69 @@ def line_gap(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.round(F.median("d"), 6).alias("gap"))
 
 
-def gutters(lines: DataFrame, width: float, share: float = 0.12, margin: float = 0.08, least_lines: int = 6) -> DataFrame:
-    """doc, page, left, right (bins): maximal runs of bins that hardly a line covers, wide enough, within the margins, on
-    pages of six lines or more, with a line wholly on either side."""
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often `then` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def paged(lines: DataFrame, *more: Column) -> DataFrame:
+    """doc, page, lines: a physical page's boxes in one array."""
+    rest = [c for c in lines.columns if c not in PAGE]
+    return lines.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("lines"), *more)
+
+
+def gutters_of(lines: Column, width: float, share: float = 0.12, margin: float = 0.08, least_lines: int = 6) -> Column:
+    """The gutters of a page's boxes as (left, right) bins: maximal runs of bins that hardly a line covers, wide enough,
+    within the margins, on pages of six lines or more, with a line wholly on either side."""
+    step = width / BINS
+    at = lambda x: F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(x / width * BINS))).cast("int")
+    spans = F.transform(lines, lambda x: F.struct(at(x["x0"]).alias("a"), at(x["x1"]).alias("b")))
+    first, last = int(margin * BINS), BINS - int(margin * BINS) - 1
+    most = F.greatest(F.lit(1), F.floor(share * F.size(lines)).cast("int"))
+    free = let(spans, lambda own: F.transform(F.sequence(F.lit(first), F.lit(last)), lambda b: F.size(F.filter(own, lambda s: (s["a"] <= b) & (s["b"] >= b))) <= most))
+    bins = F.sequence(F.lit(0), F.lit(last - first))
+    is_free = lambda f, k: F.coalesce(F.get(f, k), F.lit(False))
+    left, right = (lambda f: F.filter(bins, lambda k: is_free(f, k) & ~is_free(f, k - 1))), (lambda f: F.filter(bins, lambda k: is_free(f, k) & ~is_free(f, k + 1)))
+    runs = let(free, lambda f: F.zip_with(left(f), right(f), lambda a, b: F.struct((a + first).cast("long").alias("left"), (b + first).cast("long").alias("right"))))
+    starts, ends = F.array_max(F.transform(lines, lambda x: x["x0"])), F.array_min(F.transform(lines, lambda x: x["x1"]))
+    wide = lambda r: (r["right"] - r["left"] + 1) * step >= max(0.035 * width, 14.0)
+    sides = let(F.struct(starts.alias("s"), ends.alias("e")), lambda m: F.filter(runs, lambda r: wide(r) & (m["s"] >= (r["right"] + 1) * step) & (m["e"] <= r["left"] * step)))
+    return F.when(F.size(lines) >= least_lines, sides).otherwise(F.slice(runs, 1, 0))
+
+
+def column_of(x: Column, found: Column, width: float) -> Column:
+    """The column of box x: gutters wholly left of its middle."""
+    return F.size(F.filter(found, lambda g: (g["right"] + 1) * (width / BINS) <= (x["x0"] + x["x1"]) / 2)).cast("long")
+
+
+def crosses(x: Column, found: Column, width: float) -> Column:
+    """Whether box x goes from one edge of a gutter to the other, or a point less."""
     step = width / BINS
-    at = lambda c: F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col(c) / width * BINS))).cast("long")
-    covered = lines.select(*PAGE, F.explode(F.sequence(at("x0"), at("x1"))).alias("bin")).groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
-    pages = lines.groupBy(*PAGE).agg(F.count("*").alias("lines"), F.min("x1").alias("_ends"), F.max("x0").alias("_starts")).filter(F.col("lines") >= least_lines)
-    inner = F.sequence(F.lit(int(margin * BINS)).cast("long"), F.lit(BINS - int(margin * BINS) - 1).cast("long"))
-    grid = pages.select("*", F.explode(inner).alias("bin")).join(covered, [*PAGE, "bin"], "left")
-    free = grid.filter(F.coalesce("n", F.lit(0)) <= F.greatest(F.lit(1.0), F.floor(share * F.col("lines"))))
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    runs = free.withColumn("island", island).groupBy(*PAGE, "island").agg(F.min("bin").alias("left"), F.max("bin").alias("right"), F.first("_ends").alias("_ends"), F.first("_starts").alias("_starts"))
-    wide = (F.col("right") - F.col("left") + 1) * step >= max(0.035 * width, 14.0)
-    return runs.filter(wide & (F.col("_starts") >= (F.col("right") + 1) * step) & (F.col("_ends") <= F.col("left") * step)).select(*PAGE, "left", "right")
-
-
-def columned(lines: DataFrame, found: DataFrame, width: float) -> DataFrame:
-    """`lines` with col (gutters wholly left of the middle) and crosses (from one edge of a gutter to the other, or a point
-    less)."""
-    edges = F.sort_array(F.collect_list(F.struct(((F.col("right") + 1) * (width / BINS)).alias("right"), (F.col("left") * (width / BINS)).alias("left"))))
-    rows = lines.join(found.groupBy(*PAGE).agg(edges.alias("g")), PAGE, "left")
-    middle = (F.col("x0") + F.col("x1")) / 2
-    col = F.coalesce(F.size(F.filter("g", lambda e: e["right"] <= middle)), F.lit(0))
-    crosses = F.coalesce(F.exists("g", lambda e: (F.col("x0") <= e["left"] + 1) & (F.col("x1") >= e["right"] - 1)), F.lit(False))
-    return rows.withColumn("col", F.greatest(col, F.lit(0)).cast("long")).withColumn("crosses", crosses).drop("g")
-
-
-def judged(lines: DataFrame, found: DataFrame, width: float, share: float = 0.12) -> DataFrame:
-    """The gutters of `found` with at least `share` of the page's characters in the column on either side; lines that cross
-    count for none.  The columns beside a gutter that is not kept become one."""
-    rows = columned(lines.select(*PAGE, "x0", "x1", "text"), found, width).filter(~F.col("crosses"))
-    cols = rows.groupBy(*PAGE, "col").agg(F.sum(F.char_length("text")).alias("chars"))
-    pages = cols.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("col", "chars"))).alias("_chars"), F.sum("chars").alias("_all"))
-    nth = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("left")) - 1).cast("long")
-    enough = lambda k: F.coalesce(F.try_divide(F.try_element_at("_chars", k), F.col("_all")), F.lit(0.0)) >= share
-    return found.withColumn("_k", nth).join(pages, PAGE).filter(enough(F.col("_k")) & enough(F.col("_k") + 1)).select(*PAGE, "left", "right")
-
-
-def columns(lines: DataFrame, width: float) -> DataFrame:
-    """`lines` with col and crosses, by the gutters that are believed."""
-    return columned(lines, judged(lines, gutters(lines, width), width), width)
+    return F.exists(found, lambda g: (x["x0"] <= g["left"] * step + 1) & (x["x1"] >= (g["right"] + 1) * step - 1))
+
+
+def believed(lines: Column, found: Column, width: float, share: float = 0.12) -> Column:
+    """The gutters with at least `share` of the page's characters in the column on either side; lines that cross count for
+    none.  The columns beside a gutter that is not kept become one."""
+    own = F.transform(F.filter(lines, lambda x: ~crosses(x, found, width)), lambda x: F.struct(column_of(x, found, width).alias("col"), F.char_length(x["text"]).alias("n")))
+    chars = lambda rows, k: F.aggregate(rows, F.lit(0), lambda n, r: n + F.when((k < 0) | (r["col"] == k), r["n"]).otherwise(0))
+    enough = lambda rows, total, k: F.coalesce(F.try_divide(chars(rows, k), total), F.lit(0.0)) >= share
+    return let(own, lambda rows: let(chars(rows, F.lit(-1)), lambda total: F.filter(found, lambda g, k: enough(rows, total, k) & enough(rows, total, k + 1))))
+
+
+def gutters(lines: DataFrame, width: float) -> DataFrame:
+    """doc, page, left, right (bins): the gutters of every page, believed or not."""
+    return paged(lines.select(*PAGE, "x0", "x1")).select(*PAGE, F.inline(gutters_of(F.col("lines"), width)))
+
+
+def columns(lines: DataFrame, width: float, *more: Column) -> DataFrame:
+    """`lines` with col and crosses, by the gutters that are believed, and with what `more` aggregates of their page; one
+    exchange, by page."""
+    rest = [c for c in lines.columns if c not in PAGE]
+    placed = lambda found: F.transform("lines", lambda x: F.struct(*(x[c].alias(c) for c in rest), column_of(x, found, width).alias("col"), crosses(x, found, width).alias("crosses")))
+    kept = lambda found: believed(F.col("lines"), found, width)
+    rows = paged(lines, *more)
+    return rows.select(*(c for c in rows.columns if c != "lines"), F.inline(let(let(gutters_of(F.col("lines"), width), kept), placed)))
 
 
 def banded(lines: DataFrame) -> DataFrame:

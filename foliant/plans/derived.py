@@ -58,6 +58,35 @@ SELECT doc, page, seq, x0, top, x0 + wide AS x1, top + 12 AS bottom, text, size,
     CAST(60 + CASE WHEN two THEN 14 * floor((seq + 1) / 2) ELSE 14 * seq END + 26 * floor(seq / 7) AS DOUBLE) AS top,
     CAST(CASE length(line) % 9 WHEN 0 THEN 14 WHEN 1 THEN 9 WHEN 2 THEN 18 ELSE 11 END AS DOUBLE) AS size
   FROM (SELECT concat('d', doc_id) AS doc, {whole('1 + pos / 24')} AS page, pos % 24 AS seq, pos, line, (pos * 5 + doc_id) % 11 AS kind, pos % 24 <> 0 AND (doc_id + {whole('pos / 24')}) % 2 = 0 AS two FROM {{lines}}))""")
+#: Pieces of lines as a reader of pages gives them, on pages of one, two and three columns and with notes in the margin:
+#: every line whole, cut in two at a third, at a change of font with or without a space, or with a wide gap.
+FRAGMENTS = Derived(f"""
+SELECT doc, page, seq, x0, top, x0 + length(text) * unit AS x1, top + 10 AS bottom, trim(text) AS text, size, bold, text LIKE ' %' AS pad_left, text LIKE '% ' AS pad_right FROM (
+  SELECT doc, page, 2 * n AS seq, x0, top, substr(line, 1, cut) AS text, unit, size, doc_id % 3 = 0 AS bold FROM cut_lines
+  UNION ALL SELECT doc, page, 2 * n + 1, x0 + cut * unit + far, top + slip, substr(line, cut + 1), unit, CASE WHEN far > 0 THEN size ELSE 9.0 END, n % 5 = 1 FROM cut_lines)
+WHERE trim(text) <> ''""".replace("cut_lines", f"""(
+    SELECT *, CASE WHEN n % 3 = 0 THEN length(line) ELSE {whole('length(line) / 3')} END AS cut, CAST(CASE n % 7 WHEN 1 THEN 40 WHEN 2 THEN 3 ELSE 0 END AS DOUBLE) AS far, CAST(n % 2 AS DOUBLE) AS slip, CAST(least(5.0, wide / length(line)) AS DOUBLE) AS unit FROM (
+      SELECT *, CAST(CASE WHEN n = 0 AND kind > 0 THEN 480 WHEN kind = 0 THEN 440 WHEN kind = 1 THEN 190 WHEN kind = 2 THEN 120 WHEN n % 4 = 3 THEN 20 ELSE 330 END AS DOUBLE) AS wide,
+        CAST(CASE WHEN n = 0 AND kind > 0 THEN 55 WHEN kind = 1 THEN 60 + 260 * (n % 2) WHEN kind = 2 THEN 55 + 165 * (n % 3) WHEN kind = 3 AND n % 4 = 3 THEN 480 ELSE 60 END AS DOUBLE) AS x0,
+        CAST(50 + CASE kind WHEN 1 THEN 16 * floor((n + 1) / 2) WHEN 2 THEN 16 * floor((n + 2) / 3) ELSE 16 * n END AS DOUBLE) AS top, CAST(CASE WHEN n = 0 THEN 16 ELSE 11 END AS DOUBLE) AS size
+      FROM (SELECT doc_id, concat('d', doc_id) AS doc, {whole('1 + pos / 30')} AS page, pos % 30 AS n, line, (doc_id + {whole('pos / 30')}) % 4 AS kind FROM {{lines}})))"""))
+#: Lines, tables, images and drawings of crowded pages; some lines are captions.
+OBJECT_LINES = Derived(f"""
+SELECT doc, page, seq, x0, top, x0 + wide AS x1, top + 10 AS bottom, text FROM (
+  SELECT concat('d', doc_id) AS doc, {whole('1 + pos / 60')} AS page, pos % 60 AS seq, CAST(60 + 90 * (length(line) % 3) AS DOUBLE) AS x0, CAST(40 + 13 * (pos % 60) AS DOUBLE) AS top, CAST(least(300, 20 + 5 * length(line)) AS DOUBLE) AS wide,
+    CASE pos % 5 WHEN 0 THEN concat('Figure ', pos, ': ', line) WHEN 3 THEN concat('Table ', pos, ' - ', line) ELSE line END AS text FROM {{lines}})""")
+TABLES = Derived(f"""
+SELECT doc, page, seq, x0, top, x0 + wide AS x1, top + tall AS bottom FROM (
+  SELECT concat('d', doc_id) AS doc, {whole('1 + pos / 60')} AS page, pos % 60 AS seq, CAST(50 + 20 * (length(line) % 7) AS DOUBLE) AS x0, CAST(30 + (pos * 41 + length(line)) % 720 AS DOUBLE) AS top, CAST(150 + length(line) % 250 AS DOUBLE) AS wide, CAST(15 + length(line) % 50 AS DOUBLE) AS tall
+  FROM {{lines}} WHERE length(line) % 4 = 0)""")
+IMAGES = Derived(f"""
+SELECT doc, page, seq, x0, top, x0 + wide AS x1, top + tall AS bottom FROM (
+  SELECT concat('d', doc_id) AS doc, {whole('1 + pos / 60')} AS page, pos % 60 AS seq, CAST((pos * 37 + length(line) * 3) % 300 AS DOUBLE) AS x0, CAST((pos * 53 + length(line)) % 600 AS DOUBLE) AS top, CAST(20 + length(line) * 7 % 500 AS DOUBLE) AS wide, CAST(20 + length(line) * 11 % 700 AS DOUBLE) AS tall
+  FROM {{lines}} WHERE length(line) % 5 = 1)""")
+DRAWINGS = Derived(f"""
+SELECT doc, page, 1000 + seq AS seq, x0, top, x0 + wide AS x1, top + tall AS bottom FROM (
+  SELECT concat('d', doc_id) AS doc, {whole('1 + pos / 60')} AS page, pos % 60 AS seq, CAST(40 + 180 * (pos % 3) + length(line) % 120 AS DOUBLE) AS x0, CAST(40 + 250 * ({whole('pos / 3')} % 3) + length(line) * 13 % 150 AS DOUBLE) AS top, CAST(4 + length(line) % 45 AS DOUBLE) AS wide, CAST(3 + length(line) * 3 % 50 AS DOUBLE) AS tall FROM {{lines}})""")
+PAGE_SIZES = Derived(f"SELECT DISTINCT concat('d', doc_id) AS doc, {whole('1 + pos / 60')} AS page, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, doc_id % 5 = 0 AS scanned FROM {{lines}}")
 SPANS = Derived(f"""
 SELECT doc, page, seq, x0, top, x0 + 40 AS x1, top + 10 AS bottom, text FROM (
   SELECT concat('d', doc_id) AS doc, {whole('1 + pos / 30')} AS page, pos AS seq, CAST((pos * 37 + doc_id * 13) % 280 AS DOUBLE) AS x0, CAST((pos * 29 + doc_id * 7) % 95 AS DOUBLE) AS top, concat('s', pos) AS text FROM {{lines}})""")

@@ -177,15 +177,21 @@ OV = "greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0
 SC = OV.format(a="s", b="c")
 SQL_CELLS = f"SELECT doc, page, c.seq AS cell, string_agg(s.text, ' ' ORDER BY s.top, s.x0, s.text) AS text FROM {SPANS.sql} s JOIN {CELLS.sql} c USING (doc, page) WHERE {SC} >= 0.7 GROUP BY ALL"
 SQL_BODY = f"SELECT doc, arg_max(s, (chars, -fp, -fs)) AS body FROM (SELECT doc, s, sum(length(text)) AS chars, min(page) AS fp, min(seq) FILTER (page = mp) AS fs FROM (SELECT *, round_even(size, 1) AS s, min(page) OVER (PARTITION BY doc, round_even(size, 1)) AS mp FROM {LINES.sql}) GROUP BY ALL) GROUP BY doc"
-SQL_GUTTERS = f"""
-cov AS (SELECT doc, page, bin, count(*) AS n FROM (SELECT doc, page, unnest(range(CAST(least(159, greatest(0, floor(x0 / 600 * 160))) AS BIGINT), CAST(least(159, greatest(0, floor(x1 / 600 * 160))) AS BIGINT) + 1)) AS bin FROM {LINES.sql}) GROUP BY ALL),
-pg AS (SELECT doc, page, count(*) AS k, min(x1) AS ends, max(x0) AS starts FROM {LINES.sql} GROUP BY ALL HAVING count(*) >= 6),
+
+def sql_columns(t: str) -> str:
+    """gut: gutters; held: those that are believed; cols: the boxes of `t` with c, their column, and crosses."""
+    return f"""
+cov AS (SELECT doc, page, bin, count(*) AS n FROM (SELECT doc, page, unnest(range(CAST(least(159, greatest(0, floor(x0 / 600 * 160))) AS BIGINT), CAST(least(159, greatest(0, floor(x1 / 600 * 160))) AS BIGINT) + 1)) AS bin FROM {t}) GROUP BY ALL),
+pg AS (SELECT doc, page, count(*) AS k, min(x1) AS ends, max(x0) AS starts FROM {t} GROUP BY ALL HAVING count(*) >= 6),
 free AS (SELECT doc, page, ends, starts, b.bin, b.bin - row_number() OVER (PARTITION BY doc, page ORDER BY b.bin) AS island FROM pg CROSS JOIN (SELECT unnest(range(12, 148)) AS bin) b LEFT JOIN cov USING (doc, page, bin) WHERE coalesce(n, 0) <= greatest(1, floor(0.12 * k))),
 gut AS (SELECT doc, page, min(bin) AS g_left, max(bin) AS g_right FROM free GROUP BY doc, page, island HAVING (max(bin) - min(bin) + 1) * 3.75 >= 21 AND max(starts) >= (max(bin) + 1) * 3.75 AND min(ends) <= min(bin) * 3.75),
-raw AS (SELECT l.*, (SELECT count(*) FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 <= g_left * 3.75 + 1 AND l.x1 >= (g_right + 1) * 3.75 - 1) AS crosses FROM {LINES.sql} l),
+raw AS (SELECT l.*, (SELECT count(*) FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM gut g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 <= g_left * 3.75 + 1 AND l.x1 >= (g_right + 1) * 3.75 - 1) AS crosses FROM {t} l),
 side AS (SELECT doc, page, c, sum(length(text)) / sum(sum(length(text))) OVER (PARTITION BY doc, page) AS part FROM raw WHERE NOT crosses GROUP BY doc, page, c),
 held AS (SELECT g.* FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY g_left) - 1 AS i FROM gut) g JOIN side a ON a.doc = g.doc AND a.page = g.page AND a.c = i JOIN side b ON b.doc = g.doc AND b.page = g.page AND b.c = i + 1 WHERE a.part >= 0.12 AND b.part >= 0.12),
-cols AS (SELECT l.*, (SELECT count(*) FROM held g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM held g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 <= g_left * 3.75 + 1 AND l.x1 >= (g_right + 1) * 3.75 - 1) AS crosses FROM {LINES.sql} l)"""
+cols AS (SELECT l.*, (SELECT count(*) FROM held g WHERE g.doc = l.doc AND g.page = l.page AND (g_right + 1) * 3.75 <= (l.x0 + l.x1) / 2) AS c, EXISTS (SELECT 1 FROM held g WHERE g.doc = l.doc AND g.page = l.page AND l.x0 <= g_left * 3.75 + 1 AND l.x1 >= (g_right + 1) * 3.75 - 1) AS crosses FROM {t} l)"""
+
+
+SQL_GUTTERS = sql_columns(LINES.sql)
 SQL_MD = f"""m AS (SELECT *, CASE WHEN kind = 'footnote' THEN 1 ELSE 0 END AS foot, length(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'quote' THEN '> ' || text WHEN 'footnote' THEN '[^' || seq || ']: ' || text ELSE text END) AS n FROM {BLOCKS.sql}),
 k AS (SELECT *, CASE WHEN page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc ORDER BY foot, seq) AND kind <> 'footnote' THEN length('<!-- page ' || page || ' -->') + 2 ELSE 0 END AS mark FROM m),
 o AS (SELECT doc, seq, kind, page, CAST(coalesce(sum(mark + n + 2) OVER (PARTITION BY doc ORDER BY foot, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + mark AS BIGINT) AS md_start, n FROM k)"""
