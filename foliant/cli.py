@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import blocks, cleaning, layout, retrieval, structure
+from .operators import blocks, cleaning, layout, manifest, retrieval, structure
 from .sources import bundles
 
 
@@ -78,7 +78,8 @@ def prepared(lines: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("doc").orderBy("page", "seq")).cast("long")
     rows = blocks.built(blocks.assembled(kinds.withColumn("place", order), layout.line_gap(boxes), layout.PLAIN_WIDTH))
     rows = rows.select("doc", F.col("block").alias("seq"), "kind", "level", "text", "items", "ordered", F.col("first_page").alias("page"))
-    return blocks.rendered(blocks.markdown(rows)).join(blocks.manifests(rows), "doc")
+    written = blocks.markdown(rows.cache()).cache()  # one book, which the map reads several times
+    return blocks.rendered(written).join(manifest.manifests(written), "doc")
 
 
 def main(args: list[str] | None = None) -> int:

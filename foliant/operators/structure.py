@@ -157,7 +157,7 @@ def spans(found: DataFrame, last_page: DataFrame) -> DataFrame:
     ancestors = F.array_compact(F.array(*(F.when((F.col("level") > k) & (F.col(f"_last{k}.level") == k), F.col(f"_last{k}.label")) for k in levels)))
     parent = pick(lambda k: F.col(f"_last{k - 1}.label") if k > 1 else F.lit(None).cast("string"))
     path = F.array_join(F.concat(ancestors, F.array("label")), " › ")
-    return rows.select("book", "page", "pos", "level", "label", F.coalesce(F.greatest("page", closing - 1), F.col("last")).alias("end_page"), parent.alias("parent"), path.alias("path"))
+    return rows.select("book", "page", "pos", "level", "label", F.when(closing.isNull(), F.col("last")).otherwise(F.greatest("page", closing - 1)).alias("end_page"), parent.alias("parent"), path.alias("path"))
 
 
 def find_chapter(chapters: DataFrame, selector: str) -> DataFrame:

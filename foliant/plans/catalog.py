@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import layout_queries, learning_queries, lesson_queries, metering_queries, reading_queries, streaming_queries, structure_queries, text_queries
+from . import chapter_queries, layout_queries, learning_queries, lesson_queries, metering_queries, reading_queries, streaming_queries, structure_queries, text_queries
 
-MODULES = (text_queries, structure_queries, metering_queries, learning_queries, layout_queries, reading_queries, streaming_queries, lesson_queries)
+MODULES = (text_queries, structure_queries, metering_queries, learning_queries, layout_queries, reading_queries, chapter_queries, streaming_queries, lesson_queries)
 
 
 def queries():

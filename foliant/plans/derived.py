@@ -113,6 +113,15 @@ PAGES = Derived(f"""
 SELECT concat('c', doc_id % 40) AS book, {whole('1 + doc_id / 40')} AS page, pos,
   CASE WHEN pos = 0 AND doc_id % 7 = 3 THEN 'A bare title' WHEN doc_id % 11 = 5 OR (doc_id + pos) % 6 = 0 THEN concat('Chapter ', 1 + pos)
     ELSE concat('Prose that goes on for ', repeat('more and ', 1 + length(line) % 9), 'no more.') END AS line FROM {{lines}}""")
+#: Books of whole lines, with headings of chapters and of their sections; some books have none.
+BOOKS = Derived(f"""
+SELECT book, page, pos, CASE kind WHEN 2 THEN concat('Chapter ', 1 + (page + pos) % 12) WHEN 3 THEN concat(1 + pos % 9, '.', 1 + page % 4, ' Names of places') ELSE line END AS line, kind AS level FROM (
+  SELECT concat('k', doc_id % 40) AS book, {whole('1 + doc_id / 40')} AS page, pos, line, CASE WHEN doc_id % 40 = 7 THEN 0 WHEN (doc_id + pos) % 9 = 0 THEN 2 WHEN (doc_id + pos) % 9 = 4 THEN 3 ELSE 0 END AS kind FROM {{lines}})""")
+#: Blocks of every kind, whole lines, four to a page.
+KINDS = Derived(f"""
+SELECT doc, seq, kind, CASE WHEN kind = 'heading' THEN 1 + (seq * seq + length(text)) % 6 ELSE 0 END AS level, text, {whole('1 + seq / 4')} AS page FROM (
+  SELECT concat('d', doc_id) AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq, line AS text,
+    CASE (length(line) + pos) % 11 WHEN 0 THEN 'heading' WHEN 1 THEN 'list' WHEN 2 THEN 'footnote' WHEN 3 THEN 'quote' WHEN 4 THEN 'table' WHEN 5 THEN 'figure' WHEN 6 THEN 'formula' WHEN 7 THEN 'heading' ELSE 'paragraph' END AS kind FROM {{lines}})""")
 #: Pages of which some are tables of contents.
 CONTENTS = Derived("""
 SELECT concat('b', doc_id % 20) AS book, doc_id AS page, pos,

@@ -81,7 +81,7 @@ def front_matter(spark, sf_dir):
 SQL_SPANS = f"""
 h AS (SELECT * FROM {HEADS.sql}),
 n AS (SELECT a.*, (SELECT arg_min(b.page, (b.page, b.pos)) FROM h b WHERE b.book = a.book AND (b.page, b.pos) > (a.page, a.pos) AND b.level <= a.level) AS closing FROM h a),
-c AS (SELECT book, page, pos, level, label, coalesce(greatest(page, closing - 1), last) AS end_page FROM n JOIN {SQL_LAST} USING (book))"""
+c AS (SELECT book, page, pos, level, label, CASE WHEN closing IS NULL THEN last ELSE greatest(page, closing - 1) END AS end_page FROM n JOIN {SQL_LAST} USING (book))"""
 
 QUERIES = {k.__name__: k for k in (parse_numeral, heading_keyword, heading_outline, heading_contents_drop, heading_loose_fallback, heading_dedupe, chapter_spans, chapter_paths, chapter_lookup, chapter_index, front_matter)}
 

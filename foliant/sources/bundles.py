@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
+from ..operators.chapters import flattened
+
 SCHEMA = "foliant/1"
 
 
@@ -25,21 +25,9 @@ def read_bundles(raw: DataFrame, text: str = "raw", least: int = 20) -> DataFram
 def outline(rows: DataFrame, key: str, manifest: str = "manifest", least: int = 1) -> DataFrame:
     """key, n, depth, title, level, page_start, page_end: the nested outline in document order, however deep; documents
     with fewer than `least` headings have none."""
-    get = lambda path: F.get_json_object("node", path)
-    nodes = lambda text: F.posexplode(F.from_json(text, "array<string>")).alias("at", "node")
-    level = rows.select(key, nodes(F.get_json_object(manifest, "$.outline"))).withColumn("path", F.array("at"))
-    found, depth = [], 1
-    while True:
-        own = level.select(key, "path", F.lit(depth).cast("long").alias("depth"), get("$.title").alias("title"), *(get(f"$.{c}").cast("long").alias(c) for c in ("level", "page_start", "page_end")))
-        found.append(own)
-        level = level.select(key, F.col("path").alias("up"), nodes(get("$.children"))).select(key, "node", F.concat("up", F.array("at")).alias("path"))
-        if level.isEmpty():
-            break
-        depth += 1
-    out = reduce(DataFrame.unionByName, found)
-    own = Window.partitionBy(key)
-    out = out.withColumn("n", F.row_number().over(own.orderBy("path")).cast("long")).withColumn("_all", F.count("*").over(own))
-    return out.filter(F.col("_all") >= least).drop("path", "_all")
+    own = rows.select(key, F.get_json_object(manifest, "$.outline").alias("_outline"))
+    out = flattened(own, key, "_outline", {"title": "string", "level": "long", "page_start": "long", "page_end": "long"})
+    return out.withColumn("_all", F.count("*").over(Window.partitionBy(key))).filter(F.col("_all") >= least).drop("_all")
 
 
 class PageTextSource(DataSource):
