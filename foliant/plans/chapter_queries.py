@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import chapters as C
+from ..operators import digest as D
 from ..operators import manifest as M
+from ..operators.lessons import heading_level
 from .derived import BOOKS, HEADS, KINDS, TITLED
 from .lesson_queries import SQL_LEVEL
 
@@ -42,6 +45,28 @@ def section_tree(spark, sf_dir):
     return rows.select("doc", "section", "level", F.md5("path").alias("path"), "chars", "total_chars")
 
 
+DIGEST = 1500
+
+
+def digest_parts(spark, sf_dir):
+    """Documents as parts, a line a passage; a heading opens a part and names it."""
+    rows = TITLED.df(spark, sf_dir).withColumn("level", heading_level(F.col("line")))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part", F.sum((F.col("level") > 0).cast("long")).over(w)).withColumn("title", F.coalesce(F.last(F.when(F.col("level") > 0, F.col("line")), ignorenulls=True).over(w), F.lit("Opening")))
+    return rows.filter("level = 0").select(F.col("doc_id").alias("doc"), "part", "title", "pos", F.col("line").alias("text"))
+
+
+def digest_depth(spark, sf_dir):
+    """Which passages of every document its digest takes, and in which round."""
+    rows = digest_parts(spark, sf_dir)
+    return D.apportioned(rows.select("doc", "part", "pos", F.char_length("text").cast("long").alias("size")), DIGEST)
+
+
+def source_digests(spark, sf_dir):
+    """The digest of every document."""
+    return D.digests(digest_parts(spark, sf_dir), DIGEST).select("doc", F.char_length("digest").cast("long").alias("chars"), F.md5("digest").alias("digest"))
+
+
 def outline_nest(spark, sf_dir):
     """Outlines nested and flattened again."""
     heads = HEADS.df(spark, sf_dir).withColumn("at", F.col("page") * 1000 + F.col("pos"))
@@ -78,7 +103,7 @@ def manifest_whole(spark, sf_dir):
     return rows.select("doc", *(get(f"$.counts.{k}").cast("long").alias(k) for k in ("blocks", "headings", "chunks", "figures")), size("pages").alias("pages"), size("blocks").alias("named"), size("outline").alias("tops"), get("$.document.page_count").cast("long").alias("page_count"), get("$.chunks[0].id").alias("first_chunk"), get("$.tables[0].id").alias("first_table"))
 
 
-QUERIES = {k.__name__: k for k in (chapter_lines, chapter_sizes, section_source, section_tree, outline_nest, manifest_sections, manifest_chunks, manifest_objects, manifest_pages, manifest_whole)}
+QUERIES = {k.__name__: k for k in (chapter_lines, chapter_sizes, section_source, section_tree, digest_depth, source_digests, outline_nest, manifest_sections, manifest_chunks, manifest_objects, manifest_pages, manifest_whole)}
 
 SQL_BOOK = f"""l AS (SELECT *, page * 100000 + pos AS spot FROM {BOOKS.sql}), h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY spot) AS n FROM l WHERE level > 0),
 c AS (SELECT l.book, l.page, l.pos, l.spot, l.line, coalesce(h.n, 0) AS n FROM l ASOF LEFT JOIN h ON h.book = l.book AND l.spot >= h.spot WHERE l.level = 0),
@@ -88,6 +113,27 @@ r AS (SELECT *, sum(CASE WHEN raw > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc
 s AS (SELECT doc, section, arg_min(line, pos) AS title, arg_min(raw, pos) AS raw, CAST(sum(CASE WHEN raw = 0 THEN length(line) ELSE 0 END) AS BIGINT) AS chars FROM r WHERE section > 0 GROUP BY ALL),
 up AS (SELECT a.*, (SELECT max(b.section) FROM s b WHERE b.doc = a.doc AND b.section < a.section AND b.raw < a.raw) AS parent, (SELECT min(b.section) FROM s b WHERE b.doc = a.doc AND b.section > a.section AND b.raw <= a.raw) AS closing FROM s a),
 tree AS (SELECT *, 1 AS level, title AS path FROM up WHERE parent IS NULL UNION ALL SELECT u.*, t.level + 1, t.path || ' > ' || u.title FROM up u JOIN tree t ON t.doc = u.doc AND t.section = u.parent)"""
+SQL_PARTS = f"""v AS (SELECT doc_id AS doc, pos, line, {SQL_LEVEL} AS level FROM {TITLED.sql}), pt AS (SELECT doc, pos, line, level, CAST(sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS part, coalesce(last_value(CASE WHEN level > 0 THEN line END IGNORE NULLS) OVER w, 'Opening') AS title FROM v WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+p AS (SELECT doc, part, title, pos, line AS text FROM pt WHERE level = 0)"""
+
+
+def sql_depth(budget: int) -> str:
+    """took: doc, part, pos and round of the passages `g` (doc, part, pos, size) that fit."""
+    return f"""a AS (SELECT *, row_number() OVER w AS i, sum(size) OVER w AS s, sum(size) OVER (PARTITION BY doc, part) AS n FROM g WINDOW w AS (PARTITION BY doc, part ORDER BY pos)), b AS (SELECT * FROM a WHERE s <= {budget}),
+o AS (SELECT *, i = 1 AND sum(CASE WHEN i = 1 THEN size ELSE 0 END) OVER (PARTITION BY doc ORDER BY part, pos) <= {budget} AS one FROM b), rest AS (SELECT doc, CAST({budget} - coalesce(sum(size) FILTER (one), 0) AS BIGINT) AS room FROM o GROUP BY doc),
+q AS (SELECT doc, part, size AS head, CAST(room * n // sum(n) OVER (PARTITION BY doc) AS BIGINT) AS fl, room * n % sum(n) OVER (PARTITION BY doc) AS fr, room FROM o JOIN rest USING (doc) WHERE i = 1), qq AS (SELECT doc, part, head, fl + CASE WHEN row_number() OVER (PARTITION BY doc ORDER BY fr DESC, part) <= room - sum(fl) OVER (PARTITION BY doc) THEN 1 ELSE 0 END AS quota FROM q),
+t AS (SELECT o.*, NOT one AND i > 1 AND s - head <= quota AS two FROM o JOIN qq USING (doc, part)), spare AS (SELECT doc, room - coalesce(sum(size) FILTER (two), 0) AS room FROM t JOIN rest USING (doc) GROUP BY doc, room),
+took AS (SELECT doc, part, pos, size, CASE WHEN one THEN 1 WHEN two THEN 2 WHEN sum(CASE WHEN one OR two THEN 0 ELSE size END) OVER (PARTITION BY doc ORDER BY part, pos) <= room THEN 3 END AS round FROM t JOIN spare USING (doc))"""
+
+
+SQL_DIGEST = f"""{SQL_PARTS},
+whole AS (SELECT doc, sum(length(text) + 2) - 2 AS chars, arg_max(text, (part, pos)) AS last, string_agg(text, chr(10) || chr(10) ORDER BY part, pos) AS text FROM p GROUP BY doc),
+g AS (SELECT doc, part, pos, length(text) + {D.MARKS} + least(length(title), {D.LABEL}) AS size FROM p SEMI JOIN (SELECT doc FROM whole WHERE chars > {DIGEST}) USING (doc)), {sql_depth(DIGEST - DIGEST // 3 - DIGEST // 10 - 40)},
+names AS (SELECT doc, part, arg_min(title, pos) AS title, sum(length(text)) AS n FROM p GROUP BY ALL), shares AS (SELECT *, floor(100.0 * n / sum(n) OVER (PARTITION BY doc) + 0.5) AS share, greatest(1, floor(({DIGEST // 3} - 12) / count(*) OVER (PARTITION BY doc)) - 9) AS room FROM names),
+outl AS (SELECT doc, left('[OUTLINE] ' || string_agg(left(title, CAST(room AS BIGINT)) || ' (' || CAST(share AS BIGINT) || '%)', '; ' ORDER BY part), {DIGEST // 3}) AS outline FROM shares GROUP BY doc),
+mk AS (SELECT p.*, lag(pos) OVER w AS b_pos, lag(part) OVER w AS b_part FROM p SEMI JOIN (SELECT * FROM took WHERE round IS NOT NULL) USING (doc, part, pos) WINDOW w AS (PARTITION BY doc ORDER BY part, pos)),
+body AS (SELECT doc, string_agg(CASE WHEN b_pos IS NOT NULL AND pos <> b_pos + 1 THEN '[...]' || chr(10) ELSE '' END || CASE WHEN part IS DISTINCT FROM b_part THEN '[' || left(title, {D.LABEL}) || ']' || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY part, pos) AS body FROM mk GROUP BY doc),
+made AS (SELECT doc, CASE WHEN chars <= {DIGEST} THEN text ELSE left(outline || chr(10) || chr(10) || coalesce(body || chr(10) || chr(10), '') || '[CLOSING] ' || left(last, {DIGEST // 10}), {DIGEST}) END AS digest FROM whole JOIN outl USING (doc) LEFT JOIN body USING (doc))"""
 SQL_OUTLINE = f"""h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, pos) AS n FROM {HEADS.sql}), up AS (SELECT a.*, (SELECT max(b.n) FROM h b WHERE b.book = a.book AND b.n < a.n AND b.level < a.level) AS parent FROM h a),
 tree AS (SELECT *, 1 AS depth FROM up WHERE parent IS NULL UNION ALL SELECT u.*, t.depth + 1 FROM up u JOIN tree t ON t.book = u.book AND t.n = u.parent)"""
 SQL_MAP = f"""m AS (SELECT *, CASE WHEN kind = 'footnote' THEN 1 ELSE 0 END AS foot, length(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'quote' THEN '> ' || text WHEN 'footnote' THEN '[^' || seq || ']: ' || text ELSE text END) AS n FROM {KINDS.sql}),
@@ -111,6 +157,8 @@ UNION ALL SELECT book, 0, 'Front matter', 1, first, coalesce((SELECT min(page) F
 q AS (SELECT book || ':' || section AS concept, book, spot, closing FROM f UNION ALL SELECT DISTINCT book || ': none', book, -1, 1000000000000 FROM l)
 SELECT concept, q.book, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, min(l.spot) AS first FROM q JOIN l ON l.book = q.book AND l.spot > q.spot AND l.spot < q.closing GROUP BY ALL""",
     "section_tree": f"WITH RECURSIVE {SQL_TREE} SELECT t.doc, section, CAST(level AS BIGINT) AS level, md5(path) AS path, chars, CAST((SELECT sum(o.chars) FROM s o WHERE o.doc = t.doc AND o.section >= t.section AND (t.closing IS NULL OR o.section < t.closing)) AS BIGINT) AS total_chars FROM tree t",
+    "digest_depth": f"WITH {SQL_PARTS}, g AS (SELECT doc, part, pos, length(text) AS size FROM p), {sql_depth(DIGEST)} SELECT doc, part, pos, size, round FROM took WHERE round IS NOT NULL",
+    "source_digests": f"WITH {SQL_DIGEST} SELECT doc, length(digest) AS chars, md5(digest) AS digest FROM made",
     "outline_nest": f"WITH RECURSIVE {SQL_OUTLINE} SELECT book, n, depth, label, level, page FROM tree",
     "manifest_sections": f"WITH RECURSIVE {SQL_MAP} SELECT doc, 's' || {PAD.format(n='sec', w=3)} AS id, seq, level, page AS page_start, CASE WHEN closing IS NULL THEN last ELSE greatest(page, closing - 1) END AS page_end, md5(path) AS path FROM tree",
     "manifest_chunks": f"WITH RECURSIVE {SQL_MAP} SELECT doc, 'c' || {PAD.format(n='(chunk + 1)', w=3)} AS id, md5(path) AS path, level, row_number() OVER (PARTITION BY doc, path ORDER BY chunk) AS part, count(*) OVER (PARTITION BY doc, path) AS parts, page_start, page_end, chars, md5(headings) AS headings, blocks, md_start, md_end FROM chunked",

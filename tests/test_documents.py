@@ -40,3 +40,57 @@ def test_outputs_are_written_and_read_again(spark, sf, tmp_path):
     assert 100 < back.filter("code is null").count() <= back.count() == both.count()
     want = {r.doc: r.markdown for r in both.collect()}
     assert {r.part: r.markdown for r in back.collect()} == want
+
+
+def test_digest_names_shares_and_labels(spark):
+    out = digest.digests(passages(spark, [8] * 12), 5000).first().digest
+    assert len(out) <= 5000 and out.startswith("[OUTLINE] Part 0 (8%); ") and "[Part 11]\n" in out and all(f"part{p} passage0" in out for p in range(12))
+    big = digest.digests(passages(spark, [8] * 12), 14000).first().digest
+    assert len(big) <= 14000 and sum(f"part{p} passage7" in big for p in range(12)) >= 1
+
+
+def test_the_long_part_gets_the_most_room(spark):
+    out = digest.digests(passages(spark, [60] + [3] * 9), 5000).first().digest
+    assert out.count("part0 passage") >= 2 and all(f"part{p} passage0" in out for p in range(10))
+
+
+def brute_depth(sizes, budget):
+    """sizes: by part, those of its passages.  The passages by (part, place) with their round."""
+    got, used = {}, 0
+    for p, own in enumerate(sizes):
+        used += own[0]
+        if used <= budget:
+            got[p, 0] = 1
+    left = budget - sum(sizes[p][0] for p, _ in got)
+    total = sum(map(sum, sizes))
+    exact = [left * sum(own) for own in sizes]
+    quota = [x // total for x in exact]
+    for p in sorted(range(len(sizes)), key=lambda p: (-(exact[p] % total), p))[: left - sum(quota)]:
+        quota[p] += 1
+    for p, own in enumerate(sizes):
+        n = 0
+        for k, x in enumerate(own[1:], 1):
+            n += x
+            if n <= quota[p]:
+                got[p, k] = 2
+    left -= sum(sizes[p][k] for (p, k), r in got.items() if r == 2)
+    n = 0
+    for p, own in enumerate(sizes):
+        for k, x in enumerate(own):
+            if (p, k) not in got or got[p, k] == 3:
+                n += x
+                if n <= left:
+                    got[p, k] = 3
+    return got
+
+
+def test_depth_by_largest_remainder(spark):
+    import random
+
+    rng = random.Random(4)
+    docs = [[[rng.randrange(5, 60) for _ in range(rng.choice((1, 2, 5, 9)))] for _ in range(rng.choice((1, 3, 7)))] for _ in range(12)]
+    rows = spark.createDataFrame([(d, p, 10 * p + k, x) for d, doc in enumerate(docs) for p, own in enumerate(doc) for k, x in enumerate(own)], "doc long, part long, pos long, size long")
+    got = {}
+    for r in digest.apportioned(rows, 300).collect():
+        got.setdefault(r.doc, {})[r.part, r.pos - 10 * r.part] = r.round
+    assert got == {d: brute_depth(doc, 300) for d, doc in enumerate(docs)}
