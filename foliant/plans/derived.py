@@ -174,6 +174,24 @@ SSE = Derived("""
 SELECT conv_id AS stream_id, turn * 2 + half AS seq, CASE WHEN half = 1 THEN concat('": ', turn, '}}', chr(10), chr(10), CASE WHEN turn % 4 = 3 THEN concat('data: [DONE]', chr(10), chr(10)) ELSE '' END)
   ELSE concat(CASE WHEN turn % 3 = 1 THEN concat(': comment', chr(10), chr(10)) ELSE '' END, CASE WHEN turn % 5 = 2 THEN 'data: cut' ELSE 'data: {{"k' END) END AS chunk
 FROM {conversations} CROSS JOIN (SELECT 0 AS half UNION ALL SELECT 1 AS half)""")
+#: A plan that a model writes, a chunk for each turn; the first concept closes in the second chunk.
+PLAN_CHUNKS = Derived("""
+SELECT conv_id AS stream_id, turn AS seq, CASE turn WHEN 0 THEN concat('{{"title": "a ', chr(92), 'u007b title", "language": "L', conv_id, '", "goals": [{{"x": 1}}], "concepts": [{{"name": "', said, '", "descr') WHEN 1 THEN concat('iption": "', said, '", "parts": [1, {{"a": "}}]"}}]}}, {{"name": "B"')
+  ELSE concat(', "more": "', said, '"') END AS chunk FROM (SELECT conv_id, turn, translate(text, concat('"', chr(92), chr(10), chr(13), chr(9)), '') AS said FROM {conversations})""")
+#: A model's answer as event frames, one or two for each turn; it ends with the fourth, or breaks before.
+ANSWER_CHUNKS = Derived("""
+SELECT conv_id AS stream_id, turn AS seq, concat(CASE WHEN turn > 0 THEN concat(chr(10), chr(10)) ELSE '' END, CASE turn WHEN 0 THEN concat('data: {{"type": "message_start", "message": {{"usage": {{"input_tokens": ', 100 + conv_id, ', "output_tokens": 1}}}}}}')
+  WHEN 3 THEN concat('data: {{"type": "message_delta", "usage": {{"output_tokens": ', 40 + length(text), '}}}}', chr(10), chr(10), 'data: {{"type": "message_stop"}}', chr(10), chr(10)) ELSE concat('data: {{"type": "message_delta", "usage": {{"output_tokens": ', 10 * turn + length(text), '}}}}') END) AS chunk FROM {conversations}""")
+#: Calls for courses and lessons, under plans of several sizes; some users are on trial.
+CALLS = Derived("""
+SELECT event_id, user_id, ts, CASE WHEN event_id % 4 = 0 THEN 'course' ELSE 'lesson' END AS kind, user_id % 6 = 0 AS trial, CASE WHEN user_id % 6 = 0 THEN 1 ELSE 1 + user_id % 3 END AS courses, 2 + user_id % 2 AS lessons FROM {events}""")
+#: Figures as a model gives them, many of which cannot be drawn.
+FIGURE_SPECS = Derived("""
+SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN concat('{{"type": "flow", "steps": ["a"', CASE WHEN event_id % 2 = 0 THEN ', "b"' ELSE '' END, ']}}') WHEN 1 THEN concat('{{"type": "bar", "bars": [{{"label": "x", "value": ', CASE WHEN event_id % 4 = 1 THEN '"much"' ELSE concat('', event_id) END, '}}]}}')
+  WHEN 2 THEN '{{"type": "sculpture"}}' WHEN 3 THEN concat('{{"type": "group", "items": [{{"type": "', CASE WHEN event_id % 2 = 0 THEN 'flow' ELSE 'group' END, '", "steps": ["a", "b"]}}]}}') WHEN 4 THEN '{{"type": "bar", "bars": "none"}}' WHEN 5 THEN 'no json' WHEN 6 THEN '[1]'
+  WHEN 7 THEN concat('{{"type": "timeline", "events": [{{"label": "a", "year": ', 1900 + event_id % 90, '}}, {{"label": "b"', CASE WHEN event_id % 2 = 0 THEN ', "year": 2000' ELSE '' END, '}}]}}') ELSE concat('{{"type": "slider", "min": ', event_id % 5, ', "max": 3, "outputs": [{{"label": "y", "expr": "', CASE WHEN event_id % 7 = 0 THEN 'window.location' ELSE 'x * 2' END, '"}}]}}') END AS spec FROM {events}""")
+LESSONS = Derived("""
+SELECT conv_id * 1000 + turn AS id, CASE turn % 4 WHEN 0 THEN concat('{{"hook": {{"text": "h', conv_id, '"}}, "cards": [{{"idea": "c"}}], "prediction": {{"question": "p', turn, '"}}, "quiz": [1]}}') WHEN 1 THEN concat('{{"cards": [1, 2], "explore": {{"insight": [', conv_id, ']}}}}') WHEN 2 THEN '[1, 2]' ELSE '{{"hook": ' END AS lesson FROM {conversations}""")
 BUNDLES = Derived("""
 SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'no json' ELSE concat('{{"schema": "', CASE WHEN doc_id % 7 = 0 THEN 'other/1' ELSE 'foliant/1' END, '", "kind": "bundle", "markdown": "', repeat('word ', doc_id % 9),
   '", "manifest": {{"outline": [{{"title": "Part ', doc_id, '", "level": 1, "page_start": 1, "page_end": 5, "children": [{{"title": "One", "level": 2, "page_start": 1, "page_end": 2, "children": [{{"title": "Sub", "level": 3, "page_start": 2, "page_end": 2}}]}}, {{"title": "Two", "level": 2, "page_start": 3, "page_end": 5}}]}}, {{"title": "End ',
