@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 BINS = 160
 PAGE = ["doc", "page"]
 
@@ -86,11 +88,6 @@ def line_gap(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.round(F.median("d"), 6).alias("gap"))
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value worked out once however often `then` uses it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def paged(lines: DataFrame, *more: Column) -> DataFrame:
     """doc, page, lines: a physical page's boxes in one array."""
     rest = [c for c in lines.columns if c not in PAGE]

@@ -70,6 +70,15 @@ WHERE trim(text) <> ''""".replace("cut_lines", f"""(
         CAST(CASE WHEN n = 0 AND kind > 0 THEN 55 WHEN kind = 1 THEN 60 + 260 * (n % 2) WHEN kind = 2 THEN 55 + 165 * (n % 3) WHEN kind = 3 AND n % 4 = 3 THEN 480 ELSE 60 END AS DOUBLE) AS x0,
         CAST(50 + CASE kind WHEN 1 THEN 16 * floor((n + 1) / 2) WHEN 2 THEN 16 * floor((n + 2) / 3) ELSE 16 * n END AS DOUBLE) AS top, CAST(CASE WHEN n = 0 THEN 16 ELSE 11 END AS DOUBLE) AS size
       FROM (SELECT doc_id, concat('d', doc_id) AS doc, {whole('1 + pos / 30')} AS page, pos % 30 AS n, line, (doc_id + {whole('pos / 30')}) % 4 AS kind FROM {{lines}})))"""))
+#: Books with geometry: a running head at the top of most pages, page numbers, rules, contents pages, and whole lines; some
+#: lines are of another script, in every fifth book the wrong way round.
+PRINTED = Derived(f"""
+SELECT book AS doc, page, seq, top, top + 10 AS bottom, text FROM (
+  SELECT DISTINCT book, page, CAST(0 AS BIGINT) AS seq, CAST(30 AS DOUBLE) AS top, concat('The Quarterly Review - Volume 4, page ', page) AS text FROM books WHERE page % 5 <> 0
+  UNION ALL SELECT DISTINCT book, page, CAST(100000 AS BIGINT), CAST(815 AS DOUBLE), concat('- ', page, ' -') FROM books
+  UNION ALL SELECT book, page, pos + 1, CAST(60 + (pos * 13) % 700 AS DOUBLE), CASE WHEN page % 9 = 8 THEN concat(pos, '. A part ..... ', pos * 3) WHEN (page + pos) % 17 = 3 THEN '* * * *' WHEN (page + pos) % 4 <> 1 THEN line WHEN nth % 5 = 0 THEN reverse('פרק 12 הוא אשר על כל זה') ELSE 'לא את של גם כי אשר על 7' END FROM books)
+""".replace("books", f"(SELECT doc_id % 40 AS nth, concat('k', doc_id % 40) AS book, {whole('1 + doc_id / 40')} AS page, pos, line FROM {{lines}})"))
+SHEETS = Derived(f"SELECT DISTINCT concat('k', doc_id % 40) AS doc, {whole('1 + doc_id / 40')} AS page, CAST(842 AS DOUBLE) AS height FROM {{lines}}")
 #: Lines, tables, images and drawings of crowded pages; some lines are captions.
 OBJECT_LINES = Derived(f"""
 SELECT doc, page, seq, x0, top, x0 + wide AS x1, top + 10 AS bottom, text FROM (

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import objects as O
 from ..operators import reading as R
-from .derived import DRAWINGS, FRAGMENTS, IMAGES, OBJECT_LINES, PAGE_SIZES, TABLES
+from ..operators import tidy as Y
+from .derived import DRAWINGS, FRAGMENTS, IMAGES, OBJECT_LINES, PAGE_SIZES, PRINTED, SHEETS, TABLES
 from .layout_queries import WIDTH, sql_columns
+from .text_queries import SQL_NUMBER, SQL_RULE, SQL_TOC
 
 BOX = ["x0", "top", "x1", "bottom"]
 
@@ -52,7 +54,30 @@ def caption_band_join(spark, sf_dir):
     return O.captions(IMAGES.df(spark, sf_dir), OBJECT_LINES.df(spark, sf_dir))
 
 
-QUERIES = {k.__name__: k for k in (reading_lines, drawing_clusters, figure_candidates, object_harvest, object_lines_left, caption_band_join)}
+def book_directions(spark, sf_dir):
+    """Which books were handed back the wrong way round."""
+    return Y.directions(PRINTED.df(spark, sf_dir))
+
+
+def book_languages(spark, sf_dir):
+    return Y.languages(PRINTED.df(spark, sf_dir))
+
+
+def direction_repair(spark, sf_dir):
+    """Every line of every book, the right way round."""
+    return Y.repaired(PRINTED.df(spark, sf_dir)).select("doc", "page", "seq", F.md5("text").alias("text"))
+
+
+def margin_furniture(spark, sf_dir):
+    """Why a line goes, for those that do."""
+    return Y.judged(PRINTED.df(spark, sf_dir), SHEETS.df(spark, sf_dir)).filter("reason IS NOT NULL").select("doc", "page", "seq", "reason")
+
+
+def tidy_counts(spark, sf_dir):
+    return Y.taken(PRINTED.df(spark, sf_dir), SHEETS.df(spark, sf_dir))
+
+
+QUERIES = {k.__name__: k for k in (book_directions, book_languages, direction_repair, margin_furniture, tidy_counts, reading_lines, drawing_clusters, figure_candidates, object_harvest, object_lines_left, caption_band_join)}
 
 STRUCT = "{{'kind': {k}, 'seq': seq, 'x0': x0, 'top': top, 'x1': x1, 'bottom': bottom}}"
 
@@ -109,7 +134,26 @@ got AS (SELECT doc, page, o.kind AS kind, o.seq AS seq, min(anchor) AS anchor, m
 
 
 SQL_HARVEST = sql_harvest(TABLES.sql)
+HITS = "CAST(len(list_intersect(list_distinct(regexp_extract_all({x}, '[\\x{{0590}}-\\x{{05ff}}]+')), {m})) AS BIGINT)"
+RTL = "CAST(len(regexp_extract_all({x}, '[\\x{{0590}}-\\x{{05ff}}\\x{{0600}}-\\x{{06ff}}]')) AS BIGINT)"
+
+
+def sql_samples(pages: int, chars: int) -> str:
+    return f"pg AS (SELECT doc, page, left(string_agg(text, chr(10) ORDER BY seq), {chars}) AS text, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM {PRINTED.sql} GROUP BY doc, page), sm AS (SELECT doc, left(string_agg(text, chr(10) ORDER BY page), {chars}) AS sample FROM pg WHERE n <= {pages} GROUP BY doc)"
+
+
+SQL_DIRECTIONS = f"{sql_samples(30, 20000)}, dir AS (SELECT doc, {RTL.format(x='sample')} AS letters, {HITS.format(x='sample', m=T.MARKERS)} AS forward, {HITS.format(x='reverse(sample)', m=T.MARKERS)} AS backward FROM sm), dirs AS (SELECT *, letters >= 40 AND backward > forward AS flipped FROM dir)"
+SQL_FLIP = r"array_to_string(list_transform(regexp_extract_all(reverse(text), '(?s)(?:[0-9A-Za-z.,:/\\-]*[0-9A-Za-z]|.)'), lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '^[0-9A-Za-z.,:/\\-]+$') THEN reverse(x) ELSE x END), '')"
+SQL_JUDGED = f"""rows AS (SELECT *, regexp_replace(lower(trim(text, ' ')), '[0-9]+', '#', 'g') AS fp, bottom <= 842 * 0.12 OR top >= 842 * (1 - 0.12) AS margin, trim(text, ' ') AS line FROM {PRINTED.sql}),
+many AS (SELECT doc, count(DISTINCT page) AS pages FROM rows GROUP BY 1), known AS (SELECT doc, fp, count(DISTINCT page) AS n FROM rows WHERE margin AND length(fp) BETWEEN 4 AND 90 GROUP BY ALL), furn AS (SELECT doc, fp FROM known JOIN many USING (doc) WHERE pages >= 3 AND n >= greatest(3, floor(pages * 0.35))),
+toc AS (SELECT doc, page FROM rows GROUP BY ALL HAVING count(*) >= 4 AND count(*) FILTER ({SQL_TOC.replace('(line', '(text')}) >= 3 AND count(*) FILTER ({SQL_TOC.replace('(line', '(text')}) >= 0.4 * count(*)),
+why AS (SELECT r.doc, r.page, seq, CASE WHEN toc.doc IS NOT NULL THEN 'contents' WHEN margin AND furn.doc IS NOT NULL THEN 'header' WHEN {SQL_NUMBER} THEN 'page_number' WHEN {SQL_RULE} THEN 'decoration' END AS reason FROM rows r LEFT JOIN toc ON toc.doc = r.doc AND toc.page = r.page LEFT JOIN furn ON furn.doc = r.doc AND furn.fp = r.fp)"""
 ORACLE = {
+    "book_directions": f"WITH {SQL_DIRECTIONS} SELECT * FROM dirs",
+    "book_languages": f"WITH {sql_samples(60, 40000)} SELECT doc, CASE WHEN {RTL.format(x='sample')} > len(regexp_extract_all(sample, '[A-Za-z]')) THEN 'rtl' ELSE 'ltr' END AS direction, CASE WHEN {RTL.format(x='sample')} > len(regexp_extract_all(sample, '[A-Za-z]')) THEN 'he' ELSE 'en' END AS language FROM sm",
+    "direction_repair": f"WITH {SQL_DIRECTIONS} SELECT doc, page, seq, md5(CASE WHEN flipped THEN {SQL_FLIP} ELSE text END) AS text FROM {PRINTED.sql} JOIN dirs USING (doc)",
+    "margin_furniture": f"WITH {SQL_JUDGED} SELECT * FROM why WHERE reason IS NOT NULL",
+    "tidy_counts": f"WITH {SQL_JUDGED} SELECT doc, count(*) FILTER (reason = 'header') AS headers, count(*) FILTER (reason = 'page_number') AS page_numbers, count(*) FILTER (reason = 'decoration') AS decoration, count(DISTINCT page) FILTER (reason = 'contents') AS contents_pages FROM why GROUP BY doc",
     "reading_lines": SQL_READING,
     "drawing_clusters": f"WITH RECURSIVE {SQL_CLUSTERS} SELECT doc, page, seq, x0, top, x1, bottom FROM united",
     "figure_candidates": f"WITH RECURSIVE {SQL_FIGURES} SELECT doc, page, seq, x0, top, x1, bottom, kind, CAST(paths AS BIGINT) AS paths FROM found f WHERE NOT EXISTS (SELECT 1 FROM {TABLES.sql} t WHERE t.doc = f.doc AND t.page = f.page AND {within('f', 't')} > 0.6)",
