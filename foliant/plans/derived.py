@@ -142,6 +142,17 @@ SELECT doc_id, pos, CASE (doc_id * 7 + pos) % 13 WHEN 0 THEN concat('- ', pos +
 #: Lines of which some are headings of several kinds.
 TITLED = Derived("""
 SELECT doc_id, pos, CASE (doc_id + pos) % 7 WHEN 0 THEN concat('Chapter ', 1 + pos) WHEN 1 THEN concat('Part ', pos % 3, ' of all') WHEN 2 THEN 'THE LAND' WHEN 3 THEN concat(1 + pos % 9, '.', 1 + pos % 4, ' Names') WHEN 4 THEN 'The Art of War' ELSE line END AS line FROM {lines}""")
+#: Tokens that are numbers of several writings, and their values; words among them.
+NUMERALS = Derived(f"""
+SELECT id, CASE kind WHEN 0 THEN concat('', n) WHEN 1 THEN concat(n, '.') WHEN 2 THEN concat(repeat('X', CAST(tens AS INT)), CASE ones WHEN 0 THEN '' WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' WHEN 4 THEN 'IV' WHEN 5 THEN 'V' WHEN 6 THEN 'VI' WHEN 7 THEN 'VII' WHEN 8 THEN 'VIII' ELSE 'IX' END, ':')
+  WHEN 3 THEN concat(substr('יכלמנסעפצ', CAST(1 + tens AS INT), 1), '"', substr('אבגדהוזחט', CAST(1 + ones % 9 AS INT), 1)) WHEN 4 THEN concat(substr('אבגדהוזחט', CAST(1 + ones % 9 AS INT), 1), chr(39)) WHEN 5 THEN CASE n % 3 WHEN 0 THEN 'Third' WHEN 1 THEN 'one' ELSE 'שלישי' END ELSE concat('word', ones) END AS token,
+  CASE kind WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN 10 * (tens + 1) + 1 + ones % 9 WHEN 4 THEN 1 + ones % 9 WHEN 5 THEN CASE n % 3 WHEN 1 THEN 1 ELSE 3 END END AS value
+FROM (SELECT *, {whole('n / 10')} AS tens, n % 10 AS ones FROM (SELECT doc_id * 1000 + pos AS id, (doc_id + pos) % 7 AS kind, 1 + (doc_id * 7 + length(line)) % 39 AS n FROM {{lines}}))""")
+#: Propositions, some of which are none.
+PROPOSITIONS = Derived("""
+SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'p and q' WHEN 1 THEN 'not p or q' WHEN 2 THEN 'p → q → r' WHEN 3 THEN '(p xor q) iff r' WHEN 4 THEN 'p or not p' ELSE 'p q' END AS text FROM {events}""")
+#: A table for each document: its lines and their lengths.
+GRIDS = Derived("SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN concat(line, '|x') WHEN 1 THEN concat(line, chr(10), 'y') ELSE line END AS cell, concat('', length(line)) AS size FROM {lines}")
 DIRECTIONS = Derived("""
 SELECT concat('b', doc_id % 30) AS book, doc_id AS page, CASE doc_id % 3 WHEN 0 THEN 'הוא אשר על כל זה' WHEN 1 THEN reverse('לא את של גם כי אשר על') ELSE substr(text, 1, 60) END AS text FROM {documents}""")
 #: Lines of which some end in a hyphen or begin small.

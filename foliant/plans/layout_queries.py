@@ -147,8 +147,11 @@ def block_lookup(spark, sf_dir):
 
 
 def table_render(spark, sf_dir):
-    rows = spark.range(1).select(F.array().cast("array<string>").alias("h"), F.array(F.array(F.lit("a|b"), F.lit("c")), F.array(F.lit("1"))).alias("r"))
-    return rows.select(B.table_markdown(F.col("h"), F.col("r")).alias("md"), B.table_kept(F.col("r")).alias("kept"))
+    """Each document's lines as a table: escaped, and whether it is one worth keeping."""
+    cells = F.array_sort(F.collect_list(F.struct("pos", F.array("cell", "size").alias("r"))))
+    rows = D.GRIDS.df(spark, sf_dir).groupBy("doc_id").agg(F.transform(cells, lambda x: x["r"]).alias("r"))
+    header = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("line"), F.lit("length|n"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", F.md5(B.table_markdown(header, F.col("r"))).alias("md"), B.table_kept(F.col("r")).alias("kept"))
 
 
 def bundle_check(spark, sf_dir):
@@ -260,7 +263,8 @@ SELECT doc, chunk, min(seq) AS first, max(seq) AS last, CAST(sum(n) AS BIGINT) A
     "page_ranges": f"WITH {SQL_MD} SELECT doc, page, coalesce(min(md_start) FILTER (kind <> 'footnote'), min(md_start)) AS md_start, coalesce(max(md_start + n) FILTER (kind <> 'footnote'), max(md_start + n)) AS md_end FROM o GROUP BY ALL",
     "manifest_counts": "SELECT doc, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}s" for k in ("heading", "paragraph", "list", "table", "footnote")) + f" FROM {BLOCKS.sql} GROUP BY doc",
     "manifest_json": f"SELECT doc, count(*) AS blocks, max(page) AS pages, count(*) FILTER (kind = 'heading') AS headings FROM {BLOCKS.sql} GROUP BY doc",
-    "table_render": "SELECT '| a\\|b | c |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 |  |' AS md, true AS kept",
+    "table_render": f"""WITH r AS (SELECT doc_id, pos, '| ' || replace(replace(cell, chr(10), ' '), '|', '\\|') || ' | ' || size || ' |' AS row FROM {D.GRIDS.sql}), h AS (SELECT doc_id, min(pos) AS first, count(*) AS n, string_agg(row, chr(10) ORDER BY pos) AS every, arg_min(row, pos) AS head FROM r GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '| line | length\\|n |' || chr(10) || '| --- | --- |' || chr(10) || every ELSE head || chr(10) || '| --- | --- |' || coalesce(chr(10) || (SELECT string_agg(row, chr(10) ORDER BY pos) FROM r WHERE r.doc_id = h.doc_id AND r.pos > h.first), '') END) AS md, n >= 2 AS kept FROM h""",
     "bundle_check": f"""SELECT id, CASE WHEN json_valid(raw) AND json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.schema') = 'foliant/1' AND json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.kind') = 'bundle' AND length(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.markdown')) >= 20 THEN 'ok' ELSE 'BUNDLE_INVALID' END AS code FROM {BUNDLES.sql}""",
     "bundle_outline_flatten": f"""WITH RECURSIVE good AS (SELECT id, raw FROM {BUNDLES.sql} WHERE json_valid(raw) AND json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.schema') = 'foliant/1' AND length(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.markdown')) >= 20),
 tops AS (SELECT id, unnest(CAST(json_extract(raw, '$.manifest.outline') AS JSON[])) AS node, unnest(range(0, CAST(json_array_length(raw, '$.manifest.outline') AS BIGINT))) AS place FROM good),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.fixtures import Frame
 from ..operators import learning as L
+from ..operators import logic as B
 from ..operators import mathx as X
 from . import derived as D
 
-YEARS = Frame("id bigint, year bigint, value double", [(1, 1955, 12.0), (2, 1962, 340.0), (3, 1948, 88.0)])
 NUMBERS, WORDS_, SAMPLE, EXPRESSIONS, CROSSES, SEARCHES, QUADRATICS = D.NUMBERS, D.LETTERS, D.SAMPLE, D.EXPRESSIONS, D.CROSSES, D.SEARCHES, D.QUADRATICS
 NOW = "2024-01-15 00:00:00"
 
@@ -65,10 +65,11 @@ def xp_cost_totals(spark, sf_dir):
 
 
 def step_interleave(spark, sf_dir):
-    counts = spark.range(1, 9).withColumnRenamed("id", "lesson")
-    cards = counts.select("lesson", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lesson") - 1)).alias("n"))
-    quizzes = counts.select("lesson", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("lesson") * 3 % 5))).alias("n"))
-    return L.interleaved(cards, quizzes)
+    """A conversation's questions as cards, its answers as quiz questions."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("lesson"), "role", "turn")
+    numbered = rows.withColumn("n", (F.row_number().over(Window.partitionBy("lesson", "role").orderBy("turn")) - 1).cast("long"))
+    of = lambda role: numbered.filter(F.col("role") == role).select("lesson", "n")
+    return L.interleaved(of("user"), of("assistant"))
 
 
 def streak_merge(spark, sf_dir):
@@ -97,21 +98,26 @@ def histogram(spark, sf_dir):
     return e.groupBy(F.width_bucket("value", F.lit(0.0), F.lit(100.0), F.lit(10)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def chronology_gaps(spark, sf_dir):
-    from pyspark.sql import Window
+def orders(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+
 
-    rows = YEARS.df(spark, sf_dir).withColumn("gap", F.col("year") - F.lag("year").over(Window.orderBy("year")))
-    return rows.agg((F.max("year") - F.min("year")).alias("span"), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"))
+def chronology_gaps(spark, sf_dir):
+    """The years that a customer's orders span, and the least and largest gap between those with orders."""
+    years = orders(spark, sf_dir).select("o_custkey", F.year("o_orderdate").cast("long").alias("year")).distinct()
+    rows = years.withColumn("gap", F.col("year") - F.lag("year").over(Window.partitionBy("o_custkey").orderBy("year")))
+    return rows.groupBy("o_custkey").agg((F.max("year") - F.min("year")).alias("span"), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"))
 
 
 def ranked_comparison(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return YEARS.df(spark, sf_dir).select("id", "value", F.row_number().over(Window.orderBy(F.desc("value"))).cast("long").alias("rank"))
+    """A customer's orders by price."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return orders(spark, sf_dir).select("o_custkey", F.col("o_orderkey").alias("id"), F.round("o_totalprice", 2).alias("value"), rank.cast("long").alias("rank"))
 
 
 def compound_interest(spark, sf_dir):
-    return spark.range(1, 11).select(F.col("id").alias("years"), X.compound(F.lit(1000.0), F.lit(10.0), F.col("id")).alias("amount"))
+    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("p"), (F.col("o_orderkey") % 12).cast("double").alias("percent"), (1 + F.col("o_custkey") % 10).alias("years"))
+    return rows.select("id", "years", F.round(X.compound(F.col("p"), F.col("percent"), F.col("years")), 2).alias("amount"))
 
 
 def quadratic_roots(spark, sf_dir):
@@ -119,12 +125,16 @@ def quadratic_roots(spark, sf_dir):
     return QUADRATICS.df(spark, sf_dir).select("id", low.alias("low"), high.alias("high"))
 
 
+def events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
 def polygon_angles(spark, sf_dir):
-    return spark.range(1, 15).select(F.col("id").alias("sides"), X.polygon_angle(F.col("id")).alias("angle"))
+    return events(spark, sf_dir).select("event_id", X.polygon_angle(F.col("event_id") % 15).alias("angle"))
 
 
 def binary_digits(spark, sf_dir):
-    return spark.range(0, 64).select(F.col("id").alias("n"), F.bin("id").alias("digits"))
+    return events(spark, sf_dir).select("event_id", F.bin("event_id").alias("digits"))
 
 
 def punnett(spark, sf_dir):
@@ -136,7 +146,12 @@ def binary_search_trace(spark, sf_dir):
 
 
 def truth_table(spark, sf_dir):
-    return X.truth_table(spark, 2).withColumn("either", F.col("v1") | F.col("v2")).withColumn("implies", ~F.col("v1") | F.col("v2"))
+    """The rows of the tables of all propositions."""
+    return B.table_rows(B.truth_tables(D.PROPOSITIONS.df(spark, sf_dir), "id", "text"), "id")
+
+
+def proposition_kinds(spark, sf_dir):
+    return B.kinds(B.truth_tables(D.PROPOSITIONS.df(spark, sf_dir), "id", "text"), "id")
 
 
 def expressions(spark, sf_dir):
@@ -147,7 +162,7 @@ QUERIES = {
     k.__name__: k
     for k in (
         sm2_schedule, due_lessons, practice_lessons, review_overview, warmup_pick, review_nudge, calibration, course_progress, xp_cost_totals, step_interleave, streak_merge, number_parse, gematria_sum,
-        summary_stats, summary_by_type, histogram, chronology_gaps, ranked_comparison, compound_interest, quadratic_roots, polygon_angles, binary_digits, punnett, binary_search_trace, truth_table, expressions,
+        summary_stats, summary_by_type, histogram, chronology_gaps, ranked_comparison, compound_interest, quadratic_roots, polygon_angles, binary_digits, punnett, binary_search_trace, truth_table, proposition_kinds, expressions,
     )
 }
 
@@ -166,6 +181,9 @@ def _letter_sum(value) -> str:
 _plain = lambda c: _FINAL.get(c, c)
 SQL_LETTERS = f"SELECT id, {_letter_sum(lambda c: _VALUE[_plain(c)])} AS standard, {_letter_sum(lambda c: 500 + 100 * 'ךםןףץ'.index(c) if c in _FINAL else _VALUE[c])} AS large, {_letter_sum(lambda c: _PLAIN.index(_plain(c)) + 1)} AS ordinal, {_letter_sum(lambda c: int(str(_VALUE[_plain(c)])[0]))} AS small FROM {WORDS_.sql}"
 SQL_SUMMARY = "SELECT {g}, count({v}) AS n, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(max({v}) - min({v}), 6) AS span, round(stddev_pop({v}), 6) AS deviation FROM {t} GROUP BY 1"
+SQL_TRUTH = f"""WITH n AS (SELECT id, text, CASE id % 6 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 2 END AS names FROM {D.PROPOSITIONS.sql} WHERE id % 6 < 5),
+b AS (SELECT id, names, row, row >> (names - 1) & 1 = 1 AS p, names > 1 AND row >> (names - 2) & 1 = 1 AS q, names > 2 AND row & 1 = 1 AS r FROM (SELECT *, unnest(range(0, CAST(1 << names AS BIGINT))) AS row FROM n)),
+t AS (SELECT *, CASE id % 6 WHEN 0 THEN p AND q WHEN 1 THEN NOT p OR q WHEN 2 THEN NOT p OR NOT q OR r WHEN 3 THEN (p <> q) = r ELSE true END AS holds FROM b)"""
 ORACLE = {
     "sm2_schedule": """WITH RECURSIVE r AS (SELECT user_id, event_type, CASE WHEN a >= 90 THEN 5 WHEN a >= 75 THEN 4 WHEN a >= 60 THEN 3 WHEN a >= 40 THEN 2 ELSE 1 END AS q, k, n FROM
   (SELECT user_id, event_type, event_id * 37 % 101 AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)),
@@ -182,9 +200,8 @@ SELECT user_id, event_type, round(ease, 6) AS ease, gap AS interval, reps FROM s
     "calibration": f"SELECT user_id, CASE WHEN avg(accuracy) > 90 THEN 'harder' WHEN avg(accuracy) < 60 THEN 'slower' ELSE 'none' END AS note FROM {P} WHERE completed GROUP BY 1 HAVING count(*) >= 2",
     "course_progress": f"SELECT user_id, CAST(round(100.0 * count(*) FILTER (completed) / count(*)) AS BIGINT) AS pct FROM {P} GROUP BY 1",
     "xp_cost_totals": "SELECT user_id, CAST(sum(CASE WHEN event_type <> 'click' THEN event_id % 50 ELSE 0 END) AS BIGINT) AS xp, round(sum(event_id % 1000) / 1e6 + 5 * sum(event_id % 100) / 1e6, 6) AS cost FROM events GROUP BY 1",
-    "step_interleave": """WITH l AS (SELECT unnest(range(1, 9)) AS lesson), c AS (SELECT lesson, unnest(range(0, lesson)) AS n FROM l), q AS (SELECT lesson, unnest(range(0, lesson * 3 % 5 + 1)) AS n FROM l),
-m AS (SELECT lesson, CASE WHEN lesson > 1 AND lesson * 3 % 5 + 1 > 1 THEN least(lesson - 1, (lesson * 3 % 5 + 1) // 2) ELSE 0 END AS moved FROM l),
-u AS (SELECT lesson, 'card' AS kind, n, 2.0 * n AS key FROM c UNION ALL SELECT lesson, 'quiz', n, CASE WHEN n < moved THEN 2.0 * n + 1 ELSE 1000000000.0 + n END FROM q JOIN m USING (lesson))
+    "step_interleave": """WITH r AS (SELECT conv_id AS lesson, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS n FROM conversations), k AS (SELECT lesson, count(*) FILTER (role = 'user') AS c, count(*) FILTER (role = 'assistant') AS q FROM r GROUP BY 1),
+u AS (SELECT lesson, 'card' AS kind, n, 2.0 * n AS key FROM r WHERE role = 'user' UNION ALL SELECT lesson, 'quiz', n, CASE WHEN n < CASE WHEN c > 1 AND q > 1 THEN least(c - 1, q // 2) ELSE 0 END THEN 2.0 * n + 1 ELSE 1000000000.0 + n END FROM r JOIN k USING (lesson) WHERE role = 'assistant' AND c > 0)
 SELECT lesson, row_number() OVER (PARTITION BY lesson ORDER BY key) AS place, kind, n FROM u""",
     "streak_merge": "SELECT user_id, arg_max(event_id % 13, (CAST(ts AS DATE), event_id % 13)) AS streak FROM events GROUP BY 1",
     "number_parse": rf"""WITH n AS (SELECT id, replace(replace(replace(trim(s, ' '), '"', ''), '−', '-'), '–', '-') AS s FROM {NUMBERS.sql}), v AS (SELECT id, CASE WHEN regexp_matches(s, '^-?[0-9]{{1,3}}(,[0-9]{{3}})+(\.[0-9]+)?$') THEN try_cast(replace(s, ',', '') AS DOUBLE) WHEN regexp_matches(s, '^-?[0-9]+,[0-9]+$') THEN try_cast(replace(s, ',', '.') AS DOUBLE)
@@ -193,14 +210,15 @@ SELECT lesson, row_number() OVER (PARTITION BY lesson ORDER BY key) AS place, ki
     "summary_stats": SQL_SUMMARY.format(g="g", v="v", t=SAMPLE.sql),
     "summary_by_type": SQL_SUMMARY.format(g="event_type", v="value", t="events"),
     "histogram": "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE floor(value / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1",
-    "chronology_gaps": f"SELECT max(year) - min(year) AS span, min(gap) AS least_gap, max(gap) AS most_gap FROM (SELECT year, year - lag(year) OVER (ORDER BY year) AS gap FROM {YEARS.sql})",
-    "ranked_comparison": f"SELECT id, value, row_number() OVER (ORDER BY value DESC) AS rank FROM {YEARS.sql}",
-    "compound_interest": "SELECT years, round(1000 * pow(1.1, years), 6) AS amount FROM (SELECT unnest(range(1, 11)) AS years)",
+    "chronology_gaps": "SELECT o_custkey, max(year) - min(year) AS span, min(gap) AS least_gap, max(gap) AS most_gap FROM (SELECT o_custkey, year, year - lag(year) OVER (PARTITION BY o_custkey ORDER BY year) AS gap FROM (SELECT DISTINCT o_custkey, year(o_orderdate) AS year FROM orders)) GROUP BY 1",
+    "ranked_comparison": "SELECT o_custkey, o_orderkey AS id, round(o_totalprice, 2) AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders",
+    "compound_interest": "SELECT o_orderkey AS id, 1 + o_custkey % 10 AS years, round(o_totalprice * pow(1 + (o_orderkey % 12) / 100.0, 1 + o_custkey % 10), 2) AS amount FROM orders",
     "quadratic_roots": f"SELECT id, round(least((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) + 0.0 AS low, round(greatest((-b - sqrt(d)) / (2 * a), (-b + sqrt(d)) / (2 * a)), 6) + 0.0 AS high FROM (SELECT *, b * b - 4 * a * c AS d FROM {QUADRATICS.sql})",
-    "polygon_angles": "SELECT sides, round((n - 2) * 180.0 / n, 6) AS angle FROM (SELECT sides, greatest(3, least(12, sides)) AS n FROM (SELECT unnest(range(1, 15)) AS sides))",
-    "binary_digits": "SELECT n, bin(n) AS digits FROM (SELECT unnest(range(0, 64)) AS n)",
+    "polygon_angles": "SELECT event_id, round((n - 2) * 180.0 / n, 6) AS angle FROM (SELECT event_id, greatest(3, least(12, event_id % 15)) AS n FROM events)",
+    "binary_digits": "SELECT event_id, bin(event_id) AS digits FROM events",
     "punnett": f"SELECT id, CASE WHEN ascii(x) <= ascii(y) THEN x || y ELSE y || x END AS genotype, count(*) AS n FROM (SELECT id, substr(mother, i, 1) AS x, substr(father, j, 1) AS y FROM {CROSSES.sql}, (SELECT unnest([1, 2]) AS i), (SELECT unnest([1, 2]) AS j)) GROUP BY ALL",
-    "truth_table": "SELECT \"row\", v1, v2, v1 OR v2 AS either, NOT v1 OR v2 AS implies FROM (SELECT n AS \"row\", n // 2 = 1 AS v1, n % 2 = 1 AS v2 FROM (SELECT unnest(range(0, 4)) AS n))",
+    "truth_table": f"{SQL_TRUTH} SELECT id, row, CASE WHEN names = 1 THEN CAST(row AS VARCHAR) WHEN names = 2 THEN lpad(bin(row), 2, '0') ELSE lpad(bin(row), 3, '0') END AS values, holds FROM t",
+    "proposition_kinds": f"{SQL_TRUTH} SELECT id, CASE WHEN count(*) FILTER (holds) = count(*) THEN 'always' WHEN count(*) FILTER (holds) = 0 THEN 'never' ELSE CAST(count(*) FILTER (holds) AS VARCHAR) END AS kind FROM t GROUP BY id",
     "expressions": f"SELECT id, round(CASE id % 6 WHEN 0 THEN a + b * c WHEN 1 THEN (a - b) * (a - b) WHEN 2 THEN a / nullif(CAST(c AS DOUBLE), 0) WHEN 3 THEN 4 - b * b WHEN 4 THEN abs(b - a) % 4 END, 6) AS value FROM {EXPRESSIONS.sql} WHERE id % 6 < 5 AND NOT (id % 6 = 2 AND c = 0)",
     "binary_search_trace": f"""WITH RECURSIVE r AS (SELECT id, target, CAST(0 AS BIGINT) AS lo, size - 1 AS hi, [(size - 1) // 2] AS probes FROM {SEARCHES.sql}
   UNION ALL SELECT id, target, lo2, hi2, list_append(probes, (lo2 + hi2) // 2) FROM (SELECT *, CASE WHEN probes[-1] < target THEN probes[-1] + 1 ELSE lo END AS lo2, CASE WHEN probes[-1] < target THEN hi ELSE probes[-1] - 1 END AS hi2 FROM r WHERE probes[-1] <> target))

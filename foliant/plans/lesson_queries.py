@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.fixtures import Frame
 from ..operators import lessons as L
 from . import derived as D
 
-CUT = Frame("id bigint, t string", [(1, '```json\n{"a": [1, 2]}\n```'), (2, "[1,2,3"), (3, '{"a": "cut in a str'), (4, "no json"), (5, '[{"a":1},{"b":2'), (6, 'x {"k": [1, {"z": 2}], "m"')])
 MARKUP, PARTIAL, RUNS, SPANS, OCR, PACKS, ANSWERS, SIDES, GUARDS = D.MARKUP, D.PARTIAL, D.RUNS, D.SIZED, D.OCR, D.PACKS, D.ANSWERS, D.SIDES, D.GUARDS
 
 
@@ -46,7 +44,7 @@ def lesson_progress(spark, sf_dir):
 
 
 def json_repair(spark, sf_dir):
-    return L.repaired_json(CUT.df(spark, sf_dir), "id", "t").filter("json is not null")
+    return L.repaired_json(PARTIAL.df(spark, sf_dir), "id", "t").filter("json is not null")
 
 
 def runs_to_lines(spark, sf_dir):
@@ -75,10 +73,12 @@ def prefetch_guards(spark, sf_dir):
 
 
 def option_shuffle(spark, sf_dir):
-    """Whatever the order, the correct option and its reason stay together."""
-    rows = spark.range(40).select("id", F.array(*map(F.lit, "abcd")).alias("o"), F.array(*map(F.lit, ("wa", "wb", "wc", "wd"))).alias("w"), (F.col("id") % 4).cast("int").alias("c"))
+    """Whatever the order, the correct option and its reason stay together, and no option is lost."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    of = lambda mark: F.array(*(F.concat(F.lit(mark + x), F.col("event_id")) for x in "abcd"))
+    rows = e.select(F.col("event_id").alias("id"), of("o").alias("o"), of("w").alias("w"), (F.col("event_id") % 4).cast("int").alias("c"))
     s = L.shuffled(F.col("o"), F.col("w"), F.col("c"), F.col("id"))
-    return rows.select("id", F.get(s["options"], s["correct"].cast("int")).alias("option"), F.get(s["why"], s["correct"].cast("int")).alias("why"))
+    return rows.select("id", F.get(s["options"], s["correct"].cast("int")).alias("option"), F.get(s["why"], s["correct"].cast("int")).alias("why"), F.array_join(F.array_sort(s["options"]), ",").alias("every"))
 
 
 def triangle_area(spark, sf_dir):
@@ -122,7 +122,7 @@ SELECT page, line, string_agg(text, '' ORDER BY seq) AS text, 2 * coalesce(sum(l
 FROM (SELECT id, w, i, list_filter(w, lambda x: list_contains(i, x)) AS have FROM (SELECT id, string_split(wanted, '+') AS w, string_split(installed, ',') AS i FROM {PACKS.sql}))""",
     "numeric_grading": f"""SELECT id, coalesce(abs(CASE WHEN regexp_matches(answer, '^[0-9]+,[0-9]$') THEN CAST(replace(answer, ',', '.') AS DOUBLE) WHEN contains(answer, '/') THEN CAST(string_split(answer, '/')[1] AS DOUBLE) / CAST(string_split(answer, '/')[2] AS DOUBLE) ELSE try_cast(answer AS DOUBLE) END - target) <= abs(tolerance), false) AS good FROM {ANSWERS.sql}""",
     "prefetch_guards": f"SELECT id, e AND NOT h AND o AND s AND coalesce(n, 1000000) >= 2 AS ok FROM {GUARDS.sql}",
-    "option_shuffle": "SELECT id, substr('abcd', CAST(id % 4 + 1 AS INT), 1) AS option, 'w' || substr('abcd', CAST(id % 4 + 1 AS INT), 1) AS why FROM (SELECT unnest(range(0, 40)) AS id)",
+    "option_shuffle": "SELECT event_id AS id, 'o' || substr('abcd', CAST(event_id % 4 + 1 AS INT), 1) || event_id AS option, 'w' || substr('abcd', CAST(event_id % 4 + 1 AS INT), 1) || event_id AS why, 'oa' || event_id || ',ob' || event_id || ',oc' || event_id || ',od' || event_id AS every FROM events",
     "triangle_area": f"SELECT id, round(CASE WHEN q > 0 THEN sqrt(q) END, 6) AS area FROM (SELECT id, (a+b+c)/2 * ((a+b+c)/2 - a) * ((a+b+c)/2 - b) * ((a+b+c)/2 - c) AS q FROM {SIDES.sql})",
     "plan_override": "SELECT DISTINCT user_id, CASE WHEN user_id = 7 THEN 'pro' ELSE 'basic' END AS plan FROM events",
     "file_facts": "SELECT doc_id, strlen(coalesce(text, '')) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixtures import Frame
 from ..operators import cleaning, retrieval
 from . import derived as D
 
@@ -224,16 +223,12 @@ def chunk_text(spark, sf_dir):
     return docs.select("doc_id", F.posexplode("chunks").alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("n"), F.char_length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("md5"))
 
 
-LINES = Frame(
-    "id bigint, line string",
-    list(enumerate(["42", "- 42 -", "xiv", "page 12", "p. 3", "3 / 12", "3 of 12", "3 מתוך 12", "עמ' 42", "Chapter 3", "in 1984", "mix", "", "12345", "a 12", "* * * *", "-----", "--", "• item", "1. first", "iv) four", "a) one", "item•", "2.1 sub", "plain text", "Figure 3: a map", "fig. 2 x", "Table of things", "תרשים 2: מפה", "Tables turn", "1.4 Intro ..... 27", "Chapter One   12", "Chapter without", "part of it 7", "chart. - q"])),
-)
 CONTENTS, DIRECTIONS, MARKED, HYPHENS = D.CONTENTS, D.DIRECTIONS, D.MARKED, D.BROKEN
 
 
 def line_tests(spark, sf_dir):
     line = F.col("line")
-    return LINES.df(spark, sf_dir).select("id", T.is_page_number(line).alias("page_number"), T.is_contents_row(line).alias("contents_row"), T.is_decoration(line).alias("decoration"), T.is_list_item(line).alias("list_item"), T.is_caption(line).alias("caption"))
+    return MARKED.df(spark, sf_dir).select("doc_id", "pos", T.is_page_number(line).alias("page_number"), T.is_contents_row(line).alias("contents_row"), T.is_decoration(line).alias("decoration"), T.is_list_item(line).alias("list_item"), T.is_caption(line).alias("caption"))
 
 
 def page_number_filter(spark, sf_dir):
@@ -331,7 +326,7 @@ r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, doc_id ORDE
     "worksheet_gate": f"WITH {SQL_STATS} SELECT doc_id, CASE WHEN chars < 80 THEN 'too-short' WHEN vocabulary < 0.1 THEN 'repetitive' ELSE 'ok' END AS verdict FROM s",
     "pages_html_headings": "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages",
     "digest_round_robin": f"WITH {SQL_LINES}, t AS (SELECT source, doc_id, pos, length(line) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS turn FROM lines WHERE length(line) >= 40), u AS (SELECT source, doc_id, pos, turn, CAST(sum(k) OVER (PARTITION BY source ORDER BY turn, doc_id) AS BIGINT) AS used FROM t) SELECT * FROM u WHERE used <= 5000",
-    "line_tests": f"SELECT id, {SQL_NUMBER} AS page_number, {SQL_TOC} AS contents_row, {SQL_RULE} AS decoration, {SQL_ITEM} AS list_item, {SQL_CAPTION} AS caption FROM {LINES.sql}",
+    "line_tests": f"SELECT doc_id, pos, {SQL_NUMBER} AS page_number, {SQL_TOC} AS contents_row, {SQL_RULE} AS decoration, {SQL_ITEM} AS list_item, {SQL_CAPTION} AS caption FROM {MARKED.sql}",
     "page_number_filter": f"SELECT doc_id, pos, line FROM {MARKED.sql} WHERE {SQL_NUMBER}",
     "decoration_filter": f"SELECT doc_id, pos FROM {MARKED.sql} WHERE {SQL_RULE}",
     "list_items": f"SELECT doc_id, count(*) AS items FROM {MARKED.sql} WHERE {SQL_ITEM} GROUP BY 1",

@@ -67,6 +67,6 @@ def test_books_the_wrong_way_round(spark):
 
 
 def test_only_the_first_pages_vote(spark):
-    late, _ = book(spark, [[(100, "plain")]] * 30 + [[(100, HEBREW[::-1])]] * 10, "late")
-    assert tidy.directions(late).first().letters == 0 and tidy.repaired(late).filter(F.col("text") == HEBREW[::-1]).count() == 10
+    late, _ = book(spark, [[(100, "plain")]] * 30 + [[(100, HEBREW[::-1])]] * 20, "late")
+    assert tidy.directions(late).first().letters == 0 and tidy.repaired(late).filter(F.col("text") == HEBREW[::-1]).count() == 20
     assert tidy.languages(late).first().direction == "rtl"
