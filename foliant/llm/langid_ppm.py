@@ -12,7 +12,8 @@ small batch plus the trees.
 
 Edge cases: null text or one without a letter: `und`, score 0; without any labelled row all texts are `und`; rows with
 null lang are only scored; a null doc_id trains nothing and is not held out; ties go to the first language in
-alphabetical order; repeated rows and further columns change nothing.
+alphabetical order; repeated rows and further columns change nothing.  As a filter (`accepted`) each language has a limit
+from the code lengths of its own training texts; a language of which none was measured has that of plain bytes.
 """
 
 from __future__ import annotations
@@ -162,8 +163,8 @@ class Trees:
         return out
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, rows: int = SAMPLE_ROWS) -> Trees | None:
-    """Trees from a bounded sample of the rows outside the fold; None where nothing is labelled."""
+def sampled(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """lang, text, half (0 or 1): about `rows` labelled rows a language outside the fold; None where nothing is labelled."""
     small_batches(df.sparkSession)
     labelled = df.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key, folds, fold))
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang).cast("string")).count().collect()}  # one row a language
@@ -173,11 +174,19 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for name, n in counts.items():
         bound = F.when(F.col(lang) == name, F.lit(min(1.0, rows / n))).otherwise(bound)
     share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.filter(share < bound).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    found = grams(sample)
+    return labelled.filter(share < bound).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (share >= bound / 2).cast("int").alias("half"))
+
+
+def grown(sample: DataFrame | None) -> Trees | None:
+    found = {} if sample is None else grams(sample)
     return Trees(found) if found else None
 
 
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, rows: int = SAMPLE_ROWS) -> Trees | None:
+    """Trees from a bounded sample of the rows outside the fold; None where nothing is labelled."""
+    return grown(sampled(df, key, text, lang, folds, fold, rows))
+
+
 def judged(trees: Trees, texts: list) -> tuple[np.ndarray, ...]:
     """lang_pred, score, bits and n_bytes of each text."""
     raw = [(t or "").encode().lower() for t in texts]
@@ -207,25 +216,47 @@ def predict(df: DataFrame, trees: Trees | None, key: str = "doc_id", text: str =
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, bits double, n_bytes long")
 
 
-#: Bits a byte above which a text is no language at all: it is longer coded than plain.
-PLAIN_BITS = 8.0
+#: The share of the training fold's texts that a language's limit is above, in bits a byte of their code lengths; what a
+#: text may take beside that in all, and for each byte; and the limit where no text of a language was measured.
+QUANTILE, FEW_BITS, MARGIN, PLAIN_BITS = 0.999, 64.0, 1.0, 8.0
+
+
+def limits(sample: DataFrame | None) -> dict[str, float]:
+    """Bits a byte above which a text is none of a language, measured on texts that the trees were not grown from: trees of
+    one half of the sample code the other half.  Few texts are as long as the limit; a margin is added."""
+    half = None if sample is None else grown(sample.filter("half = 0"))
+    if half is None:
+        return {}
+
+    def run(batches):
+        for b in batches:
+            names, _, bits, sizes = judged(half, b.column(0).to_pylist())
+            some = (sizes > 0) & (names != "und")
+            yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.string()), pa.array(np.maximum(bits[some] - FEW_BITS, 0) / sizes[some])], names=["lang", "rate"])
+
+    rates = sample.filter("half = 1").select("text").mapInArrow(run, "lang string, rate double")
+    return {r.lang: r.rate + MARGIN for r in rates.groupBy("lang").agg(F.percentile("rate", QUANTILE).alias("rate")).collect()}  # one row a language
 
 
 def accepted(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of `df` whose text is in some language: it has a letter, and some tree codes it in fewer bits than it has.
+    """The rows of `df` whose text is in some language: it has a letter, and the language that codes it best codes it within
+    the limit that its own training texts set.
 
     Each row is judged by its own text and goes through whole, without a join.  Without labelled rows nothing can be
     judged and all rows with a letter stay.
     """
-    trees = train(df, key, text, lang)
+    sample = sampled(df, key, text, lang)
+    trees = grown(sample)
     if trees is None:
         return df.filter(F.col(text).rlike(r"\p{L}"))
+    most = limits(sample)
     shared, at = df.sparkSession.sparkContext.broadcast(trees), df.columns.index(text)
 
     def run(batches):
         for b in batches:
             names, _, bits, sizes = judged(shared.value, b.column(at).to_pylist())
-            yield b.filter(pa.array((names != "und") & (bits <= PLAIN_BITS * sizes)))
+            rates = np.array([most.get(n, PLAIN_BITS) for n in names])
+            yield b.filter(pa.array((names != "und") & (bits <= FEW_BITS + rates * sizes)))
 
     return df.mapInArrow(run, df.schema)
 
