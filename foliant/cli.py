@@ -55,9 +55,10 @@ def chapter_texts(lines: DataFrame, chapters: DataFrame) -> DataFrame:
 def context_of(spark: SparkSession, lines: DataFrame, query: str, budget: int) -> DataFrame:
     """The passages that answer a query, within the budget, in document order with gap marks; without a query the pages
     from their start."""
-    rows = retrieval.passages(chapter_texts(lines, chapters_of(lines)))
+    texts = chapter_texts(lines, chapters_of(lines)).cache()  # one book
+    rows = retrieval.passages(texts)
     if query.strip():
-        chosen = retrieval.relevant(rows, spark.createDataFrame([(1, query)], "item_id long, text string"), budget)
+        chosen = retrieval.relevant(texts, spark.createDataFrame([(1, query)], "item_id long, text string"), budget)
     else:
         chosen = retrieval.trim(rows, "book", ("doc_id", "pos"), budget).withColumn("gap", F.lit(False))
     return chosen.select("doc_id", "pos", "gap", "text").join(rows.select("doc_id", "pos", "page", "label"), ["doc_id", "pos"]).orderBy("doc_id", "pos").select("page", "label", "gap", "text")

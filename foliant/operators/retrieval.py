@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shared import written
 
 FLOOR = 0.55
 #: The share of the room left that a passage cut back to a sentence's end must fill.
@@ -36,31 +37,48 @@ def query_words(queries: DataFrame, key: str = "item_id", text: str = "text", sc
     return each_word(queries, text, F.col(key).alias("query_id"), *scope).groupBy("query_id", *scope, "word").agg(F.count("*").alias("times"))
 
 
+#: What stands for a passage itself among its words (no word is a space), so that counting words counts passages too.
+ITSELF = " "
+
+
 def postings(rows: DataFrame, wanted: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """scope, doc_id, pos, word, tf for the wanted words alone; each passage counts its own words before anything moves."""
-    found = each_word(rows, "text", "doc_id", "pos", *scope).join(wanted.select(*scope, "word").distinct(), [*scope, "word"], "left_semi")
-    return found.groupBy(*scope, "doc_id", "pos", "word").agg(F.count("*").alias("tf"))
+    """scope, doc_id, pos, word, tf, chars for the wanted words alone, and a row with ITSELF for each passage; each passage
+    counts its own words before anything moves."""
+    chars = F.char_length("text").cast("long").alias("chars")
+    every = rows.select(*scope, "doc_id", "pos", chars, F.explode(F.array_append(F.split(F.lower(F.col("text")), T.WORD_SPLIT), F.lit(ITSELF))).alias("word"))
+    kept = wanted.select(*scope, "word").distinct()
+    if scope:
+        kept = kept.unionByName(wanted.select(*scope).distinct().withColumn("word", F.lit(ITSELF)))
+    else:
+        kept = kept.unionByName(rows.sparkSession.range(1).select(F.lit(ITSELF).alias("word")))
+    found = every.join(kept, [*scope, "word"], "left_semi")
+    return found.groupBy(*scope, "doc_id", "pos", "chars", "word").agg(F.count("*").alias("tf"))
 
 
 def score(rows: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, doc_id, pos, score (rounded to 6): the sum over a query's words, repeats included, of
-    (1 + ln tf) * ln(1 + N / df); passages with a score above 0.  N and df count passages, of the query's scope."""
+    """query_id, doc_id, pos, chars, score (rounded to 6): the sum over a query's words, repeats included, of
+    (1 + ln tf) * ln(1 + N / df); passages with a score above 0.  N and df count passages, of the query's scope.
+
+    The passages are made and read once: their postings are written, and all else follows from these.
+    """
     asked = query_words(queries, key, text, scope)
-    tf = postings(rows, asked, scope)
+    tf = written(postings(rows, asked, scope))
     df = tf.groupBy(*scope, "word").agg(F.count("*").alias("df"))
-    n = rows.groupBy(*scope).agg(F.count("*").alias("n"))
-    weight = (df.join(n, list(scope)) if scope else df.join(F.broadcast(n))).select(*scope, "word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # without a scope n is one row
+    n = df.filter(F.col("word") == ITSELF).select(*scope, F.col("df").alias("n"))
+    every = df.filter(F.col("word") != ITSELF)
+    weight = (every.join(n, list(scope)) if scope else every.join(F.broadcast(n))).select(*scope, "word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # without a scope n is one row
     hits = tf.join(asked.join(weight, [*scope, "word"]), [*scope, "word"])
     total = F.sum(F.col("times") * (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    return hits.groupBy("query_id", "doc_id", "pos").agg(F.round(total, 6).alias("score")).filter("score > 0")
+    return hits.groupBy("query_id", "doc_id", "pos", "chars").agg(F.round(total, 6).alias("score")).filter("score > 0")
 
 
 def ranked(scored: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """query_id, doc_id, pos, score, best, rank of passages with at least `floor` of their query's best score; ties in
-    document order."""
+    """`scored` with best and rank, for passages with at least `floor` of their query's best score; ties in document order.
+    The best scores are found by partial maxima; only what is above the floor meets by query."""
+    best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
+    good = scored.join(best, "query_id").filter(F.col("score") >= floor * F.col("best"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "pos")
-    rows = scored.withColumn("best", F.first("score").over(order)).withColumn("rank", F.row_number().over(order).cast("long"))
-    return rows.filter(F.col("score") >= floor * F.col("best"))
+    return good.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def top(scored: DataFrame, k: int = 5, floor: float = FLOOR) -> DataFrame:
@@ -68,15 +86,14 @@ def top(scored: DataFrame, k: int = 5, floor: float = FLOOR) -> DataFrame:
     return ranked(scored, floor).filter(F.col("rank") <= k).select("query_id", "doc_id", "pos", "score", "rank")
 
 
-def pick(chosen: DataFrame, rows: DataFrame, budget: int) -> DataFrame:
-    """query_id, rank, doc_id, pos, chars: ranked passages picked greedily within the budget of characters.
+def pick(chosen: DataFrame, budget: int) -> DataFrame:
+    """query_id, rank, doc_id, pos, chars: ranked passages (with chars) picked greedily within the budget of characters.
 
     The first passage is always taken; one that does not fit is skipped once something is picked.  Of passages of one
     length only as many as fit can ever be picked, so that a query's candidates are bounded before they meet in a row.
     """
-    sized = chosen.join(rows.select("doc_id", "pos", F.char_length("text").cast("long").alias("chars")), ["doc_id", "pos"])
     alike = F.row_number().over(Window.partitionBy("query_id", "chars").orderBy("rank"))
-    sized = sized.withColumn("_nth", alike).filter((F.col("_nth") * F.col("chars") <= budget) | (F.col("rank") == 1))
+    sized = chosen.withColumn("_nth", alike).filter((F.col("_nth") * F.col("chars") <= budget) | (F.col("rank") == 1))
     return knapsack(sized.select("query_id", "rank", "doc_id", "pos", "chars"), budget).select("query_id", F.inline("picked"))
 
 
@@ -120,10 +137,13 @@ def gap_marks(chosen: DataFrame) -> DataFrame:
     )
 
 
-def relevant(rows: DataFrame, queries: DataFrame, budget: int = 12_000, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, doc_id, pos, text, opens, gap: what is worth the budget, in document order, the last passage trimmed."""
-    picked = pick(ranked(score(rows, queries, key, text, scope)), rows, budget).join(rows.select("doc_id", "pos", "text"), ["doc_id", "pos"])
-    kept = trim(picked, "query_id", ("doc_id", "pos"), budget).select("query_id", "doc_id", "pos", "text")
+def relevant(docs: DataFrame, queries: DataFrame, budget: int = 12_000, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = (), doc: str = "doc_id") -> DataFrame:
+    """query_id, doc_id, pos, text, opens, gap: the passages of `docs` (doc, text) that are worth the budget, in document
+    order, the last one trimmed.  Texts are cut again for the documents of picked passages alone."""
+    picked = written(pick(ranked(score(passages(docs, doc), queries, key, text, scope)), budget).select("query_id", "doc_id", "pos"))
+    own = docs.join(picked.select(F.col("doc_id").alias(doc)).distinct(), doc, "left_semi")
+    texts = passages(own, doc).select("doc_id", "pos", "text")
+    kept = written(trim(picked.join(texts, ["doc_id", "pos"]), "query_id", ("doc_id", "pos"), budget).select("query_id", "doc_id", "pos", "text"))
     return kept.join(gap_marks(kept), ["query_id", "doc_id", "pos"])
 
 

@@ -110,7 +110,7 @@ def retrieve_budget_prefix(spark, sf_dir):
 
 
 def picked(spark, sf_dir):
-    return retrieval.pick(retrieval.ranked(scored(spark, sf_dir)), doc_passages(spark, sf_dir), BUDGET)
+    return retrieval.pick(retrieval.ranked(scored(spark, sf_dir)), BUDGET)
 
 
 def retrieve_knapsack(spark, sf_dir):
@@ -119,7 +119,7 @@ def retrieve_knapsack(spark, sf_dir):
 
 def retrieve_relevant(spark, sf_dir):
     """All steps: floor, skip rule, document order, trimming, gap marks."""
-    rows = retrieval.relevant(doc_passages(spark, sf_dir), read(spark, sf_dir, "benchmark"), BUDGET)
+    rows = retrieval.relevant(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), read(spark, sf_dir, "benchmark"), BUDGET)
     return rows.select("query_id", "doc_id", "pos", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("md5"), "opens", "gap")
 
 

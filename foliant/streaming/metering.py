@@ -14,21 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.shared import shared_folder
+
 LATENESS = "1 day"
 #: Milliseconds of a day.
 DAY = 86_400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A place for a query's state and results below the shared checkpoint folder; a local master gets one of its own."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="foliant-stream-")
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    """A place of its own for a query's state and results, below the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
