@@ -9,9 +9,9 @@
    of the coordinates (at a similarity of 0.75 all but one in a million) are confirmed on full sets, and links are
    joined to components.
 4. Buckets that still hold several components, and more than the pair just tested, are searched whole: members are
-   dealt out in blocks of at most BLOCK, every pair of blocks meets in one task, and members of different components
-   are compared there by 24-bit codes of all their shingles.  Codes can only overstate a similarity, so nothing is
-   lost; one pair for two components goes on to the confirmation on full sets.  Should one fail there, all pairs are
+   dealt out in blocks of about BLOCK, and every pair of blocks meets in one task: first with their sketches (step 3's
+   test), then, those that resemble a member of another component, with 24-bit codes of all their shingles.  Codes can
+   only overstate a similarity, so nothing is lost by them; one pair for two components goes on to the confirmation on full sets.  Should one fail there, all pairs are
    taken.  Pairs within a component need no test, as they cannot change it.
 No bucket and no number of partners is capped.
 
@@ -207,36 +207,70 @@ def meeting(held: list[tuple], least: int, spanning: bool) -> set[tuple[int, int
     return out
 
 
-def across(members: DataFrame, docs: DataFrame, words: int, least: int, key: str, text: str, spanning: bool) -> DataFrame:
-    """Likely pairs (a, b) of different components within the same bucket.  members: key, doc_id, component."""
-    n = max(2, partitions(docs.sparkSession))
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("_who"))
-    # a bucket of two has been tested by its pivot; of buckets with the same members one is enough
-    mixed = sizes.filter("_n > 2 and _low <> _high").groupBy("_n", "_who").agg(F.min("key").alias("key"))
-    mixed = mixed.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = cut(members.join(mixed, "key"))
-    sets = shingles_of(docs, rows.select(F.col("doc_id").alias("_id")).distinct(), words, key, text, code=True)
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).join(sets.withColumnRenamed("_id", "doc_id"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    rows = rows.select("key", "doc_id", "component", "_set", "_own", other)
-    rows = rows.select("key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "doc_id", "component", "_set")
+def alike(held: list[tuple]) -> list[int]:
+    """The rows of (block, doc_id, component, sketch) that some row of another component, and of the other block where
+    there are two, agrees with on at least AGREE of the coordinates."""
+    own, comps = (np.array([r[k] for r in held]) for k in (0, 2))
+    sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), SIZE)
+    two = len(np.unique(own)) > 1
+    kinds, counts = np.unique(comps, return_counts=True)
+    found = np.zeros(len(held), bool)
+    for k in np.flatnonzero(comps != kinds[counts.argmax()]):  # every pair that counts has one outside the largest
+        fits = comps != comps[k]
+        if two:
+            fits &= own != own[k]
+        near = np.flatnonzero(fits)
+        near = near[(sketch[near] == sketch[k]).sum(1) >= AGREE * SIZE]
+        if len(near):
+            found[near] = found[k] = True
+    return np.flatnonzero(found).tolist()
+
+
+def by_pair(rows: DataFrame, what: str, then, kind: str) -> DataFrame:
+    """`then` over the rows (_own, doc_id, component, what) of each bucket and pair of blocks (key, _p, _q), one at a time."""
+    n = max(2, partitions(rows.sparkSession))
 
     def run(batches):
         at, held = None, []
         for batch in batches:
-            found, part = set(), batch.to_pydict()
-            for r in zip(part["key"], part["_p"], part["_q"], part["_own"], part["doc_id"], part["component"], part["_set"], strict=True):
+            part = batch.to_pydict()
+            for r in zip(part["key"], part["_p"], part["_q"], part["_own"], part["doc_id"], part["component"], part[what], strict=True):
                 if r[:3] != at:
                     if held:
-                        found |= meeting(held, least, spanning)
+                        yield then(at, held)
                     at, held = r[:3], []
                 held.append(r[3:])
-            yield pairs_batch(found)
         if held:
-            yield pairs_batch(meeting(held, least, spanning))
+            yield then(at, held)
+
+    rows = rows.select("key", "_p", "_q", "_own", "doc_id", "component", what)
+    return rows.repartition(n, "key", "_p", "_q").sortWithinPartitions("key", "_p", "_q").mapInArrow(run, kind)
+
+
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, least: int, key: str, text: str, spanning: bool) -> DataFrame:
+    """Likely pairs (a, b) of different components within the same bucket.  members: key, doc_id, component.
+
+    Sketches meet first; only the members that some other one resembles are shingled again and meet with their codes.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("_who"))
+    # a bucket of two has been tested by its pivot; of buckets with the same members one is enough
+    mixed = sizes.filter("_n > 2 and _low <> _high").groupBy("_n", "_who").agg(F.min("key").alias("key"))
+    mixed = mixed.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    rows = members.join(mixed, "key").join(classes.select("doc_id", "sketch"), "doc_id")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    rows = rows.select("key", "doc_id", "component", "sketch", "_own", other)
+    rows = rows.select("key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "doc_id", "component", "sketch")
+
+    def resembling(at, held):
+        kept = [held[k] for k in alike(held)]
+        whole = [[v] * len(kept) for v in at]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*whole, *([r[k] for r in kept] for k in range(3))], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["key", "_p", "_q", "_own", "doc_id", "component"])
 
-    dealt = rows.repartition(n, "key", "_p", "_q").sortWithinPartitions("key", "_p", "_q")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    kept = cut(by_pair(rows, "sketch", resembling, "key long, _p int, _q int, _own int, doc_id long, component long"))
+    sets = shingles_of(docs, kept.select(F.col("doc_id").alias("_id")).distinct(), words, key, text, code=True)
+    kept = kept.join(sets.withColumnRenamed("_id", "doc_id"), "doc_id")
+    return by_pair(kept, "_set", lambda at, held: pairs_batch(meeting(held, least, spanning)), "a long, b long").distinct()
 
 
 def pairs_batch(pairs) -> pa.RecordBatch:
@@ -264,7 +298,7 @@ def near_duplicates(df: DataFrame, words: int = 5, least: int = 75, key: str = "
         now = cut(label)
         members = shared.join(now.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         members = members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        tried = cut(across(members, df, words, least, key, text, spanning))
+        tried = cut(across(members, classes, df, words, least, key, text, spanning))
         if tried.isEmpty():
             break
         more = cut(confirmed(tried, df, words, least, key, text))
