@@ -18,6 +18,8 @@ from the code lengths of its own training texts; a language of which none was me
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -221,21 +223,33 @@ def predict(df: DataFrame, trees: Trees | None, key: str = "doc_id", text: str =
 QUANTILE, FEW_BITS, MARGIN, PLAIN_BITS = 0.999, 64.0, 1.0, 8.0
 
 
+_held: dict[str, Trees] = {}
+
+
+def _built(name: str, found: dict) -> Trees:
+    """The trees of these counts, built once in a worker: counts are a tenth of the trees that follow from them."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Trees(found)
+    return _held[name]
+
+
 def limits(sample: DataFrame | None) -> dict[str, float]:
     """Bits a byte above which a text is none of a language, measured on texts that the trees were not grown from: trees of
     one half of the sample code the other half.  Few texts are as long as the limit; a margin is added."""
-    half = None if sample is None else grown(sample.filter("half = 0"))
-    if half is None:
+    found = {} if sample is None else grams(sample.filter("half = 0"))
+    if not found:
         return {}
+    name = uuid.uuid4().hex
 
     def run(batches):
         for b in batches:
-            names, _, bits, sizes = judged(half, b.column(0).to_pylist())
+            names, _, bits, sizes = judged(_built(name, found), b.column(0).to_pylist())
             some = (sizes > 0) & (names != "und")
             yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.string()), pa.array(np.maximum(bits[some] - FEW_BITS, 0) / sizes[some])], names=["lang", "rate"])
 
     rates = sample.filter("half = 1").select("text").mapInArrow(run, "lang string, rate double")
-    return {r.lang: r.rate + MARGIN for r in rates.groupBy("lang").agg(F.percentile("rate", QUANTILE).alias("rate")).collect()}  # one row a language
+    return {r.lang: min(r.rate + MARGIN, PLAIN_BITS) for r in rates.groupBy("lang").agg(F.percentile("rate", QUANTILE).alias("rate")).collect()}  # one row a language
 
 
 def accepted(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -246,15 +260,14 @@ def accepted(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     judged and all rows with a letter stay.
     """
     sample = sampled(df, key, text, lang)
-    trees = grown(sample)
-    if trees is None:
+    found = {} if sample is None else grams(sample)
+    if not found:
         return df.filter(F.col(text).rlike(r"\p{L}"))
-    most = limits(sample)
-    shared, at = df.sparkSession.sparkContext.broadcast(trees), df.columns.index(text)
+    most, at, name = limits(sample), df.columns.index(text), uuid.uuid4().hex
 
     def run(batches):
         for b in batches:
-            names, _, bits, sizes = judged(shared.value, b.column(at).to_pylist())
+            names, _, bits, sizes = judged(_built(name, found), b.column(at).to_pylist())
             rates = np.array([most.get(n, PLAIN_BITS) for n in names])
             yield b.filter(pa.array((names != "und") & (bits <= FEW_BITS + rates * sizes)))
 

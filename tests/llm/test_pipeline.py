@@ -49,7 +49,7 @@ def brute_accepted(spark, docs):
         if h and any(c.isalpha() for c in t):
             bits, lang = half.best(t)
             rates.setdefault(lang, []).append(max(bits - langid_ppm.FEW_BITS, 0) / len(t.encode()))
-    most = {k: (quantiles(v, n=1000, method="inclusive")[998] if len(v) > 1 else v[0]) + langid_ppm.MARGIN for k, v in rates.items()}
+    most = {k: min((quantiles(v, n=1000, method="inclusive")[998] if len(v) > 1 else v[0]) + langid_ppm.MARGIN, langid_ppm.PLAIN_BITS) for k, v in rates.items()}
     kept = set()
     for i, t in docs.select("doc_id", "text").collect():
         if t and any(c.isalpha() for c in t):
