@@ -120,6 +120,13 @@ def opening(lesson: Column) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(F.struct(part("hook"), part("prediction"), part("explore"), empty("cards"), empty("quiz"))))
 
 
+def worth_showing(lesson: Column) -> Column:
+    """Whether there is more to open with than a hook: a prediction or something to explore beside it."""
+    v = F.try_parse_json(lesson)
+    has = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) != "VOID", F.lit(False))
+    return has("hook") & (has("prediction") | has("explore"))
+
+
 #: What a figure must have to be drawn: for each type its lists, with the least number of elements and what each must have
 #: ("" for a text, a name for a field); a type that is not here cannot be drawn.
 FIGURES: dict[str, list[tuple[str, int, tuple[tuple[str, str], ...]]]] = {

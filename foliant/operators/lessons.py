@@ -55,13 +55,6 @@ def located(outline: DataFrame, blocks: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "n").agg(F.min("pos").alias("pos"), F.min("page").alias("page"))
 
 
-def scoped(blocks: DataFrame, found: DataFrame, section: Column) -> DataFrame:
-    """The blocks of the wanted section; of the whole document where it has no such section.  blocks: doc_id, title, ..."""
-    has = blocks.join(found, "doc_id").filter(F.lower("title") == F.lower(section)).select("doc_id").distinct().withColumn("_has", F.lit(True))
-    rows = blocks.join(found, "doc_id").join(has, "doc_id", "left")
-    return rows.filter(F.col("_has").isNull() | (F.lower("title") == F.lower(section))).drop("_has")
-
-
 def runs_to_lines(runs: DataFrame, tolerance: float = 2.0, gap: float = 1.0) -> DataFrame:
     """page, row, text: text runs (page, str, width, x, y) with baselines within the tolerance, by place, top first;
     a blank where runs stand apart.  y grows upward."""
@@ -151,8 +144,9 @@ STEPS = ("hook", "explore", "cards", "practice", "quiz", "summary")
 
 
 def lesson_progress(partial: Column) -> Column:
-    """The share (below 1) of a lesson's parts that a partial answer has begun: by the last key seen."""
-    place = F.greatest(*(F.when(F.contains(partial, F.lit(f'"{s}"')), F.lit(k + 1)).otherwise(F.lit(0)) for k, s in enumerate(STEPS)))
+    """The share (below 1) of a lesson's parts that a partial answer has begun: by the last key seen.  A key follows a bracket
+    or a comma; inside a text its quotes would be escaped."""
+    place = F.greatest(*(F.when(partial.rlike(rf'[{{,]\s*"{s}"'), F.lit(k + 1)).otherwise(F.lit(0)) for k, s in enumerate(STEPS)))
     return F.round(place / (len(STEPS) + 1.0), 4)
 
 
@@ -167,11 +161,6 @@ def numeric_grade(answer: Column, target: Column, tolerance: Column) -> Column:
     return F.coalesce(F.abs(learner_number(answer) - target) <= F.abs(tolerance), F.lit(False))
 
 
-def padded_reasons(options: Column, why: Column) -> Column:
-    """A reason for each option: missing ones empty, further ones dropped."""
-    return F.slice(F.concat(why, F.array_repeat(F.lit(""), F.size(options))), F.lit(1), F.size(options))
-
-
 def shuffled(options: Column, why: Column, correct: Column, seed: Column) -> Column:
     """Options in an order by the seed, their reasons and the correct place along."""
     zipped = F.transform(options, lambda o, k: F.struct(F.xxhash64(seed, k).alias("key"), o.alias("option"), F.get(why, k).alias("why"), (k == correct).alias("right")))

@@ -151,16 +151,15 @@ def terms(docs: DataFrame, scope: str, doc: str = "doc_id", text: str = "text",
     """scope, doc, rank, word, score: the words that set a text apart within its scope.
 
     Raw tf * ln(1 + N / df), for words that are in at most max(2, 0.6 N) of the scope's texts; ties: later words first.
-    Words beyond that are found first (in a scope they are fewer than 1.7 times the mean of a text's different words)
-    and dropped where they stand, so that no frequent word is a key.
+    The texts' word counts are written once, and all else follows from these.  Words beyond that bound (in a scope they are
+    fewer than 1.7 times the mean of a text's different words) are dropped where they stand, so that no frequent word is
+    a key.
     """
     n = docs.groupBy(scope).agg(F.count("*").alias("n"))
-    once = docs.select(scope, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), T.WORD_SPLIT))).alias("word"))
-    df = once.groupBy(scope, "word").agg(F.count("*").alias("df")).join(n, scope)
+    tf = written(each_word(docs, text, scope, doc).groupBy(scope, doc, "word").agg(F.count("*").alias("tf")))
+    df = tf.groupBy(scope, "word").agg(F.count("*").alias("df")).join(n, scope)
     common = F.col("df") > F.greatest(F.lit(2.0), 0.6 * F.col("n"))
-    tf = each_word(docs, text, scope, doc).join(df.filter(common).select(scope, "word"), [scope, "word"], "left_anti")
-    tf = tf.groupBy(scope, doc, "word").agg(F.count("*").alias("tf"))
-    rows = tf.join(df.filter(~common), [scope, "word"])
+    rows = tf.join(df.filter(common).select(scope, "word"), [scope, "word"], "left_anti").join(df.filter(~common), [scope, "word"])
     rows = rows.withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("n") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy(scope, doc).orderBy(F.desc("score"), F.desc("word")))
     return rows.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select(scope, doc, "rank", "word", "score")

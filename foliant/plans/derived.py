@@ -210,6 +210,12 @@ FIGURE_SPECS = Derived("""
 SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN concat('{{"type": "flow", "steps": ["a"', CASE WHEN event_id % 2 = 0 THEN ', "b"' ELSE '' END, ']}}') WHEN 1 THEN concat('{{"type": "bar", "bars": [{{"label": "x", "value": ', CASE WHEN event_id % 4 = 1 THEN '"much"' ELSE concat('', event_id) END, '}}]}}')
   WHEN 2 THEN '{{"type": "sculpture"}}' WHEN 3 THEN concat('{{"type": "group", "items": [{{"type": "', CASE WHEN event_id % 2 = 0 THEN 'flow' ELSE 'group' END, '", "steps": ["a", "b"]}}]}}') WHEN 4 THEN '{{"type": "bar", "bars": "none"}}' WHEN 5 THEN 'no json' WHEN 6 THEN '[1]'
   WHEN 7 THEN concat('{{"type": "timeline", "events": [{{"label": "a", "year": ', 1900 + event_id % 90, '}}, {{"label": "b"', CASE WHEN event_id % 2 = 0 THEN ', "year": 2000' ELSE '' END, '}}]}}') ELSE concat('{{"type": "slider", "min": ', event_id % 5, ', "max": 3, "outputs": [{{"label": "y", "expr": "', CASE WHEN event_id % 7 = 0 THEN 'window.location' ELSE 'x * 2' END, '"}}]}}') END AS spec FROM {events}""")
+#: Questions as a model writes them, with an answer to each; some cannot be asked (their type is empty here).
+QUESTIONS = Derived("""
+SELECT id, answer, CASE kind WHEN 0 THEN 'choice' WHEN 1 THEN 'numeric' WHEN 2 THEN CASE WHEN id % 5 < 3 THEN 'hotspot' ELSE '' END ELSE '' END AS type, CASE kind
+  WHEN 0 THEN concat('{{"text": "q", "options": ["a", "b"', repeat(', "c"', CAST(id % 3 AS INT)), '], "correct": ', id % 2, ', "whyWrong": ', CASE WHEN id % 4 = 0 THEN '["w"]' ELSE '"no"' END, ', "visual": {{"type": "nonsense"}}}}')
+  WHEN 1 THEN concat('{{"type": "numeric", "text": "q", "answer": ', id % 9, ', "tolerance": -', id % 3, '}}') WHEN 2 THEN concat('{{"type": "hotspot", "text": "q", "target": "side:', id % 5, '", "visual": {{"type": "shape", "shape": "triangle"}}}}')
+  WHEN 3 THEN '{{"type": "numeric", "text": "q", "answer": "six"}}' ELSE '{{"type": "choice", "text": "q"' END AS spec FROM (SELECT event_id AS id, event_id % 11 % 5 AS kind, concat('', event_id % 7) AS answer FROM {events})""")
 LESSONS = Derived("""
 SELECT conv_id * 1000 + turn AS id, CASE turn % 4 WHEN 0 THEN concat('{{"hook": {{"text": "h', conv_id, '"}}, "cards": [{{"idea": "c"}}], "prediction": {{"question": "p', turn, '"}}, "quiz": [1]}}') WHEN 1 THEN concat('{{"cards": [1, 2], "explore": {{"insight": [', conv_id, ']}}}}') WHEN 2 THEN '[1, 2]' ELSE '{{"hook": ' END AS lesson FROM {conversations}""")
 BUNDLES = Derived("""

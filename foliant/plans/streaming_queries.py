@@ -87,7 +87,7 @@ def lesson_opening(spark, sf_dir):
     """What a lesson that is still being written can open with."""
     rows = D.LESSONS.df(spark, sf_dir).withColumn("o", G.opening(F.col("lesson")))
     get = lambda path: F.get_json_object("o", path)
-    return rows.select("id", get("$.hook.text").alias("hook"), get("$.prediction.question").alias("prediction"), get("$.explore.insight").alias("insight"), F.json_array_length(get("$.cards")).cast("long").alias("cards"))
+    return rows.select("id", get("$.hook.text").alias("hook"), get("$.prediction.question").alias("prediction"), get("$.explore.insight").alias("insight"), F.json_array_length(get("$.cards")).cast("long").alias("cards"), G.worth_showing(F.col("lesson")).alias("worth"))
 
 
 QUERIES = {k.__name__: k for k in (stream_daily_calls, stream_quota, stream_usage_meter, stream_frames, prefetch_discard, stream_passthrough, stream_first_concept, first_concept, stream_quota_verdicts, quota_verdicts, valid_visuals, lesson_opening)}
@@ -108,6 +108,6 @@ SELECT stream_id, chunks, chars, CASE WHEN m THEN 100 + stream_id END AS input,
     "stream_quota_verdicts": SQL_VERDICTS,
     "quota_verdicts": SQL_VERDICTS,
     "valid_visuals": "SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 'flow' WHEN 1 THEN 'bar' WHEN 3 THEN 'group' WHEN 7 THEN 'timeline' ELSE 'slider' END AS type FROM events WHERE CASE event_id % 9 WHEN 0 THEN event_id % 2 = 0 WHEN 1 THEN event_id % 4 <> 1 WHEN 3 THEN event_id % 2 = 0 WHEN 7 THEN event_id % 2 = 0 WHEN 8 THEN event_id % 5 < 3 AND event_id % 7 <> 0 ELSE false END",
-    "lesson_opening": f"SELECT id, CASE WHEN json_valid(lesson) THEN json_extract_string(CASE WHEN json_valid(lesson) THEN lesson END, '$.hook.text') END AS hook, json_extract_string(CASE WHEN json_valid(lesson) THEN lesson END, '$.prediction.question') AS prediction, CAST(json_extract(CASE WHEN json_valid(lesson) THEN lesson END, '$.explore.insight') AS VARCHAR) AS insight, CASE WHEN json_type(CASE WHEN json_valid(lesson) THEN lesson END) = 'OBJECT' THEN 0 END AS cards FROM {D.LESSONS.sql}",
+    "lesson_opening": f"SELECT id, CASE WHEN json_valid(lesson) THEN json_extract_string(CASE WHEN json_valid(lesson) THEN lesson END, '$.hook.text') END AS hook, json_extract_string(CASE WHEN json_valid(lesson) THEN lesson END, '$.prediction.question') AS prediction, CAST(json_extract(CASE WHEN json_valid(lesson) THEN lesson END, '$.explore.insight') AS VARCHAR) AS insight, CASE WHEN json_type(CASE WHEN json_valid(lesson) THEN lesson END) = 'OBJECT' THEN 0 END AS cards, id % 1000 % 4 = 0 AS worth FROM {D.LESSONS.sql}",
     "prefetch_discard": "SELECT event_id, user_id AS key, event_id % 3 AS version FROM events WHERE event_id % 3 = user_id % 3",
 }
