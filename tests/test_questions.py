@@ -1,0 +1,49 @@
+"""Questions made whole or dropped, graded; numbers of templates."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from foliant.operators import questions
+
+
+def whole(spark, *specs):
+    rows = spark.createDataFrame([(k, s if s is None or isinstance(s, str) else json.dumps(s)) for k, s in enumerate(specs)], "id long, t string")
+    return [r.q for r in rows.select("id", questions.question(F.col("t")).alias("q")).orderBy("id").collect()]
+
+
+def test_choices(spark):
+    one = {"type": "choice", "text": "Which?", "options": ["a", "b", "c"], "correct": 1, "whyWrong": ["added"]}
+    got = whole(spark, one, one | {"whyWrong": ["x", "y", "z", "w"]}, one | {"whyWrong": "nope"}, {"text": "q", "options": ["a", "b"]}, one | {"correct": 7}, one | {"options": ["a"]}, one | {"text": " "}, one | {"options": "ab"}, "[]", "no", None)
+    assert got[0].why == ["added", "", ""] and got[0].correct == 1 and got[1].why == ["x", "y", "z"] and got[2].why == ["", "", ""]
+    assert (got[3].type, got[3].correct, got[3].why) == ("choice", 0, ["", ""]) and got[4:] == [None] * 7
+
+
+def test_numbers(spark):
+    got = whole(spark, {"type": "numeric", "text": "Area?", "answer": 6, "tolerance": 0.5, "unit": " cm²"}, {"type": "numeric", "text": "Area?", "answer": "six"}, {"type": "numeric", "text": "x", "answer": 1, "tolerance": -5}, {"type": "numeric", "text": "x", "answer": 1.5})
+    assert (got[0].answer, got[0].tolerance, got[0].unit) == (6.0, 0.5, " cm²") and got[1] is None and got[2].tolerance == 5.0 and got[3].tolerance == 0.0
+
+
+def test_hotspots_and_figures(spark):
+    shape = {"type": "shape", "shape": "right-triangle", "sides": [3, 4, 5]}
+    hot = {"type": "hotspot", "text": "Tap it", "target": "side:2", "visual": shape}
+    got = whole(spark, hot, hot | {"target": "side:9"}, hot | {"visual": {"type": "flow", "steps": ["a", "b"]}}, hot | {"target": "the long one"}, hot | {"target": None}, {"text": "Which?", "options": ["a", "b"], "visual": {"type": "nonsense"}}, {"text": "Which?", "options": ["a", "b"], "visual": {"type": "flow", "steps": ["a", "b"]}}, {"type": "riddle", "text": "x"})
+    assert got[0].target == "side:2" and json.loads(got[0].visual)["shape"] == "right-triangle" and got[1:5] == [None] * 4
+    assert got[5].visual is None and json.loads(got[6].visual)["type"] == "flow" and got[7] is None
+
+
+def test_grades(spark):
+    specs = [{"text": "q", "options": ["a", "b"], "correct": 1}, {"type": "numeric", "text": "q", "answer": 2.5, "tolerance": 0.1}, {"type": "hotspot", "text": "q", "target": "angle:1", "visual": {"type": "shape", "shape": "square"}}, "no"]
+    rows = spark.createDataFrame([(k, s if isinstance(s, str) else json.dumps(s)) for k, s in enumerate(specs)], "id long, t string").select("id", questions.question(F.col("t")).alias("q"))
+    answers = spark.createDataFrame([(0, "1"), (0, "0"), (0, "b"), (1, "5/2"), (1, "2,55"), (1, "3"), (1, None), (2, "angle:1"), (2, "angle:2"), (3, "1")], "id long, answer string")
+    got = sorted((r.id, r.good) for r in questions.graded(rows, answers).collect())
+    assert got == [(0, False), (0, False), (0, True), (1, False), (1, False), (1, True), (1, True), (2, False), (2, True)]
+
+
+def test_numbers_of_templates(spark):
+    rows = spark.createDataFrame([(6.0,), (2.4999999999,), (-0.00000001,), (1234567.5,), (100.0,)], "x double")
+    assert [r[0] for r in rows.select(questions.shown_number(F.col("x"))).collect()] == ["6", "2.5", "0", "1234567.5", "100"]
+    v = F.try_parse_json("t")
+    df = spark.createDataFrame([('{"a": 3, "l": [1, "2", "x", null, 4, 5]}',), ('{"a": "7.5", "l": "no"}',), ('{"a": 1e9}',), ('{"a": [1]}',), (None,)], "t string")
+    got = df.select(questions.template_number(v, "$.a", 2.0, 0.0, 100.0).alias("n"), questions.template_list(v, "$.l", 3).alias("l")).collect()
+    assert [r.n for r in got] == [3.0, 7.5, 100.0, 2.0, 2.0] and [r.l for r in got] == [[1.0, 2.0, 4.0], [], [], [], []]
