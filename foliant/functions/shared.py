@@ -10,7 +10,7 @@ def shared_folder(spark: SparkSession) -> str:
     cluster gets an error, as its executors would not see each other's files."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import atexit
         import shutil
