@@ -1,5 +1,9 @@
 """Whole ways through: digests and outputs."""
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from foliant.operators import blocks, digest
 from foliant.plans import layout_queries as L
 from foliant.sources import bundles
@@ -94,3 +98,19 @@ def test_depth_by_largest_remainder(spark):
     for r in digest.apportioned(rows, 300).collect():
         got.setdefault(r.doc, {})[r.part, r.pos - 10 * r.part] = r.round
     assert got == {d: brute_depth(doc, 300) for d, doc in enumerate(docs)}
+
+
+def test_lines_keep_the_digits_at_their_ends(spark):
+    rows = spark.createDataFrame([(["  10 and 0", "1 more 21", "2 in all 2 "],)], "l array<string>")
+    assert rows.select(blocks.healed(F.col("l"))).first()[0] == "10 and 0 1 more 21 2 in all 2"
+
+
+@pytest.mark.parametrize("name", ["paragraph_texts"])
+def test_titles_and_texts_that_end_in_their_place(spark, tmp_path, name):
+    rows = [(6, "Budget for year 2050\nThe lines below are all of one size, and there are more of them.", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(L.ORACLE[name])
+    at = [c[0] for c in want.description]
+    assert sorted(map(tuple, L.QUERIES[name](spark, str(tmp_path)).select(*at).collect())) == sorted(want.fetchall())
