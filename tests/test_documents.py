@@ -105,7 +105,7 @@ def test_lines_keep_the_digits_at_their_ends(spark):
     assert rows.select(blocks.healed(F.col("l"))).first()[0] == "10 and 0 1 more 21 2 in all 2"
 
 
-@pytest.mark.parametrize("name", ["paragraph_texts"])
+@pytest.mark.parametrize("name", ["paragraph_texts", "document_titles"])
 def test_titles_and_texts_that_end_in_their_place(spark, tmp_path, name):
     rows = [(6, "Budget for year 2050\nThe lines below are all of one size, and there are more of them.", "a")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
