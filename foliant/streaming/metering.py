@@ -9,6 +9,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,26 +115,42 @@ def frame_stream(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, data string", "tail string, due int, early string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
+def in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A group's rows by time and event.  A group may come in several parts, as rows are handed over by the ten thousand,
+    and its rows come in any order."""
+    rows = pd.concat(list(parts))
+    return rows.iloc[np.lexsort((rows["event_id"].to_numpy(), rows["ts"].to_numpy()))]
+
+
 def allowed_calls(events: DataFrame, limit: int) -> DataFrame:
-    """event_id, user_id, day, nth, ok: a user's calls of a day numbered as they come; check and count are one step.  A
-    day's count goes when the day is over and late calls can come no more."""
+    """event_id, user_id, day, nth, ok: a user's calls of a day numbered as they come; check and count are one step.
+
+    State: a user's counts of days that late calls can still come for.  One state a user, not one a day, as each costs
+    its own call.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n = state.get[0] if state.exists else 0
-        for part in frames:
-            part = part.sort_values(["ts", "event_id"])
-            nth = range(n + 1, n + 1 + len(part))
-            n += len(part)
-            yield pd.DataFrame({"event_id": part["event_id"], "user_id": key[0], "day": key[1], "nth": nth, "ok": [k <= limit for k in nth]})
-        state.update((n,))
-        over = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 2 * DAY
-        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        counts = dict(json.loads(state.get[0])) if state.exists else {}
+        rows = in_order(frames)
+        which, days = pd.factorize(rows["day"], use_na_sentinel=False)
+        days = [None if pd.isna(d) else d for d in days]
+        nth = np.empty(len(rows), np.int64)
+        for k, day in enumerate(days):
+            own = np.flatnonzero(which == k)
+            before = counts.get(day, 0)
+            nth[own] = before + 1 + np.arange(len(own))
+            counts[day] = before + len(own)
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "day": rows["day"].to_numpy(), "nth": nth, "ok": nth <= limit})
+        now = state.getCurrentWatermarkMs()
+        ends = {day: 0 if day is None else int(np.datetime64(day, "ms").astype(np.int64)) + 2 * DAY for day in counts}
+        state.update((json.dumps([[day, n] for day, n in counts.items() if day is None or ends[day] > now]),))
+        state.setTimeoutTimestamp(max(*ends.values(), now + 1))
 
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(step, "event_id bigint, user_id bigint, day string, nth bigint, ok boolean", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.select("user_id", "event_id", "ts", "day").groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, day string, nth bigint, ok boolean", "days string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def current_only(results: DataFrame, versions: DataFrame) -> DataFrame:

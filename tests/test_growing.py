@@ -129,3 +129,28 @@ def test_quotas_by_kind_and_period(live):
 def test_stream_and_batch_give_the_same_verdicts(spark, sf):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(streaming_queries.stream_quota_verdicts(spark, sf)) == key(streaming_queries.quota_verdicts(spark, sf))
+
+
+@pytest.fixture
+def by_the_few(spark):
+    """Rows are handed to Python three at a time, so that a group comes in several parts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_verdicts_of_groups_that_come_in_parts(live, by_the_few):
+    call = "event_id bigint, user_id bigint, ts timestamp, kind string, trial boolean, courses long, lessons long"
+    rows = [(k, u, 1000 - 10 * k, "lesson", False, 1, 4) for k in range(10) for u in (1, 2)]  # the latest first
+    got = [(r.user_id, r.event_id) for r in live(passthrough.quota_stream, rows, schema=call) if r.verdict == "ok"]
+    assert sorted(got) == [(u, k) for u in (1, 2) for k in range(6, 10)]
+
+
+def test_calls_are_numbered_in_their_order_with_a_state_for_each_user(live, by_the_few):
+    event = "event_id bigint, user_id bigint, ts timestamp"
+    rows = [(k, 1, 1000 - 10 * k) for k in range(5)] + [(20 + k, 1, DAYS + k) for k in range(2)] + [(30, 2, 5)]
+    more = [(10, 1, 2000), (22, 1, DAYS + 9), (31, 2, 3 * DAYS), (40, 1, 30 * DAYS)]
+    got = {r.event_id: (r.user_id, r.day, r.nth, r.ok) for r in live(lambda e: metering.allowed_calls(e, 3), rows, more, [(41, 1, 30 * DAYS + 1), (42, 2, 29 * DAYS + 5)], schema=event)}
+    assert [got[k][2:] for k in range(5)] == [(5 - k, k >= 2) for k in range(5)] and got[10] == (1, "1970-01-01", 6, False)
+    assert [got[k] for k in (20, 21, 22)] == [(1, "1970-01-02", n, True) for n in (1, 2, 3)]
+    assert got[30] == (2, "1970-01-01", 1, True) and got[31][2:] == (1, True) and got[40][2:] == (1, True) and got[41][2:] == (2, True) and got[42][1:] == ("1970-01-30", 1, True)
