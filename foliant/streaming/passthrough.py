@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.growing import FirstElement
-from .metering import DAY, LATENESS, complete_frames
+from .metering import DAY, LATENESS, complete_frames, in_order
 
 OUT = "stream_id bigint, kind string, seq bigint, chunk string, input bigint, output bigint, broken boolean"
 
@@ -124,14 +124,12 @@ def quota_stream(calls: DataFrame) -> DataFrame:
             state.remove()
             return
         used = dict(zip(("course", "lesson"), state.get if state.exists else (0, 0), strict=True))
-        for part in parts:
-            out = []
-            for r in part.sort_values(["ts", "event_id"]).itertuples():
-                limit = r.courses if r.kind == "course" else r.courses * r.lessons
-                ok = used[r.kind] < limit
-                used[r.kind] += ok
-                out.append((r.event_id, key[0], key[1], r.kind, "ok" if ok else f"{r.kind}_quota"))
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "period", "kind", "verdict"])
+        rows, verdicts = in_order(parts), []
+        for kind, courses, lessons in zip(rows["kind"], rows["courses"], rows["lessons"], strict=True):
+            ok = used[kind] < (courses if kind == "course" else courses * lessons)
+            used[kind] += int(ok)
+            verdicts.append("ok" if ok else f"{kind}_quota")
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "period": key[1], "kind": rows["kind"].to_numpy(), "verdict": verdicts})
         state.update((used["course"], used["lesson"]))
         if key[1] != "trial":
             over = int((pd.Timestamp(f"{key[1]}-01", tz="UTC") + pd.DateOffset(months=1)).timestamp() * 1000) + 2 * DAY
