@@ -71,9 +71,9 @@ def section_source(lines: DataFrame, found: DataFrame, concepts: DataFrame) -> D
     The first section with the concept's label, case aside, with all below it; the whole book where none has it.
     """
     key = lambda c: F.lower(F.trim(c))
-    order = Window.partitionBy("book").orderBy("page", "pos").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("book").orderBy(F.desc("page"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, as in `structure.spans`
     levels = range(1, 5)
-    closing = F.coalesce(*(F.when(F.col("level") == k, F.first(F.when(F.col("level") <= k, F.struct("page", "pos")), ignorenulls=True).over(order)) for k in levels))
+    closing = F.coalesce(*(F.when(F.col("level") == k, F.last(F.when(F.col("level") <= k, F.struct("page", "pos")), ignorenulls=True).over(ahead)) for k in levels))
     rows = found.select("book", key("label").alias("_k"), "page", "pos", closing.alias("next"))
     hits = concepts.withColumn("_k", key("section")).join(rows, ["book", "_k"]).groupBy("concept", "book").agg(F.min_by(F.struct("page", "pos", "next"), F.struct("page", "pos")).alias("at"))
     every = concepts.select("concept", "book").join(hits, ["concept", "book"], "left")
@@ -98,10 +98,11 @@ def section_tree(blocks: DataFrame, most: float = 0.8) -> DataFrame:
     chars = F.sum(F.when(F.col("raw") == 0, F.char_length("line")).otherwise(0).cast("long"))
     own = rows.join(good, "doc", "left_semi").filter("section > 0").groupBy("doc", "section").agg(F.min_by("line", "pos").alias("title"), F.min_by("raw", "pos").alias("raw"), chars.alias("chars"))
     w = Window.partitionBy("doc").orderBy("section")
-    behind, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    behind = w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("doc").orderBy(F.desc("section")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, as in `structure.spans`
     me = F.struct("raw", "title")
     own = own.withColumn("_before", F.coalesce(F.sum("chars").over(behind), F.lit(0).cast("long"))).withColumn("_all", F.sum("chars").over(Window.partitionBy("doc")))
-    own = own.select("*", *(F.last(F.when(F.col("raw") <= k, me), ignorenulls=True).over(behind).alias(f"_up{k}") for k in (1, 2)), *(F.first(F.when(F.col("raw") <= k, F.col("_before")), ignorenulls=True).over(ahead).alias(f"_end{k}") for k in (1, 2, 3)))
+    own = own.select("*", *(F.last(F.when(F.col("raw") <= k, me), ignorenulls=True).over(behind).alias(f"_up{k}") for k in (1, 2)), *(F.last(F.when(F.col("raw") <= k, F.col("_before")), ignorenulls=True).over(ahead).alias(f"_end{k}") for k in (1, 2, 3)))
     above = F.array_compact(F.array(*(F.when((F.col("raw") > k) & (F.col(f"_up{k}.raw") == k), F.col(f"_up{k}.title")) for k in (1, 2))))
     end = F.coalesce(*(F.when(F.col("raw") == k, F.col(f"_end{k}")) for k in (1, 2, 3)), F.col("_all"))
     return own.select("doc", "section", "title", (F.size(above) + 1).cast("long").alias("level"), F.array_join(F.concat(above, F.array("title")), " > ").alias("path"), "chars", (end - F.col("_before")).alias("total_chars"))
