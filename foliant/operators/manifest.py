@@ -31,11 +31,12 @@ def sections(blocks: DataFrame) -> DataFrame:
     last = blocks.groupBy("doc").agg(F.max("page").alias("_last"))
     heads = blocks.filter("kind = 'heading'").select("doc", "seq", F.trim("text").alias("title"), F.greatest("level", F.lit(1)).cast("long").alias("level"), "page")
     order = Window.partitionBy("doc").orderBy("seq")
-    ahead, behind = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    behind = order.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("doc").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, as in `structure.spans`
     rows = heads.select(
         "*",
         F.row_number().over(order).cast("long").alias("n"),
-        *(F.first(F.when(F.col("level") <= k, F.col("page")), ignorenulls=True).over(ahead).alias(f"_end{k}") for k in LEVELS),
+        *(F.last(F.when(F.col("level") <= k, F.col("page")), ignorenulls=True).over(ahead).alias(f"_end{k}") for k in LEVELS),
         *(F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(behind).alias(f"_up{k}") for k in LEVELS),
     ).join(last, "doc")
     closing = F.coalesce(*(F.when(F.col("level") == k, F.col(f"_end{k}")) for k in LEVELS))
