@@ -6,6 +6,10 @@ Retrieval can be confined to a scope, such as a chapter or a source: then words
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,18 @@ def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
+_WORD = re.compile(r"\w{3,}")
+_STOP = frozenset(T.STOPWORDS)
+
+
+def counted(lowered: str | None) -> Counter:
+    """The words of a lower-case text that count, with their numbers."""
+    own = Counter(_WORD.findall(lowered or ""))
+    for w in _STOP.intersection(own):
+        del own[w]
+    return own
+
+
 def each_word(rows: DataFrame, text: str, *keep: str | Column) -> DataFrame:
     """`keep` and word: a row for each word that counts."""
     every = rows.select(*keep, F.explode(F.split(F.lower(F.col(text)), T.WORD_SPLIT)).alias("word"))
@@ -151,15 +167,66 @@ def terms(docs: DataFrame, scope: str, doc: str = "doc_id", text: str = "text",
     """scope, doc, rank, word, score: the words that set a text apart within its scope.
 
     Raw tf * ln(1 + N / df), for words that are in at most max(2, 0.6 N) of the scope's texts; ties: later words first.
-    The texts' word counts are written once, and all else follows from these.  Words beyond that bound (in a scope they are
-    fewer than 1.7 times the mean of a text's different words) are dropped where they stand, so that no frequent word is
-    a key.
+    Texts go in blocks.  A block sends each of its different words once, with the number of its texts that have it, and
+    gets back how many have it in all; so what moves are the texts and the blocks' words, and no frequent word is a key
+    of more than one row a block.
     """
-    n = docs.groupBy(scope).agg(F.count("*").alias("n"))
-    tf = written(each_word(docs, text, scope, doc).groupBy(scope, doc, "word").agg(F.count("*").alias("tf")))
-    df = tf.groupBy(scope, "word").agg(F.count("*").alias("df")).join(n, scope)
-    common = F.col("df") > F.greatest(F.lit(2.0), 0.6 * F.col("n"))
-    rows = tf.join(df.filter(common).select(scope, "word"), [scope, "word"], "left_anti").join(df.filter(~common), [scope, "word"])
-    rows = rows.withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("n") / F.col("df")), 6))
+    n = written(docs.groupBy(scope).agg(F.count("*").alias("n"), F.sum(F.octet_length(text).cast("long")).alias("bytes")))
+    whole = docs.groupBy(scope, doc).agg(F.lower(F.array_join(F.collect_list(text), "\n")).alias("_t"))  # rows of one text, if there are several
+    parts = n.select(scope, F.greatest(F.ceil(F.col("bytes") / TEXT), F.lit(1)).alias("_of"))
+    block = F.xxhash64(scope, F.pmod(F.xxhash64(doc), F.col("_of")))  # of one scope, but for hashes that meet
+    left = whole.join(parts, scope).select(block.alias("_b"), scope, doc, "_t")
+    place = docs.select(F.lit(0).cast("long").alias("_b"), scope).schema
+    found = written(left.groupBy("_b").applyInArrow(_words_of_block, place.add("word", "string").add("k", "long")))
+    df = found.groupBy(scope, "word").agg(F.sum("k").alias("df")).join(n.select(scope, "n"), scope)
+    df = df.filter(F.col("df") <= F.greatest(F.lit(2.0), 0.6 * F.col("n")))
+    right = found.select("_b", scope, "word").join(df, [scope, "word"]).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
+    kind = docs.select(scope, doc).schema.add("word", "string").add("tf", "long").add("idf", "double")
+    best = left.groupBy("_b").cogroup(right.select("_b", scope, "word", "idf").groupBy("_b")).applyInArrow(lambda block, own: _best_of_block(block, own, k), kind)
+    rows = best.withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     rank = F.row_number().over(Window.partitionBy(scope, doc).orderBy(F.desc("score"), F.desc("word")))
     return rows.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select(scope, doc, "rank", "word", "score")
+
+
+#: Bytes of text in a block.
+TEXT = 16 << 20
+
+
+def _words_of_block(block):
+    """_b, scope, word, k: how many texts of the block (_b, scope, doc, text) have the word."""
+    import pyarrow as pa
+
+    total: dict = {}
+    for name, t in zip(block.column(1).to_pylist(), block.column(3).to_pylist(), strict=True):
+        if name is not None:
+            total.setdefault(name, Counter()).update(counted(t).keys())
+    names, words, k = ([x for name, c in total.items() for x in part(name, c)] for part in (lambda name, c: [name] * len(c), lambda name, c: c.keys(), lambda name, c: c.values()))
+    return pa.table([pa.array([block.column(0)[0].as_py()] * len(words), pa.int64()), pa.array(names, block.schema.field(1).type), pa.array(words, pa.string()), pa.array(k, pa.int64())], names=["_b", block.schema.names[1], "word", "k"])
+
+
+def _best_of_block(block, own, k: int):
+    """scope, doc, word, tf, idf of each text's k best words, and of all that rounding could put before one of them."""
+    import pyarrow as pa
+
+    idf: dict = {}
+    for name, word, x in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True):
+        idf.setdefault(name, {})[word] = x
+    at, words, tf, weights = [], [], [], []
+    for i, (name, t) in enumerate(zip(block.column(1).to_pylist(), block.column(3).to_pylist(), strict=True)):
+        known = idf.get(name)
+        if not known:
+            continue
+        every = [(n * known[w], w, n) for w, n in counted(t).items() if w in known]
+        if not every:
+            continue
+        least, run = heapq.nlargest(k, (x for x, _, _ in every))[-1] - 2e-6, 0
+        every = sorted((x for x in every if x[0] >= least), reverse=True)
+        for j, (x, w, n) in enumerate(every):
+            run = run + 1 if j and every[j - 1][0] == x else 1  # of equal ones the first k are enough
+            if run <= k:
+                at.append(i)
+                words.append(w)
+                tf.append(n)
+                weights.append(known[w])
+    rows, names = pa.array(at, pa.int64()), block.schema.names
+    return pa.table([block.column(1).take(rows), block.column(2).take(rows), pa.array(words, pa.string()), pa.array(tf, pa.int64()), pa.array(weights, pa.float64())], names=[names[1], names[2], "word", "tf", "idf"])
