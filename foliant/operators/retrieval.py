@@ -10,7 +10,7 @@ import heapq
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,6 +30,34 @@ def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
+def word_counts(rows: DataFrame, text: str, *keep: str, also: str | None = None) -> DataFrame:
+    """`keep`, word, tf: a row for each different word that counts of each row's text, and one for `also`.  A row is counted
+    in Python: as rows of single words it would move word by word."""
+    kept = rows.select(*keep, F.lower(F.col(text)).alias("_t"))
+    kind = kept.drop("_t").schema.add("word", "string").add("tf", "long")
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            words, tf, at = [], [], []
+            for k, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                own = counted(t)
+                if also is not None:
+                    own[also] = 1
+                words.extend(own)
+                tf.extend(own.values())
+                at.extend([k] * len(own))
+                if len(at) >= MANY_WORDS or k + 1 == b.num_rows:
+                    places = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(c.take(places) for c in b.columns[:-1]), pa.array(words, pa.string()), pa.array(tf, pa.int64())], names=kind.names)
+                    words, tf, at = [], [], []
+
+    return kept.mapInArrow(count, kind)
+
+
+#: How many words of a batch go on at once.
+MANY_WORDS = 100_000
 _WORD = re.compile(r"\w{3,}")
 _STOP = frozenset(T.STOPWORDS)
 
@@ -42,50 +70,96 @@ def counted(lowered: str | None) -> Counter:
     return own
 
 
-def each_word(rows: DataFrame, text: str, *keep: str | Column) -> DataFrame:
-    """`keep` and word: a row for each word that counts."""
-    every = rows.select(*keep, F.explode(F.split(F.lower(F.col(text)), T.WORD_SPLIT)).alias("word"))
-    return every.filter((F.char_length("word") > 2) & ~F.col("word").isin(T.STOPWORDS))
-
-
 def query_words(queries: DataFrame, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
     """query_id, scope, word, times: repeats count."""
-    return each_word(queries, text, F.col(key).alias("query_id"), *scope).groupBy("query_id", *scope, "word").agg(F.count("*").alias("times"))
+    rows = word_counts(queries.withColumn("query_id", F.col(key)), text, "query_id", *scope)
+    return rows.groupBy("query_id", *scope, "word").agg(F.sum("tf").alias("times"))
 
 
 #: What stands for a passage itself among its words (no word is a space), so that counting words counts passages too.
 ITSELF = " "
+#: Passages that are scored at once, and cells of their table with the queries.
+BLOCK, CELLS = 5_000, 1 << 22
 
 
 def postings(rows: DataFrame, wanted: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """scope, doc_id, pos, word, tf, chars for the wanted words alone, and a row with ITSELF for each passage; each passage
-    counts its own words before anything moves."""
-    chars = F.char_length("text").cast("long").alias("chars")
-    every = rows.select(*scope, "doc_id", "pos", chars, F.explode(F.array_append(F.split(F.lower(F.col("text")), T.WORD_SPLIT), F.lit(ITSELF))).alias("word"))
+    """scope, doc_id, pos, chars, words (array of word and tf): a passage's wanted words, ITSELF among them."""
+    every = word_counts(rows.withColumn("chars", F.char_length("text").cast("long")), "text", *scope, "doc_id", "pos", "chars", also=ITSELF)
     kept = wanted.select(*scope, "word").distinct()
     if scope:
         kept = kept.unionByName(wanted.select(*scope).distinct().withColumn("word", F.lit(ITSELF)))
     else:
         kept = kept.unionByName(rows.sparkSession.range(1).select(F.lit(ITSELF).alias("word")))
     found = every.join(kept, [*scope, "word"], "left_semi")
-    return found.groupBy(*scope, "doc_id", "pos", "chars", "word").agg(F.count("*").alias("tf"))
+    return found.groupBy(*scope, "doc_id", "pos", "chars").agg(F.collect_list(F.struct("word", "tf")).alias("words"))
 
 
-def score(rows: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
+def score(rows: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = (), floor: float = 0.0) -> DataFrame:
     """query_id, doc_id, pos, chars, score (rounded to 6): the sum over a query's words, repeats included, of
     (1 + ln tf) * ln(1 + N / df); passages with a score above 0.  N and df count passages, of the query's scope.
 
-    The passages are made and read once: their postings are written, and all else follows from these.
+    The passages' postings are written, and all else follows from these.  Passages are scored in blocks, each of which
+    gets the queries' weights; with a `floor`, what is below that share of the best score in its block stays there.
     """
     asked = query_words(queries, key, text, scope)
     tf = written(postings(rows, asked, scope))
-    df = tf.groupBy(*scope, "word").agg(F.count("*").alias("df"))
+    df = tf.select(*scope, F.explode(F.array_distinct(F.transform("words", lambda x: x["word"]))).alias("word")).groupBy(*scope, "word").agg(F.count("*").alias("df"))
+    df = written(df)  # of wanted words alone
     n = df.filter(F.col("word") == ITSELF).select(*scope, F.col("df").alias("n"))
     every = df.filter(F.col("word") != ITSELF)
     weight = (every.join(n, list(scope)) if scope else every.join(F.broadcast(n))).select(*scope, "word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # without a scope n is one row
-    hits = tf.join(asked.join(weight, [*scope, "word"]), [*scope, "word"])
-    total = F.sum(F.col("times") * (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    return hits.groupBy("query_id", "doc_id", "pos", "chars").agg(F.round(total, 6).alias("score")).filter("score > 0")
+    blocks = max(1, -(-(n.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    name = lambda word: F.concat(*(x for c in scope for x in (F.col(c).cast("string"), F.lit("\0"))), word) if scope else word
+    right = asked.join(weight, [*scope, "word"]).select("query_id", name(F.col("word")).alias("word"), (F.col("times") * F.col("idf")).alias("weight"))
+    right = right.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    left = tf.select("doc_id", "pos", "chars", F.transform("words", lambda x: name(x["word"])).alias("words"), F.transform("words", lambda x: x["tf"]).alias("tf"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(blocks)).alias("_b"))
+    kind = right.select("query_id").schema
+    for c in left.schema.fields[:3]:
+        kind = kind.add(c)
+    kind = kind.add("score", "double")
+    names = kind.names
+
+    def scored(block, own):
+        import pyarrow as pa
+
+        parts = [_scored(block.slice(lo, most), own, floor) for most in (max(1, CELLS // max(1, own.num_rows)),) for lo in range(0, block.num_rows, most)] if own.num_rows else []
+        out = pa.concat_tables(parts) if parts else None
+        if out is None:
+            types = [own.schema.field("query_id").type, *(block.schema.field(c).type for c in ("doc_id", "pos", "chars")), pa.float64()]
+            return pa.table([pa.array([], t) for t in types], names=names)
+        return out.select(names)
+
+    found = left.groupBy("_b").cogroup(right.groupBy("_b")).applyInArrow(scored, kind)
+    return found.withColumn("score", F.round("score", 6)).filter("score > 0")
+
+
+def _scored(block, own, floor: float):
+    """query_id, doc_id, pos, chars, score of the pairs of passages (a table with lists words and tf) and queries (query_id,
+    word, weight) that share words and reach `floor` of their query's best."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    block, own = block.combine_chunks(), own.combine_chunks()
+    ids, words = pc.unique(own["query_id"]), pc.unique(own["word"])
+    queries = len(ids)
+    of, word = (pc.index_in(own[c], x).to_numpy().astype(np.int64) for c, x in (("query_id", ids), ("word", words)))
+    order = np.argsort(word, kind="stable")
+    of, weight = of[order], own["weight"].to_numpy()[order]
+    first = np.searchsorted(word[order], np.arange(len(words) + 1))
+    row = np.repeat(np.arange(block.num_rows), pc.list_value_length(block["words"]).to_numpy())
+    at = pc.fill_null(pc.index_in(pc.list_flatten(block["words"]), words), -1).to_numpy().astype(np.int64)
+    tf = pc.list_flatten(block["tf"]).to_numpy()
+    key, place = np.unique((row * len(words) + at)[at >= 0], return_inverse=True)
+    tf = 1 + np.log(np.bincount(place, tf[at >= 0], len(key)))
+    row, at = np.divmod(key, len(words))
+    many = first[at + 1] - first[at]
+    entry = np.repeat(np.arange(len(key)), many)
+    use = first[at][entry] + np.arange(len(entry)) - (np.cumsum(many) - many)[entry]
+    total = np.bincount(row[entry] * queries + of[use], tf[entry] * weight[use], block.num_rows * queries).reshape(block.num_rows, queries)
+    row, query = np.nonzero((total > 0) & (total >= floor * total.max(axis=0) - 2e-6))
+    rows = pa.array(row)
+    return pa.table({"query_id": ids.take(pa.array(query)), **{c: block[c].take(rows) for c in ("doc_id", "pos", "chars")}, "score": total[row, query]})
 
 
 def ranked(scored: DataFrame, floor: float = FLOOR) -> DataFrame:
@@ -156,7 +230,7 @@ def gap_marks(chosen: DataFrame) -> DataFrame:
 def relevant(docs: DataFrame, queries: DataFrame, budget: int = 12_000, key: str = "item_id", text: str = "text", scope: tuple[str, ...] = (), doc: str = "doc_id") -> DataFrame:
     """query_id, doc_id, pos, text, opens, gap: the passages of `docs` (doc, text) that are worth the budget, in document
     order, the last one trimmed.  Texts are cut again for the documents of picked passages alone."""
-    picked = written(pick(ranked(score(passages(docs, doc), queries, key, text, scope)), budget).select("query_id", "doc_id", "pos"))
+    picked = written(pick(ranked(score(passages(docs, doc), queries, key, text, scope, FLOOR)), budget).select("query_id", "doc_id", "pos"))
     own = docs.join(picked.select(F.col("doc_id").alias(doc)).distinct(), doc, "left_semi")
     texts = passages(own, doc).select("doc_id", "pos", "text")
     kept = written(trim(picked.join(texts, ["doc_id", "pos"]), "query_id", ("doc_id", "pos"), budget).select("query_id", "doc_id", "pos", "text"))

@@ -79,7 +79,7 @@ def doc_passages(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    return retrieval.score(doc_passages(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return retrieval.score(doc_passages(spark, sf_dir), read(spark, sf_dir, "benchmark"), floor=retrieval.FLOOR)
 
 
 def retrieve_tfidf_topk(spark, sf_dir):
@@ -100,7 +100,7 @@ def asked_in_source(spark, sf_dir):
 
 def retrieve_in_chapter(spark, sf_dir):
     """Each item asks in one source; words are counted there."""
-    return retrieval.top(retrieval.score(doc_passages(spark, sf_dir), asked_in_source(spark, sf_dir), scope=("source",)))
+    return retrieval.top(retrieval.score(doc_passages(spark, sf_dir), asked_in_source(spark, sf_dir), scope=("source",), floor=retrieval.FLOOR))
 
 
 def retrieve_budget_prefix(spark, sf_dir):
