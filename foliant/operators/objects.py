@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shared import written
 from .layout import PAGE, overlap, prefixed
 
 # fixed values: what is a logo or a rule and no figure, and what fills a page
@@ -69,21 +70,33 @@ def touching(boxes: list[tuple[float, float, float, float]], near: float = TOUCH
 
 def clusters(drawings: DataFrame, near: float = TOUCH) -> DataFrame:
     """doc, page, seq, box of what the drawings of a page unite to; seq is the least of a cluster's drawings."""
-    kind = "doc string, page bigint, seq bigint, x0 double, top double, x1 double, bottom double"
+    box = ("seq", "x0", "top", "x1", "bottom")
+    pages = drawings.groupBy(*PAGE).agg(F.collect_list(F.struct(*box)).alias("_b"))
 
-    def unite(t):
+    def unite(batches):
         import pyarrow as pa
 
-        rows = t.select(["doc", "page", "seq", "x0", "top", "x1", "bottom"]).to_pylist()
-        of = touching([(r["x0"], r["top"], r["x1"], r["bottom"]) for r in rows], near)
-        found: dict[int, dict] = {}
-        for r, c in zip(rows, of, strict=True):
-            f = found.setdefault(c, dict(r))
-            for k, g in (("seq", min), ("x0", min), ("top", min), ("x1", max), ("bottom", max)):
-                f[k] = g(f[k], r[k])
-        return pa.Table.from_pylist(list(found.values()), pa.schema([("doc", pa.string()), ("page", pa.int64()), ("seq", pa.int64()), *((k, pa.float64()) for k in ("x0", "top", "x1", "bottom"))]))
-
-    return drawings.groupBy(*PAGE).applyInArrow(unite, kind)
+        for t in batches:
+            places, out = [], {k: [] for k in box}
+            every = t.column(2).flatten()
+            columns = [every.field(k).to_pylist() for k in range(len(box))]
+            ends = t.column(2).value_lengths().to_pylist()
+            lo = 0
+            for at, n in enumerate(ends):
+                seq, *sides = (c[lo : lo + n] for c in columns)
+                lo += n
+                found: dict[int, list] = {}
+                for c, row in zip(touching(list(zip(*sides, strict=True)), near), zip(seq, *sides, strict=True), strict=True):
+                    f = found.get(c)
+                    found[c] = list(row) if f is None else [g(x, y) for g, x, y in zip((min, min, min, max, max), f, row, strict=True)]
+                places.extend([at] * len(found))
+                for f in found.values():
+                    for k, x in zip(box, f, strict=True):
+                        out[k].append(x)
+            rows = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays([t.column(0).take(rows), t.column(1).take(rows), *(pa.array(out[k], pa.int64() if k == "seq" else pa.float64()) for k in box)], names=[*PAGE, *box])
+
+    return pages.select(*PAGE, "_b").mapInArrow(unite, "doc string, page bigint, seq bigint, x0 double, top double, x1 double, bottom double")
 
 
 def covering(boxes: DataFrame, others: DataFrame, share: float) -> DataFrame:
@@ -102,7 +115,7 @@ def figure_candidates(images: DataFrame, drawings: DataFrame, pages: DataFrame)
     shown = images.join(pages, PAGE).filter((wide >= LEAST_SIDE) & (tall >= LEAST_SIDE) & (area >= LEAST_AREA) & (area < full))
     shown = shown.select(*PAGE, "seq", "x0", "top", "x1", "bottom", F.lit("image").alias("kind"), F.lit(0).cast("long").alias("paths"))
     found = clusters(drawings)
-    large = found.join(pages, PAGE).filter((wide >= LEAST_SIDE * DRAWING_SIDES) & (tall >= LEAST_SIDE * DRAWING_SIDES) & (area >= LEAST_AREA * DRAWING_AREAS)).select(*found.columns)
+    large = written(found.join(pages, PAGE).filter((wide >= LEAST_SIDE * DRAWING_SIDES) & (tall >= LEAST_SIDE * DRAWING_SIDES) & (area >= LEAST_AREA * DRAWING_AREAS)).select(*found.columns))
     inside = prefixed(drawings, "d_").join(prefixed(large, "c_"), PAGE).filter(overlap("d_", "c_") > 0.9).groupBy(*PAGE, F.col("c_seq").alias("seq")).agg(F.count("*").alias("paths"))
     charts = large.join(inside.filter(F.col("paths") >= LEAST_PATHS), [*PAGE, "seq"]).join(covering(large, shown, 0.5), [*PAGE, "seq"], "left_anti")
     return shown.unionByName(charts.withColumn("kind", F.lit("drawing")).select(*shown.columns))
