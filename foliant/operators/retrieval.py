@@ -25,7 +25,7 @@ ENDERS = ".!?׃。"
 def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The texts' chunks, white space as single spaces: doc_id, pos, text, and the other columns."""
     rest = [c for c in docs.columns if c not in (doc, text)]
-    rows = docs.select(F.col(doc).alias("doc_id"), *rest, T.clean(F.col(text)).alias("_t")).filter("_t <> ''")
+    rows = docs.filter(F.col(text).rlike(r"[^\t\n\x0B\f\r ]")).select(F.col(doc).alias("doc_id"), *rest, T.clean(F.col(text)).alias("_t"))
     rows = rows.select("doc_id", *rest, F.posexplode(T.pack_sentences(F.col("_t"))).alias("pos", "text"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
