@@ -13,18 +13,21 @@ of the dishes are drawn at a time, then their restaurants' totals are renewed.
 Where things are:
 1. Documents are cut into batches of about BATCH tokens, kept as word numbers (`homes`).
 2. Every batch sends its distinct words with their counts to the shard of the word: the root restaurant.  Back come the
-   words' identifiers, small ones for frequent words.
+   words' ranks, of which their identifiers are made (small ones for frequent words), and the levels of their counts.
 3. Every batch sends its distinct triples of words with their training counts, once each however often they occur, to the
-   shard of the middle word: a shard has whole restaurants of both levels.  A word with more than its part of all tokens
-   is split: its restaurant of one word becomes one for each class of words before it, by hash, as many as make a class
-   no larger than half a shard; so each class has at least a quarter of a shard's tokens.
-4. Shards sweep BURN times with the words' shares among their own tables as the root; tables by word go to the root's
-   shards, which draw their own tables; what the root gives each word goes back.  ROUNDS times.
-5. Shards sweep BURN times more and average SAMPLES states' probabilities for every triple that a batch has asked for.
-   They go back to the batch, which adds them up by document.
-The number of shards comes from the bytes of text and the draws are seeded by shard, so scores depend on the data
-alone, not on the cluster's settings.  Batches, triples and replies are read by several steps; as partitioned RDDs they
-are shuffled once, and each step reads the shuffle's files where they are.  Lost ones are made again, the same.
+   shard of the middle word: a shard has whole restaurants of two words.  A word with more than its part of all tokens
+   is dealt to several shards, in classes of the words before it, by hash; its restaurant stays one.
+4. A turn: BURN sweeps over the restaurants of two words, with words' shares by their counts as what lies above them (in
+   later turns, what came back).  Then those of one word take the tables as customers and draw theirs, those of frequent
+   words at a hub, where their classes meet and from which the classes get customers and tables back.  Tables by word go
+   to the root's shards, which draw their own; what the root gives each word goes back.  ROUNDS turns.
+5. Shards go through the turns again, the same, and on: BURN sweeps more, then the average of SAMPLES states'
+   probabilities for every triple that a batch has asked for.  They go back to the batch, which adds them up by document.
+Scores depend on the data alone, neither on the number of shards, which comes from the bytes of text, nor on the cluster's
+settings: identifiers come from fixed ranges of hashes; draws go by a key of the dish and the turn; what a shard cannot
+know alone, it has from an exchange, also where it happens to have all of it.  Batches, triples and replies are read by
+several steps; as partitioned RDDs they are shuffled once, and each step reads the shuffle's files where they are.  Lost
+ones are made again, the same.
 
 Edge cases: a null text counts as empty, and an empty text is its end token alone; a null doc_id is not held out and
 learns like others; rows that repeat are scored each; a corpus without training rows has N = 0 and the uniform base over
@@ -54,6 +57,8 @@ SMALL, LARGE = 48, 2048
 MANY = 64
 #: Tokens of a batch, bytes of text for each shard (about a million tokens), and the fewest shards.
 BATCH, SHARD, LEAST = 1_000_000, 6_000_000, 8
+#: Ranges of the words' hashes: the root's shards have whole ones, and in each the words are numbered.
+RANGES = 4096
 #: The end token's hash, and the identifier of what stands before a document.
 END, START = 0x9E3779B97F4A7C15, 0
 #: Bytes of texts that are split at once, and of words that are hashed at once.
@@ -157,9 +162,47 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, place
 
 
-def root_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of hashes, in their order."""
-    return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def range_of(words: np.ndarray) -> np.ndarray:
+    """The range of each hash, in their order."""
+    return (words >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+
+
+def root_shard(ranges: np.ndarray, shards: int) -> np.ndarray:
+    """The root's shard of each range: whole ranges, in their order."""
+    return ranges * min(shards, RANGES) // RANGES
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Training counts in steps of a sixth of a doubling."""
+    return np.rint(6 * np.log2(1.0 + counts)).astype(np.int64)
+
+
+def start_of(levels: np.ndarray) -> np.ndarray:
+    """What a word weighs in the root before any table is known, about its count to the power of 3/4."""
+    return np.exp2(np.arange(256) / 8)[levels] - 0.5
+
+
+def key_of(*parts: np.ndarray) -> np.ndarray:
+    """A hash of rows of identifiers."""
+    key = np.uint64(0)
+    for part in parts:
+        key = mixed(key + part.astype(np.uint64))
+    return key
+
+
+def turned(keys: np.ndarray, turn: int) -> np.ndarray:
+    """The keys of another turn."""
+    return mixed(keys + np.uint64(turn * END % (1 << 64)))
+
+
+def uniform(keys: np.ndarray, step: int) -> np.ndarray:
+    """A number between 0 and 1 for each key, others for each step."""
+    x = keys * np.uint64((step * END | 1) * _BASE % (1 << 64))
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x >>= np.uint64(11)
+    return (x + 0.5) * 2.0**-53
 
 
 def runs_of(own: np.ndarray):
@@ -220,23 +263,26 @@ class Batch:
         m = len(self.words)
         return np.bincount(self.at[self.learn], minlength=m), np.bincount(self.at[self.learn & self.first], minlength=m)
 
-    def triples(self, names: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int):
+    def triples(self, names: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int, levels: np.ndarray | None = None):
         """Finds the distinct triples, in the order of their shards.
 
-        `names`: the identifiers of the words; `hot`: identifiers of split words, sorted, and their classes.  Sets
-        `known` (sorted identifiers), by triple `owner` (its shard), `context` and `part` (its class), `word`, `before`
-        (places in `known`) and `count`; and for the tokens `follow` that are no first ones, their `triple`."""
-        order = np.argsort(names)
+        `names`: the identifiers of the words; `hot`: identifiers of words that are dealt in classes, sorted, and their
+        classes; `levels`: those of the words' training counts.  Sets `known` (identifiers, those of frequent words
+        first: so triples pack well) with its `levels`, by triple `owner` (its shard), `context` and `part` (its class),
+        `word`, `before` (places in `known`) and `count`; and for the tokens `follow` that are no first ones, their
+        `triple`."""
+        levels = np.zeros(len(names), np.int64) if levels is None else levels.astype(np.int64)
+        order = np.lexsort((names, -levels))
         place = np.empty(len(order), np.int32)  # a batch's arrays are long: half the bytes where they do
         place[order] = np.arange(1, len(order) + 1)
-        self.known = np.r_[START, names[order]]
+        self.known, self.levels = np.r_[START, names[order]], np.r_[levels.max(initial=0), levels[order]]
         at, m = place[self.at], len(self.known)
         self.follow = follow = np.flatnonzero(~self.first)
         word, last = at[follow], at[follow - 1]
         before = np.where(self.first[follow - 1], np.int32(0), at[np.maximum(follow - 2, 0)])
         parts = np.ones(m, np.int64)
-        here = np.flatnonzero(np.isin(hot[0], self.known))
-        parts[np.searchsorted(self.known, hot[0][here])] = hot[1][here]
+        here = np.flatnonzero(np.isin(self.known, hot[0]))
+        parts[here] = hot[1][np.searchsorted(hot[0], self.known[here])]
         part, split = np.zeros(len(last), np.int32), np.flatnonzero(parts[last] > 1)
         part[split] = mixed(self.known.astype(np.uint64))[before[split]] % parts[last[split]].astype(np.uint64)
         offset = np.cumsum(parts) - parts  # a number for each class of each word
@@ -275,7 +321,7 @@ class Batch:
             seen[word], seen[before] = True, True
             use = np.flatnonzero(seen)
             place[use] = np.arange(len(use))
-            yield s, pack(ids[self.context[lo:hi][new]], self.part[lo:hi][new], runs, ids[use], place[word], place[before], self.count[lo:hi])
+            yield s, pack(ids[self.context[lo:hi][new]], self.part[lo:hi][new], runs, ids[use], place[word], place[before], self.count[lo:hi], self.levels[use])
             seen[use] = False
 
 
@@ -312,20 +358,22 @@ def exact_ratios(d: float) -> np.ndarray:
 
 
 def draw(random, level: int, count, strength, reach, room):
-    """Numbers of tables for dishes with `count` > 1 customers.
+    """Numbers of tables for dishes with `count` > 1 customers.  `random`: a key for each dish, or a generator of keys.
 
     The weight of table j + 1 is (strength + d j) times what the parent gives after j tables: (reach + j) / (room + j),
     or `reach` where there is no room (a parent that does not move).  Tables are added one at a time: the last number of
     tables takes the place of the one drawn so far with its share of the weight up to there.
     """
+    if isinstance(random, np.random.Generator):
+        random = random.integers(0, 1 << 64, len(count), np.uint64)
     d, out = D[level], np.ones(len(count), np.int64)
     order = np.argsort(-count, kind="stable")
     big = int(np.searchsorted(-count[order], -SMALL))
     if big:
         k = order[:big]
-        out[k] = drawn_by_steps(random, d, count[k], strength[k], reach[k], None if room is None else room[k])
+        out[k] = drawn_by_steps(random[k], d, count[k], strength[k], reach[k], None if room is None else room[k])
     order = order[big:]
-    count, strength, reach = count[order], strength[order], reach[order]
+    random, count, strength, reach = random[order], count[order], strength[order], reach[order]
     room, ratios = None if room is None else room[order], exact_ratios(d)
     total, drawn = np.ones(len(count)), np.ones(len(count), np.int64)
     for t in range(2, SMALL + 1):
@@ -334,7 +382,7 @@ def draw(random, level: int, count, strength, reach, room):
             break
         gives = reach[:k] if room is None else (reach[:k] + (t - 1)) / (room[:k] + (t - 1))
         total[:k] = total[:k] / ((strength[:k] + d * (t - 1)) * gives * ratios[t][count[:k]]) + 1  # of the weights so far, by the last
-        drawn[:k][random.random(k) * total[:k] < 1] = t
+        drawn[:k][uniform(random[:k], t) * total[:k] < 1] = t
     out[order] = drawn
     return out
 
@@ -366,7 +414,8 @@ def drawn_by_steps(random, d: float, count, strength, reach, room):
             low, high = np.where(up, mid, low), np.where(up, high, mid)
         h = np.sqrt(low)
         fall = np.log(np.maximum(step(wide, low - h), 1e-300)) - np.log(np.maximum(step(wide, np.minimum(low + h, count[wide])), 1e-300))
-        out[wide] = np.clip(np.rint(low + random.standard_normal(len(wide)) * np.sqrt(2 * h / np.maximum(fall, 1e-9))), 1, count[wide])
+        normal = np.sqrt(-2 * np.log(uniform(random[wide], 0))) * np.cos(2 * np.pi * uniform(random[wide], 1))
+        out[wide] = np.clip(np.rint(low + normal * np.sqrt(2 * h / np.maximum(fall, 1e-9))), 1, count[wide])
     few = np.ones(len(count), bool)
     few[wide] = False
     active, total, t = np.flatnonzero(few), np.ones(int(few.sum())), 1
@@ -374,26 +423,57 @@ def drawn_by_steps(random, d: float, count, strength, reach, room):
         t += 1
         with np.errstate(divide="ignore", over="ignore"):
             total = total / step(active, np.full(len(active), t)) + 1
-        out[active[random.random(len(active)) * total < 1]] = t
+        out[active[uniform(random[active], t) * total < 1]] = t
         goes_on = (total < 1e7) & (count[active] > t)
         active, total = active[goes_on], total[goes_on]
     return out
 
 
+class Parents:
+    """Restaurants of one word: customers, tables and keys of their dishes; `house` is the restaurant of each."""
+
+    def __init__(self, keys, house: np.ndarray, houses: int, customers: np.ndarray, tables: np.ndarray | None = None):
+        self.house, self.customers, least = house, customers, np.minimum(customers, 1)
+        self.tables = least if tables is None else np.clip(tables, least, customers)
+        self.seats = np.bincount(house, customers, houses).astype(np.int64)
+        self.many = np.flatnonzero(customers > 1)
+        self.keys = keys(self.many)
+        self._totals()
+
+    def _totals(self):
+        self.opened = np.bincount(self.house, self.tables, len(self.seats)).astype(np.int64)
+
+    def sweep(self, root: np.ndarray, turn: int):
+        """`root`: what the root gives the word of each dish."""
+        keys = turned(self.keys, turn)
+        odd = (keys & np.uint64(1)).astype(bool)
+        for half in (True, False):
+            at = self.many[odd == half]
+            self.tables[at] = draw(keys[odd == half], 1, self.customers[at], THETA[1] + D[1] * (self.opened[self.house[at]] - self.tables[at]), root[at], None)
+            self._totals()
+
+
 class Shard:
-    """The restaurants of a shard: dishes of two levels, numbered together with what batches only ask for (no customers)."""
+    """The restaurants of a shard: dishes of two levels, numbered together with what batches only ask for (no customers).
+
+    Restaurants of two words are drawn while those of one word stand still; then these meet the tables' customers and are
+    drawn.  So a restaurant of one word may have its customers in several shards (`hot`): they meet at its hub."""
 
-    def __init__(self, blobs: list[bytes], seed: int):
-        self.random = np.random.default_rng(seed)
+    def __init__(self, blobs: list[bytes], seed: int, hot: np.ndarray | None = None):
         parts = [unpack(b) for b in blobs]
         joined = lambda k: np.concatenate([np.zeros(0, np.int64), *(p[k].astype(np.int64) for p in parts)])
         classes = joined(1)
-        _, own = distinct(joined(0) * (int(classes.max(initial=0)) + 1) + classes)
-        self.words, names = distinct(joined(3))
+        width = int(classes.max(initial=0)) + 1
+        own_ids, own = distinct(joined(0) * width + classes)
+        self.contexts = own_ids // width
+        said = joined(3)
+        self.words, names = distinct(said)
+        self.levels = np.zeros(len(self.words), np.int64)
+        self.levels[names] = joined(7)
         context = np.repeat(own, joined(2))
         shift = np.repeat(np.cumsum([0, *(len(p[3]) for p in parts[:-1])])[: len(parts)], [len(p[4]) for p in parts])
         word, before = names[joined(4) + shift], names[joined(5) + shift]
-        del names, shift
+        del names, shift, said
         self.asked = [len(p[4]) for p in parts]
         m = max(1, len(self.words))
         pairs, pair = distinct(context.astype(np.int64) * m + word)
@@ -405,94 +485,164 @@ class Shard:
         self.seats = np.bincount(self.room, self.count).astype(np.int64)
         self.tables = np.minimum(self.count, 1)
         self.many = np.flatnonzero(self.count > 1)
-        self._parents()
-        self.parent_tables = np.minimum(self.customers, 1)
-        self._parents()
+        self.seed, self.turn, self.parents = key_of(np.array([seed])), 0, None
+        self.keys = key_of(self.seed, self.words[before[self.many]], *self._names(self.above[self.many]))
+        self._totals()
+        #: the houses that others have parts of, and their dishes
+        self.shared = np.flatnonzero(np.isin(self.contexts, hot)) if hot is not None else np.zeros(0, np.int64)
+        self.dishes = [slice(*np.searchsorted(self.house, [h, h + 1])) for h in self.shared.tolist()]
 
-    def _parents(self):
-        """Totals after tables have changed."""
+    def _names(self, dishes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.contexts[self.house[dishes]], self.words[self.word[dishes]]
+
+    def _totals(self):
         self.opened = np.bincount(self.room, self.tables, len(self.seats)).astype(np.int64)
-        self.customers = np.bincount(self.above, self.tables, len(self.house)).astype(np.int64)
-        self.parent_seats = np.bincount(self.house, self.customers).astype(np.int64)
-        if hasattr(self, "parent_tables"):
-            self.parent_tables = np.clip(self.parent_tables, np.minimum(self.customers, 1), self.customers)
-            self.parent_opened = np.bincount(self.house, self.parent_tables, len(self.parent_seats)).astype(np.int64)
 
-    def tables_of_words(self) -> np.ndarray:
-        return np.bincount(self.word, self.parent_tables, len(self.words)).astype(np.int64)
+    def children(self, root: np.ndarray):
+        """Draws the restaurants of two words, half of the dishes at a time; `root`: what the root gives each word."""
+        keys = turned(self.keys, self._next())
+        odd = (keys & np.uint64(1)).astype(bool)
+        for half in (True, False):
+            at = self.many[odd == half]
+            up, own, p = self.above[at], self.tables[at], self.parents
+            if p is None:
+                reach, room = root[self.word[up]], None
+            else:
+                met = self.met[at]
+                others = p.customers[up] - met
+                # with its first table a dish has a customer at the parent, and so a table
+                tables = np.maximum(np.minimum(p.tables[up], others), 1)
+                house = self.house[up]
+                gone = np.where(others > 0, 0, p.tables[up] - 1)
+                reach = others - D[1] * tables + (THETA[1] + D[1] * (p.opened[house] - gone)) * root[self.word[up]]
+                room = THETA[1] + p.seats[house] - met
+            self.tables[at] = draw(keys[odd == half], 0, self.count[at], THETA[0] + D[0] * (self.opened[self.room[at]] - own), reach, room)
+            self._totals()
+
+    def _next(self) -> int:
+        self.turn += 1
+        return self.turn
+
+    def meet(self, root: np.ndarray, sweeps: int, tables: np.ndarray | None = None):
+        """The restaurants of one word take the tables' customers and are drawn; `customers` keeps all, of shared ones too."""
+        self.met = self.tables.copy()
+        self.customers = np.bincount(self.above, self.tables, len(self.house)).astype(np.int64)
+        whole = self.customers.copy()
+        for at in self.dishes:
+            whole[at] = 0
+        self.parents = Parents(lambda many: key_of(self.seed, *self._names(many)), self.house, len(self.contexts), whole, tables)
+        for _ in range(sweeps):
+            self.parents.sweep(root[self.word], self._next())
+
+    def live(self, root: np.ndarray):
+        """A turn: what is drawn between two exchanges."""
+        for _ in range(BURN):
+            self.children(root)
+        self.meet(root, BURN)
 
-    def own_root(self) -> np.ndarray:
-        """The words' shares among the shard's own tables."""
-        n = self.tables_of_words() + 0.5
-        return n / n.sum()
+    def told(self, replies: list[list[np.ndarray]]):
+        """Takes what the hubs say of shared restaurants: customers, tables and both totals."""
+        for house, at, (customers, tables, totals) in zip(self.shared.tolist(), self.dishes, replies, strict=True):
+            self.parents.customers[at], self.parents.tables[at] = customers, tables
+            self.parents.seats[house], self.parents.opened[house] = totals
 
     def sweep(self, root: np.ndarray):
-        """`root`: what the root gives each word."""
-        for half in range(2):
-            if not half:
-                odd = self.random.random(len(self.many)) < 0.5
-            at = self.many[odd == bool(half)]
-            up, own = self.above[at], self.tables[at]
-            others = self.customers[up] - own
-            # with its first table a dish has a customer at the parent, and so a table
-            tables = np.maximum(np.minimum(self.parent_tables[up], others), 1)
-            house = self.house[up]
-            gone = np.where(others > 0, 0, self.parent_tables[up] - 1)
-            reach = others - D[1] * tables + (THETA[1] + D[1] * (self.parent_opened[house] - gone)) * root[self.word[up]]
-            room = THETA[1] + self.parent_seats[house] - own
-            self.tables[at] = draw(self.random, 0, self.count[at], THETA[0] + D[0] * (self.opened[self.room[at]] - own), reach, room)
-            self._parents()
-        many = np.flatnonzero(self.customers > 1)
-        odd = self.random.random(len(many)) < 0.5
-        for half in (True, False):
-            at = many[odd == half]
-            own = self.parent_tables[at]
-            self.parent_tables[at] = draw(self.random, 1, self.customers[at], THETA[1] + D[1] * (self.parent_opened[self.house[at]] - own), root[self.word[at]], None)
-            self.parent_opened = np.bincount(self.house, self.parent_tables, len(self.parent_seats)).astype(np.int64)
+        """A turn of one sweep, which goes on from the tables there are."""
+        self.children(root)
+        self.meet(root, 1, self.parents and self.parents.tables)
+
+    def tables_of_words(self) -> np.ndarray:
+        tables = self.parents.tables if self.parents else np.minimum(np.bincount(self.above, self.tables, len(self.house)), 1)
+        return np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+
+    def own_root(self, total: float | None = None) -> np.ndarray:
+        """The words' shares before any table is known; `total`: the weight of all words, else that of the shard's."""
+        n = start_of(self.levels)
+        return n / (total or n.sum())
 
     def chances(self, root: np.ndarray) -> np.ndarray:
         """P(word | two words) of each triple, in the present state."""
-        seats, house = THETA[1] + self.parent_seats, self.house
-        parent = (self.customers - D[1] * self.parent_tables) / seats[house] + ((THETA[1] + D[1] * self.parent_opened) / seats)[house] * root[self.word]
+        p, house = self.parents, self.house
+        seats = THETA[1] + p.seats
+        parent = (p.customers - D[1] * p.tables) / seats[house] + ((THETA[1] + D[1] * p.opened) / seats)[house] * root[self.word]
         seats = THETA[0] + self.seats
         return (self.count - D[0] * self.tables) / seats[self.room] + ((THETA[0] + D[0] * self.opened) / seats)[self.room] * parent[self.above]
 
     def sampled(self, root: np.ndarray, burn: int, samples: int) -> np.ndarray:
         """The average of the samples' probabilities, by triple."""
+        if self.parents is None:
+            self.live(root)
         out = np.zeros(len(self.triple) and len(self.count))
         for k in range(burn + samples):
-            self.sweep(root)
+            self.children(root)
             if k >= burn:
                 out += self.chances(root)
         return out / samples
 
 
+class Hub:
+    """A restaurant of one word whose customers are in several shards, which send their dishes' identifiers, customers and
+    what the root gives.  An identifier has a place: they are small."""
+
+    def __init__(self, word: int, blobs: list[bytes], seed: int, turn: int):
+        self.asked = [unpack(b) for b in blobs]
+        every = 1 + max((int(ids[-1]) for ids, _, _ in self.asked if len(ids)), default=0)
+        customers, root = np.zeros(every, np.int64), np.zeros(every)
+        for ids, n, gives in self.asked:
+            customers[ids] += n
+            root[ids] = gives
+        self.words = np.flatnonzero(customers)
+        key = lambda many: key_of(key_of(np.array([seed])), np.full(len(many), word), self.words[many])
+        self.parents = Parents(key, np.zeros(len(self.words), np.int64), 1, customers[self.words])
+        for k in range(BURN):
+            self.parents.sweep(root[self.words], turn + k)
+        self.place = customers
+
+    def replies(self):
+        """Customers, tables and both totals, as each shard has asked."""
+        tables, p = np.zeros(len(self.place), np.int64), self.parents
+        tables[self.words] = p.tables
+        for ids, _, _ in self.asked:
+            yield pack(self.place[ids], tables[ids], np.array([p.seats[0], p.opened[0]]))
+
+
 class Root:
-    """The root's words of a shard, most frequent first: training counts, customers and tables."""
+    """The root's words of a shard, by ranges of hashes, most frequent first: identifiers, training counts, customers and
+    tables."""
 
     def __init__(self, batches: list[bytes]):
         parts = [unpack(b) for b in batches]
         words, at = distinct(np.concatenate([p[0] for p in parts]))
         self.count, self.customers = (np.bincount(at, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2))
-        order = np.argsort(-self.count, kind="stable")
+        ranges = range_of(words)
+        order = np.lexsort((-self.count, ranges))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.count, self.customers = self.count[order], self.customers[order]
+        self.count, self.customers, ranges = self.count[order], self.customers[order], ranges[order]
+        self.starts = np.searchsorted(ranges, np.arange(RANGES))
+        #: a word's rank in its range, of which its identifier is made: the same whatever shards there are
+        self.ranks = np.arange(len(ranges)) - self.starts[ranges]
+        self.words = 1 + self.ranks * RANGES + ranges
         #: the places of each batch's words
         self.asked = np.split(place[at], np.cumsum([len(p[0]) for p in parts])[:-1])
         self.types = int((self.count > 0).sum())
 
-    def seat(self, random, sent: list[tuple[np.ndarray, np.ndarray]], types: int):
-        """Takes the tables of (places, numbers) as customers and draws the tables; those of other shards are put at this
-        shard's ratio of tables to words."""
+    def places(self, words: np.ndarray) -> np.ndarray:
+        rank, ranges = np.divmod(words.astype(np.int64) - 1, RANGES)
+        return self.starts[ranges] + rank
+
+    def seat(self, random, sent: list[tuple[np.ndarray, np.ndarray]], types: int, opened: list[int] | None = None):
+        """Takes the tables of (places, numbers) as customers and draws the tables.  `opened`: all the root's tables before
+        each sweep, or None where the root has no other shards."""
         for place, n in sent:
             self.customers += np.bincount(place, n, len(self.customers)).astype(np.int64)
         self.tables = np.minimum(self.customers, 1)
-        many, here = np.flatnonzero(self.customers > 1), max(1, int((self.customers > 0).sum()))
-        for _ in range(BURN):
+        many = np.flatnonzero(self.customers > 1)
+        for k in range(BURN if opened is None else len(opened)):
             if len(many):
-                opened = self.tables.sum() * types / here
-                self.tables[many] = draw(random, 2, self.customers[many], THETA[2] + D[2] * np.maximum(opened - self.tables[many], 0), np.full(len(many), 1 / (types + 1)), None)
+                every = self.tables.sum() if opened is None else opened[k]
+                keys = random if isinstance(random, np.random.Generator) else turned(key_of(np.array([random]), self.words[many]), k)
+                self.tables[many] = draw(keys, 2, self.customers[many], THETA[2] + D[2] * np.maximum(every - self.tables[many], 0), np.full(len(many), 1 / (types + 1)), None)
         return self.customers - D[2] * self.tables
 
 
@@ -507,7 +657,7 @@ def slot(key: int) -> int:
 
 
 #: Kinds of messages.
-HOME, WORDS, NAMES, TRIPLES, TABLES, GIVEN, TOTAL, LOGS = range(8)
+HOME, WORDS, NAMES, TRIPLES, TABLES, SHARED, HUBS, GIVEN, TOTAL, LOGS = range(10)
 
 
 def gathered(rows) -> list[tuple[int, dict]]:
@@ -540,39 +690,40 @@ def score(df: DataFrame, folds: int = 5, fold: int = 1, key: str = "doc_id", tex
     def words_of(batch, own):
         home = Batch(own[HOME][0][1])
         counts, firsts = home.word_counts()
-        for r, lo, hi in runs_of(root_shard(home.words, shards)):
+        for r, lo, hi in runs_of(root_shard(range_of(home.words), shards)):
             yield -1 - r, (WORDS, batch, pack(home.words[lo:hi], counts[lo:hi], firsts[lo:hi]))
 
     words = deal(by_key(kept, words_of))
 
-    def name(place, r):
-        return 1 + place * shards + r
-
     def census(k, own):
         root = Root([b for _, b in own[WORDS]])
-        yield root.types, int(root.count.sum())
+        yield np.r_[int(root.count.sum()), np.bincount(level_of(root.count[root.count > 0]), minlength=256)]
 
-    types, learnt = by_key(words, census).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    learnt, *hist = by_key(words, census).fold(np.zeros(257, np.int64), np.add).tolist()
+    types = sum(hist)
+    weight = float(np.dot(hist, start_of(np.arange(256))) + start_of(0))  # of all words and the unknown one
 
     def frequent(k, own):
         root = Root([b for _, b in own[WORDS]])
-        for i in np.flatnonzero(root.count * 2 * shards > learnt).tolist():
-            yield name(i, -1 - k), int(root.count[i])
+        here = root.count * 2 * shards > learnt
+        yield from zip(root.words[here].tolist(), root.count[here].tolist(), strict=True)
 
-    # words with more than half of a shard's part of all tokens: fewer than two a shard
+    # words with more than half of a shard's part of all tokens, fewer than two a shard: dealt in classes
     hot = np.array(sorted(by_key(words, frequent).collect()), np.int64).reshape(-1, 2)
     hot = spark.sparkContext.broadcast((hot[:, 0], -(-hot[:, 1] * 2 * shards // max(1, learnt))))
 
     def names_of(k, own):
         root = Root([b for _, b in own[WORDS]])
+        levels = level_of(root.count)
         for (batch, _), place in zip(own[WORDS], root.asked, strict=True):
-            yield batch, (NAMES, -1 - k, pack(name(place, -1 - k)))
+            yield batch, (NAMES, -1 - k, pack(root.ranks[place], levels[place]))
 
     names = deal(by_key(words, names_of))
 
     def asked_by(own) -> Batch:
         home = Batch(own[HOME][0][1])
-        home.triples(np.concatenate([unpack(b)[0].astype(np.int64) for _, b in own[NAMES]]), hot.value, shards)
+        ranks, levels = (np.concatenate(x).astype(np.int64) for x in zip(*(unpack(b) for _, b in own[NAMES]), strict=True))
+        home.triples(1 + ranks * RANGES + range_of(home.words), hot.value, shards, levels)
         return home
 
     def triples_of(batch, own):
@@ -581,63 +732,104 @@ def score(df: DataFrame, folds: int = 5, fold: int = 1, key: str = "doc_id", tex
 
     triples = deal(by_key(kept.union(names), triples_of))
 
-    def root_of(shard: Shard, own, totals):
-        if totals is None:
-            return shard.own_root()
-        raw = np.empty(len(shard.words))
-        r = (shard.words - 1) % shards
-        r[shard.words == START] = -1
-        raw[shard.words == START] = 0
-        for sender, blob in own[GIVEN]:
-            raw[r == sender] = unpack(blob)[0]
-        return given(raw, totals)
+    def places_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The root's shard of each identifier, and an order by shards."""
+        r = root_shard((words - 1) % RANGES, shards)
+        r[words == START] = -1
+        return r, np.argsort(r, kind="stable")[int((r < 0).sum()) :]
+
+    def posted(words, n, sender):
+        r, order = places_of(words)
+        for at, lo, hi in runs_of(r[order]):
+            yield -1 - at, (TABLES, sender, pack(words[order][lo:hi].astype(np.uint64), n[order][lo:hi]))
+
+    def lived(own, turns, totals):
+        """A shard after so many turns, and what the root gives its words then.  A shard is not kept between exchanges:
+        draws go by keys, so it comes to the same tables when its turns are gone through again."""
+        shard = Shard([b for _, b in own[TRIPLES]], 0, hot.value[0])
+        root, (r, _) = shard.own_root(weight), places_of(shard.words)
+        for turn in range(turns):
+            shard.live(root)
+            if turn < len(totals):
+                shard.told([unpack(b) for _, b in own.get((HUBS, turn), [])])
+                raw = np.zeros(len(r))
+                for sender, blob in own[(GIVEN, turn)]:
+                    raw[r == sender] = unpack(blob)[0]
+                root = given(raw, totals[turn])
+        return shard, root
 
     def tables_of(turn, totals):
         def work(k, own):
-            shard = Shard([b for _, b in own[TRIPLES]], turn * shards - 1 - k)
-            root = root_of(shard, own, totals)
-            for _ in range(BURN):
-                shard.sweep(root)
-            sent, real = shard.tables_of_words(), np.flatnonzero(shard.words != START)
-            place, r = np.divmod(shard.words[real] - 1, shards)
-            order = np.argsort(r, kind="stable")
-            for at, lo, hi in runs_of(r[order]):
-                yield -1 - at, (TABLES, -1 - k, pack(place[order][lo:hi].astype(np.uint64), sent[real][order][lo:hi]))
+            shard, root = lived(own, turn + 1, totals)
+            yield from posted(shard.words, shard.tables_of_words(), -1 - k)
+            for house, at in zip(shard.shared.tolist(), shard.dishes, strict=True):
+                hub = int(np.searchsorted(hot.value[0], shard.contexts[house]))
+                word = shard.word[at]
+                # a shard may have several classes of a word, in their order
+                yield -1 - shards - hub, ((SHARED, turn), (-1 - k, house), pack(shard.words[word].astype(np.uint64), shard.customers[at], root[word]))
+
+        return work
+
+    def hubs_of(turn):
+        def work(k, own):
+            sent = own[(SHARED, turn)]
+            hub = Hub(int(hot.value[0][-1 - shards - k]), [b for _, b in sent], 0, (turn + 1) * 2 * BURN - BURN + 1)
+            yield from posted(hub.words, hub.parents.tables, k)
+            for ((s, house), _), blob in zip(sent, hub.replies(), strict=True):
+                yield -1 - s, ((HUBS, turn), house, blob)
 
         return work
 
-    def seated(k, own):
+    def seat(k, own, opened):
         root = Root([b for _, b in own[WORDS]])
-        sent = [(s, *unpack(b)) for s, b in own.get(TABLES, [])]
-        sent = [(s, place.astype(np.int64), n.astype(np.int64)) for s, place, n in sent]
-        raw = root.seat(np.random.default_rng(-k), [x[1:] for x in sent], types)
-        for s, place, _ in sent:
-            yield -1 - s, (GIVEN, -1 - k, pack(raw[place]))
-        for (batch, _), place in zip(own[WORDS], root.asked, strict=True):
-            yield batch, (GIVEN, -1 - k, pack(raw[place], root.count[place]))
-        yield k, (TOTAL, 0, pack(np.array([root.customers.sum(), root.tables.sum()])))
+        sent = [(s, root.places(words), n.astype(np.int64)) for s, (words, n) in ((s, unpack(b)) for s, b in own.get(TABLES, []))]
+        return root, sent, root.seat(0, [x[1:] for x in sent], types, opened)
+
+    def opened_by(opened):
+        def work(k, own):
+            yield int(seat(k, own, opened)[0].tables.sum())
+
+        return work
+
+    def seated(turn, opened):
+        def work(k, own):
+            root, sent, raw = seat(k, own, opened)
+            for s, place, _ in sent:
+                if s >= 0:  # hubs ask for nothing
+                    yield -1 - s, ((GIVEN, turn), -1 - k, pack(raw[place]))
+            for (batch, _), place in zip(own[WORDS], root.asked, strict=True):
+                yield batch, ((GIVEN, turn), -1 - k, pack(raw[place], root.count[place]))
+            yield k, (TOTAL, 0, pack(np.array([root.customers.sum(), root.tables.sum()])))
+
+        return work
 
     only = lambda rdd, kept: rdd.filter(lambda row: kept(row[0], row[1][0]))
-    replies, totals = None, None
+    known, totals = triples, []
     for turn in range(rounds):
-        known = triples if replies is None else triples.union(only(replies, lambda k, kind: k < 0 and kind == GIVEN))
-        replies = deal(by_key(words.union(deal(by_key(known, tables_of(turn, totals)))), seated))
+        sent = deal(by_key(known, tables_of(turn, list(totals))))
+        met = deal(by_key(only(sent, lambda k, kind: kind != TABLES), hubs_of(turn)))
+        tables = words.union(only(sent.union(met), lambda k, kind: kind == TABLES))
+        opened = [types]
+        while len(opened) < BURN:  # each sweep goes by the tables of the whole root
+            opened.append(by_key(tables, opened_by(list(opened))).sum())
+        replies = deal(by_key(tables, seated(turn, opened)))
         sums = only(replies, lambda k, kind: kind == TOTAL).map(lambda row: unpack(row[1][2])[0].tolist()).fold([0, 0], lambda a, b: [a[0] + b[0], a[1] + b[1]])
-        totals = {"types": types, "customers": sums[0], "tables": sums[1]}
+        totals.append({"types": types, "customers": sums[0], "tables": sums[1]})
+        known = known.union(only(met, lambda k, kind: kind != TABLES)).union(only(replies, lambda k, kind: k < 0 and kind != TOTAL))
 
     def answered(k, own):
-        shard = Shard([b for _, b in own[TRIPLES]], (rounds + 1) * shards - 1 - k)
-        logs = np.log10(shard.sampled(root_of(shard, own, totals), BURN, SAMPLES)).astype(np.float32)[shard.triple]
+        shard, root = lived(own, rounds, totals)
+        logs = np.log10(shard.sampled(root, BURN, SAMPLES)).astype(np.float32)[shard.triple]
         for (batch, _), end, m in zip(own[TRIPLES], np.cumsum(shard.asked), shard.asked, strict=True):
             yield batch, (LOGS, -1 - k, pack(logs[end - m : end]))
 
-    logs = deal(by_key(triples.union(only(replies, lambda k, kind: k < 0 and kind == GIVEN)), answered))
+    logs = deal(by_key(known, answered))
 
     def summed(_, own):
         home = asked_by(own)
-        raw, counts = (np.concatenate(x) for x in zip(*(unpack(b) for _, b in own[GIVEN]), strict=True))
+        raw, counts = (np.concatenate(x) for x in zip(*(unpack(b) for _, b in own[(GIVEN, rounds - 1)]), strict=True))
         each = np.empty(len(home.at))
-        each[home.first] = np.log10(given(raw, totals))[home.at[home.first]]
+        each[home.first] = np.log10(given(raw, totals[-1]))[home.at[home.first]]
         each[home.follow] = np.concatenate([np.zeros(0, np.float32), *(unpack(b)[0] for _, b in own.get(LOGS, []))])[home.triple]
         base = np.log10((counts + 0.5) / (learnt + 0.5 * (types + 1)))
         add = lambda x: np.add.reduceat(x, home.starts).tolist()
