@@ -57,8 +57,10 @@ SMALL, LARGE = 48, 2048
 MANY = 64
 #: Tokens of a batch, bytes of text for each shard (about a million tokens), and the fewest shards.
 BATCH, SHARD, LEAST = 1_000_000, 6_000_000, 8
-#: Ranges of the words' hashes: the root's shards have whole ones, and in each the words are numbered.
-RANGES = 4096
+#: Ranges of the words' hashes: the root's shards have whole ones, and in each the words of a level are numbered.
+RANGES = 1024
+#: Levels of counts, and the bits of an identifier below the level.
+LEVELS, LOW = 256, 40
 #: The end token's hash, and the identifier of what stands before a document.
 END, START = 0x9E3779B97F4A7C15, 0
 #: Bytes of texts that are split at once, and of words that are hashed at once.
@@ -179,7 +181,18 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 def start_of(levels: np.ndarray) -> np.ndarray:
     """What a word weighs in the root before any table is known, about its count to the power of 3/4."""
-    return np.exp2(np.arange(256) / 8)[levels] - 0.5
+    return np.exp2(np.arange(LEVELS) / 8)[levels] - 0.5
+
+
+def identified(ranks: np.ndarray, ranges: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Identifiers of words: those of high levels are the first, those of a level lie close."""
+    return (LEVELS - 1 - levels << LOW) + 1 + ranks * RANGES + ranges
+
+
+def placed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks, ranges and levels of identifiers."""
+    ranks, ranges = np.divmod((words & (1 << LOW) - 1) - 1, RANGES)
+    return ranks, ranges, LEVELS - 1 - (words >> LOW)
 
 
 def key_of(*parts: np.ndarray) -> np.ndarray:
@@ -263,26 +276,24 @@ class Batch:
         m = len(self.words)
         return np.bincount(self.at[self.learn], minlength=m), np.bincount(self.at[self.learn & self.first], minlength=m)
 
-    def triples(self, names: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int, levels: np.ndarray | None = None):
+    def triples(self, names: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int):
         """Finds the distinct triples, in the order of their shards.
 
         `names`: the identifiers of the words; `hot`: identifiers of words that are dealt in classes, sorted, and their
-        classes; `levels`: those of the words' training counts.  Sets `known` (identifiers, those of frequent words
-        first: so triples pack well) with its `levels`, by triple `owner` (its shard), `context` and `part` (its class),
+        classes.  Sets `known` (sorted identifiers), by triple `owner` (its shard), `context` and `part` (its class),
         `word`, `before` (places in `known`) and `count`; and for the tokens `follow` that are no first ones, their
         `triple`."""
-        levels = np.zeros(len(names), np.int64) if levels is None else levels.astype(np.int64)
-        order = np.lexsort((names, -levels))
+        order = np.argsort(names)
         place = np.empty(len(order), np.int32)  # a batch's arrays are long: half the bytes where they do
         place[order] = np.arange(1, len(order) + 1)
-        self.known, self.levels = np.r_[START, names[order]], np.r_[levels.max(initial=0), levels[order]]
+        self.known = np.r_[START, names[order]]
         at, m = place[self.at], len(self.known)
         self.follow = follow = np.flatnonzero(~self.first)
         word, last = at[follow], at[follow - 1]
         before = np.where(self.first[follow - 1], np.int32(0), at[np.maximum(follow - 2, 0)])
         parts = np.ones(m, np.int64)
-        here = np.flatnonzero(np.isin(self.known, hot[0]))
-        parts[here] = hot[1][np.searchsorted(hot[0], self.known[here])]
+        here = np.flatnonzero(np.isin(hot[0], self.known))
+        parts[np.searchsorted(self.known, hot[0][here])] = hot[1][here]
         part, split = np.zeros(len(last), np.int32), np.flatnonzero(parts[last] > 1)
         part[split] = mixed(self.known.astype(np.uint64))[before[split]] % parts[last[split]].astype(np.uint64)
         offset = np.cumsum(parts) - parts  # a number for each class of each word
@@ -321,7 +332,7 @@ class Batch:
             seen[word], seen[before] = True, True
             use = np.flatnonzero(seen)
             place[use] = np.arange(len(use))
-            yield s, pack(ids[self.context[lo:hi][new]], self.part[lo:hi][new], runs, ids[use], place[word], place[before], self.count[lo:hi], self.levels[use])
+            yield s, pack(ids[self.context[lo:hi][new]], self.part[lo:hi][new], runs, ids[use], place[word], place[before], self.count[lo:hi])
             seen[use] = False
 
 
@@ -462,18 +473,15 @@ class Shard:
     def __init__(self, blobs: list[bytes], seed: int, hot: np.ndarray | None = None):
         parts = [unpack(b) for b in blobs]
         joined = lambda k: np.concatenate([np.zeros(0, np.int64), *(p[k].astype(np.int64) for p in parts)])
-        classes = joined(1)
+        classes, (contexts, own) = joined(1), distinct(joined(0))
         width = int(classes.max(initial=0)) + 1
-        own_ids, own = distinct(joined(0) * width + classes)
-        self.contexts = own_ids // width
-        said = joined(3)
-        self.words, names = distinct(said)
-        self.levels = np.zeros(len(self.words), np.int64)
-        self.levels[names] = joined(7)
+        houses, own = distinct(own.astype(np.int64) * width + classes)
+        self.contexts = contexts[houses // width]
+        self.words, names = distinct(joined(3))
         context = np.repeat(own, joined(2))
         shift = np.repeat(np.cumsum([0, *(len(p[3]) for p in parts[:-1])])[: len(parts)], [len(p[4]) for p in parts])
         word, before = names[joined(4) + shift], names[joined(5) + shift]
-        del names, shift, said
+        del names, shift
         self.asked = [len(p[4]) for p in parts]
         m = max(1, len(self.words))
         pairs, pair = distinct(context.astype(np.int64) * m + word)
@@ -485,7 +493,7 @@ class Shard:
         self.seats = np.bincount(self.room, self.count).astype(np.int64)
         self.tables = np.minimum(self.count, 1)
         self.many = np.flatnonzero(self.count > 1)
-        self.seed, self.turn, self.parents = key_of(np.array([seed])), 0, None
+        self.seed, self.turn, self.parents = np.array([seed]), 0, None
         self.keys = key_of(self.seed, self.words[before[self.many]], *self._names(self.above[self.many]))
         self._totals()
         #: the houses that others have parts of, and their dishes
@@ -557,7 +565,7 @@ class Shard:
 
     def own_root(self, total: float | None = None) -> np.ndarray:
         """The words' shares before any table is known; `total`: the weight of all words, else that of the shard's."""
-        n = start_of(self.levels)
+        n = start_of(placed(self.words)[2])
         return n / (total or n.sum())
 
     def chances(self, root: np.ndarray) -> np.ndarray:
@@ -582,28 +590,35 @@ class Shard:
 
 class Hub:
     """A restaurant of one word whose customers are in several shards, which send their dishes' identifiers, customers and
-    what the root gives.  An identifier has a place: they are small."""
+    what the root gives.  A dish has a place by its identifier, level after level."""
 
     def __init__(self, word: int, blobs: list[bytes], seed: int, turn: int):
-        self.asked = [unpack(b) for b in blobs]
-        every = 1 + max((int(ids[-1]) for ids, _, _ in self.asked if len(ids)), default=0)
-        customers, root = np.zeros(every, np.int64), np.zeros(every)
-        for ids, n, gives in self.asked:
-            customers[ids] += n
-            root[ids] = gives
-        self.words = np.flatnonzero(customers)
-        key = lambda many: key_of(key_of(np.array([seed])), np.full(len(many), word), self.words[many])
-        self.parents = Parents(key, np.zeros(len(self.words), np.int64), 1, customers[self.words])
+        parts = [unpack(b) for b in blobs]
+        self.asked, ends = [p[0].astype(np.int64) for p in parts], np.zeros(LEVELS, np.int64)
+        for ids in self.asked:
+            np.maximum.at(ends, ids >> LOW, (ids & (1 << LOW) - 1) + 1)
+        self.first, every = np.cumsum(ends) - ends, int(ends.sum())
+        self.customers, words, root = np.zeros(every, np.int64), np.zeros(every, np.int64), np.zeros(every)
+        for ids, (_, n, gives) in zip(self.asked, parts, strict=True):
+            at = self._places(ids)
+            self.customers[at] += n
+            words[at], root[at] = ids, gives
+        self.here = np.flatnonzero(self.customers)
+        self.words, root = words[self.here], root[self.here]
+        key = lambda many: key_of(np.array([seed]), np.full(len(many), word), self.words[many])
+        self.parents = Parents(key, np.zeros(len(self.words), np.int64), 1, self.customers[self.here])
         for k in range(BURN):
-            self.parents.sweep(root[self.words], turn + k)
-        self.place = customers
+            self.parents.sweep(root, turn + k)
+
+    def _places(self, ids: np.ndarray) -> np.ndarray:
+        return self.first[ids >> LOW] + (ids & (1 << LOW) - 1)
 
     def replies(self):
         """Customers, tables and both totals, as each shard has asked."""
-        tables, p = np.zeros(len(self.place), np.int64), self.parents
-        tables[self.words] = p.tables
-        for ids, _, _ in self.asked:
-            yield pack(self.place[ids], tables[ids], np.array([p.seats[0], p.opened[0]]))
+        tables, p = np.zeros(len(self.customers), np.int64), self.parents
+        tables[self.here] = p.tables
+        for at in map(self._places, self.asked):
+            yield pack(self.customers[at], tables[at], np.array([p.seats[0], p.opened[0]]))
 
 
 class Root:
@@ -619,17 +634,18 @@ class Root:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.count, self.customers, ranges = self.count[order], self.customers[order], ranges[order]
-        self.starts = np.searchsorted(ranges, np.arange(RANGES))
-        #: a word's rank in its range, of which its identifier is made: the same whatever shards there are
-        self.ranks = np.arange(len(ranges)) - self.starts[ranges]
-        self.words = 1 + self.ranks * RANGES + ranges
+        self.levels = level_of(self.count)
+        #: a word's rank in its level and range, of which its identifier is made: the same whatever shards there are
+        self.blocks = ranges * LEVELS - self.levels
+        self.ranks = np.arange(len(ranges)) - np.searchsorted(self.blocks, self.blocks)
+        self.words = identified(self.ranks, ranges, self.levels)
         #: the places of each batch's words
         self.asked = np.split(place[at], np.cumsum([len(p[0]) for p in parts])[:-1])
         self.types = int((self.count > 0).sum())
 
     def places(self, words: np.ndarray) -> np.ndarray:
-        rank, ranges = np.divmod(words.astype(np.int64) - 1, RANGES)
-        return self.starts[ranges] + rank
+        ranks, ranges, levels = placed(words.astype(np.int64))
+        return np.searchsorted(self.blocks, ranges * LEVELS - levels) + ranks
 
     def seat(self, random, sent: list[tuple[np.ndarray, np.ndarray]], types: int, opened: list[int] | None = None):
         """Takes the tables of (places, numbers) as customers and draws the tables.  `opened`: all the root's tables before
@@ -697,11 +713,11 @@ def score(df: DataFrame, folds: int = 5, fold: int = 1, key: str = "doc_id", tex
 
     def census(k, own):
         root = Root([b for _, b in own[WORDS]])
-        yield np.r_[int(root.count.sum()), np.bincount(level_of(root.count[root.count > 0]), minlength=256)]
+        yield np.r_[int(root.count.sum()), np.bincount(level_of(root.count[root.count > 0]), minlength=LEVELS)]
 
-    learnt, *hist = by_key(words, census).fold(np.zeros(257, np.int64), np.add).tolist()
+    learnt, *hist = by_key(words, census).fold(np.zeros(1 + LEVELS, np.int64), np.add).tolist()
     types = sum(hist)
-    weight = float(np.dot(hist, start_of(np.arange(256))) + start_of(0))  # of all words and the unknown one
+    weight = float(np.dot(hist, start_of(np.arange(LEVELS))) + start_of(0))  # of all words and the unknown one
 
     def frequent(k, own):
         root = Root([b for _, b in own[WORDS]])
@@ -714,16 +730,15 @@ def score(df: DataFrame, folds: int = 5, fold: int = 1, key: str = "doc_id", tex
 
     def names_of(k, own):
         root = Root([b for _, b in own[WORDS]])
-        levels = level_of(root.count)
         for (batch, _), place in zip(own[WORDS], root.asked, strict=True):
-            yield batch, (NAMES, -1 - k, pack(root.ranks[place], levels[place]))
+            yield batch, (NAMES, -1 - k, pack(root.ranks[place], root.levels[place]))
 
     names = deal(by_key(words, names_of))
 
     def asked_by(own) -> Batch:
         home = Batch(own[HOME][0][1])
         ranks, levels = (np.concatenate(x).astype(np.int64) for x in zip(*(unpack(b) for _, b in own[NAMES]), strict=True))
-        home.triples(1 + ranks * RANGES + range_of(home.words), hot.value, shards, levels)
+        home.triples(identified(ranks, range_of(home.words), levels), hot.value, shards)
         return home
 
     def triples_of(batch, own):
@@ -734,7 +749,7 @@ def score(df: DataFrame, folds: int = 5, fold: int = 1, key: str = "doc_id", tex
 
     def places_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The root's shard of each identifier, and an order by shards."""
-        r = root_shard((words - 1) % RANGES, shards)
+        r = root_shard(placed(words)[1], shards)
         r[words == START] = -1
         return r, np.argsort(r, kind="stable")[int((r < 0).sum()) :]
 

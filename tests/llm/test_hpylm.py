@@ -217,7 +217,7 @@ def test_a_restaurant_in_classes_is_one_restaurant():
         hot = np.sort(1 + np.searchsorted(batch.words, words))
         batch.triples(names, (hot, np.full(2, classes)), 4)
         shards = [hpylm.Shard([blob], 0, hot if classes > 1 else None) for _, blob in batch.dealt()]
-        total = float(len(names))
+        total = hpylm.start_of(np.full(len(names), hpylm.LEVELS - 1)).sum()  # of small identifiers
         for s in shards:
             s.live(s.own_root(total))
         for word in hot if classes > 1 else ():
